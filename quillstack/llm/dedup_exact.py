@@ -25,7 +25,8 @@ def frequent(rows: DataFrame, tracked: int) -> list[str]:
     """
     slices = rows.select("__digest", F.pmod(F.spark_partition_id(), F.lit(64)).alias("__slice"))
     parts = slices.groupBy("__slice").agg(F.expr(f"approx_top_k_accumulate(__digest, {4 * tracked})").alias("__s"))
-    top = parts.agg(F.expr(f"approx_top_k_combine(__s, {4 * tracked})").alias("__s")).select(F.expr(f"approx_top_k_estimate(__s, {tracked})").alias("top"))
+    # By a key, as a combination of no counters at all, which a task without rows would make, isn't defined.
+    top = parts.groupBy((F.col("__slice") >= 0).alias("__all")).agg(F.expr(f"approx_top_k_combine(__s, {4 * tracked})").alias("__s")).select(F.expr(f"approx_top_k_estimate(__s, {tracked})").alias("top"))
     row = top.first()
     return [x["item"] for x in (row["top"] if row else None) or [] if x["item"] is not None]
 
