@@ -76,7 +76,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // AUTOMATON_BYTES) if size else 1
     carry = [id_col] if carry is None else carry
-    kept = docs.select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(carry)], F.col(text_col).cast("string").alias("__text"))
+    kept = docs.select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(carry)], *([] if text_col in carry else [F.col(text_col).alias("__text")]))
+    text_name = f"__c{carry.index(text_col)}" if text_col in carry else "__text"
     runs = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())]))
     schema = T.StructType([*kept.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("hit_runs", runs), T.StructField("hit_items", T.ArrayType(T.StringType())), T.StructField("hit_spans", runs)])
     pairs = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
@@ -90,7 +91,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
         def run(batches: Iterator[pa.RecordBatch], items=items, first=first, last=last) -> Iterator[pa.RecordBatch]:
             machine = automaton(items, window)
             for batch in batches:
-                texts = batch.column("__text")
+                texts = batch.column(text_name)
                 before = [None] * len(texts) if first else zip(batch.column("hit_runs").to_pylist(), batch.column("hit_items").to_pylist(), strict=True)
                 counts, all_runs, all_items, all_spans = [], [], [], []
                 for text, old in zip((x.as_py() for x in texts), before, strict=True):

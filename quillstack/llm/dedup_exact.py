@@ -7,10 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .common import ascii_lower, cut
-
-#: Largest broadcast, in bytes, that this operator makes on its own account.
-BROADCAST_BYTES = 32 << 20
-
+from .rows import keep_rows
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``__id, __digest``: lowercase hex SHA-256 of each text after lower-casing A-Z; null counts as empty."""
@@ -60,23 +57,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tracked: int = 1024) -> DataFrame:
     """``docs`` without the rows whose text an equal text with a larger id repeats; all columns stay.
 
-    Rows are told apart by id and digest. Copies that go are removed by a broadcast anti-join while their keys fit in
-    ``BROADCAST_BYTES``, beyond that by a shuffled one. Repeated rows (same id and text) leave one row. Null ids and
-    null texts follow ``exact_dedup``.
+    Rows are told apart by id and digest; repeated rows leave one. Null ids and texts follow ``exact_dedup``.
     """
-    verdict = cut(exact_dedup(docs, id_col, text_col, tracked).select(F.col(id_col).alias("__i"), F.unhex("text_sha256").alias("__h"), "kept"))
-    keys = verdict.groupBy("__i", "__h").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).filter("not kept or n > 1")
-    gone, twice = cut(keys.filter("not kept").select("__i", "__h")), cut(keys.filter("kept and n > 1").select("__i", "__h"))
-    tagged = docs.withColumn("__digest", F.unhex(F.sha2(ascii_lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), 256)))
-    same = F.col(id_col).eqNullSafe(F.col("__i")) & (F.col("__digest") == F.col("__h"))
-    fits = lambda k: F.broadcast(k) if k.count() * 64 <= BROADCAST_BYTES else k
-    left = tagged.join(fits(gone), same, "left_anti")
-    if twice.isEmpty():
-        return left.drop("__digest")
-    once = fits(twice)
-    single = left.join(once, same, "left_semi").dropDuplicates([id_col, "__digest"])
-    return left.join(once, same, "left_anti").unionByName(single).drop("__digest")
-
+    verdict = exact_dedup(docs, id_col, text_col, tracked).select(F.col(id_col).alias("__i"), F.unhex("text_sha256").alias("__h"), "kept")
+    return keep_rows(docs, verdict, id_col, F.unhex(F.sha2(ascii_lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), 256)))
 
 
 SQL = """

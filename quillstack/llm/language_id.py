@@ -164,8 +164,9 @@ def predict(docs: DataFrame, names: list[str], vectors: np.ndarray, text_col: st
     0; ties take the first language by name; repeated rows are predicted each; an empty table gives an empty result.
     """
     carry = docs.columns if carry is None else carry
-    source = docs.select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(carry)], F.col(text_col).cast("string").alias("__text"))
-    kept = source.drop("__text")
+    kept = docs.select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(carry)], *([] if text_col in carry else [F.col(text_col).alias("__text")]))
+    text = f"__c{carry.index(text_col)}" if text_col in carry else "__text"
+    source, kept = kept, kept.drop("__text")
     inputs = kept.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +174,7 @@ def predict(docs: DataFrame, names: list[str], vectors: np.ndarray, text_col: st
         for batch in batches:
             for at in range(0, len(batch), 1024):
                 part = batch.slice(at, 1024)
-                rows = profiles.bundles(part.column("__text").to_pylist())
+                rows = profiles.bundles(part.column(text).to_pylist())
                 some = rows.any(axis=1) & bool(names)
                 cosine = unit(rows) @ vectors.T if names else np.zeros((len(rows), 1))
                 best = cosine.argmax(axis=1)

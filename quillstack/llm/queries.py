@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_rotation, decontaminate, dedup_exact, language_id, packing, sharding, toxicity, url_filter
+from . import chat_rotation, decontaminate, dedup_exact, language_id, license_scan, near_duplicates, packing, sharding, toxicity, url_filter
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.join_report(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,10 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_rotation.rotate(table(spark, sf_dir, "conversations"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.report(table(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), url_filter.outcomes_of(table(spark, sf_dir, "labels")))
 
@@ -44,6 +52,6 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_benchmark_decontamination, op5_language_id, op6_sharding, op7_chat_formatting, op9_url_filter, op10_exact_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_benchmark_decontamination, op4_ngram_jaccard_join, op5_language_id, op6_sharding, op7_chat_formatting, op8_license_scan, op9_url_filter, op10_exact_dedup)}
 QUERIES["pipeline"] = corpus_pipeline.run
-ORACLE_SQL: dict[str, str] = {"op3_benchmark_decontamination": decontaminate.SQL, "op7_chat_formatting": chat_rotation.SQL, "op9_url_filter": url_filter.SQL, "op10_exact_dedup": dedup_exact.SQL}
+ORACLE_SQL: dict[str, str] = {"op3_benchmark_decontamination": decontaminate.SQL, "op7_chat_formatting": chat_rotation.SQL, "op8_license_scan": license_scan.SQL, "op9_url_filter": url_filter.SQL, "op10_exact_dedup": dedup_exact.SQL}
