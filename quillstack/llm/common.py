@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +23,29 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as no column of ``df`` has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def slices(text: str, limit: int) -> Iterator[str]:
+    """A long text in parts of about ``limit`` characters, each but the first starting with white space after none."""
+    start = 0
+    while len(text) - start > limit:
+        end = start + limit
+        while end < len(text) and not (text[end].isspace() and not text[end - 1].isspace()):
+            end += 1
+        yield text[start:end]
+        start = end
+    yield text[start:]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, read from files in the shared checkpoint folder, so that a lost executor costs one stage.
 

@@ -65,12 +65,13 @@ def spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(at[a][0], at[b - 1][1]) for a, b in runs]
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, carry: list[str] | None = None, with_spans: bool = False) -> DataFrame:
+def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, carry: list[str] | None = None, with_spans: bool = False, clean_only: bool = False) -> DataFrame:
     """One row per document: its columns in ``carry``, ``n_words``, ``hit_runs`` (word numbers) and ``hit_items``.
 
     The benchmark's size is checked first. Up to ``AUTOMATON_BYTES`` of text it is one automaton, in the task closure;
     beyond that it is dealt into blocks of that size by item, documents are scanned once for each block, and the
-    blocks' runs and items are merged, with the same result. ``with_spans`` adds ``hit_spans`` (character offsets).
+    blocks' runs and items are merged, with the same result. ``with_spans`` adds ``hit_spans`` (character offsets);
+    ``clean_only`` leaves the columns in ``carry`` of documents without a hit.
     """
     bench = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")).filter("item is not null and text is not null")
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -106,6 +107,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
                 yield pa.RecordBatch.from_arrays(columns, names=outputs)
 
         out = out.mapInArrow(run, schema)
+    if clean_only:
+        return out.filter(F.size("hit_runs") == 0).select(*[f"__c{i}" for i in range(len(carry))]).withColumnsRenamed({f"__c{i}": c for i, c in enumerate(carry)})
     drop = ["__text"] + ([] if with_spans else ["hit_spans"])
     return out.drop(*drop).withColumnsRenamed({f"__c{i}": c for i, c in enumerate(carry)})
 
@@ -133,8 +136,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """``docs`` without documents in which a benchmark window occurs; all columns stay, texts are read once."""
-    found = hits(docs, benchmark, carry=docs.columns, window=window)
-    return found.filter(F.size("hit_runs") == 0).select(*docs.columns)
+    return hits(docs, benchmark, carry=docs.columns, window=window, clean_only=True)
 
 
 SQL = r"""

@@ -157,9 +157,11 @@ def prototypes(labelled: DataFrame, per_language: int = PER_LANGUAGE, dimensions
     return names, unit(np.array([found[n] for n in names])).astype(np.float32) if names else np.zeros((0, dimensions), dtype=np.float32)
 
 
-def predict(docs: DataFrame, names: list[str], vectors: np.ndarray, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+def predict(docs: DataFrame, names: list[str], vectors: np.ndarray, text_col: str = "text", carry: list[str] | None = None, least: float | None = None) -> DataFrame:
     """``docs`` (its columns in ``carry``) with ``lang_pred`` and ``score``, the largest cosine with a prototype.
 
+    With ``least``, the rows whose language is known with at least that cosine, without these two columns.
+
     Defined cases: a null text, one without a letter, or any text where no language was learned is ``und`` with score
     0; ties take the first language by name; repeated rows are predicted each; an empty table gives an empty result.
     """
@@ -183,7 +185,10 @@ def predict(docs: DataFrame, names: list[str], vectors: np.ndarray, text_col: st
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in inputs], pa.array(lang, pa.string()), pa.array(score)], names=[*inputs, "lang_pred", "score"])
 
     schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return source.mapInArrow(run, schema).withColumnsRenamed({f"__c{i}": c for i, c in enumerate(carry)})
+    found = source.mapInArrow(run, schema)
+    if least is not None:
+        found = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).drop("lang_pred", "score")
+    return found.withColumnsRenamed({f"__c{i}": c for i, c in enumerate(carry)})
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -201,6 +206,4 @@ def drop_unknown(docs: DataFrame, least: float = 0.03) -> DataFrame:
     (that of a random text has a standard deviation of 1/sqrt(1024)); all columns stay."""
     held = F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False))
     names, vectors = prototypes(docs.filter(~held).select("doc_id", "text", "lang"))
-    found = predict(docs, names, vectors)
-    verdict = found.columns[-2:]
-    return found.filter((F.col(verdict[0]) != "und") & (F.col(verdict[1]) >= least)).select(*docs.columns)
+    return predict(docs, names, vectors, least=least)

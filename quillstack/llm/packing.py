@@ -17,9 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, ranked
+from .common import cut, ranked, slices
 
-_SPACE = "\t-\r \x85\xa0  -     　"
+#: Characters of a long text that are encoded at a time.
+LONG = 1 << 20
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _RUN = re.compile(f"[{_SPACE}]{{2}}")
 _BEFORE_LAST = re.compile(f"(?<=[{_SPACE}])(?=[{_SPACE}][^{_SPACE}])")
 #: The byte-level pattern without its look-ahead, which makes matching linear; texts are split where it would act.
@@ -38,6 +40,7 @@ def encoder(vocabulary: str) -> tiktoken.Encoding:
 
 
 def encode(text: str, enc: tiktoken.Encoding) -> list[int]:
+    """Token ids; no token of this pattern spans the start of white space."""
     if not _RUN.search(text):
         return enc.encode_ordinary(text)
     return [i for part in _BEFORE_LAST.split(text) for i in enc.encode_ordinary(part)]
@@ -61,7 +64,7 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
                 batch = whole.slice(at, 512)
                 row, piece, start, length, crc, parts = [], [], [], [], [], []
                 for k, text in enumerate(batch.column("__text")):
-                    ids = np.array([*encode(text.as_py(), enc), end_id], dtype="<u4")
+                    ids = np.concatenate([*(np.array(encode(part, enc), dtype="<u4") for part in slices(text.as_py(), LONG)), np.array([end_id], dtype="<u4")])
                     s = 0
                     for p, n in enumerate(lengths_of(len(ids), capacity)):
                         part = ids[s : s + n]

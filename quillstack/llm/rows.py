@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh
 
 #: Largest broadcast, in bytes, that an operator makes on its own account.
 BROADCAST_BYTES = 32 << 20
@@ -21,13 +21,15 @@ def keep_rows(docs: DataFrame, verdict: DataFrame, id_col: str, text_hash: Colum
 
     Rows are told apart by id and hash of the text, so repeated rows leave one row if one of them is kept.
     """
-    keys = cut(verdict.groupBy("__i", "__h").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).filter("not kept or n > 1"))
-    gone, twice = cut(keys.filter("not kept").select("__i", "__h")), cut(keys.filter("kept and n > 1").select("__i", "__h"))
-    tagged = docs.withColumn("__hash", text_hash)
-    same = F.col(id_col).eqNullSafe(F.col("__i")) & (F.col("__hash") == F.col("__h"))
+    i, h, own = fresh(docs, "__i", "__h", "__hash")
+    renamed = verdict.select(F.col("__i").alias(i), F.col("__h").alias(h), "kept")
+    keys = cut(renamed.groupBy(i, h).agg(F.max("kept").alias("kept"), F.count("*").alias("n")).filter("not kept or n > 1"))
+    gone, twice = cut(keys.filter("not kept").select(i, h)), cut(keys.filter("kept and n > 1").select(i, h))
+    tagged = docs.withColumn(own, text_hash)
+    same = F.col(id_col).eqNullSafe(F.col(i)) & (F.col(own) == F.col(h))
     left = tagged.join(fitting(gone, 64), same, "left_anti")
     if twice.isEmpty():
-        return left.drop("__hash")
+        return left.drop(own)
     once = fitting(twice, 64)
-    single = left.join(once, same, "left_semi").dropDuplicates([id_col, "__hash"])
-    return left.join(once, same, "left_anti").unionByName(single).drop("__hash")
+    single = left.join(once, same, "left_semi").dropDuplicates([id_col, own])
+    return left.join(once, same, "left_anti").unionByName(single).drop(own)

@@ -52,6 +52,7 @@ def propagate(cells: DataFrame, quota: list[int], rounds: int) -> DataFrame:
         if not moves:
             break
         share = F.element_at(F.array(*[F.lit(float(x)) for x in flows(moves, room)]), F.col("to") + 1)
+        # Parts are rounded by chance; the few rows by which a quota may be exceeded are placed like unlinked ones.
         chance = F.pmod(F.xxhash64("digest", "shard", F.lit(k)), F.lit(1 << 20)) / float(1 << 20)
         gone = F.when(F.col("to").isNull(), F.lit(0)).otherwise(F.least(F.col("n"), F.floor(F.col("n") * share + chance)))
         parts = wish.withColumn("gone", gone.cast("long")).select("digest", F.explode(F.array(F.struct(F.col("shard"), (F.col("n") - F.col("gone")).alias("n")), F.struct(F.col("to").alias("shard"), F.col("gone").alias("n")))).alias("c"))
@@ -59,12 +60,12 @@ def propagate(cells: DataFrame, quota: list[int], rounds: int) -> DataFrame:
     return cells
 
 
-def balanced_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 40, rounds: int = 12) -> DataFrame:
+def balanced_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 40, rounds: int = 16) -> DataFrame:
     """Per row: ``doc_id, size, text_crc32, law, shard, slot, grown_shard``; the law is ``rows``: counts at most one apart.
 
     Documents with equal texts are linked. Label propagation under quotas brings linked documents together; documents
     without a link then fill each shard to exactly its quota, as do rows beyond a quota that a group larger than a shard
-    leaves. Only sizes by shard (at most shards^2 numbers) reach the driver. All ranks are taken in hash buckets, so a
+    leaves. Rounds end when nothing moves; a group larger than a shard fills one after another. Only sizes by shard (at most shards^2 numbers) reach the driver. All ranks are taken in hash buckets, so a
     group of any size is spread over tasks.
 
     Defined cases: a null text has no bytes and is linked with empty texts; null ids and repeated rows are rows like

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from .common import cut
+from .common import cut, slices
 from .language_id import fold
 
 #: Bounds of the fit: labelled examples of each class, and terms of the vocabulary.
@@ -28,6 +28,8 @@ NEIGHBOURS, BLOCK, PULL = 15, 64, 0.5
 PREFIXES = (4, 5, 6)
 #: Shares of a document's words at which a stem counts as a term of its own.
 SHARES = (0.005, 0.01, 0.02)
+#: Characters of a long text whose words are counted at a time.
+LONG = 1 << 20
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -41,7 +43,9 @@ def term_counts(text: str | None, known: dict[str, tuple[str, ...]] | None = Non
 
     With ``wanted`` only these stems count, and ``known`` keeps the stems of words met before.
     """
-    words = Counter(_WORD.findall((text or "").lower()))
+    words: Counter = Counter()
+    for part in slices(text or "", LONG):
+        words.update(_WORD.findall(part.lower()))
     found: Counter = Counter()
     for word, n in words.items():
         own = stems(word) if known is None else known.get(word)
