@@ -109,7 +109,7 @@ class Engine:
         best = hits.withColumn("n", F.row_number().over(order)).filter("n = 1").drop("n")
         shown = best.join(own.select("package", "entry_id", "kind", "path", "file", "line", "sig", "doc"), ["package", "entry_id"])
         found = shown.join(symbols.ambiguous(hits, own), "symbol").join(symbols.overloads(own), ["package", "path", "file"], "left")
-        return wanted.select("symbol").distinct().join(found, "symbol", "left").withColumn("status", F.when(F.col("entry_id").isNull(), "unresolved").when("ambiguous", "ambiguous").otherwise("exact"))
+        return wanted.select("symbol").distinct().join(found, "symbol", "left").withColumn("status", F.when(F.col("entry_id").isNull(), "unresolved").when(F.col("ambiguous"), "ambiguous").otherwise("exact"))
 
     def upgrade(self, old: DataFrame, new: DataFrame, project: DataFrame, marker: str) -> dict[str, DataFrame]:
         """``changes`` between two versions' entries, the ``sites`` in project files (``file, text``) that use changed symbols, ``guides`` and a ``summary``."""

@@ -8,7 +8,7 @@ import tomllib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -174,14 +174,19 @@ def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["file", "eco", "name", "version", "direct", "origin"])
 
 
+def bare(line: str | Column) -> Column:
+    """A line without white space around it, tabs included."""
+    return F.regexp_replace(line, r"^\s+|\s+$", "")
+
+
 def requirements(files: DataFrame) -> DataFrame:
     """Pinned lines (``name==version``) of requirement files (``file, text``), in the rows of ``SCHEMA`` with their ``line``."""
     lines = files.select("file", F.posexplode(F.split("text", r"\r?\n")).alias("line", "raw"))
-    bare = lines.withColumn("raw", F.trim(F.split("raw", " #")[0])).filter(~F.regexp("raw", F.lit("^(#|-|$)"))).withColumn("raw", F.split("raw", ";")[0])
+    plain = lines.withColumn("raw", bare(F.split("raw", " #")[0])).filter(~F.regexp("raw", F.lit("^(#|-|$)"))).withColumn("raw", F.split("raw", ";")[0])
     name = F.trim(F.regexp_extract("raw", r"^([^\[=]*)(?:\[[^=]*)?==", 1))
     version = F.regexp_extract("raw", r"==\s*=*([^,\s\\=][^,\s\\]*)", 1)
     base = F.regexp_extract("file", r"([^/]*)$", 1)
-    return bare.select("file", F.lit("pypi").alias("eco"), name.alias("name"), version.alias("version"), F.lit(True).alias("direct"), base.alias("origin"), "line").filter("name <> '' and version <> ''")
+    return plain.select("file", F.lit("pypi").alias("eco"), name.alias("name"), version.alias("version"), F.lit(True).alias("direct"), base.alias("origin"), "line").filter("name <> '' and version <> ''")
 
 
 def go_mod(files: DataFrame) -> DataFrame:
@@ -189,7 +194,7 @@ def go_mod(files: DataFrame) -> DataFrame:
 
     A replacement by another version of the same module overrides its version.
     """
-    lines = files.select("file", F.posexplode(F.split("text", r"\r?\n")).alias("n", "raw")).withColumn("raw", F.trim("raw"))
+    lines = files.select("file", F.posexplode(F.split("text", r"\r?\n")).alias("n", "raw")).withColumn("raw", bare("raw"))
     opened = F.when(F.regexp("raw", F.lit(r"^(require|replace)\s*\($")), F.regexp_extract("raw", r"^(\w+)", 1)).when((F.col("raw") == ")") | F.regexp("raw", F.lit(r"^\w+\s*\($")), "none")
     block = F.coalesce(F.last(opened, ignorenulls=True).over(W.partitionBy("file").orderBy("n")), F.lit("none"))
     single = F.regexp_extract("raw", r"^(require|replace)\s+[^(]", 1)
