@@ -34,8 +34,10 @@ def duck():
 def comparable(frame):
     """Rows of a pandas frame by column name, sorted, with floats rounded."""
 
+    import pandas as pd
+
     def plain(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return None
         if isinstance(v, bool) or type(v).__name__ == "bool_":
             return bool(v)
