@@ -2,7 +2,7 @@
 
 import pytest
 
-import __spark_entry__
+import __spark_entry__  # registers all queries
 from quillstack.plans import queries
 from tests.conftest import SF, comparable
 
