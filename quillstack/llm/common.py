@@ -81,6 +81,11 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], spread: Column,
     return joined.withColumn(rank, F.col("__start") + F.col("__inside")).drop("__bucket", "__kb", "__start", "__inside", *[f"__k{i}" for i in range(len(keys))])
 
 
+def small_enough(pairs: DataFrame, rows: int = 1 << 20) -> DataFrame:
+    """Two longs a row, already cut: broadcast up to ``rows`` rows, beyond that joined by a shuffle."""
+    return F.broadcast(pairs) if pairs.count() <= rows else pairs
+
+
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """``node, root`` for every node of ``edges(a long, b long)``; root is the least node of its component.
 
@@ -92,10 +97,11 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     seen = None
     for _ in range(rounds):
         near = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = near.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
+        # Minima are cut, so that the joins below only shuffle for themselves and a hub's rows can be split or broadcast to.
+        least = cut(near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = cut(near.filter("v > u").join(small_enough(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(small_enough(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
         now = cut(small.distinct())
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen:
