@@ -62,6 +62,20 @@ def buckets_for(df: DataFrame) -> int:
     return max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def bounded_sample(rows: DataFrame, key: str, id_col: str, k: int) -> DataFrame:
+    """Up to ``k`` rows of each key, those whose id has the least hash; the same rows in every run.
+
+    Keys are counted first, and only rows under a hash bound that about 2k of a key pass are ranked, so that no task
+    ranks all rows of a key. Few keys are assumed: their counts are broadcast if that fits, else joined.
+    """
+    counts = cut(rows.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("__n")))
+    chance = F.pmod(F.xxhash64(id_col), F.lit(1 << 40))
+    few = F.broadcast(counts) if counts.count() <= 100_000 else counts
+    near = rows.join(few, F.col(key) == F.col("__key")).withColumn("__chance", chance).filter(F.col("__chance") < F.lit(float(1 << 40)) * 2 * k / F.col("__n"))
+    order = W.partitionBy(key).orderBy("__chance", id_col)
+    return near.withColumn("__k", F.row_number().over(order)).filter(F.col("__k") <= k).drop("__key", "__n", "__chance", "__k")
+
+
 def ranked(df: DataFrame, keys: list[str], order: list[Column], spread: Column, rank: str = "__rank") -> DataFrame:
     """Numbers the rows of each key from 0 without gathering a key in one task.
 

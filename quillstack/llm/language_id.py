@@ -9,9 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window as W
 
-from .common import cut
+from .common import bounded_sample, cut
 
 #: Length of all vectors, documents learned from for each language, and the most languages.
 DIMENSIONS, PER_LANGUAGE, MAX_LANGUAGES = 1024, 2000, 1000
@@ -134,9 +133,8 @@ def prototypes(labelled: DataFrame, per_language: int = PER_LANGUAGE, dimensions
     ``labelled`` has ``doc_id, text, lang``. The documents are those of least hash in each language, so the sample is
     bounded and the same in every run; only it is bundled, and only partial sums reach the driver.
     """
-    first = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     with_text = labelled.filter("lang is not null and text is not null and doc_id is not null")
-    ids = cut(with_text.select("doc_id", "lang").withColumn("n", F.row_number().over(first)).filter(F.col("n") <= per_language).select(F.col("doc_id").alias("__id")))
+    ids = cut(bounded_sample(with_text.select("doc_id", "lang"), "lang", "doc_id", per_language).select(F.col("doc_id").alias("__id")))
     languages = with_text.select("lang").distinct().count()
     if languages > MAX_LANGUAGES:
         raise ValueError(f"{languages} languages; at most {MAX_LANGUAGES} are supported")
