@@ -15,7 +15,7 @@ from .common import bounded_sample, cut
 #: Length of all vectors, documents learned from for each language, and the most languages.
 DIMENSIONS, PER_LANGUAGE, MAX_LANGUAGES = 1024, 2000, 1000
 #: Characters that one matrix product covers.
-_CHARS = 1 << 20
+_CHARS = 1 << 18
 
 
 class Profiles:
@@ -32,7 +32,7 @@ class Profiles:
         self.index[32] = 0
         self.vectors = [np.random.default_rng(32).choice(np.array([-1, 1], dtype=np.float32), dimensions)]
         self.known: dict[int, int] = {}
-        self.bound = np.zeros((1024, dimensions), dtype=np.float32)
+        self.bound = np.zeros((1024, dimensions), dtype=np.int8)
 
     def places(self, points: np.ndarray) -> np.ndarray:
         place = self.index[points]
@@ -56,10 +56,10 @@ class Profiles:
                 self.bound[row] = np.roll(self.vectors[a], 2) * np.roll(self.vectors[b], 1) * self.vectors[c]
             at[i] = row
         if len(self.known) > 200_000:
-            found = self.bound[at]
-            self.known, self.bound = {}, np.zeros((1024, self.dimensions), dtype=np.float32)
+            found = self.bound[at].astype(np.float32)
+            self.known, self.bound = {}, np.zeros((1024, self.dimensions), dtype=np.int8)
             return found
-        return self.bound[at]
+        return self.bound[at].astype(np.float32)
 
     def add(self, out: np.ndarray, docs: list[int], texts: list[str]) -> None:
         points = np.frombuffer("".join(f" {t} " for t in texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -78,10 +78,10 @@ class Profiles:
         a, b, c, doc = place[:-2][middle], place[1:-1][middle], place[2:][middle], doc[1:-1][middle]
         if not len(doc):
             return
-        if size**3 <= 1 << 22:
+        if size**3 <= 1 << 20:
             flat = (a * size + b) * size + c
             unique = np.flatnonzero(np.bincount(flat, minlength=size**3))
-            column = np.zeros(size**3, dtype=np.int64)
+            column = np.zeros(size**3, dtype=np.int32)
             column[unique] = np.arange(len(unique))
             inverse = column[flat]
             unique = unique // (size * size) << 42 | unique // size % size << 21 | unique % size
