@@ -12,9 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window as W
 
-from .common import cut, slices
+from .common import bounded_sample, cut, slices
 from .language_id import fold
 
 #: Bounds of the fit: labelled examples of each class, and terms of the vocabulary.
@@ -159,11 +158,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     reach the driver.
     """
     label = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
-    order = W.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
     known = cut(label.filter("y in (0, 1)"))
     totals = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     prior = (totals.get(1, 0) + 1) / (sum(totals.values()) + 2)
-    ids = cut(known.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_class).select(F.col("doc_id").alias("__id"), "y"))
+    ids = cut(bounded_sample(known, "y", "doc_id", per_class).select(F.col("doc_id").alias("__id"), "y"))
     sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).select("doc_id", "y", "text").repartition(16)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
