@@ -1,4 +1,4 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index."""
+"""Toxicity by nearest labelled examples: exact cosine of whole weighted TF-IDF vectors over a block-max inverted index."""
 
 from __future__ import annotations
 
@@ -16,13 +16,15 @@ from pyspark.sql import types as T
 from .common import bounded_sample, cut, slices
 from .language_id import fold
 
-#: Bounds of the fit: labelled examples of each class, and terms of the vocabulary.
-PER_CLASS, TERMS = 4000, 4096
-#: A term is a feature if at least MIN_DF examples and MIN_SHARE of the toxic ones have it, its share among these is at
-#: least LIFT times that among others, and the chi-square of its association with the label is at least CHI2 (p = 0.001).
-MIN_DF, MIN_SHARE, LIFT, CHI2 = 5, 0.01, 3.0, 10.83
+#: Bound of the fit: labelled examples of each class.
+PER_CLASS = 4000
+#: Every word is a term, of weight BASE times its idf; a term that at least MIN_DF examples have and whose association
+#: with the label has a chi-square of at least CHI2 (p = 0.001) weighs more by its log odds ratio, whichever its sign.
+BASE, MIN_DF, CHI2 = 0.1, 5, 10.83
 #: Neighbours that vote, examples in a block of the index, and the pull of the votes towards the prior.
 NEIGHBOURS, BLOCK, PULL = 15, 64, 0.5
+#: A term that more than one in DENSE examples have is kept as a row of weights; NEAR softens the vote of a copy.
+DENSE, NEAR = 16, 0.01
 #: Lengths of beginnings of words that are terms.
 PREFIXES = (4, 5, 6)
 #: Shares of a document's words at which a stem counts as a term of its own.
@@ -30,6 +32,8 @@ SHARES = (0.005, 0.01, 0.02)
 #: Characters of a long text whose words are counted at a time.
 LONG = 1 << 20
 _WORD = re.compile(r"[^\W\d_]+")
+#: What terms that are whole words look like.
+WHOLE = "^[^*@]+$"
 
 
 def stems(word: str) -> list[str]:
@@ -40,7 +44,7 @@ def stems(word: str) -> list[str]:
 def term_counts(text: str | None, known: dict[str, tuple[str, ...]] | None = None, wanted: frozenset[str] | None = None) -> Counter:
     """Counts of terms: stems, and for each share in ``SHARES`` that a stem has of all words, at twice or more, one mark.
 
-    With ``wanted`` only these stems count, and ``known`` keeps the stems of words met before.
+    With ``wanted`` only whole words and these terms count, and ``known`` keeps the stems of words met before.
     """
     words: Counter = Counter()
     for part in slices(text or "", LONG):
@@ -49,79 +53,106 @@ def term_counts(text: str | None, known: dict[str, tuple[str, ...]] | None = Non
     for word, n in words.items():
         own = stems(word) if known is None else known.get(word)
         if own is None:
-            own = known[word] = tuple(s for s in stems(word) if s in wanted)
+            own = known[word] = tuple(s for s in stems(word) if s == word or s in wanted)
         for s in own:
             found[s] += n
     if known is not None and len(known) > 1_000_000:
         known.clear()
     if found:
         total = words.total()
-        found.update({f"{s}@{share}": 1 for s, n in found.items() if n > 1 for share in SHARES if n >= share * total})
+        often = [(s, share) for s, n in found.items() if n > 1 for share in SHARES if n >= share * total]
+        found.update({m: 1 for s, share in often if (m := f"{s}@{share}") and (wanted is None or m in wanted)})
     return found
 
 
 class Index(NamedTuple):
-    """Postings by term over examples in blocks, with each block's largest weight of each term."""
+    """Postings by term over examples in blocks; those of frequent terms as rows, with each block's largest weight."""
 
     terms: dict[str, int]
-    idf: np.ndarray
-    starts: np.ndarray  # of a term's postings in a block: starts[term, block] to starts[term, block + 1]
+    idf: np.ndarray  # of each term, times its weight
+    unknown: float  # the same for a word that no example has
+    starts: np.ndarray  # of a term's postings
     example: np.ndarray
     weight: np.ndarray
-    block_max: np.ndarray
+    column: np.ndarray  # of a frequent term in dense, else -1
+    dense: np.ndarray  # block, place in the block, column
+    block_max: np.ndarray  # block, column
     ids: np.ndarray
     toxic: np.ndarray
 
 
 def build_index(terms: dict[str, int], idf: np.ndarray, examples: list[tuple[int, int, list[tuple[int, int]]]]) -> Index:
-    """``examples``: id, label, and (term, count) pairs. Similar examples stand together, which sharpens block maxima."""
-    vectors = []
-    for doc, label, pairs in examples:
-        t = np.array([p[0] for p in pairs], dtype=np.int64)
-        w = (1 + np.log([p[1] for p in pairs])) * idf[t]
-        vectors.append((int(t[w.argmax()]), doc, label, t, w / np.linalg.norm(w)))
-    vectors.sort(key=lambda v: (v[0], v[2], v[1]))
-    blocks = -(-len(vectors) // BLOCK)
-    rows = [(int(t), i // BLOCK, i, float(w)) for i, v in enumerate(vectors) for t, w in zip(v[3], v[4], strict=True)]
-    rows.sort()
-    term, block, example, weight = (np.array([r[k] for r in rows], dtype=d) for k, d in enumerate((np.int64, np.int64, np.int64, np.float64)))
-    starts = np.searchsorted(term * (blocks + 1) + block, (np.arange(len(terms))[:, None] * (blocks + 1) + np.arange(blocks + 1)[None, :]).ravel()).reshape(len(terms), blocks + 1)
-    block_max = np.zeros((len(terms), blocks))
-    np.maximum.at(block_max, (term, block), weight)
-    return Index(terms, idf, starts, example, weight, block_max, np.array([v[1] for v in vectors]), np.array([v[2] for v in vectors]))
+    """``examples``: id, label, and (term, count) pairs."""
+    row = np.repeat(np.arange(len(examples)), [len(e[2]) for e in examples])
+    term, tf = (np.array([p[k] for e in examples for p in e[2]], dtype=np.int64) for k in (0, 1))
+    return index_of(terms, idf, 0.0, np.array([e[0] for e in examples]), np.array([e[1] for e in examples]), row, term, tf)
+
+
+def index_of(terms: dict[str, int], idf: np.ndarray, unknown: float, ids: np.ndarray, toxic: np.ndarray, row: np.ndarray, term: np.ndarray, tf: np.ndarray) -> Index:
+    """``row, term, tf``: the counts of each example's terms. Similar examples stand together, which sharpens block maxima."""
+    w = (1 + np.log(tf)) * idf[term]
+    w /= np.sqrt(np.bincount(row, w * w, len(ids)))[row]
+    heavy = np.lexsort((term, -w, row))
+    heavy = term[heavy[np.searchsorted(row[heavy], np.arange(len(ids)))]]
+    order = np.lexsort((ids, toxic, heavy))
+    place = np.empty(len(ids), dtype=np.int64)
+    place[order] = np.arange(len(ids))
+    by_term = np.lexsort((place[row], term))
+    example, weight, term = place[row][by_term].astype(np.int32), w[by_term], term[by_term]
+    starts = np.searchsorted(term, np.arange(len(terms) + 1))
+    often = np.flatnonzero(np.diff(starts) * DENSE > len(ids))
+    column = np.full(len(terms), -1, dtype=np.int32)
+    column[often] = np.arange(len(often))
+    blocks = -(-len(ids) // BLOCK)
+    dense = np.zeros((blocks * BLOCK, len(often)))
+    own = column[term] >= 0
+    dense[example[own], column[term[own]]] = weight[own]
+    dense = dense.reshape(blocks, BLOCK, len(often))
+    return Index(terms, idf, unknown, starts, example, weight, column, dense, dense.max(axis=1), ids[order], toxic[order])
 
 
 def nearest(index: Index, terms: np.ndarray, weights: np.ndarray, k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The ``k`` examples of largest cosine (ties: first in the index), exactly; ``without`` leaves one out.
 
-    Blocks are met in order of the bound that their term maxima give, and the search ends when no block left can
-    hold a better example than the k-th found.
+    Postings of rarer terms are summed whole. Frequent terms are added for the blocks of largest bound first (their
+    sums so far and the frequent terms' maxima), then for all that can still hold a better example than the k-th found.
     """
-    bound = weights @ index.block_max[terms]
-    found, scores = np.zeros(0, dtype=np.int64), np.zeros(0)
-    for block in np.argsort(-bound, kind="stable"):
-        if bound[block] <= 0 or len(found) >= k and bound[block] < scores[k - 1] - 1e-9:
-            break
-        sums = np.zeros(BLOCK)
-        for t, w in zip(terms, weights, strict=True):
-            a, b = index.starts[t, block], index.starts[t, block + 1]
-            sums[index.example[a:b] - block * BLOCK] += w * index.weight[a:b]
-        if without is not None and without // BLOCK == block:
-            sums[without % BLOCK] = 0
-        hit = np.flatnonzero(sums)
-        found, scores = np.concatenate([found, hit + block * BLOCK]), np.concatenate([scores, sums[hit]])
-        order = np.lexsort((found, -np.round(scores, 12)))[:k]
-        found, scores = found[order], scores[order]
-    return found, scores
+    rare = index.column[terms] < 0
+    start = index.starts[terms[rare]]
+    n = index.starts[terms[rare] + 1] - start
+    at = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+    sums = np.bincount(index.example[at], index.weight[at] * np.repeat(weights[rare], n), len(index.block_max) * BLOCK).reshape(-1, BLOCK)
+    often = np.zeros(index.dense.shape[2])
+    often[index.column[terms[~rare]]] = weights[~rare]
+    bound = sums.max(axis=1) + index.block_max @ often
+    order = np.argsort(-bound, kind="stable")
+
+    def whole(blocks: np.ndarray) -> np.ndarray:
+        out = sums[blocks] + (index.dense[blocks] @ often if len(blocks) < len(order) // 2 else (index.dense @ often)[blocks])
+        if without is not None:
+            out[blocks == without // BLOCK, without % BLOCK] = 0
+        return out.ravel()
+
+    few = max(8, -(-2 * k // BLOCK))
+    scores = whole(order[:few])
+    least = np.partition(scores, -k)[-k] if len(scores) >= k else 0
+    more = order[few:][bound[order[few:]] >= least - 1e-9]
+    scores = np.concatenate([scores, whole(more)]) if len(more) else scores
+    found = (np.concatenate([order[:few], more])[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+    least = max(np.partition(scores, -k)[-k] - 1e-9, 0) if len(scores) > k else 0
+    near = (scores > 0) & (scores >= least)
+    found, scores = found[near], scores[near]
+    best = np.lexsort((found, -np.round(scores, 12)))[:k]
+    return found[best], scores[best]
 
 
 def vote(index: Index, found: np.ndarray, scores: np.ndarray, share: float, prior: float) -> float:
-    """Log-odds of the neighbours' votes, by similarity, with ``PULL`` votes for the prior.
+    """Log-odds of the neighbours' votes, by similarity (a copy outweighs all that are merely alike), with ``PULL`` votes for the prior.
 
     ``share`` is the toxic share among the examples, ``prior`` that among all labelled documents: votes are weighed
     so that a sample with as many of either class stands for the population.
     """
-    w = np.where(index.toxic[found] == 1, prior / share, (1 - prior) / (1 - share)) * scores
+    w = np.where(index.toxic[found] == 1, prior / share, (1 - prior) / (1 - share)) * scores**2 / (1 + NEAR - np.minimum(scores, 1))
     p = (w[index.toxic[found] == 1].sum() + PULL * prior * prior) / (w.sum() + PULL * prior)
     p = min(max(p, 1e-6), 1 - 1e-6)
     return float(np.log(p / (1 - p)))
@@ -142,6 +173,14 @@ def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return max(a, 0.0), b
 
 
+def weights_of(d1: np.ndarray, df: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """The size of the log odds ratio of terms that ``d1`` toxic of all ``df`` examples have, 0 where it is not certain."""
+    d0 = df - d1
+    chi2 = (n1 + n0) * (d1 * (n0 - d0) - d0 * (n1 - d1)) ** 2.0 / np.maximum(float(n1) * n0 * df * (n1 + n0 - df), 1)
+    ratio = np.log((d1 + 0.5) * (n0 - d0 + 0.5) / ((d0 + 0.5) * (n1 - d1 + 0.5)))
+    return np.where((df >= MIN_DF) & (chi2 >= CHI2), np.abs(ratio), 0.0)
+
+
 class Model(NamedTuple):
     index: Index | None
     share: float
@@ -154,8 +193,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     """Learns from up to ``per_class`` labelled documents of each class, those of least hash.
 
     ``labels`` has ``doc_id, toxic`` (several labels of a document: toxic if one is). The prior counts all labels.
-    Words of the sample are counted in tasks; only features (at most ``TERMS``) and the examples' counts of these
-    reach the driver.
+    Words of the sample are counted in tasks; the bounded sample's words, and those beginnings and marks that are
+    associated with the label, reach the driver in Arrow columns.
     """
     label = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     known = cut(label.filter("y in (0, 1)"))
@@ -178,38 +217,44 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1 or not n0:
         return Model(None, 0.5, prior, 1.0, 0.0)
-    df = terms.groupBy("term").agg(F.sum("y").alias("d1"), F.count("*").alias("df")).withColumn("d0", F.col("df") - F.col("d1"))
+    df = terms.filter(~F.col("term").rlike(WHOLE)).groupBy("term").agg(F.sum("y").alias("d1"), F.count("*").alias("df")).filter(F.col("df") >= MIN_DF).withColumn("d0", F.col("df") - F.col("d1"))
     gap = F.col("d1") * (n0 - F.col("d0")) - F.col("d0") * (n1 - F.col("d1"))
-    chi2 = (n1 + n0) * F.pow(gap.cast("double"), 2) / (F.lit(float(n1)) * n0 * F.col("df") * (n1 + n0 - F.col("df")))
-    lift = F.col("d1") / n1 >= LIFT * (F.col("d0") + 0.5) / n0
-    chosen = df.withColumn("chi2", chi2).filter(lift & (F.col("df") >= MIN_DF) & (F.col("d1") >= MIN_SHARE * n1) & (F.col("chi2") >= CHI2)).orderBy(F.desc("chi2"), "term").limit(TERMS).collect()
-    if not chosen:
-        return Model(None, 0.5, prior, 1.0, 0.0)
-    place = {r["term"]: i for i, r in enumerate(chosen)}
-    idf = np.array([np.log((1 + n1 + n0) / (1 + r["df"])) + 1 for r in chosen])
-    rows = terms.filter(F.col("term").isin(list(place))).groupBy("doc_id", "y").agg(F.collect_list(F.struct("term", "tf")).alias("t")).collect()
-    index = build_index(place, idf, [(r["doc_id"], r["y"], sorted((place[x["term"]], x["tf"]) for x in r["t"])) for r in rows])
+    chi2 = F.try_divide((n1 + n0) * F.pow(gap.cast("double"), 2), F.lit(float(n1)) * n0 * F.col("df") * (n1 + n0 - F.col("df")))
+    chosen = cut(df.filter(chi2 >= CHI2).select("term"))
+    kept = terms.filter(F.col("term").rlike(WHOLE)).unionByName(terms.join(chosen, "term", "left_semi").select(terms.columns))
+    rows = kept.groupBy("doc_id", "y").agg(F.collect_list(F.struct("term", "tf")).alias("t")).orderBy("doc_id").toArrow().combine_chunks()
+    ids, toxic = (rows.column(c).to_numpy() for c in ("doc_id", "y"))
+    lists = rows.column("t").combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    flat = lists.flatten()
+    row = np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy()))
+    words = flat.field("term").dictionary_encode()
+    term, tf = words.indices.to_numpy().astype(np.int64), flat.field("tf").to_numpy()
+    place = {w: i for i, w in enumerate(words.dictionary.to_pylist())}
+    weight = weights_of(np.bincount(term, toxic[row], len(place)), np.bincount(term, minlength=len(place)), n1, n0)
+    weight += np.array([0.0 if "*" in w or "@" in w else BASE for w in place])
+    idf = (np.log((1 + n1 + n0) / (1 + np.bincount(term, minlength=len(place)))) + 1) * weight
+    index = index_of(place, idf, BASE * (np.log(1 + n1 + n0) + 1), ids, toxic, row, term, tf)
     share = n1 / (n1 + n0)
     x, y, at = [], [], {int(d): i for i, d in enumerate(index.ids)}
-    for r in rows:
-        t, w = query(index, Counter({v["term"]: v["tf"] for v in r["t"]}))
-        x.append(vote(index, *nearest(index, t, w, NEIGHBOURS, at[r["doc_id"]]), share, prior))
-        y.append(r["y"])
-    nothing = vote(index, np.zeros(0, dtype=np.int64), np.zeros(0), share, prior)
-    some1 = sum(y)
-    x, y = np.array([*x, nothing, nothing]), np.array([*y, 1, 0])
-    # Examples without a feature count together, and each class weighs as it does among all labels.
-    w = np.ones(len(x))
-    w[-2:] = n1 - some1, n0 - (len(rows) - some1)
-    slope, offset = calibrate(x, y, np.where(y == 1, w * prior / n1, w * (1 - prior) / n0) * (n1 + n0))
+    first = np.searchsorted(row, np.arange(len(ids) + 1))
+    for k, (a, b) in enumerate(zip(first, first[1:], strict=False)):
+        w = (1 + np.log(tf[a:b])) * idf[term[a:b]]
+        x.append(vote(index, *nearest(index, term[a:b], w / np.linalg.norm(w), NEIGHBOURS, at[int(ids[k])]), share, prior))
+        y.append(int(toxic[k]))
+    x, y = np.array(x), np.array(y)
+    # Each class weighs as it does among all labels.
+    slope, offset = calibrate(x, y, np.where(y == 1, prior / n1, (1 - prior) / n0) * (n1 + n0))
     return Model(index, share, prior, slope, offset)
 
 
 def query(index: Index, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
+    """Terms and their weights in a unit vector, to whose length words that no example has add theirs."""
     pairs = sorted((index.terms[w], n) for w, n in counts.items() if w in index.terms)
+    new = np.array([n for w, n in counts.items() if w not in index.terms and "*" not in w and "@" not in w], dtype=np.float64)
     t = np.array([p[0] for p in pairs], dtype=np.int64)
-    w = (1 + np.log(np.array([p[1] for p in pairs], dtype=np.float64))) * index.idf[t] if len(pairs) else np.zeros(0)
-    return t, w / np.linalg.norm(w) if len(w) else w
+    w = (1 + np.log(np.array([p[1] for p in pairs], dtype=np.float64))) * index.idf[t]
+    return t, w / np.sqrt((w * w).sum() + (((1 + np.log(new)) * index.unknown) ** 2).sum()) if len(w) else w
 
 
 def score_text(model: Model, text: str | None, known: dict[str, tuple[str, ...]], wanted: frozenset[str]) -> tuple[float, list[int]]:
@@ -224,14 +269,14 @@ def score_text(model: Model, text: str | None, known: dict[str, tuple[str, ...]]
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, score, predicted, evidence`` for each row: evidence lists the nearest labelled documents, nearest first.
 
-    Defined cases: a null or empty text, and one without a feature, gets the score of no votes; where no feature or
+    Defined cases: a null or empty text, and one without a word that an example has, gets the score of no votes; where
     only one class was learned, all get the prior; repeated rows are scored each; an empty table gives an empty result.
     """
     source = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[str, ...]] = {}
-        wanted = frozenset(t.partition("@")[0] for t in model.index.terms) if model.index else frozenset()
+        wanted = frozenset(s for t in model.index.terms if "*" in t or "@" in t for s in (t, t.partition("@")[0])) if model.index else frozenset()
         for batch in batches:
             found = [score_text(model, t.as_py(), known, wanted) for t in batch.column("__text")]
             score = np.array([f[0] for f in found], dtype=np.float64)

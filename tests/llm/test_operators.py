@@ -317,6 +317,19 @@ def test_toxicity_of_held_out_documents(spark, docs, empty):
     assert len(one) == 1 and one[0].score < 0.5
 
 
+def test_an_exact_copy_and_a_rare_word_reach_the_score(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(30)), int(i < 1500)) for i in range(3000)]
+    rows = [(i, t + (" grubby" if i < 12 else " vilest" if i < 900 and y else ""), y) for i, t, y in rows]
+    data, marks = spark.createDataFrame(rows, "doc_id long, text string, toxic int").select("doc_id", "text"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.fit(data, marks)
+    copies = [r for r in rows if r[0] % 50 == 40]
+    asked = spark.createDataFrame([*[(i, t) for i, t, _ in copies], (-1, "some fresh prose grubby here")], "doc_id long, text string")
+    out = {r.doc_id: r for r in toxicity.predict(asked, model).collect()}
+    assert all(out[i].evidence[0] == i for i, _, y in copies) and sum(out[i].predicted == y for i, _, y in copies) >= 0.97 * len(copies)
+    assert out[-1].predicted == 1 and set(out[-1].evidence) <= set(range(12))
+
+
 # Sharding
 
 
