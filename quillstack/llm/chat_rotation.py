@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from .common import cut
+from .common import buckets_for, cut
 
 #: Turn numbers in a segment, and messages in a part of one.
 SEGMENT_TURNS, PART_MESSAGES = 64, 1024
@@ -19,6 +20,20 @@ def header(role: Column, me: Column) -> Column:
     return F.concat(F.lit("<|im_start|>"), kind, F.lit("\n"))
 
 
+def in_parts(rows: DataFrame, key: list[str], size: int) -> DataFrame:
+    """``rows``, all different, with the ``part`` of ``size`` that each is in, counted in order through its key's rows.
+
+    Rows are dealt by range, so no task orders all rows of a key; a range's rows follow those of the ranges before it.
+    """
+    order = ["t", "r", "x"]
+    dealt = cut(rows.repartitionByRange(buckets_for(rows), *key, *order).withColumn("__range", F.spark_partition_id()))
+    before = W.partitionBy(*key).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    starts = dealt.groupBy(*key, "__range").agg(F.count("*").alias("__n")).select(F.col(key[0]).alias("__k0"), F.col(key[1]).alias("__k1"), F.col("__range").alias("__r"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    inside = dealt.withColumn("__inside", F.row_number().over(W.partitionBy(*key, "__range").orderBy(*order)) - 1)
+    same = F.col(key[0]).eqNullSafe(F.col("__k0")) & (F.col(key[1]) == F.col("__k1")) & (F.col("__range") == F.col("__r"))
+    return cut(inside.join(starts, same).withColumn("part", F.floor((F.col("__start") + F.col("__inside")) / size)).select(*rows.columns, "part"))
+
+
 def rotate(dialogues: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", segment_turns: int = SEGMENT_TURNS, part_messages: int = PART_MESSAGES) -> DataFrame:
     """A row per dialogue segment and participant: ``conv_id, segment, part, perspective, n_messages, rendered, mask, n_trained``.
 
@@ -26,8 +41,8 @@ def rotate(dialogues: DataFrame, conv: str = "conv_id", turn: str = "turn", role
     lists the character ranges to train on (the participant's texts with their end marks) as ``from-to,from-to``.
 
     A segment covers ``segment_turns`` turn numbers of one dialogue, so no task holds an unbounded dialogue; one of
-    over ``part_messages`` rows (tied or null turns, an id that many dialogues share) is dealt into parts by hash.
-    Participants are those who speak in the segment. Messages stand in order of turn (null last), role and text.
+    over ``part_messages`` rows (tied or null turns, an id that many dialogues share) is cut into parts, each of that
+    many messages that follow one another. Those who speak in the segment have a row in each of its parts. Messages stand in order of turn (null last), role and text.
     Defined cases: a null text is empty, a null role is ``unknown``, null ids form one dialogue, exact repetitions of
     a row are one message, a segment of system messages only has no perspective, ``<|`` in a text or role becomes
     ``< |``, an empty table gives an empty result, and further columns are ignored.
@@ -37,16 +52,21 @@ def rotate(dialogues: DataFrame, conv: str = "conv_id", turn: str = "turn", role
         F.col(conv).alias("conv_id"), F.floor(F.coalesce(F.col(turn).cast("long"), F.lit(_LAST)) / segment_turns).alias("segment"),
         F.coalesce(F.col(turn).cast("long"), F.lit(_LAST)).alias("t"), clean(F.coalesce(F.col(role), F.lit("unknown"))).alias("r"), clean(F.coalesce(F.col(text), F.lit(""))).alias("x"),
     )
-    large = cut(rows.groupBy("conv_id", "segment").count().filter(F.col("count") > part_messages).select(F.col("conv_id").alias("__c"), F.col("segment").alias("__s"), F.ceil(F.col("count") / part_messages).alias("__parts")))
+    key = ["conv_id", "segment"]
+    here = F.col("conv_id").eqNullSafe(F.col("__c")) & (F.col("segment") == F.col("__s"))
+    large = cut(rows.groupBy(*key).count().filter(F.col("count") > part_messages).select(F.col("conv_id").alias("__c"), F.col("segment").alias("__s")))
     n = large.count()
-    parted = rows.withColumn("part", F.lit(0).cast("long"))
-    if n:
-        joined = rows.join(F.broadcast(large) if n <= BROADCAST_ROWS else large, F.col("conv_id").eqNullSafe(F.col("__c")) & (F.col("segment") == F.col("__s")), "left")
-        parted = joined.withColumn("part", F.pmod(F.xxhash64("t", "r", "x"), F.coalesce(F.col("__parts"), F.lit(1)))).drop("__c", "__s", "__parts")
-    # collect_set drops repetitions before the shuffle; a set has part_messages messages on average at most.
-    group = parted.groupBy("conv_id", "segment", "part").agg(F.array_sort(F.collect_set(F.struct("t", "r", "x"))).alias("m"))
+    few = F.broadcast(large) if n <= BROADCAST_ROWS else large
+    small = rows.join(few, here, "left_anti") if n else rows
+    # collect_set drops repetitions before the shuffle; a set has at most part_messages messages.
+    group = small.groupBy(*key, F.lit(0).cast("long").alias("part")).agg(F.array_sort(F.collect_set(F.struct("t", "r", "x"))).alias("m"))
     people = F.array_distinct(F.filter(F.transform("m", lambda m: m["r"]), lambda r: r != "system"))
-    each = group.select("conv_id", "segment", "part", "m", F.explode(people).alias("perspective"))
+    each = group.select(*key, "part", "m", F.explode(people).alias("perspective"))
+    if n:
+        parted = in_parts(cut(rows.join(few, here, "left_semi").distinct()), key, part_messages)
+        parts = parted.groupBy(*key, "part").agg(F.array_sort(F.collect_list(F.struct("t", "r", "x"))).alias("m"))
+        who = parted.filter("r <> 'system'").select(F.col("conv_id").alias("__c"), F.col("segment").alias("__s"), F.col("r").alias("perspective")).distinct()
+        each = each.unionByName(parts.join(who, here).select(*key, "part", "m", "perspective"))
     me, end = F.col("perspective"), F.lit("<|im_end|>\n")
     heads = each.withColumn("h", F.transform("m", lambda m: header(m["r"], me)))
     sizes = heads.withColumn("at", F.transform("m", lambda m, i: F.aggregate(F.slice("m", 1, i), F.lit(0), lambda acc, e: acc + F.length(e["x"]) + 11) + F.aggregate(F.slice("h", 1, i + 1), F.lit(0), lambda acc, e: acc + F.length(e))))

@@ -392,6 +392,18 @@ def test_large_segments_are_dealt_into_parts(spark):
     assert len({r.part for r in out}) == 10 and sum(r.n_trained for r in out) == 500
 
 
+def test_parts_follow_one_another_and_every_participant_has_each(spark):
+    rows = [(c, t, "dan" if t is not None and t < 3 else f"u{i % 2}", f"{i:04d}") for c in (1, None) for i, t in enumerate([*range(3), *[None] * 117])]
+    rows += [(2, 0, "eve", "hi")]
+    out = chat_rotation.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), part_messages=10).collect()
+    assert len(out) == 2 * (1 + 12 * 2) + 1
+    for conv in (1, None):
+        mine = sorted((r.part, r.n_messages, r.rendered) for r in out if r.conv_id == conv and r.perspective == "u0")
+        assert [p for p, _, _ in mine] == list(range(12)) and [n for _, n, _ in mine] == [10] * 11 + [7]
+        texts = [line[:4] for _, _, x in mine for line in x.split("\n") if line.endswith("<|im_end|>")]
+        assert texts == [*[f"{i:04d}" for i in range(3, 120) if i % 2 == 0], *[f"{i:04d}" for i in range(3, 120) if i % 2]]
+
+
 # Licenses
 
 
