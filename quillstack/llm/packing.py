@@ -30,16 +30,37 @@ _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
 
 @lru_cache(maxsize=2)
 def encoder(vocabulary: str) -> tiktoken.Encoding:
-    """The byte-level BPE of a tokenizer JSON file, whose ids are the ranks of its merges."""
+    """The byte-level BPE of a tokenizer JSON file, whose ids are the ranks of its merges; its added tokens are special."""
     with open(vocabulary, encoding="utf-8") as f:
-        model = json.load(f)["model"]
+        whole = json.load(f)
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
-    ranks = {bytes(byte_of[c] for c in token): i for token, i in model["vocab"].items() if all(c in byte_of for c in token) and not token.startswith("<|")}
-    return tiktoken.Encoding("bpe", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+    added = {t["content"]: t["id"] for t in whole.get("added_tokens") or []}
+    if odd := [t["content"] for t in whole.get("added_tokens") or [] if t.get("single_word") or t.get("lstrip") or t.get("rstrip") or any(c.isspace() for c in t["content"])]:
+        raise ValueError(f"added tokens with white space or for whole words only are not supported: {odd}")
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in whole["model"]["vocab"].items() if all(c in byte_of for c in token) and token not in added}
+    return tiktoken.Encoding("bpe", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens=added)
+
+
+@lru_cache(maxsize=2)
+def added_pattern(enc: tiktoken.Encoding) -> re.Pattern | None:
+    """Finds the literals of added tokens, the longest first."""
+    return re.compile("|".join(re.escape(t) for t in sorted(enc.special_tokens_set, key=lambda t: (-len(t), t)))) if enc.special_tokens_set else None
 
 
 def encode(text: str, enc: tiktoken.Encoding) -> list[int]:
+    """Token ids; the literal of an added token is that token, and what is between such literals is encoded by itself."""
+    pattern = added_pattern(enc)
+    if pattern is None or not pattern.search(text):
+        return encode_plain(text, enc)
+    ids, start = [], 0
+    for found in pattern.finditer(text):
+        ids += [*encode_plain(text[start : found.start()], enc), enc.encode_single_token(found.group())]
+        start = found.end()
+    return ids + encode_plain(text[start:], enc)
+
+
+def encode_plain(text: str, enc: tiktoken.Encoding) -> list[int]:
     """Token ids; no token of this pattern spans the start of white space."""
     if not _RUN.search(text):
         return enc.encode_ordinary(text)

@@ -59,6 +59,15 @@ def test_token_ids_are_those_of_the_tokenizer(table):
     assert [i for part in common.slices(long, 100) for i in packing.encode(part, enc)] == own.encode(long, add_special_tokens=False).ids
 
 
+def test_literals_of_added_tokens_are_these_tokens():
+    from tokenizers import Tokenizer
+
+    own, enc = Tokenizer.from_file(VOCABULARY), packing.encoder(VOCABULARY)
+    assert packing.encode("a <|endoftext|> b", enc) == [64, 220, 50256, 275]
+    for text in ("<|endoftext|>", "a  <|endoftext|>  b", "x<|endoftext|><|endoftext|>\n\n y", "<|endoftext| > <|endoftext", "it<|endoftext|>'s \n"):
+        assert packing.encode(text, enc) == own.encode(text, add_special_tokens=False).ids
+
+
 def test_best_two_fit_packs_everything_tightly():
     rng = random.Random(5)
     for capacity in (16, 100, 1024):
