@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,8 @@ from .common import bounded_sample, cut
 
 #: Length of all vectors, documents learned from for each language, and the most languages.
 DIMENSIONS, PER_LANGUAGE, MAX_LANGUAGES = 1024, 2000, 1000
+#: The chance that a text of nothing learned passes for a learned language.
+NOISE = 1e-6
 #: Characters that one matrix product covers.
 _CHARS = 1 << 18
 
@@ -199,9 +202,17 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs.select("doc_id", held.alias("held_out"), "text"), names, vectors, carry=["doc_id", "held_out"])
 
 
-def drop_unknown(docs: DataFrame, least: float = 0.03) -> DataFrame:
+def noise_bound(languages: int, dimensions: int = DIMENSIONS) -> float:
+    """The cosine that a text without a learned trigram reaches with any of ``languages`` by chance in one of a million.
+
+    Its standard deviation with one is 1/sqrt(dimensions), however long the text is.
+    """
+    return NormalDist().inv_cdf(1 - NOISE / max(languages, 1)) / dimensions**0.5
+
+
+def drop_unknown(docs: DataFrame, least: float | None = None) -> DataFrame:
     """``docs`` without those rejected: no letter, or no language whose cosine reaches ``least``
-    (that of a random text has a standard deviation of 1/sqrt(1024)); all columns stay."""
+    (if not given, what chance does not reach over all languages); all columns stay."""
     held = F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False))
     names, vectors = prototypes(docs.filter(~held).select("doc_id", "text", "lang"))
-    return predict(docs, names, vectors, least=least)
+    return predict(docs, names, vectors, least=noise_bound(len(names)) if least is None else least)

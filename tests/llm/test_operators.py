@@ -265,6 +265,21 @@ def test_languages_of_held_out_documents(table, docs, empty):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= {1, 7, 8, 9, 13}
 
 
+def test_texts_of_no_learned_script_are_dropped_and_short_ones_are_kept(spark):
+    rng = random.Random(3)
+    tongue = {k: ["".join(rng.choices(letters, k=rng.randrange(2, 7))) for _ in range(60)] for k, letters in {"a": "aeioulnt", "b": "bcdfuiöq", "c": "rstvewxz", "d": "ghjkmpoy"}.items()}
+    rows = [(i, " ".join(rng.choices(tongue[k], k=80)), k) for i in range(400) for k in ["abcd"[i % 4]]]
+    short = [(1000 + i, " ".join(rng.choices(tongue[k], k=6)), None) for i in range(60) for k in ["abcd"[i % 4]]]
+    foreign = []
+    for i in range(60):
+        letters = rng.sample([chr(c) for c in range(0x430, 0x450)], 12)
+        own = ["".join(rng.choices(letters, k=rng.randrange(2, 7))) for _ in range(60)]
+        foreign.append((2000 + i, " ".join(rng.choices(own, k=200)), None))
+    kept = {r.doc_id for r in language_id.drop_unknown(spark.createDataFrame(rows + short + foreign, "doc_id long, text string, lang string")).collect()}
+    assert kept == {r[0] for r in rows + short}
+    assert language_id.noise_bound(4) * 32 > 4.5 and language_id.noise_bound(1000) > language_id.noise_bound(4)
+
+
 def test_long_texts_have_the_profile_of_their_words(monkeypatch):
     text = "Grüße aus dem Tal, über alle Berge hinweg. " * 50
     whole = language_id.Profiles(256).bundles([text, "x"])
