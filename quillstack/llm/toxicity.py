@@ -24,7 +24,7 @@ BASE, MIN_DF, CHI2 = 0.1, 5, 10.83
 #: Neighbours that vote, examples in a block of the index, and the pull of the votes towards the prior.
 NEIGHBOURS, BLOCK, PULL = 15, 64, 0.5
 #: A term that more than one in DENSE examples have is kept as a row of weights; NEAR softens the vote of a copy.
-DENSE, NEAR = 16, 0.01
+DENSE, NEAR = 4, 0.01
 #: Lengths of beginnings of words that are terms.
 PREFIXES = (4, 5, 6)
 #: Shares of a document's words at which a stem counts as a term of its own.
