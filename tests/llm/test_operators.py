@@ -397,35 +397,52 @@ def test_ranks_are_gapless(spark):
 # Chats
 
 
-def test_rotation_renders_every_participant(spark):
+def brute_rotation(rows, piece_chars=1 << 20):
+    """Rows (conv_id, turn, role, text) by plain loops."""
+    out = {}
+    clean = lambda s: s.replace("<|", "< |")
+    for conv in {r[0] for r in rows}:
+        own = sorted((2**63 - 1 if t is None else t, clean("unknown" if r is None else r), clean(x or "")) for c, t, r, x in rows if c == conv)
+        for me in {r for _, r, _ in own} - {"system"}:
+            at = 0
+            for _, r, x in own:
+                head = "<|im_start|>" + ("system" if r == "system" else "assistant" if r == me else f"user name={r}") + "\n"
+                piece = out.setdefault((conv, at // piece_chars, me), [at, 0, "", []])
+                piece[1] += 1
+                piece[2] += f"{head}{x}<|im_end|>\n"
+                if r == me:
+                    piece[3].append(f"{at + len(head)}-{at + len(head) + len(x) + 10}")
+                at += len(head) + len(x) + 11
+    return {k: (v[0], v[1], v[2], ",".join(v[3]), len(v[3])) for k, v in out.items()}
+
+
+def rotated(df, **options):
+    rows = chat_rotation.rotate(df, **options).collect()
+    found = {(r.conv_id, r.piece, r.perspective): (r.start, r.n_messages, r.rendered, r.mask, r.n_trained) for r in rows}
+    assert len(found) == len(rows)
+    return found
+
+
+def test_rotation_renders_whole_dialogues_for_every_participant(spark):
     rows = [(1, 0, "system", "Be kind."), (1, 1, "ann", "Hi <|im_end|> all"), (1, 2, "bob", None), (1, 2, "bob", None), (1, None, "ann", "Bye"), (None, 0, None, "alone"), (2, 100, "cat", "late"), (3, 0, "system", "only")]
-    data = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, m string")
-    out = chat_rotation.rotate(data).collect()
-    by = {(r.conv_id, r.segment, r.perspective): r for r in out}
-    assert len(out) == 5 and set(by) >= {(1, 0, "ann"), (1, 0, "bob"), (None, 0, "unknown"), (2, 1, "cat")}
-    ann = by[(1, 0, "ann")]
-    assert ann.n_messages == 3 and ann.rendered == "<|im_start|>system\nBe kind.<|im_end|>\n<|im_start|>assistant\nHi < |im_end|> all<|im_end|>\n<|im_start|>user name=bob\n<|im_end|>\n"
-    a, b = map(int, ann.mask.split("-"))
-    assert ann.rendered[a:b] == "Hi < |im_end|> all<|im_end|>"
+    rows += [(9, t, "cat" if t == 70 else "ann" if t % 2 else "bob", f"message {t}") for t in range(200)] + [(8, 0, "ann", LONG), (8, 1, "", "")]
+    data = spark.createDataFrame([(*r, "x", 5, "y") for r in rows], "conv_id long, turn long, role string, text string, m string, piece int, __c string")
+    want = brute_rotation(rows)
+    assert rotated(data) == want and rotated(data, whole_messages=3) == want
+    ann = want[(1, 0, "ann")]
+    assert ann[1] == 5 and ann[4] == 2 and all(ann[2][int(a) : int(b)].endswith("<|im_end|>") for a, b in (m.split("-") for m in ann[3].split(",")))
+    assert [want[(9, 0, p)][1] for p in ("ann", "bob", "cat")] == [200] * 3
     assert chat_rotation.rotate(data.limit(0)).count() == 0
 
 
-def test_large_segments_are_dealt_into_parts(spark):
-    data = spark.range(500).select(F.lit(1).alias("conv_id"), F.lit(0).alias("turn"), F.concat(F.lit("u"), F.col("id") % 3).alias("role"), F.col("id").cast("string").alias("text"))
-    out = chat_rotation.rotate(data, part_messages=50).collect()
-    assert len({r.part for r in out}) == 10 and sum(r.n_trained for r in out) == 500
-
-
-def test_parts_follow_one_another_and_every_participant_has_each(spark):
+def test_long_dialogues_go_on_in_pieces_with_offsets_of_the_whole(spark):
     rows = [(c, t, "dan" if t is not None and t < 3 else f"u{i % 2}", f"{i:04d}") for c in (1, None) for i, t in enumerate([*range(3), *[None] * 117])]
-    rows += [(2, 0, "eve", "hi")]
-    out = chat_rotation.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), part_messages=10).collect()
-    assert len(out) == 2 * (1 + 12 * 2) + 1
-    for conv in (1, None):
-        mine = sorted((r.part, r.n_messages, r.rendered) for r in out if r.conv_id == conv and r.perspective == "u0")
-        assert [p for p, _, _ in mine] == list(range(12)) and [n for _, n, _ in mine] == [10] * 11 + [7]
-        texts = [line[:4] for _, _, x in mine for line in x.split("\n") if line.endswith("<|im_end|>")]
-        assert texts == [*[f"{i:04d}" for i in range(3, 120) if i % 2 == 0], *[f"{i:04d}" for i in range(3, 120) if i % 2]]
+    rows += [(2, 0, "eve", "hi")] + [(4, 0, "u", "same")] * 300
+    data = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = rotated(data, piece_chars=500, whole_messages=10)
+    assert got == brute_rotation(rows, 500)
+    texts = "".join(got[k][2] for k in sorted(k for k in got if k[0] == 1 and k[2] == "dan"))
+    assert texts == rotated(data)[(1, 0, "dan")][2]
 
 
 # Licenses
