@@ -15,20 +15,36 @@ from pyspark.sql import types as T
 from .decontaminate import spans, words
 from .near_duplicates import SHINGLE, runs
 
-#: Notices and opening passages of common licenses.
+# Notices, opening passages and, where they are short, whole texts of common licenses.
 TEMPLATES = {
+    "0BSD": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+    "AGPL-terms": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
     "Apache-2.0-terms": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+    "BSD-3-Clause-terms": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "BSD-disclaimer": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
     "BSD-terms": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "BSL-1.0": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "CC-BY-4.0-notice": "This work is licensed under the Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-4.0-notice": "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "GPL-2.0-terms": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-terms": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+    "GPL-warranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     "ISC-terms": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "LGPL-terms": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
     "MIT": "Released under the MIT License.",
+    "MIT-disclaimer": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     "MIT-terms": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+    "MPL-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely",
 }
 #: Least share of a template's shingles that a window must hold, and the chance of missing one that holds just that.
 CONTAINMENT, MISS = 0.8, 1e-6
+#: Most bytes of templates that each task may hold.
+TEMPLATE_BYTES = 32 << 20
 
 
 class Class(NamedTuple):
@@ -38,6 +54,8 @@ class Class(NamedTuple):
     names: list[str]
     sets: list[np.ndarray]
     values: np.ndarray  # MinHash values by template and hash function
+    sorted: np.ndarray  # by hash function, the templates' values in ascending order
+    owner: np.ndarray  # by hash function, whose values these are
 
 
 def hashing(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,13 +87,17 @@ def classes_of(templates: dict[str, str], containment: float, miss: float) -> li
     for block, own in sorted(by_block.items()):
         a, b = hashing(bands_for(block, containment, miss))
         values = np.array([(a[:, None] * (x >> np.uint64(32)).astype(np.uint32)[None, :] + b[:, None]).min(axis=1) for _, x in own])
-        out.append(Class(block, [n for n, _ in own], [x for _, x in own], values))
+        owner = np.argsort(values.T, axis=1, kind="stable")
+        out.append(Class(block, [n for n, _ in own], [x for _, x in own], values, np.take_along_axis(values.T, owner, axis=1), owner))
     return out
 
 
 def candidates(low: np.ndarray, pad: np.ndarray, classes: list[Class]) -> list[list[tuple[int, np.ndarray]]]:
-    """By class: (template, windows in which one of its bands collides). ``low``: padded shingle hashes, in whole blocks."""
-    found = [[np.zeros(max(1, len(low) // c.block), dtype=bool) for _ in c.names] for c in classes]
+    """By class: (template, windows in which one of its bands collides). ``low``: padded shingle hashes, in whole blocks.
+
+    Windows are looked up in each band's sorted values, so work hardly grows with the number of templates.
+    """
+    found: list[list[np.ndarray]] = [[] for _ in classes]
     most = max(c.values.shape[1] for c in classes)
     a, b = hashing(most)
     for k in range(most):
@@ -88,14 +110,25 @@ def candidates(low: np.ndarray, pad: np.ndarray, classes: list[Class]) -> list[l
                 size *= 2
             if k >= c.values.shape[1]:
                 continue
-            for t, hit in enumerate(own):
-                at = np.flatnonzero(least == c.values[t, k])
-                # A value that is a window's least stands in one of its blocks; the other's must not be less.
-                for first in (at, at - 1):
-                    first = first[first >= 0]
-                    second = np.minimum(first + 1, len(least) - 1)
-                    hit[first[np.minimum(least[first], least[second]) == c.values[t, k]]] = True
-    return [[(t, np.flatnonzero(hit)) for t, hit in enumerate(own)] for own in found]
+            band = c.sorted[k]
+            from_ = np.searchsorted(band, least, side="left")
+            at = np.flatnonzero((from_ < len(band)) & (band[np.minimum(from_, len(band) - 1)] == least))
+            if not len(at):
+                continue
+            # A value that is a window's least stands in one of its blocks; the other's must not be less.
+            first = np.concatenate([at, at[at > 0] - 1])
+            at = np.concatenate([at, at[at > 0]])
+            held = np.minimum(least[first], least[np.minimum(first + 1, len(least) - 1)]) == least[at]
+            first, at = first[held], at[held]
+            n = np.searchsorted(band, least[at], side="right") - from_[at]
+            place = np.repeat(from_[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            own.append(c.owner[k][place] * (len(low) + 1) + np.repeat(first, n))
+    out = []
+    for own in found:
+        pairs = np.unique(np.concatenate(own)) if own else np.zeros(0, dtype=np.int64)
+        template = pairs // (len(low) + 1)
+        out.append([(int(t), pairs[template == t] % (len(low) + 1)) for t in np.unique(template)])
+    return out
 
 
 def scan(parsed: list[list[bytes]], classes: list[Class], containment: float) -> list[list[tuple[str, int, int, float]]]:
@@ -133,10 +166,19 @@ def merged(matches: list[tuple[str, int, int, float]]) -> list[tuple[str, int, i
     return out
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT, miss: float = MISS) -> DataFrame:
+def template_table(templates: DataFrame) -> dict[str, str]:
+    """Texts by name of a table ``license, text`` (null names or texts are passed over; of equal names the least text counts), of bounded size."""
+    own = templates.select(F.col("license").cast("string").alias("license"), F.col("text").cast("string").alias("text")).filter("license is not null and text is not null")
+    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > TEMPLATE_BYTES:
+        raise ValueError(f"templates of {size} bytes; at most {TEMPLATE_BYTES} are supported")
+    return {r["license"]: r["text"] for r in own.groupBy("license").agg(F.min("text").alias("text")).collect()}
+
+
+def scan_licenses(docs: DataFrame, templates: dict[str, str] | DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT, miss: float = MISS) -> DataFrame:
     """Per document: its id and ``matches``: array of (license, start, end, containment), with character offsets.
 
-    Templates are classed by their number of five-word shingles. Documents are cut into blocks of a class's size, and
+    ``templates`` is a table ``license, text`` (or a dict) of up to ``TEMPLATE_BYTES``. They are classed by their number of five-word shingles. Documents are cut into blocks of a class's size, and
     two adjacent blocks form a window, so windows overlap by half and any stretch of a template's length lies in one.
     Each window's MinHash values are compared band by band with those of the class's templates; ``bands_for`` sets
     their number so that a template held to ``containment`` is missed with probability ``miss`` at most. A retrieved
@@ -146,6 +188,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_c
     license that occurs several times is reported at each place; an empty table gives an empty result; without
     templates nothing matches; templates of under five words are an error.
     """
+    if isinstance(templates, DataFrame):
+        templates = template_table(templates)
     classes = classes_of(TEMPLATES if templates is None else templates, containment, miss)
     source = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
     match = T.StructType([T.StructField("license", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("containment", T.DoubleType())])
