@@ -12,8 +12,12 @@ from .common import ascii_lower, cut
 
 #: (verdict, host, path): a rule fits its host and all subdomains where the path starts with its own; the longest wins.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: Public suffixes of two labels; every other suffix is the last label.
-SECOND_LEVEL = ("ac.uk", "co.jp", "co.nz", "co.uk", "com.au", "com.br", "gov.uk", "org.uk")
+# Common public suffixes of two labels, where no table of suffixes is given; every other suffix is the last label.
+SECOND_LEVEL = (
+    "ac.jp", "ac.nz", "ac.uk", "ac.za", "co.id", "co.il", "co.in", "co.jp", "co.ke", "co.kr", "co.nz", "co.th", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.co", "com.eg",
+    "com.hk", "com.mx", "com.my", "com.ng", "com.pe", "com.ph", "com.pk", "com.sa", "com.sg", "com.tr", "com.tw", "com.ua", "com.vn", "edu.au", "edu.br", "edu.cn", "edu.in", "gov.au", "gov.br",
+    "gov.cn", "gov.in", "gov.uk", "ne.jp", "net.au", "net.br", "net.cn", "nhs.uk", "or.jp", "or.kr", "org.au", "org.br", "org.cn", "org.in", "org.nz", "org.uk", "org.za",
+)
 #: Rows of host statistics (some 100 bytes each) that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -26,14 +30,17 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def suffix_of(host: Column) -> Column:
-    last2 = F.substring_index(host, ".", -2)
-    return F.when(last2.isin(*SECOND_LEVEL), last2).otherwise(F.substring_index(host, ".", -1))
-
-
-def domain_of(host: Column) -> Column:
-    last2 = F.substring_index(host, ".", -2)
-    return F.when(last2.isin(*SECOND_LEVEL), F.substring_index(host, ".", -3)).otherwise(last2)
+def registered(hosts: DataFrame, suffixes: DataFrame) -> DataFrame:
+    """``hosts`` (one row a ``host``) with ``suffix``, the longest of ``suffixes`` that a host ends with (else its last label), and ``domain``, one label more."""
+    labels = F.split("host", r"\.")
+    tail = lambda n: F.array_join(F.slice("__l", -n, n), ".")
+    tails = hosts.select("host", labels.alias("__l")).select("host", F.explode(F.transform(F.sequence(F.lit(1), F.size("__l")), lambda n: F.struct(n.alias("n"), tail(n).alias("t")))).alias("e"))
+    known = cut(suffixes.select(F.lower(F.col("suffix").cast("string")).alias("__t")).filter("__t is not null").distinct())
+    known = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
+    found = tails.join(known, F.col("e.t") == F.col("__t")).groupBy("host").agg(F.max("e.n").alias("__n"))
+    n = F.coalesce("__n", F.lit(1))
+    parted = hosts.join(found, "host", "left").withColumn("__l", labels)
+    return parted.withColumns({"suffix": F.array_join(F.slice("__l", -n, n), "."), "domain": F.array_join(F.slice("__l", -F.least(n + 1, F.size("__l")), n + 1), ".")}).drop("__l", "__n")
 
 
 def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> Column:
@@ -56,34 +63,38 @@ def shrunk(level: DataFrame, key: str) -> DataFrame:
     return level.crossJoin(F.broadcast(strength)).select(key, "n", "x", (F.col("s") * F.col("prior") + F.col("x")).alias("a"), (F.col("s") * (1 - F.col("prior")) + F.col("n") - F.col("x")).alias("b"))
 
 
-def reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
+def reputation(pages: DataFrame, outcomes: DataFrame, suffixes: DataFrame) -> DataFrame:
     """``host, n, x, a, b``: labelled pages, bad ones and the Beta posterior of the bad rate, for every host of ``pages``.
 
     ``pages`` has ``page_id, host``; ``outcomes`` has ``page_id, bad`` (0 or 1; several labels of a page: bad if one
     is). Counts are pre-aggregated by host before anything else is shuffled; domains and suffixes are sums of hosts.
     """
     label = outcomes.filter("page_id is not null and bad is not null").groupBy("page_id").agg(F.max("bad").cast("long").alias("bad"))
-    hosts = cut(pages.join(label, "page_id", "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("x")).withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))}))
+    seen = pages.filter("page_id is not null").join(label, "page_id").groupBy("host").agg(F.count("bad").alias("n"), F.sum("bad").alias("x"))
+    counted = cut(pages.select("host").distinct().join(seen, "host", "left").select("host", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("x", F.lit(0)).alias("x")))
+    hosts = cut(registered(counted, suffixes))
     total = F.sum("n").alias("n"), F.sum("x").alias("x")
     whole = hosts.agg(((F.coalesce(F.sum("x"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("prior"))
-    suffixes = shrunk(hosts.groupBy("suffix").agg(*total).crossJoin(F.broadcast(whole)), "suffix")
+    suffix_rates = cut(shrunk(cut(hosts.groupBy("suffix").agg(*total).crossJoin(F.broadcast(whole))), "suffix"))
     mean = (F.col("a") / (F.col("a") + F.col("b"))).alias("prior")
-    domains = shrunk(hosts.groupBy("domain", "suffix").agg(*total).join(suffixes.select("suffix", mean), "suffix"), "domain")
-    return shrunk(hosts.join(domains.select("domain", mean), "domain"), "host")
+    domain_rates = cut(shrunk(cut(hosts.groupBy("domain", "suffix").agg(*total).join(suffix_rates.select("suffix", mean), "suffix")), "domain"))
+    return shrunk(cut(hosts.join(domain_rates.select("domain", mean), "domain")), "host")
 
 
-def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, bad_rate: float = 0.5, z: float = 1.645) -> DataFrame:
+def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, bad_rate: float = 0.5, z: float = 1.645, suffixes: DataFrame | None = None) -> DataFrame:
     """Per page: ``page_id, host, path, rule, verdict, n_labelled, n_bad, bad_rate_lower``.
 
     Without a rule, a page is blocked if the lower bound of its host's posterior bad rate (mean less ``z`` standard
     deviations) is over ``bad_rate``. A host without labels inherits its registered domain's rate, that its suffix's,
-    that the overall rate. Defined cases: a null url or one without ``://`` has empty host and path and is judged by
+    that the overall rate. ``suffixes`` (a table with ``suffix``, of any number of labels) says where registered domains
+    begin; without it, ``SECOND_LEVEL`` does. Defined cases: a null url or one without ``://`` has empty host and path and is judged by
     the reputation of the empty host; repeated pages count and are reported once each; null page ids have no label;
     empty tables give an empty result, and without any outcome nothing is blocked.
     """
     url = F.col("url").cast("string")
     slim = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
-    posterior = cut(reputation(slim.select("page_id", "host"), outcomes))
+    suffixes = pages.sparkSession.createDataFrame([(s,) for s in SECOND_LEVEL], "suffix string") if suffixes is None else suffixes
+    posterior = cut(reputation(slim.select("page_id", "host"), outcomes, suffixes))
     a, b = F.col("a"), F.col("b")
     m = a / (a + b)
     bound = posterior.select("host", F.col("n").alias("n_labelled"), F.col("x").alias("n_bad"), F.round(m - z * F.sqrt(m * (1 - m) / (a + b + 1)), 6).alias("bad_rate_lower"))
