@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from .common import ascii_lower, cut
-from .rows import keep_rows
+from .rows import fitting, keep_rows
+
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``__id, __digest``: lowercase hex SHA-256 of each text after lower-casing A-Z; null counts as empty."""
@@ -34,7 +34,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Texts are equal when identical after lower-casing A-Z only; of equal texts the row with the largest id stays.
     Misra-Gries counters find at most ``tracked`` digests that could hold over 1/tracked of the rows; an exact count
     verifies them and picks their winners, which are broadcast (at most ``tracked`` rows) so that their copies are
-    settled on the map side. All other digests go through one ordinary shuffle, in groups of under 1/tracked of the rows.
+    settled on the map side. All other digests are counted, partially before the shuffle, and the groups of several
+    rows are joined back, by broadcast if they are few, else by an ordinary shuffle; no group is gathered in one task.
 
     Defined cases: null text counts as empty; null ids rank below all others; of repeated rows (same id and text)
     one is kept; an empty table gives an empty result; further columns of ``docs`` are ignored.
@@ -49,9 +50,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     split = slim.join(F.broadcast(heads), "__digest", "left") if winners else slim.withColumns({"__n": F.lit(None).cast("long"), "__keep": F.lit(None).cast("long"), "__kept_row": F.lit(None).cast("long")})
     out = lambda keep, n, kept: [F.col("__id").alias(id_col), keep.alias("keep_id"), n.cast("long").alias("group_size"), kept.alias("kept"), F.col("__digest").alias("text_sha256")]
     settled = split.filter("__n is not null").select(*out(F.col("__keep"), F.col("__n"), F.col("__row") == F.col("__kept_row")))
-    group = W.partitionBy("__digest")
-    rest = split.filter("__n is null").withColumn("__best", best.over(group)).withColumn("__size", F.count("*").over(group))
-    return settled.unionByName(rest.select(*out(F.col("__best.id"), F.col("__size"), F.col("__row") == F.col("__best.__row"))))
+    rest = split.filter("__n is null").select("__id", "__digest", "__row")
+    groups = cut(rest.groupBy("__digest").agg(F.count("*").alias("__size"), best.alias("__best")).filter("__size > 1"))
+    joined = rest.join(fitting(groups, 160), "__digest", "left")
+    alone = F.col("__size").isNull()
+    keep, kept = F.when(alone, F.col("__id")).otherwise(F.col("__best.id")), alone | (F.col("__row") == F.col("__best.__row"))
+    return settled.unionByName(joined.select(*out(keep, F.coalesce("__size", F.lit(1)), F.coalesce(kept, F.lit(True)))))
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tracked: int = 1024) -> DataFrame:
