@@ -60,12 +60,13 @@ def propagate(cells: DataFrame, quota: list[int], rounds: int) -> DataFrame:
     return cells
 
 
-def balanced_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 40, rounds: int = 16) -> DataFrame:
+def balanced_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 40) -> DataFrame:
     """Per row: ``doc_id, size, text_crc32, law, shard, slot, grown_shard``; the law is ``rows``: counts at most one apart.
 
     Documents with equal texts are linked. Label propagation under quotas brings linked documents together; documents
     without a link then fill each shard to exactly its quota, as do rows beyond a quota that a group larger than a shard
-    leaves. Rounds end when nothing moves; a group larger than a shard fills one after another. Only sizes by shard (at most shards^2 numbers) reach the driver. All ranks are taken in hash buckets, so a
+    leaves. Rounds end when nothing moves; a group
+    larger than a shard fills one after another, so there are at most 16 rounds more than shards. Only sizes by shard (at most shards^2 numbers) reach the driver. All ranks are taken in hash buckets, so a
     group of any size is spread over tasks.
 
     Defined cases: a null text has no bytes and is linked with empty texts; null ids and repeated rows are rows like
@@ -77,7 +78,7 @@ def balanced_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     quota = quotas(slim.count(), shards)
     first = slim.groupBy("digest", start.alias("shard")).agg(F.count("*").alias("n"))
     first = first.withColumn("all", F.sum("n").over(W.partitionBy("digest"))).filter("all > 1").drop("all")
-    cells = propagate(cut(first), quota, rounds)
+    cells = propagate(cut(first), quota, shards + 16)
 
     upto = F.sum("n").over(W.partitionBy("digest").orderBy("shard"))
     plan = cells.withColumn("upto", upto).groupBy(F.col("digest").alias("g")).agg(F.array_sort(F.collect_list(F.struct("upto", "shard"))).alias("cells"))
