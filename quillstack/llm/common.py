@@ -49,21 +49,29 @@ def slices(text: str, limit: int) -> Iterator[str]:
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, read from files in the shared checkpoint folder, so that a lost executor costs one stage.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests) a local one is made.
+    The folder is that of ``shared_folder``.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; only a session within one process (tests) gets a local folder where it is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not spark.sparkContext.master.partition("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp")).rstrip("/")
+
+
 def buckets_for(df: DataFrame) -> int:
     """How many parts to deal one key into: as many as the session's shuffles have, at least 16."""
     return max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
 def bounded_sample(rows: DataFrame, key: str, id_col: str, k: int) -> DataFrame:
-    """Up to ``k`` rows of each key, those whose id has the least hash; the same rows in every run.
+    """Up to ``k`` different rows of each key, those whose id has the least hash; the same rows in every run.
 
     Keys are counted first, and only rows under a hash bound that about 2k of a key pass are ranked, so that no task
     ranks all rows of a key. Few keys are assumed: their counts are broadcast if that fits, else joined.
@@ -71,7 +79,7 @@ def bounded_sample(rows: DataFrame, key: str, id_col: str, k: int) -> DataFrame:
     counts = cut(rows.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("__n")))
     chance = F.pmod(F.xxhash64(id_col), F.lit(1 << 40))
     few = F.broadcast(counts) if counts.count() <= 100_000 else counts
-    near = rows.join(few, F.col(key) == F.col("__key")).withColumn("__chance", chance).filter(F.col("__chance") < F.lit(float(1 << 40)) * 2 * k / F.col("__n"))
+    near = rows.join(few, F.col(key) == F.col("__key")).withColumn("__chance", chance).filter(F.col("__chance") < F.lit(float(1 << 40)) * 2 * k / F.col("__n")).distinct()
     order = W.partitionBy(key).orderBy("__chance", id_col)
     return near.withColumn("__k", F.row_number().over(order)).filter(F.col("__k") <= k).drop("__key", "__n", "__chance", "__k")
 

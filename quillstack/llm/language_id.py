@@ -17,8 +17,8 @@ from .common import bounded_sample, cut
 DIMENSIONS, PER_LANGUAGE, MAX_LANGUAGES = 1024, 2000, 1000
 #: The chance that a text of nothing learned passes for a learned language.
 NOISE = 1e-6
-#: Characters that one matrix product covers.
-_CHARS = 1 << 18
+#: Characters that one matrix product covers, and trigrams whose vectors a task keeps.
+_CHARS, KNOWN = 1 << 18, 1 << 16
 
 
 class Profiles:
@@ -58,7 +58,7 @@ class Profiles:
                 a, b, c = key >> 42, key >> 21 & 0x1FFFFF, key & 0x1FFFFF
                 self.bound[row] = np.roll(self.vectors[a], 2) * np.roll(self.vectors[b], 1) * self.vectors[c]
             at[i] = row
-        if len(self.known) > 200_000:
+        if len(self.known) > KNOWN:
             found = self.bound[at].astype(np.float32)
             self.known, self.bound = {}, np.zeros((1024, self.dimensions), dtype=np.int8)
             return found
@@ -141,7 +141,8 @@ def prototypes(labelled: DataFrame, per_language: int = PER_LANGUAGE, dimensions
     languages = with_text.select("lang").distinct().count()
     if languages > MAX_LANGUAGES:
         raise ValueError(f"{languages} languages; at most {MAX_LANGUAGES} are supported")
-    sample = with_text.join(F.broadcast(ids.distinct()), F.col("doc_id") == F.col("__id"), "left_semi").select("lang", "text").repartition(16)
+    # Rows that share an id count as one document, that of the least text.
+    sample = with_text.join(F.broadcast(ids.distinct()), F.col("doc_id") == F.col("__id"), "left_semi").groupBy("lang", "doc_id").agg(F.min("text").alias("text")).select("lang", "text").repartition(16)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles, total = Profiles(dimensions), {}

@@ -88,10 +88,12 @@ def test_two_pieces_replace_the_smallest():
 
 
 def check_packing(packed, docs):
-    enc = packing.encoder(VOCABULARY)
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(VOCABULARY)
     want = collections.Counter()
     for r in docs.select("doc_id", "text").collect():
-        ids = [*packing.encode(r.text or "", enc), 2]
+        ids = [*own.encode(r.text or "", add_special_tokens=False).ids, 2]
         start = 0
         for piece, n in enumerate(packing.lengths_of(len(ids), 1024)):
             want[(r.doc_id, piece, start, n, zlib.crc32(np.array(ids[start : start + n], dtype="<u4").tobytes()))] += 1
@@ -187,6 +189,8 @@ def test_jaccard_join_matches_brute_force(docs, empty, table):
 
 def test_large_groups_are_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_duplicates, "BLOCK", 8)
+    monkeypatch.setattr(near_duplicates, "LEAST_BLOCK", 4)
+    monkeypatch.setattr(near_duplicates, "REPRESENTATIVES", 2)
     rng = random.Random(3)
     base = [f"w{i}" for i in range(80)]
     rows = []
@@ -199,6 +203,33 @@ def test_large_groups_are_compared_in_blocks(spark, monkeypatch):
     assert out == {i: len(x) for i, x in enumerate(brute_links(rows))}
 
 
+def test_pairs_just_over_the_threshold_are_found(spark):
+    rng = random.Random(4)
+    rows, near = [], 0
+    for i in range(300):
+        a = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        b = list(a)
+        at, n = rng.randrange(150), rng.randrange(10, 24)
+        b[at : at + n] = [f"v{rng.randrange(10**6)}" for _ in range(n)]
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+        x, y = ({tuple(w[k : k + 5]) for k in range(196)} for w in (a, b))
+        rows[-1] += (0.8 <= len(x & y) / len(x | y) <= 0.85,)
+        near += rows[-1][2]
+    out = {r.doc_id: r.n_links for r in near_duplicates.join_report(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    assert near > 50 and sum(out[r[0]] for r in rows if len(r) == 3 and r[2]) >= 0.99 * near
+
+
+def test_null_ids_meet_only_their_own_texts(spark):
+    rows = [(None, " ".join(f"w{i // 2}x{k}" for k in range(40)) + " tail" * (i % 2)) for i in range(2000)]
+    out = near_duplicates.join_report(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert out.filter("n_links = 1").count() == 2000 and out.filter("kept").count() == 1000
+
+
+def test_long_words_are_alike_in_texts_of_any_length():
+    w = [b"a" * 300, *(b"w%d" % i for i in range(50))]
+    assert set(near_duplicates.runs(w).tolist()) <= set(near_duplicates.runs([*w, *(b"y" * 400 for _ in range(10_000))]).tolist())
+
+
 def test_bayesian_bounds():
     least = near_duplicates.least_matches(0.8, 1e-6)
     assert list(least) == sorted(least) and least[-1] < 0.8 * near_duplicates.HASHES
@@ -477,6 +508,16 @@ def test_licenses_match_brute_force(spark, docs, empty, table):
     assert license_scan.report(empty).count() == 0 and license_scan.scan_licenses(docs, {}).filter(F.size("matches") > 0).count() == 0
 
 
+def test_a_table_of_many_long_templates(spark):
+    rng = random.Random(7)
+    texts = {f"L{i}": " ".join(f"t{rng.randrange(4000)}" for _ in range(rng.randrange(20, 700))) for i in range(300)}
+    table = spark.createDataFrame([*texts.items(), ("none", None), (None, "a b c d e f")], "license string, text string")
+    rows = [(i, f"start {texts[f'L{i}']} end " + " ".join(f"z{k}" for k in range(i))) for i in range(300)]
+    got = license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), table).collect()
+    assert {r.doc_id: [m["license"] for m in r.matches] for r in got} == {i: [f"L{i}"] for i in range(300)}
+    assert all(r.matches[0]["start"] == 6 and r.matches[0]["end"] == 6 + len(texts[f"L{r.doc_id}"]) for r in got)
+
+
 def test_bands_catch_templates_at_the_threshold():
     for block in (1, 2, 4, 8, 32, 64):
         n = block // 2 + 1
@@ -503,6 +544,15 @@ def test_urls(spark):
     assert by[7].path == "/p" and by[7].n_bad == 1 and by[6].path == ""
     assert url_filter.judge_urls(pages.limit(0), outcomes).count() == 0
     assert url_filter.judge_urls(pages, outcomes.limit(0)).filter("rule is null and verdict = 'block'").count() == 0
+    long = "http://long.net/" + "p" * 300_000
+    assert url_filter.judge_urls(spark.createDataFrame([(1, long)], "page_id long, url string"), outcomes).first().path == long[15:]
+
+
+def test_registered_domains_follow_a_table_of_suffixes(spark):
+    hosts = spark.createDataFrame([(h,) for h in ("a.b.co.uk", "co.uk", "x.y.z.city.kobe.jp", "n.net", "", "b.kobe.jp")], "host string")
+    suffixes = spark.createDataFrame([("co.uk",), ("CITY.kobe.jp",), ("kobe.jp",), (None,)], "suffix string")
+    got = {r.host: (r.suffix, r.domain) for r in url_filter.registered(hosts, suffixes).collect()}
+    assert got == {"a.b.co.uk": ("co.uk", "b.co.uk"), "co.uk": ("co.uk", "co.uk"), "x.y.z.city.kobe.jp": ("city.kobe.jp", "z.city.kobe.jp"), "n.net": ("net", "n.net"), "": ("", ""), "b.kobe.jp": ("kobe.jp", "b.kobe.jp")}
 
 
 def test_a_bad_host_is_blocked_and_its_neighbour_is_not(spark):

@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 import pytest
 
-from quillstack.llm import decontaminate, packing, queries
+from quillstack.llm import decontaminate, language_id, packing, queries
 from tests.conftest import SF, comparable
 from tests.llm.test_operators import brute_links, check_packing
 
@@ -69,6 +69,7 @@ def test_stages_work_on_what_is_left(spark):
 
     assert sorted(r.doc_id for r in clean.collect()) == sorted(r.doc_id for r in apart.collect() if not hit(r.text))
     check_packing(stages[names[4]](spark, clean, SF), clean)
+    assert language_id.drop_unknown(docs.limit(0)).count() == 0 and decontaminate.drop_contaminated(docs.limit(0), spark.read.parquet(f"{SF}/benchmark.parquet")).count() == 0
     whole = corpus_pipeline.run(spark, SF)
     enc = packing.encoder(public_tokenizers.path("byte_bpe_50k.json"))
     assert whole.agg({"length": "sum"}).first()[0] == sum(len(packing.encode(r.text or "", enc)) + 1 for r in clean.collect())
