@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -24,7 +25,8 @@ BASE, MIN_DF, CHI2 = 0.1, 5, 10.83
 #: Neighbours that vote, examples in a block of the index, and the pull of the votes towards the prior.
 NEIGHBOURS, BLOCK, PULL = 15, 64, 0.5
 #: A term that more than one in DENSE examples have is kept as a row of weights; NEAR softens the vote of a copy.
-DENSE, NEAR = 4, 0.01
+#: QUERIES texts are compared with the index at once.
+DENSE, NEAR, QUERIES = 8, 0.01, 128
 #: Lengths of beginnings of words that are terms.
 PREFIXES = (4, 5, 6)
 #: Shares of a document's words at which a stem counts as a term of its own.
@@ -41,30 +43,27 @@ def stems(word: str) -> list[str]:
     return [word, *(word[:k] + "*" for k in PREFIXES if len(word) > k)]
 
 
-def term_counts(text: str | None, known: dict[str, tuple[str, ...]] | None = None, wanted: frozenset[str] | None = None) -> Counter:
-    """Counts of terms: stems, and for each share in ``SHARES`` that a stem has of all words, at twice or more, one mark.
-
-    With ``wanted`` only whole words and these terms count, and ``known`` keeps the stems of words met before.
-    """
-    words: Counter = Counter()
-    for part in slices(text or "", LONG):
-        words.update(_WORD.findall(part.lower()))
+def term_counts(text: str | None) -> Counter:
+    """Counts of terms: stems, and for each share in ``SHARES`` that a stem has of all words, at twice or more, one mark."""
+    words = word_counts(text)
     found: Counter = Counter()
     for word, n in words.items():
-        own = stems(word) if known is None else known.get(word)
-        if own is None:
-            own = known[word] = tuple(s for s in stems(word) if s == word or s in wanted)
-        for s in own:
+        for s in stems(word):
             found[s] += n
-    if known is not None and len(known) > 1_000_000:
-        known.clear()
     if found:
         total = words.total()
         often = [(s, share) for s, n in found.items() if n > 1 for share in SHARES if n >= share * total]
-        found.update({m: 1 for s, share in often if (m := f"{s}@{share}") and (wanted is None or m in wanted)})
+        found.update({f"{s}@{share}": 1 for s, share in often})
     return found
 
 
+def word_counts(text: str | None) -> Counter:
+    words: Counter = Counter()
+    for part in slices(text or "", LONG):
+        words.update(_WORD.findall(part.lower()))
+    return words
+
+
 class Index(NamedTuple):
     """Postings by term over examples in blocks; those of frequent terms as rows, with each block's largest weight."""
 
@@ -98,7 +97,7 @@ def index_of(terms: dict[str, int], idf: np.ndarray, unknown: float, ids: np.nda
     place = np.empty(len(ids), dtype=np.int64)
     place[order] = np.arange(len(ids))
     by_term = np.lexsort((place[row], term))
-    example, weight, term = place[row][by_term].astype(np.int32), w[by_term], term[by_term]
+    example, weight, term = place[row][by_term], w[by_term], term[by_term]
     starts = np.searchsorted(term, np.arange(len(terms) + 1))
     often = np.flatnonzero(np.diff(starts) * DENSE > len(ids))
     column = np.full(len(terms), -1, dtype=np.int32)
@@ -111,39 +110,48 @@ def index_of(terms: dict[str, int], idf: np.ndarray, unknown: float, ids: np.nda
     return Index(terms, idf, unknown, starts, example, weight, column, dense, dense.max(axis=1), ids[order], toxic[order])
 
 
-def nearest(index: Index, terms: np.ndarray, weights: np.ndarray, k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The ``k`` examples of largest cosine (ties: first in the index), exactly; ``without`` leaves one out.
+def nearest(index: Index, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query (terms and weights) the ``k`` examples of largest cosine (ties: first in the index), exactly; ``without`` leaves one out of each.
 
-    Postings of rarer terms are summed whole. Frequent terms are added for the blocks of largest bound first (their
-    sums so far and the frequent terms' maxima), then for all that can still hold a better example than the k-th found.
+    Postings of rarer terms are summed whole. The k-th largest of the blocks' maxima bounds the k-th result from below, as
+    no weight is negative; frequent terms are added, block by block for all queries at once, where a block's bound (its
+    sums so far and the frequent terms' maxima) reaches it.
     """
-    rare = index.column[terms] < 0
-    start = index.starts[terms[rare]]
-    n = index.starts[terms[rare] + 1] - start
-    at = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
-    sums = np.bincount(index.example[at], index.weight[at] * np.repeat(weights[rare], n), len(index.block_max) * BLOCK).reshape(-1, BLOCK)
-    often = np.zeros(index.dense.shape[2])
-    often[index.column[terms[~rare]]] = weights[~rare]
-    bound = sums.max(axis=1) + index.block_max @ often
-    order = np.argsort(-bound, kind="stable")
-
-    def whole(blocks: np.ndarray) -> np.ndarray:
-        out = sums[blocks] + (index.dense[blocks] @ often if len(blocks) < len(order) // 2 else (index.dense @ often)[blocks])
-        if without is not None:
-            out[blocks == without // BLOCK, without % BLOCK] = 0
-        return out.ravel()
-
-    few = max(8, -(-2 * k // BLOCK))
-    scores = whole(order[:few])
-    least = np.partition(scores, -k)[-k] if len(scores) >= k else 0
-    more = order[few:][bound[order[few:]] >= least - 1e-9]
-    scores = np.concatenate([scores, whole(more)]) if len(more) else scores
-    found = (np.concatenate([order[:few], more])[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-    least = max(np.partition(scores, -k)[-k] - 1e-9, 0) if len(scores) > k else 0
-    near = (scores > 0) & (scores >= least)
-    found, scores = found[near], scores[near]
-    best = np.lexsort((found, -np.round(scores, 12)))[:k]
-    return found[best], scores[best]
+    n = len(index.block_max) * BLOCK
+    sums, often = np.zeros((len(queries), n)), np.zeros((len(queries), index.dense.shape[2]))
+    for i, (terms, weights) in enumerate(queries):
+        column = index.column[terms]
+        rare = column < 0
+        often[i, column[~rare]] = weights[~rare]
+        start, end = index.starts[terms[rare]], index.starts[terms[rare] + 1]
+        if len(start):
+            parts = list(zip(start.tolist(), end.tolist(), strict=True))
+            share = np.concatenate([index.weight[a:b] for a, b in parts])
+            share *= np.repeat(weights[rare], end - start)
+            sums[i] = np.bincount(np.concatenate([index.example[a:b] for a, b in parts]), share, n)
+    left_out = None if without is None else (np.arange(len(queries)), np.array(without))
+    if left_out:
+        sums[left_out] = 0
+    by_block = sums.reshape(len(queries), -1, BLOCK)
+
+    def reached(high: np.ndarray) -> np.ndarray:
+        """The k-th largest of the blocks' maxima: at least ``k`` examples have it."""
+        return np.partition(high, -k, axis=1)[:, -k] - 1e-9 if high.shape[1] >= k else np.zeros(len(high))
+
+    high = by_block.max(axis=2)
+    least, bound = reached(high), high + often @ index.block_max.T
+    for b in range(len(index.block_max)):
+        open_ = np.flatnonzero(bound[:, b] >= least)
+        if len(open_):
+            by_block[open_, b] += often[open_] @ index.dense[b].T
+    if left_out:
+        sums[left_out] = 0
+    out = []
+    for own, low in zip(sums, reached(by_block.max(axis=2)), strict=True):
+        found = np.flatnonzero(own >= max(low, 1e-300))
+        best = found[np.lexsort((found, -np.round(own[found], 12)))[:k]]
+        out.append((best, own[best]))
+    return out
 
 
 def vote(index: Index, found: np.ndarray, scores: np.ndarray, share: float, prior: float) -> float:
@@ -236,34 +244,92 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     idf = (np.log((1 + n1 + n0) / (1 + np.bincount(term, minlength=len(place)))) + 1) * weight
     index = index_of(place, idf, BASE * (np.log(1 + n1 + n0) + 1), ids, toxic, row, term, tf)
     share = n1 / (n1 + n0)
-    x, y, at = [], [], {int(d): i for i, d in enumerate(index.ids)}
+    at = {int(d): i for i, d in enumerate(index.ids)}
     first = np.searchsorted(row, np.arange(len(ids) + 1))
-    for k, (a, b) in enumerate(zip(first, first[1:], strict=False)):
-        w = (1 + np.log(tf[a:b])) * idf[term[a:b]]
-        x.append(vote(index, *nearest(index, term[a:b], w / np.linalg.norm(w), NEIGHBOURS, at[int(ids[k])]), share, prior))
-        y.append(int(toxic[k]))
-    x, y = np.array(x), np.array(y)
+    own = [(term[a:b], w / np.linalg.norm(w)) for a, b in zip(first, first[1:], strict=False) for w in [(1 + np.log(tf[a:b])) * idf[term[a:b]]]]
+    x = [vote(index, *found, share, prior) for k in range(0, len(own), QUERIES) for found in nearest(index, own[k : k + QUERIES], NEIGHBOURS, [at[int(d)] for d in ids[k : k + QUERIES]])]
+    x, y = np.array(x), toxic.astype(np.int64)
     # Each class weighs as it does among all labels.
     slope, offset = calibrate(x, y, np.where(y == 1, prior / n1, (1 - prior) / n0) * (n1 + n0))
     return Model(index, share, prior, slope, offset)
 
 
-def query(index: Index, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
-    """Terms and their weights in a unit vector, to whose length words that no example has add theirs."""
-    pairs = sorted((index.terms[w], n) for w, n in counts.items() if w in index.terms)
-    new = np.array([n for w, n in counts.items() if w not in index.terms and "*" not in w and "@" not in w], dtype=np.float64)
-    t = np.array([p[0] for p in pairs], dtype=np.int64)
-    w = (1 + np.log(np.array([p[1] for p in pairs], dtype=np.float64))) * index.idf[t]
-    return t, w / np.sqrt((w * w).sum() + (((1 + np.log(new)) * index.unknown) ** 2).sum()) if len(w) else w
-
-
-def score_text(model: Model, text: str | None, known: dict[str, tuple[str, ...]], wanted: frozenset[str]) -> tuple[float, list[int]]:
+class Reader:
+    """Turns texts into query vectors of an index; keeps the terms of words met before."""
+
+    def __init__(self, index: Index):
+        self.size = len(index.idf)
+        self.index, self.whole, self.marks = index, {}, {}
+        self.begin: dict[str, int] = {}
+        more = self.size  # bases of marks that are no terms themselves count from here on
+        for term, at in index.terms.items():
+            if "@" not in term:
+                (self.begin if term.endswith("*") else self.whole)[term.removesuffix("*")] = at
+        for term, at in index.terms.items():
+            base, _, share = term.partition("@")
+            if share:
+                kind = self.begin if base.endswith("*") else self.whole
+                own = kind.setdefault(base.removesuffix("*"), more)
+                more += own == more
+                self.marks.setdefault(own, []).append((float(share), at))
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.first, self.places, self.new = array("q", [0]), array("q"), array("b")
+
+    def learn(self, words: set[str]) -> None:
+        for word in words:
+            at = self.whole.get(word, -1)
+            self.new.append(at < 0 or at >= self.size)
+            if at >= 0:
+                self.places.append(at)
+            n = len(word)
+            for k in PREFIXES:
+                if n > k and (at := self.begin.get(word[:k], -1)) >= 0:
+                    self.places.append(at)
+            self.known[word] = len(self.first) - 1
+            self.first.append(len(self.places))
+
+    def queries(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text, terms and their weights in a unit vector, to whose length words that no example has add theirs."""
+        counts = [word_counts(t) for t in texts]
+        flat = [w for c in counts for w in c]
+        if len(self.known) > 1_000_000:
+            self.forget()
+        self.learn(set(flat) - self.known.keys())
+        word = np.array([self.known[w] for w in flat], dtype=np.int64)
+        times = np.array([n for c in counts for n in c.values()], dtype=np.int64)
+        text = np.repeat(np.arange(len(texts)), [len(c) for c in counts])
+        first, places, new = np.array(self.first), np.array(self.places), np.array(self.new, dtype=bool)
+        rest = np.bincount(text, np.where(new[word], (1 + np.log(times)) * self.index.unknown, 0) ** 2, len(texts))
+        n = first[word + 1] - first[word]
+        at = np.repeat(first[word] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        key, inverse = np.unique(np.repeat(text, n) << 32 | places[at], return_inverse=True)
+        tf = np.bincount(inverse, np.repeat(times, n), len(key)).astype(np.int64)
+        text, term = key >> 32, key & 0xFFFFFFFF
+        total = np.bincount(np.repeat(np.arange(len(texts)), [len(c) for c in counts]), times, len(texts))
+        bounds = np.searchsorted(text, np.arange(len(texts) + 1))
+        out = []
+        marked = np.isin(term, np.fromiter(self.marks, dtype=np.int64, count=len(self.marks))) & (tf > 1)
+        for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
+            extra = [at for k in np.flatnonzero(marked[a:b]) + a for share, at in self.marks[int(term[k])] if tf[k] >= share * total[i]]
+            own = term[a:b] < self.size
+            terms = np.concatenate([term[a:b][own], np.array(extra, dtype=np.int64)])
+            w = (1 + np.log(np.concatenate([tf[a:b][own], np.ones(len(extra), dtype=np.int64)]))) * self.index.idf[terms]
+            out.append((terms, w / np.sqrt((w * w).sum() + rest[i]) if len(w) else w))
+        return out
+
+
+def score_texts(model: Model, texts: list[str | None], reader: Reader | None) -> list[tuple[float, list[int]]]:
+    """Scores and nearest examples of some texts."""
     if model.index is None:
-        return model.prior, []
-    terms, weights = query(model.index, term_counts(text, known, wanted))
-    found, scores = nearest(model.index, terms, weights, NEIGHBOURS)
-    x = model.slope * vote(model.index, found, scores, model.share, model.prior) + model.offset
-    return float(1 / (1 + np.exp(-np.clip(x, -30, 30)))), model.index.ids[found[:3]].tolist()
+        return [(model.prior, []) for _ in texts]
+    out = []
+    for found, scores in nearest(model.index, reader.queries(texts), NEIGHBOURS):
+        x = model.slope * vote(model.index, found, scores, model.share, model.prior) + model.offset
+        out.append((float(1 / (1 + np.exp(-np.clip(x, -30, 30)))), model.index.ids[found[:3]].tolist()))
+    return out
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -275,10 +341,10 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     source = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[str, ...]] = {}
-        wanted = frozenset(s for t in model.index.terms if "*" in t or "@" in t for s in (t, t.partition("@")[0])) if model.index else frozenset()
+        reader = Reader(model.index) if model.index else None
         for batch in batches:
-            found = [score_text(model, t.as_py(), known, wanted) for t in batch.column("__text")]
+            column = batch.column("__text")
+            found = [f for at in range(0, len(batch), QUERIES) for f in score_texts(model, column.slice(at, QUERIES).to_pylist(), reader)]
             score = np.array([f[0] for f in found], dtype=np.float64)
             yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array([f[1] for f in found], pa.list_(pa.int64()))], names=[id_col, "score", "predicted", "evidence"])
 

@@ -340,13 +340,45 @@ def test_nearest_is_exact_cosine():
         for t, n in examples[i][2]:
             dense[row, t] = (1 + np.log(n)) * idf[t]
     dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    queries = []
     for _ in range(50):
-        t, w = toxicity.query(index, collections.Counter({f"t{i}": int(rng.integers(1, 4)) for i in rng.choice(50, 4, replace=False)}))
-        found, scores = toxicity.nearest(index, t, w, 15)
+        t = np.sort(rng.choice(50, 4, replace=False))
+        w = (1 + np.log(rng.integers(1, 4, 4))) * idf[t]
+        queries.append((t, w / np.linalg.norm(w)))
+    for (t, w), (found, scores) in zip(queries, toxicity.nearest(index, queries, 15), strict=True):
         want = dense[:, t] @ w
         assert np.allclose(scores, np.sort(want)[::-1][: len(scores)]) and np.allclose(want[found], scores)
 
 
+def test_scores_are_those_of_brute_force_cosine_over_all_terms(spark, table):
+    data, marks = table("documents"), table("labels").select("doc_id", "toxic")
+    model = toxicity.fit(data, marks, per_class=60)
+    texts = {r.doc_id: r.text for r in data.collect()}
+    index, truth = model.index, {r.doc_id: r.toxic for r in marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).collect()}
+
+    def vector(text):
+        own, rest = {}, 0.0
+        for t, n in toxicity.term_counts(text).items():
+            if t in index.terms:
+                own[t] = (1 + np.log(n)) * index.idf[index.terms[t]]
+            elif "*" not in t and "@" not in t:
+                rest += ((1 + np.log(n)) * index.unknown) ** 2
+        size = np.sqrt(sum(v * v for v in own.values()) + rest)
+        return {t: v / size for t, v in own.items()}
+
+    examples = [(int(i), vector(texts[int(i)])) for i in index.ids]
+    assert [truth[i] for i, _ in examples] == index.toxic.tolist()
+    for r in toxicity.predict(data, model).collect():
+        q = vector(texts[r.doc_id])
+        cosine = np.array([sum(v * e.get(t, 0) for t, v in q.items()) for _, e in examples])
+        best = np.lexsort((np.arange(len(cosine)), -np.round(cosine, 12)))[: toxicity.NEIGHBOURS]
+        best = best[cosine[best] > 0]
+        assert len(r.evidence) == min(3, len(best)) and np.allclose([cosine[index.ids.tolist().index(e)] for e in r.evidence], cosine[best[:3]])
+        x = model.slope * toxicity.vote(index, best, cosine[best], model.share, model.prior) + model.offset
+        assert abs(r.score - 1 / (1 + np.exp(-x))) < 1e-6
+        assert r.evidence or not q
+
+
 def test_toxicity_of_held_out_documents(spark, docs, empty):
     rng = random.Random(4)
     rows, labels = [], []
