@@ -30,35 +30,28 @@ STRICT = (("reject", "forbid", "disallow"), ("unknown", "extra", "unrecogniz"),
 
 
 #: Where an identifier has parts: before a capital, between letters and digits, around underscores.
-_PARTS = ((r"([\p{Ll}\p{N}])(\p{Lu})", "$1 $2"), (r"(\p{Lu})(\p{Lu}\p{Ll})", "$1 $2"), (r"(\p{L})(\p{N})", "$1 $2"), (r"(\p{N})(\p{L})", "$1 $2"))
+PARTS = ((r"([\p{Ll}\p{N}])(\p{Lu})", "$1 $2"), (r"(\p{Lu})(\p{Lu}\p{Ll})", "$1 $2"), (r"(\p{L})(\p{N})", "$1 $2"), (r"(\p{N})(\p{L})", "$1 $2"))
 _COMPOUND = r"(?<![\p{L}\p{N}_])((?=[\p{L}\p{N}_]*?(?:[\p{Ll}\p{N}]\p{Lu}|\p{Lu}\p{Lu}\p{Ll}|\p{L}\p{N}|\p{N}\p{L}|[\p{L}\p{N}]_+[\p{L}\p{N}]))[\p{L}\p{N}_]+)"
 
 
 def tokens(text: Column) -> Column:
     """Identifiers' camelCase, snake_case and digit parts and, where they have several, the whole; lower case."""
     text = F.coalesce(text, F.lit(""))
-    spaced = reduce(lambda c, p: F.regexp_replace(c, *p), _PARTS, text)
+    spaced = reduce(lambda c, p: F.regexp_replace(c, *p), PARTS, text)
     parts = F.filter(F.split(F.lower(spaced), r"[^\p{L}\p{N}]+"), lambda t: t != "")
     return F.concat(parts, F.transform(F.regexp_extract_all(text, F.lit(_COMPOUND), 1), F.lower))
 
 
-def _ends(c: Column, *suffixes: str) -> Column:
-    return reduce(lambda a, b: a | b, [c.endswith(s) for s in suffixes])
-
-
-#: Noun forms that pair with -able and -ate, and a final e; each needs so many letters before it.
-_ENDINGS = ((r"^([\x00-\x7F]{2,}[ai]b)ility$", "$1l"), (r"^([\x00-\x7F]{3,}at)ion$", "$1"), (r"^([\x00-\x7F]{4,})e$", "$1"))
+# English endings and what stands for them, one after another; each needs so many letters before it.
+ENDINGS = (
+    (r"^(.{3,})ies$", "$1y"), (r"^(?:(.+(?:ss|sh|ch)|..+x)es|(..+[^sui])s|(.{4,})ing|(.{3,}[^e])ed)$", "$1$2$3$4"),
+    (r"^(..+[ai]b)ility$", "$1l"), (r"^(.{3,}at)ion$", "$1"), (r"^(.{4,})e$", "$1"),
+)
 
 
 def stem(t: Column) -> Column:
     """The token without an English suffix: plurals, -ing, -ed, -ation, -ability, a final e; ASCII only."""
-    n = F.length(t)
-    left = lambda drop: F.left(t, n - drop)
-    first = (
-        F.when((n <= 3) | (F.octet_length(t) != n), t).when((n > 5) & t.endswith("ies"), F.concat(left(3), F.lit("y"))).when((n > 4) & _ends(t, "sses", "shes", "ches", "xes"), left(2))
-        .when(t.endswith("s") & ~_ends(t, "ss", "us", "is"), left(1)).when((n > 6) & t.endswith("ing"), left(3)).when((n > 5) & t.endswith("ed") & ~t.endswith("eed"), left(2)).otherwise(t)
-    )
-    return reduce(lambda c, p: F.regexp_replace(c, *p), _ENDINGS, first)
+    return F.when(F.octet_length(t) == F.length(t), reduce(lambda c, p: F.regexp_replace(c, *p), ENDINGS, t)).otherwise(t)
 
 
 def stemmed(df: DataFrame, token: str = "token", out: str = "term") -> DataFrame:
@@ -71,9 +64,10 @@ def question_terms(questions: DataFrame, synonyms: bool) -> DataFrame:
     With ``synonyms``, words that documentation uses for them join at a lower weight if they aren't terms already, and
     where a question rejects unknown keys, ``strict`` has full weight. ``n_full`` counts terms of full weight.
     """
+    from .terms import asked
+
     spark = questions.sparkSession
-    each = questions.select("question_id", F.explode(tokens(F.col("text"))).alias("token")).filter(~F.col("token").isin(*STOP))
-    full = stemmed(each).select("question_id", "term").distinct()
+    full = asked(questions)
     if synonyms:
         groups = [F.max(F.col("term").isin(*g)).alias(f"g{i}") for i, g in enumerate(STRICT)]
         strict = full.groupBy("question_id").agg(*groups).filter("g0 and g1 and g2").select("question_id", F.lit("strict").alias("term"))

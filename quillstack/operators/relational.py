@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .lineage import cut, fitting
+
 
 def first_wins(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
     """The row of each key that comes first by ``order`` (total within a key); combines before the shuffle, so a hot key is cheap."""
@@ -44,21 +49,39 @@ def running_include(files: DataFrame, key: str, path: str, size: str, most_files
 
     A fold in order of path, for a key of bounded size (the files of one package).
     """
-    own = F.array_sort(F.collect_list(F.struct(F.col(path).alias("p"), F.col(size).cast("long").alias("s"))))
-    start = F.struct(F.lit(0).cast("long").alias("bytes"), F.array().cast("array<struct<p:string,s:bigint>>").alias("kept"))
+    slim = files.select(key, path, F.col(size).cast("long").alias(size))
 
-    def step(acc: Column, x: Column) -> Column:
-        fits = (acc["bytes"] + x["s"] <= most_bytes) & (F.size(acc["kept"]) < most_files)
-        return F.when(fits, F.struct((acc["bytes"] + x["s"]).alias("bytes"), F.concat(acc["kept"], F.array(x)).alias("kept"))).otherwise(acc)
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        total, kept = 0, []
+        ordered = pdf.sort_values([path, size], kind="stable")
+        for n in ordered[size]:
+            kept.append(total + n <= most_bytes)
+            total += n if kept[-1] else 0
+        return ordered[kept].head(most_files)
 
-    return files.groupBy(key).agg(F.aggregate(own, start, step).alias("a")).select(key, F.explode("a.kept").alias("k")).select(key, F.col("k.p").alias(path), F.col("k.s").alias(size))
+    return slim.groupBy(key).applyInPandas(fold, slim.schema)
 
 
-def index_pick(df: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:
-    """The value at index int(share * n) of the sorted values of each key, without interpolation."""
-    w = W.partitionBy(*keys)
-    at = F.row_number().over(w.orderBy(value)) - 1
-    return df.filter(F.col(value).isNotNull()).withColumn("__at", at).withColumn("__n", F.count("*").over(w)).filter(F.col("__at") == F.floor(F.col("__n") * share)).select(*keys, F.col(value).alias("picked"))
+def index_pick(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """By key, a column for each of ``shares``: the value at index int(share * n) of the sorted values, without interpolation.
+
+    Equal values are counted first; the counts are dealt into ranges, and only the ranges that hold a wanted index are
+    ordered, so that no task sorts all values of a key. Null values are passed over.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
+    parts = max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    dealt = cut(counts.repartitionByRange(parts, *keys, "__v").withColumn("__part", F.spark_partition_id()))
+    renamed = [F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]
+    whole = W.partitionBy(*[f"__k{i}" for i in range(len(keys))])
+    sizes = dealt.groupBy(*renamed, F.col("__part").alias("__p")).agg(F.sum("__n").alias("__size"))
+    upto = sizes.withColumn("__upto", F.sum("__size").over(whole.orderBy("__p"))).withColumn("__all", F.sum("__size").over(whole))
+    asked = F.array(*[F.struct(F.lit(name).alias("name"), F.floor(F.col("__all") * share).alias("at")) for name, share in shares.items()])
+    wanted = upto.withColumn("__w", F.explode(asked)).filter((F.col("__w.at") < F.col("__upto")) & (F.col("__w.at") >= F.col("__upto") - F.col("__size")))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)], F.col("__part") == F.col("__p"))
+    near = dealt.join(fitting(cut(wanted)), same)
+    seen = F.sum("__n").over(W.partitionBy(*keys, "__part", "__w.name").orderBy("__v")) + F.col("__upto") - F.col("__size")
+    found = near.withColumn("__seen", seen).filter((F.col("__w.at") < F.col("__seen")) & (F.col("__w.at") >= F.col("__seen") - F.col("__n")))
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("__w.name") == name, F.col("__v"))).alias(name) for name in shares])
 
 
 def grade(answers: DataFrame) -> DataFrame:

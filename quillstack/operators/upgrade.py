@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text as X
+from .lineage import cut
 
 SIMILAR, SITES, GUIDES = 0.7, 20, 2
 
@@ -37,17 +38,37 @@ def classify(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def rename_candidates(old: DataFrame, new: DataFrame) -> DataFrame:
-    """``package, old_id, new_id, similarity`` of gone and added symbols of one kind and parent that are alike.
+    """``package, old_id, new_id, similarity`` of alike gone and added symbols; see ``alike``."""
+    return alike(old, new).select("package", "old_id", "new_id", "similarity")
 
-    Alike: the same signature apart from the name (1.0), or docs whose words have a Jaccard similarity of 0.7.
+
+def alike(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``package, kind, parent, old_id, new_id, similarity`` of gone and added symbols of one kind and parent that are alike.
+
+    Alike: the same signature apart from the name (1.0), or docs whose words have a Jaccard similarity of 0.7. Only
+    pairs of equal signatures and pairs that share one of their rarest words (of n words, one of the n - ceil(0.7 n) + 1
+    rarest, as any pair that alike does) are made at all.
     """
     o, n = api(old), api(new)
     gone = o.join(n.select("package", "path"), ["package", "path"], "left_anti").groupBy("package", "path").agg(F.min_by(F.struct("*"), "entry_id").alias("o")).select("o.*")
     added = n.filter("alias_of is null").join(o.select("package", "path"), ["package", "path"], "left_anti")
     side = lambda df, p: df.select("package", "kind", X.parent(F.col("path")).alias("parent"), F.col("entry_id").alias(f"{p}_id"), F.col("sig").alias(f"{p}_sig"), X.shape(F.col("sig"), F.col("name")).alias(f"{p}_shape"), X.plain_words(F.col("doc")).alias(f"{p}_words"))
-    pairs = side(gone, "old").join(side(added, "new"), ["package", "kind", "parent"])
+    group = ["package", "kind", "parent"]
+    a, b = cut(side(gone, "old")), cut(side(added, "new"))
+    each = lambda df, p: df.select(*group, f"{p}_id", F.size(f"{p}_words").alias("n"), F.explode(f"{p}_words").alias("word"))
+    df = each(a, "old").select(*group, "word").unionByName(each(b, "new").select(*group, "word")).groupBy(*group, "word").agg(F.count("*").alias("df"))
+
+    def rarest(side_: DataFrame, p: str) -> DataFrame:
+        order = W.partitionBy(*group, f"{p}_id").orderBy("df", "word")
+        found = each(side_, p).join(df, [*group, "word"]).withColumn("k", F.row_number().over(order))
+        return found.filter(F.col("k") <= F.col("n") - F.ceil(F.col("n") * SIMILAR) + 1).select(*group, "word", f"{p}_id")
+
+    by_shape = a.filter("old_sig <> ''").select(*group, F.col("old_shape").alias("shape"), "old_id").join(b.select(*group, F.col("new_shape").alias("shape"), "new_id"), [*group, "shape"]).drop("shape")
+    by_word = rarest(a, "old").join(rarest(b, "new"), [*group, "word"]).drop("word")
+    met = by_shape.unionByName(by_word).distinct()
+    pairs = met.join(a, [*group, "old_id"]).join(b, [*group, "new_id"])
     score = F.when((F.col("old_sig") != "") & (F.col("old_shape") == F.col("new_shape")), 1.0).otherwise(X.jaccard(F.col("old_words"), F.col("new_words")))
-    return pairs.select("package", "old_id", "new_id", F.round(score, 6).alias("similarity")).filter(F.col("similarity") >= SIMILAR)
+    return pairs.select(*group, "old_id", "new_id", F.round(score, 6).alias("similarity")).filter(F.col("similarity") >= SIMILAR)
 
 
 def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -61,14 +82,17 @@ def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def renames(candidates: DataFrame) -> DataFrame:
-    """Old symbols in order each take the most similar new one that is left (of equals the last)."""
-    return candidates.groupBy("package").applyInPandas(_greedy, "package string, old_id long, new_id long")
+    """Old symbols in order each take the most similar new one that is left (of equals the last).
+
+    Candidates (rows of ``alike``) meet only within a kind and parent, so each of these is settled by itself.
+    """
+    return candidates.groupBy("package", "kind", "parent").applyInPandas(_greedy, "package string, old_id long, new_id long")
 
 
 def diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """``package, entry_id, path, change, new_id``: removed, renamed, signature_changed and deprecated symbols."""
     found = classify(old, new)
-    named = renames(rename_candidates(old, new)).select("package", F.col("old_id").alias("entry_id"), F.col("new_id").alias("to"))
+    named = renames(alike(old, new)).select("package", F.col("old_id").alias("entry_id"), F.col("new_id").alias("to"))
     both = found.filter("change <> 'same'").join(named, ["package", "entry_id"], "left")
     change = F.when(F.col("change") != "gone", F.col("change")).when(F.col("to").isNotNull(), "renamed").otherwise("removed")
     return both.select("package", "entry_id", "path", change.alias("change"), F.coalesce("new_id", "to").alias("new_id"))

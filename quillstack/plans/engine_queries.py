@@ -78,8 +78,7 @@ def html_heading_sections(spark, sf_dir):
 @query("SELECT event_type, picked_median, picked_p95 FROM (SELECT event_type, list_sort(list(value)) AS v, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1), LATERAL (SELECT v[CAST(floor(n * 0.5) AS BIGINT) + 1] AS picked_median, v[CAST(floor(n * 0.95) AS BIGINT) + 1] AS picked_p95)")
 def latency_percentile_pick(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("event_type", "value")
-    half = R.index_pick(rows, ["event_type"], "value", 0.5).withColumnRenamed("picked", "picked_median")
-    return half.join(R.index_pick(rows, ["event_type"], "value", 0.95).withColumnRenamed("picked", "picked_p95"), "event_type")
+    return R.index_pick(rows, ["event_type"], "value", {"picked_median": 0.5, "picked_p95": 0.95})
 
 
 @query("SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")

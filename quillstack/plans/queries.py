@@ -6,9 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from ..functions import text as X
+from ..functions import terms
 from ..operators import retrieval as R
 from . import oracle as O
 
@@ -43,14 +42,14 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {O.terms('e', DOCS, 'entry_id', 'text').strip()} SELECT term, count(DISTINCT entry_id) AS df, count(*) AS cf FROM e GROUP BY term")
 def token_df(spark, sf_dir):
-    flat = R.postings(docs(spark, sf_dir), {"text": 1})
+    flat = R.postings(terms.vectors(docs(spark, sf_dir), {"body": {"text": 1}}), "body")
     return flat.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 @query(f"WITH {O.terms('e', DOCS, 'entry_id', 'text').strip()} SELECT source AS package, count(*) AS n_entries, CAST(sum(len) AS BIGINT) AS total_len, max(len) AS max_len FROM (SELECT doc_id, source, greatest(count(term), 1) AS len FROM documents LEFT JOIN e ON doc_id = entry_id GROUP BY ALL) GROUP BY 1")
 def entry_len_stats(spark, sf_dir):
-    own = table(spark, sf_dir, "documents").select(F.col("source").alias("package"), F.greatest(F.size(X.tokens(F.col("text"))), F.lit(1)).cast("long").alias("len"))
-    return own.groupBy("package").agg(F.count("*").alias("n_entries"), F.sum("len").alias("total_len"), F.max("len").alias("max_len"))
+    own = table(spark, sf_dir, "documents").select(F.struct("doc_id", F.col("source").alias("package")).alias("entry_id"), "text")
+    return terms.vectors(own, {"body": {"text": 1}}, frozenset()).select("entry_id.package", F.col("body_len").alias("len")).groupBy("package").agg(F.count("*").alias("n_entries"), F.sum("len").alias("total_len"), F.max("len").alias("max_len"))
 
 
 @query(f"WITH {O.bm25('h', DOCS, ASKED, False).strip()} SELECT question_id, entry_id, round(score, 6) AS score, matched, rank FROM {O.best('h', 20)}")
