@@ -1,4 +1,4 @@
-"""Symbol lookup: scores, ambiguity, members, overloads, aliases, and what an entrypoint exports."""
+"""Symbol lookup: scores, ambiguity, members, overloads and aliases."""
 
 from __future__ import annotations
 
@@ -8,8 +8,6 @@ from pyspark.sql.window import Window as W
 
 from ..functions import text as X
 
-#: Longest chain of re-exports that is followed.
-DEPTH = 128
 CONTAINERS = ("class", "interface", "struct", "trait", "enum", "module")
 
 
@@ -60,43 +58,3 @@ def resolve_aliases(entries: DataFrame) -> DataFrame:
     real = entries.filter("kind not in ('doc', 're-export')").select("package", "name", "file", "doc", F.col("entry_id").alias("target"))
     best = F.max_by("target", F.struct(F.col("file") == F.col("own_file"), F.col("doc") != "", F.col("target")))
     return alias.join(real, ["package", "name"]).groupBy("package", "entry_id").agg(best.alias("target_id"))
-
-
-def export_closure(roots: DataFrame, stars: DataFrame, exports: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """``import, name, file, target_name, status`` of every name that an entrypoint offers.
-
-    ``roots``: ``import, file``; ``stars``: ``file, target`` (all of another module, but its default); ``exports``:
-    ``file, name, target_file, target_name`` (a local declaration has no target file). Star edges are followed to a
-    fixpoint by a recursive query, nearest first; then names hop along re-exports. A chain that leads to no
-    declaration is unresolved; cycles end because files already reached are not entered again.
-    """
-    spark = roots.sparkSession
-    for name, df in (("__roots", roots), ("__stars", stars), ("__exports", exports)):
-        df.createOrReplaceTempView(name)
-    reach = spark.sql(f"""
-        WITH RECURSIVE reach(import, file, d) MAX RECURSION LEVEL {depth} AS (
-          SELECT import, file, 0 FROM __roots
-          UNION ALL SELECT r.import, s.target, r.d + 1 FROM reach r JOIN __stars s ON s.file = r.file WHERE r.d < (SELECT count(DISTINCT target) FROM __stars))
-        SELECT import, file, min(d) AS d FROM reach GROUP BY import, file""")
-    offered = reach.join(exports, "file").filter("d = 0 or name <> 'default'").groupBy("import", "name").agg(F.min_by(F.struct("file", "target_file", "target_name"), F.struct("d", "file")).alias("e"))
-    offered.select("import", "name", "e.*").createOrReplaceTempView("__offered")
-    chains = spark.sql(f"""
-        WITH RECURSIVE hop(import, name, file, target_file, target_name, d) MAX RECURSION LEVEL {depth} AS (
-          SELECT import, name, file, target_file, target_name, 0 FROM __offered
-          UNION ALL SELECT h.import, h.name, e.file, e.target_file, e.target_name, h.d + 1 FROM hop h JOIN __exports e ON e.file = h.target_file AND e.name = h.target_name
-          WHERE h.target_file IS NOT NULL AND h.d < (SELECT count(DISTINCT file) FROM __exports))
-        SELECT import, name, max_by(struct(file, target_file, target_name), d) AS e FROM hop GROUP BY import, name""")
-    return chains.select("import", "name", "e.file", "e.target_name", F.when(F.col("e.target_file").isNull(), "exact").otherwise("unresolved").alias("status"))
-
-
-def compatible_imports(names: DataFrame, roots: DataFrame) -> DataFrame:
-    """``import, other``: imports of one file, or a package's root and a helper that share no exported name.
-
-    ``names``: ``import, name``; ``roots``: ``package, import, file``.
-    """
-    sets = roots.join(names.groupBy("import").agg(F.collect_set("name").alias("names")), "import")
-    a, b = sets.alias("a"), sets.alias("b")
-    root = (F.col("a.import") == F.col("a.package")) | (F.col("b.import") == F.col("b.package"))
-    apart = ~F.arrays_overlap("a.names", "b.names")
-    pairs = a.join(b, F.col("a.package") == F.col("b.package")).filter((F.col("a.import") != F.col("b.import")) & ((F.col("a.file") == F.col("b.file")) | (root & apart)))
-    return pairs.select(F.col("a.import").alias("import"), F.col("b.import").alias("other"))

@@ -3,40 +3,73 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions import terms
 from ..functions import text as X
-from ..operators import relational, retrieval, symbols, upgrade
-from ..sources import lockfiles, markdown
+from ..operators import exports, packages, relational, retrieval, scopes, symbols, upgrade
+from ..operators.lineage import cut
+from ..sources import markdown, pages
 from ..sources import symbols as extract
 
 #: Version of the index tables; a reader passes over partitions of another one.
-FORMAT = 1
-#: Weights of an entry's fields in the body and in the heading index.
-BODY = {"name": 8, "path": 2, "sig": 1, "summary": 4, "prose": 2, "code": 1}
-HEAD = {"topic": 2, "summary": 1}
+FORMAT = 2
+#: Weights of the columns of ``with_fields`` in the body and in the heading index.
+BODY = {"f_name": 8, "f_head": 6, "f_summary": 4, "f_path": 2, "f_prose": 2, "f_sig": 1, "f_code": 1, "f_file": 1}
+HEAD = {"f_topic": 2, "f_first": 1}
 MIN_TOKENS, MAX_TOKENS, DEFAULT_TOKENS = 200, 20_000, 1200
+#: Characters of the first result's text, of others', of a context that lessens the first, of a README block; names in an overview and README blocks.
+FIRST, OTHERS, CONTEXT, README, NAMES, BLOCKS = 2000, 800, 800, 1500, 60, 3
 
 
 def with_fields(entries: DataFrame) -> DataFrame:
-    """Adds ``prose``, ``code``, ``summary`` (first sentence) and ``topic`` (last heading that says something, or name)."""
+    """Adds the columns that are searched: a symbol's name, path, signature and first sentence, a section's headings below
+    its page's and its file, and of both the prose and the code; ``f_topic`` is the last heading that says something, or the name."""
     fence = r"(?s)```[^\n]*\n(.*?)```"
     heads = F.split("name", " › ")
     last = F.element_at(heads, -1)
     general = F.lower(F.regexp_replace(F.trim(last), ":+$", "")).isin(*retrieval.GENERIC_HEADINGS) & (F.size(heads) > 1)
     prose = F.regexp_replace("doc", fence, " ")
+    first = F.left(F.regexp_extract(F.ltrim(prose), r"(?s)^(.*?)(?:[.!?](?:\s|$)|\n\n|$)", 1), F.lit(300))
+    section = F.col("kind") == "doc"
     return entries.withColumns({
-        "prose": prose, "code": F.array_join(F.regexp_extract_all("doc", F.lit(fence), 1), "\n"), "summary": F.left(F.regexp_extract(F.ltrim(prose), r"(?s)^(.*?)(?:[.!?](?:\s|$)|\n\n|$)", 1), F.lit(300)),
-        "topic": F.when(F.col("kind") == "doc", F.when(general, F.try_element_at(heads, F.lit(-2))).otherwise(last)).otherwise(F.col("name")),
+        "f_name": F.when(~section, F.col("name")), "f_head": F.when(section, F.array_join(F.slice(heads, F.lit(2), F.size(heads)), " ")), "f_summary": F.when(~section, first), "f_path": F.when(~section, F.col("path")),
+        "f_prose": prose, "f_sig": F.col("sig"), "f_code": F.array_join(F.regexp_extract_all("doc", F.lit(fence), 1), "\n"), "f_file": F.when(section, F.col("file")), "f_first": first,
+        "f_topic": F.when(section, F.when(general, F.try_element_at(heads, F.lit(-2))).otherwise(last)).otherwise(F.col("name")),
     })
 
 
+def embed_text(entries: DataFrame) -> Column:
+    """What an entry's vector is made of: its heading or name and the start of its prose, or of its code or signature where it has none. Needs ``with_fields``."""
+    section = F.col("kind") == "doc"
+    body = F.left("f_prose", F.lit(600))
+    instead = F.when(section, F.left("f_code", F.lit(600))).otherwise(F.left("sig", F.lit(200)))
+    tail = F.array_join(F.slice(F.split("name", " › "), -F.least(F.lit(2), F.size(F.split("name", " › "))), 2), " ")
+    name = F.when(section, tail).otherwise(F.concat_ws(" ", "name", F.regexp_extract("path", r"([^.:]*)[.:]+[^.:]*$", 1)))
+    return F.concat(name, F.lit(". "), F.when(F.trim(body) == "", instead).otherwise(body))
+
+
+def rendered(most: Column) -> Column:
+    """A result with its place: heading, signature and text, of at most ``most`` characters."""
+    place = F.concat(F.lit(" — "), "package", F.lit("@"), "version", F.lit(" "), "file", F.lit(":"), F.col("line").cast("string"))
+    doc = F.when(F.length("doc") > most, F.concat(F.left("doc", most), F.lit("…"))).otherwise(F.col("doc"))
+    section = F.concat(F.lit("### "), "name", place, F.lit("\n"), F.coalesce(F.concat("context", F.lit("\n\n")), F.lit("")), doc, F.lit("\n"))
+    symbol = F.concat(F.lit("### "), "path", F.lit(" ("), "kind", F.lit(")"), place, F.lit("\n```\n"), "sig", F.lit("\n```\n"), F.when(F.col("doc") == "", "").otherwise(F.concat(doc, F.lit("\n"))))
+    return F.when(F.col("kind") == "doc", section).otherwise(symbol)
+
+
 @dataclass
 class Engine:
-    """Tables: ``deps`` (rows of ``lockfiles.dependencies``), ``sources`` and ``entries`` (rows of ``build_index``); vectors are optional."""
+    """Tables: ``deps`` (rows of ``lockfiles.dependencies``), ``sources`` and ``entries`` (rows of ``build_index``).
+
+    Optional: ``vectors`` (``entry_id, vector``), ``indexed`` (``terms.vectors`` of the entries, as ``read_index`` gives
+    them; else each batch of questions makes one pass over the entries in scope), and for npm packages the entrypoints
+    (``roots``) and module graph (``graph``) of ``sources.modules``.
+    """
 
     spark: SparkSession
     deps: DataFrame
@@ -45,61 +78,138 @@ class Engine:
     vectors: DataFrame | None = None
     body: dict[str, int] = field(default_factory=lambda: dict(BODY))
     head: dict[str, int] = field(default_factory=lambda: dict(HEAD))
+    indexed: DataFrame | None = None
+    roots: DataFrame | None = None
+    graph: dict[str, DataFrame] | None = None
 
     @staticmethod
-    def build_index(files: DataFrame, versions: DataFrame) -> DataFrame:
-        """Entries of package files (``package, file, how, text``): sections of prose and symbols of sources, with fields to search."""
-        prose = markdown.sections(files.filter("how in ('prose', 'metadata')"))
-        kept = prose.select("package", "file", "line", F.lit("doc").alias("kind"), "name", F.col("name").alias("path"), F.lit("").alias("sig"), "doc", F.lit(None).cast("string").alias("alias_of"))
-        return with_fields(extract.entries(kept.unionByName(extract.symbols(files)), versions))
+    def build_index(files: DataFrame, versions: DataFrame, by_file: bool = False) -> DataFrame:
+        """Entries of package files (``package, file, how, text``): sections of prose, component pages and examples, and symbols of sources, with fields to search.
+
+        ``imports`` and ``parents`` say which packages a section's code imports and where the sections above it begin.
+        """
+        prose = markdown.sections(files.filter("how in ('prose', 'metadata')")).unionByName(pages.sections(files))
+        kept = prose.select("package", "file", "line", F.lit("doc").alias("kind"), "name", F.col("name").alias("path"), F.lit("").alias("sig"), "doc", F.lit(None).cast("string").alias("alias_of"), "imports", "parents")
+        own = extract.symbols(files).withColumns({"imports": F.array().cast("array<string>"), "parents": F.array().cast("array<int>")})
+        return with_fields(extract.entries(kept.unionByName(own), versions, by_file))
 
     @staticmethod
-    def write_index(entries: DataFrame, path: str) -> None:
-        """Replaces the partitions of the packages and versions in ``entries``; others stay."""
-        entries.withColumn("format", F.lit(FORMAT)).write.partitionBy("package", "version").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+    def write_index(entries: DataFrame, path: str, body: dict[str, int] | None = None, head: dict[str, int] | None = None) -> None:
+        """Replaces the partitions of the packages and versions in ``entries``, entries and their terms; others stay.
+
+        Terms are written once, in tables of their own beside the entries, so a question reads the postings of the
+        packages that it searches and tokenises nothing.
+        """
+        own = cut(entries.withColumn("format", F.lit(FORMAT)))
+        where = own.select("entry_id", "package", "version", "format")
+        made = terms.vectors(own, {"body": body or BODY, "head": head or HEAD}).join(where, "entry_id")
+        for table, rows in (("entries", own), ("terms", made)):
+            rows.write.partitionBy("package", "version").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(f"{path}/{table}")
 
     @staticmethod
-    def read_index(spark: SparkSession, path: str) -> DataFrame:
-        return spark.read.parquet(path).filter(F.col("format") == FORMAT).drop("format")
+    def read_index(spark: SparkSession, path: str, table: str = "entries") -> DataFrame:
+        """The entries, or the ``terms`` beside them, of the current format."""
+        return spark.read.parquet(f"{path}/{table}").filter(F.col("format") == FORMAT).drop("format")
 
     def resolve(self, filter: str | None = None) -> DataFrame:  # noqa: A002
         """Pinned dependencies with the state of their docs; a filter also searches indirect ones."""
         chosen = self.deps.filter("direct") if not filter else self.deps.filter(F.lower("name").contains(filter.lower()))
         return relational.resolve_status(chosen.select("eco", "name", "norm_name", "version", "direct"), self.sources)
 
+    def ecosystem(self) -> Column:
+        """The ecosystem of an entry; entries of an index without it are taken to be npm's."""
+        return F.col("eco") if "eco" in self.entries.columns else F.lit("npm")
+
     def scope(self, package: str | None) -> DataFrame:
         """Entries of the packages that a specification selects (``name``, ``eco:name``, ``name@version``, comma-joined); all if none."""
         if not package:
             return self.entries
-        tests = []
-        for spec in (p.strip() for p in package.split(",")):
-            eco, name, version = parse_spec(spec)
-            short = F.regexp_replace(F.regexp_replace("package", r"/v\d+$", ""), r"^.*/", "")
-            test = (F.lower("package") == name.lower()) | (short == name)
-            tests.append(test & matches_version(F.col("version"), version) if version else test)
-        return self.entries.filter(any_of(tests))
+        specs = [packages.Spec.parse(p) for p in package.split(",")]
+        return self.entries.filter(reduce(lambda a, b: a | b, [s.names(self.ecosystem(), F.col("package")) & s.fits(F.col("version")) for s in specs]))
+
+    def select(self, questions: DataFrame, package: str | None = None) -> DataFrame:
+        """``question_id, package, import, broad``: what each question searches: the packages (or, of npm, imports like ``name/sub``)
+        that ``package`` lists, else those that it mentions, else all direct ones; an import that it names narrows a search of its package."""
+        if package:
+            parsed = [packages.Spec.parse(p) for p in package.split(",")]
+            base = [packages.Spec(s.eco, "/".join(s.name.split("/")[: 2 if s.name.startswith("@") else 1]), s.version) for s in parsed]
+            there = self.entries.select("package", "version", self.ecosystem().alias("eco")).distinct()
+            parts = [there.filter((s.names(F.col("eco"), F.col("package")) | b.names(F.col("eco"), F.col("package")) & (F.col("eco") == "npm")) & s.fits(F.col("version"))).select("package", F.lit(s.name).alias("spec")) for s, b in zip(parsed, base, strict=True)]
+            chosen = reduce(DataFrame.unionByName, parts).withColumn("asked", F.when(F.col("spec").startswith(F.concat("package", F.lit("/"))), F.col("spec")))
+            own = questions.select("question_id").crossJoin(F.broadcast(chosen.select("package", "asked").distinct())).withColumn("broad", F.lit(False))
+        else:
+            own = packages.choose(questions, self.deps).select("question_id", F.col("name").alias("package"), F.lit(None).cast("string").alias("asked"), "broad")
+        if self.roots is None:
+            return own.select("question_id", "package", F.col("package").alias("import"), "broad")
+        free = own.filter("asked is null").select("question_id", "package").distinct()
+        named = scopes.wanted_imports(questions, free, self.roots).join(own.select("question_id", "package", "broad").distinct(), ["question_id", "package"])
+        return named.select("question_id", "package", "import", "broad").unionByName(own.filter("asked is not null").select("question_id", "package", F.col("asked").alias("import"), "broad"))
 
     def docs(self, questions: DataFrame, package: str | None = None, tokens: int = DEFAULT_TOKENS, query_vectors: DataFrame | None = None) -> DataFrame:
-        """Ranked entries for each question (``question_id, text``), as many as a token budget holds.
+        """Ranked blocks for each question (``question_id, text``), as many as a token budget holds.
 
-        Statistics are those of the selected packages. The result stops at weak matches once three good ones are in.
+        Questions that search the same packages and imports are ranked together, with the statistics of these. APIs that a
+        question calls come first; the first block quotes the page and section that it is in. The result stops at weak
+        matches once three good ones are in; the block that crosses the budget is cut.
         """
-        own = self.scope(package)
-        scored = retrieval.hybrid(own, questions, self.body, self.head, self.vectors, query_vectors, with_docs=False).withColumn("score", F.round("score", 9))
-        best = retrieval.top(scored, ["question_id"], 200).join(own.select("entry_id", "kind", "name", "path", "file", "line", "sig", "doc"), "entry_id")
-        once = best.withColumn("__n", F.row_number().over(W.partitionBy("question_id", "package", "file", "line").orderBy("rank"))).filter("__n = 1").drop("__n")
-        kept = relational.relevance_floor(once, "question_id", [F.col("rank")])
-        shown = kept.withColumn("rendered", F.concat_ws("\n", F.concat_ws(" ", "package", "path", F.concat_ws(":", "file", "line")), F.nullif("sig", F.lit("")), F.left("doc", F.when(F.col("rank") == 0, 2000).otherwise(800))))
-        return relational.pack_budget(shown, "question_id", [F.col("rank")], "rendered", min(max(tokens, MIN_TOKENS), MAX_TOKENS))
+        chosen = cut(self.select(questions, package))
+        sets = chosen.groupBy("question_id").agg(F.sort_array(F.collect_set(F.struct("package", "import"))).alias("scope"))
+        keyed = cut(sets.withColumn("key", F.xxhash64("scope")))
+        parts = []
+        for row in keyed.groupBy("key").agg(F.first("scope").alias("scope")).collect():
+            own = questions.join(keyed.filter(F.col("key") == row["key"]).select("question_id"), "question_id", "left_semi")
+            parts.append(self.answer(own, [(s["package"], s["import"]) for s in row["scope"]], tokens, query_vectors))
+        if not parts:
+            return self.answer(questions.limit(0), [], tokens, query_vectors)
+        return reduce(DataFrame.unionByName, parts)
+
+    def answer(self, questions: DataFrame, scope: list[tuple[str, str]], tokens: int, query_vectors: DataFrame | None) -> DataFrame:
+        """``docs`` for questions that search the same (package, import) pairs."""
+        wanted = self.spark.createDataFrame(scope, "package string, import string")
+        own = self.entries.filter(F.col("package").isin([p for p, _ in scope]))
+        if self.roots is not None:
+            own = cut(scopes.docs_entries(own, self.roots, self.graph, wanted).dropDuplicates(["package", "entry_id"]))
+        indexed = None if self.indexed is None else self.indexed.filter(F.col("package").isin([p for p, _ in scope])).join(own.select("entry_id"), "entry_id", "left_semi")
+        vectors = self.vectors
+        if vectors is not None and not own.select("package").distinct().join(own.join(vectors.select("entry_id"), "entry_id", "left_semi").select("package").distinct(), "package", "left_anti").isEmpty():
+            vectors = None  # a package without vectors would lose to the others
+        scored = retrieval.hybrid(own, questions, self.body, self.head, vectors, query_vectors, indexed=indexed).withColumn("score", F.round("score", 9))
+        if self.roots is not None:
+            asked = questions.select("question_id").crossJoin(F.broadcast(wanted))
+            calls = scopes.public_calls(questions, asked, self.roots, self.graph, own).withColumn("called", F.lit(1))
+            scored = scored.join(calls, ["question_id", "package", "entry_id"], "left").withColumn("called", F.coalesce("called", F.lit(0)))
+        else:
+            scored = scored.withColumn("called", F.lit(0))
+        budget = min(max(tokens, MIN_TOKENS), MAX_TOKENS)
+        shown = scored.join(own.select("package", "entry_id", "version", "kind", "name", "path", "file", "line", "sig", "doc"), ["package", "entry_id"])
+        order = [F.desc("called"), F.desc("score"), F.col("entry_id")]
+        once = relational.cap(shown, ["question_id", "package", "file", "line"], order, 1).drop("n")
+        # A block takes two tokens at least, so no more than half the budget's can be shown.
+        best = cut(relational.cap(once, ["question_id"], order, budget // 2).withColumn("rank", F.col("n") - 1).drop("n"))
+        kept = relational.relevance_floor(best, "question_id", [F.col("rank")])
+        around = scopes.context(kept.filter("rank = 0").select("question_id", "package", "entry_id"), own)
+        whole = kept.join(around, ["question_id", "package", "entry_id"], "left")
+        most = F.when(F.col("rank") == 0, FIRST - F.least(F.coalesce(F.length("context"), F.lit(0)), F.lit(CONTEXT)) / 2).otherwise(OTHERS).cast("int")
+        return relational.pack_blocks(whole.withColumn("rendered", rendered(most)), "question_id", [F.col("rank")], "rendered", budget)
 
     def overview(self, package: str | None = None) -> DataFrame:
-        """Counts of symbols and sections, and the shortest top-level symbols of each package."""
+        """Counts of symbols and sections, the shortest documented top-level symbols of each package, and the first README sections."""
         own = self.scope(package)
-        depth_ = F.size(F.split("path", r"[.:]+"))
-        first = relational.cap(own.filter("kind not in ('doc', 're-export') and not legacy"), ["package"], [depth_, F.length("path"), F.col("path"), F.col("entry_id")], 60)
-        names = first.groupBy("package").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "path"))), lambda x: x["path"]).alias("symbols"))
-        counts = own.groupBy("package", "version").agg(F.count_if(F.col("kind") != "doc").alias("n_symbols"), F.count_if(F.col("kind") == "doc").alias("n_sections"))
-        return counts.join(names, "package", "left")
+        open_ = ~X.private_path(F.col("file"), F.col("path"))
+        separators = F.length("path") - F.length(F.regexp_replace("path", "[.:]", ""))
+        top = own.filter((F.col("kind") != "doc") & open_ & ~F.col("legacy") & (F.col("doc") != ""))
+        first = relational.cap(top, ["package"], [separators, F.length("path"), F.col("path"), F.col("entry_id")], NAMES)
+        listed = lambda rows, c: rows.groupBy("package").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", F.col(c).alias("x")))), lambda e: e["x"]))
+        names = listed(first, "path").toDF("package", "symbols")
+        readme = relational.cap(own.filter((F.col("kind") == "doc") & F.upper("file").startswith("README")), ["package"], [F.col("file"), F.col("line"), F.col("entry_id")], BLOCKS)
+        blocks = listed(readme.withColumn("context", F.lit(None).cast("string")).withColumn("block", rendered(F.lit(README))), "block").toDF("package", "blocks")
+        symbol = (F.col("kind") != "doc") & (F.col("kind") != "re-export") & open_
+        counts = own.groupBy("package", "version").agg(F.count_if(symbol).alias("n_symbols"), F.count_if(~symbol).alias("n_sections"))
+        return counts.join(names, "package", "left").join(blocks, "package", "left")
+
+    def exported(self, wanted: DataFrame) -> DataFrame:
+        """``exports.statuses`` of symbols (``package, import, symbol``) of npm packages; their entries must be those by file."""
+        return exports.statuses(wanted, self.roots, self.graph, self.entries)
 
     def api(self, wanted: DataFrame, package: str | None = None) -> DataFrame:
         """The best declaration of each symbol (``symbol``), whether it is ambiguous, and its other declarations."""
@@ -117,26 +227,3 @@ class Engine:
         names = changes.select("package", "entry_id").join(old, ["package", "entry_id"]).select("path", "name", "kind")
         sites = upgrade.call_sites(project, names, marker)
         return {"changes": changes, "sites": sites, "guides": upgrade.guides(new, names.select("path", "name")), "summary": upgrade.summary(changes, sites)}
-
-
-def parse_spec(spec: str) -> tuple[str | None, str, str | None]:
-    """Ecosystem, name and version of ``eco:name@version`` or ``name==version``; a leading ``v`` of a version goes, but Go's stays."""
-    eco, _, rest = spec.rpartition(":") if spec.partition(":")[0] in ("npm", "node", "pypi", "py", "python", "cargo", "crates", "go", "golang") else ("", "", spec)
-    if "==" in rest:
-        name, _, version = rest.partition("==")
-    else:
-        name, version = lockfiles.name_and_version(rest) or (rest, "")
-    return eco or None, name.strip(), version.strip().removeprefix("v") or None
-
-
-def matches_version(version, wanted: str):
-    """The version itself, or one that it is a prefix of at a ``.`` or ``-``: 3 is 3.23.8 but not 30.0.0."""
-    bare = F.regexp_replace(version, "^v", "")
-    return (bare == wanted) | bare.startswith(f"{wanted}.") | bare.startswith(f"{wanted}-")
-
-
-def any_of(tests: list):
-    out = tests[0]
-    for t in tests[1:]:
-        out = out | t
-    return out

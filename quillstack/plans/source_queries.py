@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import relational, symbols
+from ..operators import relational
 from ..sources import files, lockfiles, markdown
 from ..sources import symbols as extract
-from .fixtures import frame, sql
 from .queries import query, table
 
 REQUIREMENTS = "# pinned\nalpha==1.0\nBeta_two[fast]==2.0 ; python_version > '3' # why\n-r other.txt\ngamma>=1\ndelta == 3.1,!=3.2\n"
@@ -82,11 +81,3 @@ def section_context(spark, sf_dir):
     heads = relational.html_headings(table(spark, sf_dir, "pages")).withColumn("n", F.col("n").cast("long")).select("page_id", "n", "heading")
     first = heads.filter("n = 0").select("page_id", F.col("heading").alias("page_heading"))
     return heads.join(first, "page_id", "left")
-
-
-@query(f"""WITH d AS (SELECT DISTINCT import, name FROM (VALUES ('f', 'create'), ('f', 'Form'), ('f/next', 'Form'), ('f/lost', 'build'), ('f/cycle', 'build')) v(import, name)),
-s AS (SELECT r.*, list(name) AS names FROM {sql('roots')} r JOIN d USING (import) GROUP BY ALL)
-SELECT a.import, b.import AS other FROM s a JOIN s b USING (package) WHERE a.import <> b.import AND (a.file = b.file OR (a.import = a.package OR b.import = b.package) AND NOT list_has_any(a.names, b.names))""")
-def compatible_imports(spark, sf_dir):
-    names = spark.createDataFrame([("f", "create"), ("f", "Form"), ("f/next", "Form"), ("f/lost", "build"), ("f/cycle", "build")], "import string, name string")
-    return symbols.compatible_imports(names, frame(spark, "roots"))

@@ -13,10 +13,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-# Directories that hold no documentation or API of a package, and limits on what is read.
-SKIP_DIRS = ("node_modules", "target", ".git", "vendor", "dist", "build", "__pycache__", ".venv", "venv", ".next", "coverage", ".tox", "site-packages")
+# Directories of a package that hold neither its documentation nor its API, and limits on what is read.
+SKIP_DIRS = (
+    "node_modules", "compiled", ".git", "test", "tests", "__tests__", "__test__", "testdata", "test_data", "benches", "bench", "benchmarks", "fixtures",
+    "__fixtures__", "__pycache__", "examples", "example", "_examples", "coverage", ".github", "vendor", "internal", "__snapshots__",
+)
 MAX_FILES, MAX_DEPTH, MAX_FILE, MAX_TOTAL, MAX_ENTRIES = 25_000, 14, 8 << 20, 256 << 20, 100_000
-DOC_NAMES = ("README", "CHANGELOG", "CHANGES", "HISTORY", "NEWS", "MIGRAT", "UPGRAD", "RELEASES")
+# How names of documentation files begin, their extensions, directories of documentation, extensions of examples.
+DOC_NAMES = ("README", "CHANGELOG", "CHANGES", "HISTORY", "MIGRATION", "MIGRATING", "UPGRADING", "UPGRADE", "RELEASES", "NEWS", "GUIDE", "API")
+DOC_EXTENSIONS, DOC_DIRS = ("md", "mdx", "markdown", "rst"), ("docs", "doc", "documentation", "guide", "guides")
+EXAMPLE_EXTENSIONS = ("py", "ts", "tsx", "js", "jsx", "mjs", "rs", "go")
 
 
 def read_tree(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -29,33 +35,56 @@ def depth(file: Column) -> Column:
     return F.size(F.split(file, "/")) - 1
 
 
+def base_name(file: Column) -> Column:
+    return F.regexp_extract(file, r"([^/]*)$", 1)
+
+
 def extension(file: Column) -> Column:
     """The lower-case extension; declaration files keep theirs (``d.ts``)."""
     return F.lower(F.regexp_extract(file, r"\.(d\.[mc]?ts|[^./]+)$", 1))
 
 
-def how(file: Column) -> Column:
-    """How a file is read: metadata, prose, page, ts, python, rust, go or (not at all) null."""
-    ext, base = extension(file), F.regexp_extract(file, r"([^/]*)$", 1)
-    docs = F.exists(F.split(F.lower(file), "/"), lambda s: s.isin("docs", "doc", "documentation", "guide", "guides"))
-    named = F.upper(base).rlike("^(" + "|".join(DOC_NAMES) + ")")
-    return (
-        F.when(base.isin("METADATA", "PKG-INFO"), "metadata").when(ext.isin("md", "markdown", "rst", "mdx") & (docs | named), "prose").when(ext.isin("txt") & named, "prose")
-        .when(ext.isin("tsx", "jsx") & docs, "page").when(ext.isin("d.ts", "d.mts", "d.cts"), "ts").when(ext.isin("py", "pyi"), "python").when(ext == "rs", "rust").when((ext == "go") & ~base.endswith("_test.go"), "go")
-    )
-
+def how(file: Column, eco: Column, typed: Column) -> Column:
+    """How a file is read: metadata, prose, page, example, ts, python, rust, go or (not at all) null.
 
-def plan(files: DataFrame) -> DataFrame:
-    """``package, file, how`` of files (``package, file``) to read: up to MAX_FILES of a package by path, none in skipped or hidden directories.
-
-    Stubs stand for the modules beside them (``.pyi`` for ``.py``, ``.d.mts`` and ``.d.cts`` for ``.d.ts``).
+    ``eco`` decides which sources count (null: all); scripts of npm packages count only where none of its files is a
+    declaration (``typed``). Files from upstream (``upstream:``) are documentation or examples.
+    """
+    ext, base = extension(file), base_name(file)
+    of = lambda name: F.coalesce(eco == name, F.lit(True))
+    named = F.upper(base).rlike("^(" + "|".join(DOC_NAMES) + ")")
+    near = F.exists(F.split(F.lower(file), "/"), lambda s: s.isin(*DOC_DIRS)) | (depth(file) == 0)
+    from_upstream = F.when(ext.isin(*DOC_EXTENSIONS, "mdoc", "txt"), "prose").when(ext.isin(*EXAMPLE_EXTENSIONS), "example")
+    own = (
+        F.when(base.isin("METADATA", "PKG-INFO"), "metadata").when(ext.isin(*DOC_EXTENSIONS), F.when(named | near, "prose")).when(ext.isin("", "txt"), F.when(named & (depth(file) == 0), "prose"))
+        .when(of("npm") & (ext.isin("d.ts", "d.mts", "d.cts") | ~typed & (ext.isin("ts", "mts", "cts", "tsx") | ext.isin("js", "mjs", "cjs") & ~base.contains(".min."))), "ts")
+        .when(of("pypi") & ext.isin("py", "pyi"), "python").when(of("cargo") & (ext == "rs") & file.startswith("src/"), "rust").when(of("go") & (ext == "go") & ~base.endswith("_test.go"), "go")
+    )
+    return F.when(file.startswith("upstream:"), from_upstream).otherwise(own)
+
+
+def plan(files: DataFrame, public_api: bool = False, pages: DataFrame | None = None) -> DataFrame:
+    """``package, file, how`` of files (``package, file`` and, if known, ``eco``) to read: up to MAX_FILES of a package by path, none in skipped or hidden directories.
+
+    A ``.pyi`` counts only where there is no ``.py`` beside it, and a ``.d.mts`` or ``.d.cts`` only where there is no
+    ``.d.ts``. With ``public_api`` all editions of declarations count, and so do directories called ``internal`` of npm
+    packages. ``pages`` (``package, file``) names documentation from upstream that is written as components.
     """
+    eco = F.col("eco") if "eco" in files.columns else F.lit(None).cast("string")
     dirs = F.slice(F.split("file", "/"), 1, F.size(F.split("file", "/")) - 1)
-    usable = ~F.exists(dirs, lambda d: d.isin(*SKIP_DIRS) | d.startswith(".")) & (depth(F.col("file")) <= MAX_DEPTH)
-    own = files.filter(usable).withColumn("how", how(F.col("file"))).filter("how is not null")
-    own = own.withColumn("stem", F.regexp_replace("file", r"\.(pyi?|d\.[mc]?ts)$", "")).withColumn("ext", extension(F.col("file")))
-    better = own.filter(F.col("ext").isin("pyi", "d.mts", "d.cts")).select("package", "stem", F.when(F.col("ext") == "pyi", "py").otherwise("d.ts").alias("ext")).distinct()
-    kept = own.join(better, ["package", "stem", "ext"], "left_anti")
+    skipped = F.exists(dirs, lambda d: d.isin(*SKIP_DIRS) & ~(F.lit(public_api) & (d == "internal") & F.coalesce(eco == "npm", F.lit(True))) | d.startswith("."))
+    upstream = F.col("file").startswith("upstream:")
+    usable = (upstream | ~skipped) & (depth(F.col("file")) <= MAX_DEPTH)
+    own = files.filter(usable).withColumn("ext", extension(F.col("file")))
+    typed = own.filter(F.col("ext").startswith("d.") & ~upstream).select("package", F.lit(True).alias("typed")).distinct()
+    read = own.join(typed, "package", "left").withColumn("how", how(F.col("file"), eco, F.coalesce("typed", F.lit(False))))
+    if pages is not None:
+        listed = pages.select("package", "file", F.lit(True).alias("page")).distinct()
+        read = read.join(listed, ["package", "file"], "left").withColumn("how", F.when(F.col("page"), "page").otherwise(F.col("how")))
+    read = read.filter("how is not null").withColumn("stem", F.regexp_replace("file", r"\.(pyi?|d\.[mc]?ts)$", ""))
+    better = F.when(F.col("ext") == "pyi", "py").when(F.col("ext").isin("d.mts", "d.cts") & ~F.lit(public_api), "d.ts")
+    beside = read.filter(F.col("ext").isin("py", "d.ts")).select("package", "stem", F.col("ext").alias("better")).distinct()
+    kept = read.withColumn("better", better).join(beside, ["package", "stem", "better"], "left_anti")
     return kept.withColumn("n", F.row_number().over(W.partitionBy("package").orderBy("file"))).filter(F.col("n") <= MAX_FILES).select("package", "file", "how")
 
 

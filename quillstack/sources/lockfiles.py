@@ -161,14 +161,17 @@ def pipfile(text: str, file: str, manifest: str | None) -> Iterator[Row]:
 PARSERS = {"package-lock.json": npm, "npm-shrinkwrap.json": npm, "pnpm-lock.yaml": pnpm, "bun.lock": bun, "yarn.lock": yarn, "Cargo.lock": cargo, "uv.lock": uv, "poetry.lock": poetry, "pdm.lock": poetry, "Pipfile.lock": pipfile}
 
 
+ECOSYSTEM = {name: eco for eco, names in PRIORITY.items() for name in names}
+
+
 def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of ``SCHEMA`` for each ``file, text, manifest``; a file that can't be parsed gives one row with only its name."""
+    """Rows of ``SCHEMA`` for each ``file, text, manifest``, and one without a name that says that the file was parsed; one that can't be gives only its name."""
     for frame in frames:
         rows = []
         for file, text, manifest in zip(frame.file, frame.text, frame.manifest, strict=True):
             base = file.rpartition("/")[2]
             try:
-                rows += [(file, *r) for r in PARSERS[base](text, base, manifest)]
+                rows += [(file, *r) for r in [*PARSERS[base](text, base, manifest), (ECOSYSTEM[base], None, None, None, base)]]
             except (ValueError, KeyError, TypeError, AttributeError):
                 rows.append((file, None, None, None, None, None))
         yield pd.DataFrame(rows, columns=["file", "eco", "name", "version", "direct", "origin"])
@@ -208,8 +211,8 @@ def go_mod(files: DataFrame) -> DataFrame:
 
 def npm_packages(files: DataFrame) -> DataFrame:
     """Package-lock files (``file, text``) through ``VARIANT``: ``file, name, version`` of hoisted packages, with ``direct``."""
-    files.select("file", F.try_parse_json("text").alias("v")).createOrReplaceTempView("__npm_locks")
-    each = files.sparkSession.sql("SELECT file, e.key, e.value FROM __npm_locks, LATERAL variant_explode_outer(variant_get(v, '$.packages')) AS e")
+    locks = files.select("file", F.try_parse_json("text").alias("v"))
+    each = files.sparkSession.sql("SELECT file, e.key, e.value FROM {locks}, LATERAL variant_explode_outer(variant_get(v, '$.packages')) AS e", locks=locks)
     str_ = lambda p: F.try_variant_get("value", p, "string")
     own = each.filter(F.col("key").startswith("node_modules/") & ~F.col("key").contains("/node_modules/")).filter(~F.coalesce(F.try_variant_get("value", "$.link", "boolean"), F.lit(False)))
     packages = own.select("file", F.coalesce(str_("$.name"), F.substr("key", F.lit(14))).alias("name"), str_("$.version").alias("version")).filter("version is not null")
@@ -221,7 +224,7 @@ def npm_packages(files: DataFrame) -> DataFrame:
 def dependencies(files: DataFrame) -> DataFrame:
     """All dependencies of projects' files (``project, depth, file, text, manifest``), one row for a package and version.
 
-    In each project, ecosystem and directory depth the first lockfile that can be parsed counts; requirement files
+    In each project, ecosystem and directory depth the first lockfile that can be parsed counts, be it empty; requirement files
     count together where a project has no other Python lockfile. Direct dependencies come before others, then nearer ones.
     """
     base = F.regexp_extract("file", r"([^/]*)$", 1)
@@ -229,10 +232,12 @@ def dependencies(files: DataFrame) -> DataFrame:
     keyed = files.withColumns({"base": base, "rank": rank})
     locks = keyed.filter(F.col("base").isin(*PARSERS)).select("file", "text", "manifest").mapInPandas(parse, SCHEMA)
     lined = requirements(keyed.filter(F.col("base").rlike(r"^requirements.*\.txt$"))).drop("line").unionByName(go_mod(keyed.filter("base = 'go.mod'")).drop("line"))
-    all_ = locks.filter("eco is not null").unionByName(lined).join(keyed.select("project", "depth", "file", "base", "rank"), "file")
+    empty = keyed.filter("base = 'go.mod'").select("file", F.lit("go").alias("eco"), *[F.lit(None).cast(t).alias(n) for n, t in (("name", "string"), ("version", "string"), ("direct", "boolean"))], F.lit("go.mod").alias("origin"))
+    all_ = locks.filter("eco is not null").unionByName(lined).unionByName(empty).join(keyed.select("project", "depth", "file", "base", "rank"), "file")
     loose = F.col("base").rlike(r"^requirements.*\.txt$")
     first = F.min(F.when(~loose, F.struct("depth", "rank"))).over(W.partitionBy("project", "eco"))
     kept = all_.withColumn("first", first).filter(F.when(loose, F.col("first").isNull()).otherwise(F.struct("depth", "rank") == F.col("first")))
+    kept = kept.filter("name is not null")
     order = F.struct((~F.col("direct")).alias("d"), "depth", "file", "name")
     best = kept.withColumn("norm_name", X.norm_name(F.col("eco"), F.col("name"))).groupBy("project", "eco", "norm_name", "version").agg(F.min_by(F.struct("name", "direct", "origin"), order).alias("b"))
     return best.select("project", "eco", "b.name", "version", "b.direct", "b.origin", "norm_name")

@@ -8,6 +8,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .files import DOC_NAMES
+
 SCHEMA = "package string, file string, line int, name string, doc string, parents array<int>, imports array<string>"
 #: Bytes at which a section is split: beyond SOFT at a blank line once a part has LEAST, beyond HARD anywhere.
 LEAST, SOFT, HARD = 1200, 1800, 5400
@@ -78,43 +80,47 @@ def split(text: str, title: str, markdown: bool = True) -> list[tuple[int, str,
                 level, head, skip = ({"=": 1, "-": 2}[mark] if markdown else levels.setdefault(mark, len(levels) + 1)), line, 2
         if level is None:
             if fence or not _BADGE.match(line):
-                sections[-1]["body"].append(line)
+                sections[-1]["body"].append((i + 1, line))
             i += 1
             continue
         while len(stack) > 1 and sections[stack[-1]]["level"] >= level:
             stack.pop()
         up = sections[stack[-1]]
-        above = [sections[k]["line"] for k in stack if any(b.strip() for b in sections[k]["body"])]
+        above = [sections[k]["line"] for k in stack if any(b.strip() for _, b in sections[k]["body"])]
         sections.append({"line": i + 1, "level": level, "head": [*up["head"], clean_heading(head)], "body": [], "parents": above, "own": {}, "up": stack[-1]})
         stack.append(len(sections) - 1)
         i += skip
     out = []
     for s in sections:
         s["all"] = {**(sections[s["up"]]["all"] if s["up"] is not None else {}), **s["own"]}
-        body = "\n".join(s["body"]).strip("\n")
-        if body.strip():
-            out += [(s["line"], " › ".join(h for h in s["head"] if h), part, s["parents"], sorted(s["all"].values())) for part in chunks(body)]
+        for k, (line, part) in enumerate(chunks(s["body"])):
+            out.append((line if k else s["line"], " › ".join(h for h in s["head"] if h), part, s["parents"], sorted(s["all"].values())))
     return out
 
 
-def chunks(body: str) -> list[str]:
-    """Parts of a long section, split at blank lines outside code."""
-    if len(body.encode()) <= SOFT:
-        return [body]
+def chunks(body: list[tuple[int, str]]) -> list[tuple[int, str]]:
+    """Parts of a section's numbered lines, each with the number of its first line: a long one is split at blank lines outside code."""
+    whole = sum(len(line.encode()) + 1 for _, line in body) <= SOFT
     parts, own, size, fence = [], [], 0, False
-    for line in body.split("\n"):
+    for n, line in body:
         fence ^= bool(_FENCE.match(line))
-        if own and ((not line.strip() and not fence and size > LEAST) or size + len(line.encode()) > HARD):
-            parts.append("\n".join(own).strip("\n"))
+        if own and not whole and ((not line.strip() and not fence and size > LEAST) or size + len(line.encode()) > HARD):
+            parts.append(own)
             own, size = [], 0
-        own.append(line)
-        size += len(line.encode()) + 1
-    return [p for p in [*parts, "\n".join(own).strip("\n")] if p.strip()]
+        if own or line.strip():
+            own.append((n, line))
+            size += len(line.encode()) + 1
+    return [(p[0][0], "\n".join(line for _, line in p).rstrip("\n")) for p in [*parts, own] if p]
 
 
 def title_of(file: str, metadata: bool) -> str:
-    base = file.rpartition("/")[2].partition(".")[0]
-    return "README" if metadata else base if base.isupper() else base.replace("-", " ").replace("_", " ").strip().capitalize()
+    """What a file without a title is called: a page from upstream by its words, any other by its name."""
+    base = file.rpartition("/")[2]
+    if metadata:
+        return "README"
+    if not file.startswith("upstream:") or base.upper().startswith(DOC_NAMES):
+        return base
+    return re.sub(r"[_-]", " ", re.sub(r"^[\d-]+", "", base.rpartition(".")[0] or base))
 
 
 def sections(files: DataFrame) -> DataFrame:

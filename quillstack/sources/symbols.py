@@ -137,12 +137,16 @@ def symbols(files: DataFrame) -> DataFrame:
     return usable.select("package", "file", "how", "text").mapInPandas(run, SCHEMA)
 
 
-def entries(found: DataFrame, versions: DataFrame) -> DataFrame:
+def entries(found: DataFrame, versions: DataFrame, by_file: bool = False) -> DataFrame:
     """Symbols with ``legacy`` and ``entry_id``: of equal path, signature and length of doc in a package the first counts.
 
-    ``versions``: ``package, version``.
+    ``versions``: ``package, version`` (and ``eco``, if known). With ``by_file`` equal declarations of different files
+    all stay, as editions of an npm package are told apart by their files. Ids are of the place, the signature and the
+    doc, so parts of one section differ.
     """
-    first = found.groupBy("package", "path", "sig", F.length("doc").alias("n")).agg(F.min_by(F.struct("file", "line", "kind", "name", "doc", "alias_of"), F.struct("file", "line")).alias("e"))
+    keys = ["package", "path", "sig", F.length("doc").alias("n"), *([F.col("file").alias("at")] if by_file else [])]
+    rest = [c for c in found.columns if c not in ("package", "path", "sig")]
+    first = found.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct("file", "line")).alias("e"))
     major = X.major_of(F.col("version"))
-    flat = first.join(versions, "package").select("package", "version", "e.*", "path", "sig", major.alias("major"))
-    return flat.withColumn("legacy", X.legacy_file(F.col("file"), F.col("major"))).withColumn("entry_id", F.xxhash64("package", "file", "line", "path", "sig"))
+    flat = first.join(versions, "package").select("package", *[c for c in versions.columns if c != "package"], "e.*", "path", "sig", major.alias("major"))
+    return flat.withColumn("legacy", X.legacy_file(F.col("file"), F.col("major"))).withColumn("entry_id", F.xxhash64("package", "version", "file", "line", "path", "sig", "doc"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.lineage import cut, exists, fitting, remove
+
 
 def latest(changes: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The last change of each key, by ``order``; combines before the shuffle."""
@@ -23,23 +25,29 @@ def window_counts(changes: DataFrame, ts: str, by: str, width: str = "1 hour", l
 def maintain(changes: DataFrame, target: str, checkpoint: str, key: str, order: list[str], partition: str) -> StreamingQuery:
     """Writes each batch's last change of a key over the partitions of ``target`` that it touches, keeping newer rows there.
 
-    Only touched partitions are read and rewritten, by way of a staged copy, so a batch that is repeated after a failure
-    gives the same table.
+    Touched are the partitions of the new rows and those that hold a key of the batch until now, so a key that moves
+    leaves its old partition. Only these are read and rewritten, by way of a staged copy of the batch's own, so a batch
+    that is repeated after a failure gives the same table; a partition that loses its last row is removed.
     """
     spark = changes.sparkSession
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         new = latest(batch, key, order)
-        try:
-            touched = new.select(partition).distinct()
-            old = spark.read.parquet(target).join(F.broadcast(touched), partition, "left_semi").select(*new.columns)
-            new = latest(old.unionByName(new), key, order)
-        except Exception as missing:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-        staged = f"{target}.staged"
+        emptied: list[str] = []
+        if exists(spark, target):
+            table = spark.read.parquet(target)
+            touched = cut(new.select(partition).unionByName(table.join(new.select(key), key, "left_semi").select(partition)).distinct())
+            old = table.join(fitting(touched), table[partition].eqNullSafe(touched[partition]), "left_semi")
+            places = old.select(F.regexp_replace(F.input_file_name(), r"/[^/]*$", "").alias("place"), partition).distinct()
+            new = cut(latest(old.select(*new.columns).unionByName(new), key, order))
+            left = new.select(partition).distinct()
+            emptied = [r["place"] for r in places.join(left, places[partition].eqNullSafe(left[partition]), "left_anti").collect()]
+        staged = f"{target.rstrip('/')}.staged/batch-{batch_id}"
         new.write.mode("overwrite").parquet(staged)
         spark.read.parquet(staged).write.partitionBy(partition).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(target)
+        for place in emptied:
+            remove(spark, place)
+        remove(spark, staged)
 
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

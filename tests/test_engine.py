@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstack.functions import text as X
-from quillstack.operators import relational, retrieval, symbols, upgrade
+from quillstack.operators import packages, relational, retrieval, symbols, upgrade
 from quillstack.plans import engine
 from quillstack.plans.fixtures import frame
 from quillstack.streaming import incremental
@@ -46,9 +46,11 @@ def test_expressions(spark):
 
 
 def test_specifications(spark):
-    assert engine.parse_spec("npm:@tanstack/react-query@5.1.0") == ("npm", "@tanstack/react-query", "5.1.0")
-    assert engine.parse_spec("pydantic==2.9.2") == (None, "pydantic", "2.9.2") and engine.parse_spec("zod@v3") == (None, "zod", "3")
-    assert value(spark, engine.matches_version(F.lit("3.23.8"), "3")) and not value(spark, engine.matches_version(F.lit("30.0.0"), "3"))
+    parse = packages.Spec.parse
+    assert parse("npm:@tanstack/react-query@5.1.0") == packages.Spec("npm", "@tanstack/react-query", "5.1.0") and parse("py:a.b") == packages.Spec("pypi", "a.b", None)
+    assert parse("pydantic==2.9.2") == packages.Spec(None, "pydantic", "2.9.2") and parse("zod@v3") == packages.Spec(None, "zod", "3")
+    assert value(spark, parse("zod@3").fits(F.lit("3.23.8"))) and not value(spark, parse("zod@3").fits(F.lit("30.0.0"))) and parse("zod@3.1.0").exact() and not parse("zod@3").exact()
+    assert value(spark, parse("chi").names(F.lit("go"), F.lit("github.com/go-chi/chi/v5"))) and not value(spark, parse("npm:chi").names(F.lit("go"), F.lit("x/chi"))) and value(spark, parse("py:A_b").names(F.lit("pypi"), F.lit("a-B")))
 
 
 def test_upgrade(spark):
@@ -64,20 +66,10 @@ def test_upgrade(spark):
 
 def test_greedy_renames_consume_candidates(spark):
     rows = [("p", 1, 10, 1.0), ("p", 1, 11, 1.0), ("p", 2, 11, 0.9), ("p", 2, 10, 0.8), ("p", 3, 10, 0.7)]
-    got = upgrade.renames(spark.createDataFrame(rows, "package string, old_id long, new_id long, similarity double")).collect()
+    got = upgrade.renames(spark.createDataFrame(rows, "package string, old_id long, new_id long, similarity double").withColumns({"kind": F.lit("function"), "parent": F.lit("")})).collect()
     assert {(r.old_id, r.new_id) for r in got} == {(1, 11), (2, 10)}
 
 
-def test_exports(spark):
-    got = {(r["import"], r.name): (r.target_name, r.status) for r in symbols.export_closure(frame(spark, "roots").select("import", "file"), frame(spark, "stars"), frame(spark, "exports")).collect()}
-    assert got[("f", "create")] == ("build", "exact") and got[("f", "Form")] == ("Form", "exact") and got[("f", "default")] == ("Form", "exact") and got[("f", "email")] == ("email", "exact")
-    assert got[("f/next", "Form")] == ("ModernForm", "exact") and got[("f/next", "validate")] == ("go", "exact") and got[("f/cycle", "other")] == ("other", "exact")
-    assert got[("f/lost", "build")][1] == "unresolved" and ("f/next", "email") not in got
-    names = spark.createDataFrame([(*k,) for k in got], "import string, name string")
-    pairs = {(r["import"], r.other) for r in symbols.compatible_imports(names, frame(spark, "roots")).collect()}
-    assert ("f", "f/lost") in pairs and ("f", "f/next") not in pairs
-
-
 def test_dense_pool_and_fusion(spark):
     vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(6)], "entry_id long, vector array<double>")
     near = {r.entry_id: r for r in retrieval.dense(vectors, spark.createDataFrame([(1, [1.0, 0.0])], "question_id long, vector array<double>"), pool=3).collect()}
@@ -107,8 +99,8 @@ def test_engine_answers(spark, tmp_path):
     asked = spark.createDataFrame([(1, "How do I reject unknown keys?"), (2, "to_dict")], "question_id long, text string")
     hits = e.docs(asked, "tiny").orderBy("question_id", "rank").collect()
     first = {r.question_id: r for r in reversed(hits)}
-    assert first[1].path in ("strict_object", "Tiny schema › Strict mode", "README › Tiny schema › Strict mode") and first[2].path == "Model.to_dict"
-    assert all(r.package == "tiny" for r in hits) and max(r.used for r in hits) <= 1200
+    assert first[1].path in ("strict_object", "Tiny schema › Strict mode", "README.md › Tiny schema › Strict mode") and first[2].path == "Model.to_dict"
+    assert all(r.package == "tiny" for r in hits) and all(sum(len(r.rendered) for r in hits if r.question_id == q) <= 3600 for q in (1, 2))
     api = {r.symbol: r for r in e.api(spark.createDataFrame([("Model.to_dict",), ("nothing",)], "symbol string")).collect()}
     assert api["Model.to_dict"].status == "exact" and api["Model.to_dict"].line == 6 and api["nothing"].status == "unresolved"
     over = {r.package: r for r in e.overview().collect()}
@@ -126,5 +118,9 @@ def test_stream_keeps_the_same_state_as_a_batch(spark, tmp_path):
     query.awaitTermination(240)
     want = incremental.latest(spark.read.parquet(feed), "key", ["seq"])
     assert sorted(map(tuple, spark.read.parquet(target).select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    moved, places = str(tmp_path / "moved"), str(tmp_path / "places")
+    spark.createDataFrame([(i % 5, i, f"v{i}", (i // 5) % 4) for i in range(40)], "key long, seq long, v string, part long").repartitionByRange(8, "seq").write.parquet(moved)
+    incremental.maintain(incremental.stream_of(spark, moved), places, str(tmp_path / "cp2"), "key", ["seq"], "part").awaitTermination(240)
+    assert sorted((r.key, r.seq, r.part) for r in spark.read.parquet(places).collect()) == [(k, 35 + k, 3) for k in range(5)]
     events = spark.sql("SELECT timestamp'2024-01-01 00:10:00' AS ts, 'a' AS k UNION ALL SELECT timestamp'2024-01-01 00:50:00', 'a' UNION ALL SELECT timestamp'2024-01-01 01:10:00', 'b'")
     assert sorted((r.k, r.n) for r in incremental.window_counts(events, "ts", "k").collect()) == [("a", 2), ("b", 1)]

@@ -51,7 +51,7 @@ def test_npm_by_variant_equals_the_parser(spark):
 
 def test_dependencies_of_projects(spark):
     rows = [("p", 0, "p/package-lock.json", "{broken", None), ("p", 0, "p/yarn.lock", 'a@1:\n  version "1.0.0"\n', '{"dependencies": {"a": "1"}}'), ("p", 0, "p/requirements.txt", "x==1\nX==1\n", None), ("p", 0, "p/requirements-dev.txt", "y==2\n", None), ("p", 1, "go.mod", "require x.com/a v1.0.0\n", None),
-            ("q", 0, "q/uv.lock", '[[package]]\nname = "z"\nversion = "1"\n', None), ("q", 0, "q/requirements.txt", "x==1\n", None)]
+            ("r", 0, "r/uv.lock", "", None), ("r", 0, "r/poetry.lock", '[[package]]\nname = "b"\nversion = "2"\n', None), ("q", 0, "q/uv.lock", '[[package]]\nname = "z"\nversion = "1"\n', None), ("q", 0, "q/requirements.txt", "x==1\n", None)]
     got = lockfiles.dependencies(spark.createDataFrame(rows, "project string, depth int, file string, text string, manifest string")).collect()
     assert sorted((r.project, r.eco, r.norm_name, r.version, r.direct) for r in got) == [("p", "go", "x.com/a", "v1.0.0", True), ("p", "npm", "a", "1.0.0", True), ("p", "pypi", "x", "1", True), ("p", "pypi", "y", "2", True), ("q", "pypi", "z", "1", False)]
 
@@ -63,9 +63,11 @@ def test_sections():
     assert got[2][3] == [1, 3] and got[2][4] == ["@s/kit/sub"] and got[3][4] == []
     rst = "Top\n===\nx\n\nSub\n---\ny\n\nOther\n===\nz\n"
     assert [s[1] for s in markdown.split(rst, "T", markdown=False)] == ["T › Top", "T › Top › Sub", "T › Other"]
-    long = "\n\n".join(["x" * 500] * 12)
-    parts = markdown.chunks(long)
-    assert len(parts) > 2 and all(len(p) <= markdown.HARD for p in parts) and "".join(parts).count("x") == 6000
+    long = "# Head\n" + "\n\n".join(["x" * 500] * 12)
+    parts = markdown.split(long, "T")
+    assert len(parts) > 2 and all(len(p[2]) <= markdown.HARD for p in parts) and "".join(p[2] for p in parts).count("x") == 6000
+    lines = long.split("\n")
+    assert parts[0][0] == 1 and all(lines[p[0] - 1] == p[2].split("\n")[0] for p in parts[1:]) and len({p[0] for p in parts}) == len(parts)
     plain, title = markdown.clean_mdx("---\ntitle: My page\ndescription: about\n---\nimport X from 'x'\n<Card>\ntext\n")
     assert title == "My page" and plain.split("\n") == ["about", "", "", "", "", "", "text", ""]
 
@@ -87,9 +89,15 @@ def test_symbols(spark):
 
 
 def test_plan_and_archives(spark):
-    names = ["README.md", "src/a.py", "src/a.pyi", "node_modules/x/README.md", ".git/README.md", "docs/guide.mdx", "docs/page.tsx", "lib/b.d.ts", "lib/b.d.mts", "notes.txt", "pkg/main_test.go", "pkg/main.go", "x.dist-info/METADATA"]
-    got = {r.file: r.how for r in files.plan(spark.createDataFrame([("p", n) for n in names], "package string, file string")).collect()}
-    assert got == {"README.md": "prose", "src/a.pyi": "python", "docs/guide.mdx": "prose", "docs/page.tsx": "page", "lib/b.d.mts": "ts", "pkg/main.go": "go", "x.dist-info/METADATA": "metadata"}
+    names = ["README.md", "src/a.py", "src/a.pyi", "src/only.pyi", "node_modules/x/README.md", ".git/README.md", "docs/guide.mdx", "strict-mode.md", "deep/other.md", "lib/b.d.ts", "lib/b.d.mts", "dist/index.d.ts", "dist/run.js", "tests/t.py", "notes.txt", "NEWS", "pkg/main_test.go", "pkg/main.go", "x.dist-info/METADATA", "internal/i.d.ts", "upstream:docs/a.txt", "upstream:examples/e.py", "upstream:app/page.tsx"]
+    rows = spark.createDataFrame([("p", n) for n in names], "package string, file string")
+    got = {r.file: r.how for r in files.plan(rows, pages=rows.filter("file = 'upstream:app/page.tsx'")).collect()}
+    assert got == {
+        "README.md": "prose", "src/a.py": "python", "src/only.pyi": "python", "docs/guide.mdx": "prose", "strict-mode.md": "prose", "lib/b.d.ts": "ts", "dist/index.d.ts": "ts", "NEWS": "prose", "pkg/main.go": "go", "x.dist-info/METADATA": "metadata",
+        "upstream:docs/a.txt": "prose", "upstream:examples/e.py": "example", "upstream:app/page.tsx": "page",
+    }
+    assert {r.file for r in files.plan(rows.withColumn("eco", F.lit("npm")), public_api=True).collect()} >= {"lib/b.d.mts", "internal/i.d.ts"}
+    assert {r.file for r in files.plan(rows.withColumn("eco", F.lit("pypi")).filter("file not like '%.d.%'")).collect()}.isdisjoint({"pkg/main.go", "dist/run.js"})
     z, t = io.BytesIO(), io.BytesIO()
     with zipfile.ZipFile(z, "w") as f:
         f.writestr("ok/a.md", "hello")
