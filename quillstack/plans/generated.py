@@ -47,11 +47,11 @@ GENERATED: dict[str, str] = {
     "asked_symbols": f"SELECT DISTINCT CASE p % 4 WHEN 0 THEN 'C' || {_s('g')} || '.m' || {_s('p + 1')} WHEN 1 THEN 'M' || {_s('p')} || '()' WHEN 2 THEN 'fn' || {_s('p + 1')} ELSE 'none' || {_s('p')} END AS symbol FROM ({_P}) q0",
     "files": f"""SELECT 'pkg' || {_s('g % 20')} AS package, CASE p % 12 WHEN 0 THEN 'README' || {_s('p')} || '.md' WHEN 1 THEN 'src/a' || {_s('p')} || '.py' WHEN 2 THEN 'src/a' || {_s('p - 1')} || '.pyi' WHEN 3 THEN 'src/own' || {_s('p')} || '.pyi' WHEN 4 THEN 'lib/b' || {_s('p')} || '.d.ts' WHEN 5 THEN 'lib/b' || {_s('p - 1')} || '.d.mts'
       WHEN 6 THEN 'dist/c' || {_s('p')} || '.d.cts' WHEN 7 THEN CASE WHEN g % 2 = 0 THEN 'tests/x' ELSE 'node_modules/y' END || {_s('p')} || '.py' WHEN 8 THEN 'docs/guide' || {_s('p')} || '.mdx' WHEN 9 THEN 'src/m' || {_s('p')} || '_test.go' WHEN 10 THEN 'deep/notes' || {_s('p')} || '.md' ELSE 'lib/s' || {_s('p')} || '.js' END AS file FROM ({_P}) q0""",
-    "stars": f"SELECT 'f' AS package, 's' || {_s('p')} AS file, 's' || {_s('p + 1')} AS target FROM ({_P}) q0 WHERE p % 6 < 4 UNION ALL SELECT 'f' AS package, 's' || {_s('p')} AS file, 's' || {_s('p - 2')} AS target FROM ({_P}) q0 WHERE p % 6 = 3 AND g % 4 = 0 UNION ALL SELECT 'f' AS package, 's' || {_s('p')} AS file, 's' || {_s('p + 2')} AS target FROM ({_P}) q0 WHERE p % 6 < 2",
-    "modules": f"SELECT 'f' AS package, 's' || {_s('p')} AS file, p % 29 = 28 AS incomplete, CAST(NULL AS STRING) AS assignment FROM ({_P}) q0",
-    "exports": f"""SELECT 'f' AS package, 's' || {_s('p')} AS file, CASE p % 4 WHEN 3 THEN 'default' ELSE 'v' || {_s('p')} END AS name, CASE WHEN p % 5 = 0 THEN 'named' ELSE 'local' END AS kind, CASE WHEN p % 5 = 0 THEN 's' || {_s('p + 7')} END AS target_file, CASE WHEN p % 5 = 0 THEN 'v' || {_s('p + 7')} ELSE 'w' || {_s('p')} END AS target_name FROM ({_P}) q0""",
-    "roots": f"SELECT 'f' AS package, CASE WHEN p = 0 THEN 'f' ELSE 'f/' || {_s('p')} END AS import, '' AS conditions, 's' || {_s('p')} AS file FROM ({_P}) q0 WHERE p % 6 = 0",
-    "declared": f"SELECT 'f' AS package, p AS entry_id, CASE WHEN p % 31 = 30 THEN 'doc' ELSE 'function' END AS kind, 'w' || {_s('p')} AS name, 'w' || {_s('p')} AS path, 's' || {_s('p')} AS file, 'w(' || {_s('p % 3')} || ')' AS sig, CAST(p AS INT) AS line FROM ({_P}) q0",
+    "stars": f"SELECT 'f' || {_s('CAST(floor(p / 60) AS BIGINT)')} AS package, 's' || {_s('p')} AS file, 's' || {_s('p + 1')} AS target FROM ({_P}) q0 WHERE p % 6 < 4 UNION ALL SELECT 'f' || {_s('CAST(floor(p / 60) AS BIGINT)')} AS package, 's' || {_s('p')} AS file, 's' || {_s('p - 2')} AS target FROM ({_P}) q0 WHERE p % 6 = 3 AND g % 4 = 0 UNION ALL SELECT 'f' || {_s('CAST(floor(p / 60) AS BIGINT)')} AS package, 's' || {_s('p')} AS file, 's' || {_s('p + 2')} AS target FROM ({_P}) q0 WHERE p % 6 < 2",
+    "modules": f"SELECT 'f' || {_s('CAST(floor(p / 60) AS BIGINT)')} AS package, 's' || {_s('p')} AS file, p % 29 = 28 AS incomplete, CAST(NULL AS STRING) AS assignment FROM ({_P}) q0",
+    "exports": f"""SELECT 'f' || {_s('CAST(floor(p / 60) AS BIGINT)')} AS package, 's' || {_s('p')} AS file, CASE p % 4 WHEN 3 THEN 'default' ELSE 'v' || {_s('p')} END AS name, CASE WHEN p % 5 = 0 THEN 'named' ELSE 'local' END AS kind, CASE WHEN p % 5 = 0 THEN 's' || {_s('CAST(floor(p / 60) AS BIGINT) * 60 + (p + 7) % 60')} END AS target_file, CASE WHEN p % 5 = 0 THEN 'v' || {_s('CAST(floor(p / 60) AS BIGINT) * 60 + (p + 7) % 60')} ELSE 'w' || {_s('p')} END AS target_name FROM ({_P}) q0""",
+    "roots": f"SELECT 'f' || {_s('CAST(floor(p / 60) AS BIGINT)')} AS package, CASE WHEN p % 60 = 0 THEN 'f' || {_s('CAST(floor(p / 60) AS BIGINT)')} ELSE 'f' || {_s('CAST(floor(p / 60) AS BIGINT)')} || '/' || {_s('p')} END AS import, '' AS conditions, 's' || {_s('p')} AS file FROM ({_P}) q0 WHERE p % 6 = 0",
+    "declared": f"SELECT 'f' || {_s('CAST(floor(p / 60) AS BIGINT)')} AS package, p AS entry_id, CASE WHEN p % 31 = 30 THEN 'doc' ELSE 'function' END AS kind, 'w' || {_s('p')} AS name, 'w' || {_s('p')} AS path, 's' || {_s('p')} AS file, 'w(' || {_s('p % 3')} || ')' AS sig, CAST(p AS INT) AS line FROM ({_P}) q0",
     "answers": f"SELECT {_s('p')} AS id, CASE p % 3 WHEN 0 THEN 'Use ' || p_name || ' instead of DICT()' WHEN 1 THEN upper(p_name) || ' works; ' || p_brand || ' does not' ELSE p_type END AS answer, split_part(p_name, ' ', 1) AS w1, split_part(p_name, ' ', 2) AS w2, p_brand AS reject FROM ({_P}) q0",
     "packages": f"SELECT CASE WHEN p % 3 = 0 THEN '@scope/' ELSE '' END || 'kit' || {_s('p')} AS name, {_s('p_size % 5')} || '.' || {_s('p % 7')} || '.0' AS version FROM ({_P}) q0",
     "refs": f"""SELECT CASE p % 6 WHEN 0 THEN '@scope/kit' || {_s('p')} || '@' || w WHEN 1 THEN 'kit' || {_s('p')} || '@' || w WHEN 2 THEN 'kit' || {_s('p')} || '-v' || w WHEN 3 THEN 'kit' || {_s('p')} || '-' || w WHEN 4 THEN 'main' || {_s('p')} ELSE 'v' || {_s('p')} END AS ref, {_s('p')} AS oid, p % 2 = 0 AS peeled FROM (SELECT *, {_s('p_size % 5')} || '.' || {_s('p % 7')} || '.0' AS w FROM ({_P}) q0) q1

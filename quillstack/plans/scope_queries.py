@@ -58,14 +58,14 @@ def canonical_barrels(spark, sf_dir):
     return exports.canonical(own).select("file", "canonical")
 
 
-@query(f"""WITH RECURSIVE {SURFACE}, one AS (SELECT file, min(target) AS next FROM {STARS} s GROUP BY file HAVING count(*) = 1), own AS (SELECT r.import, r.file, s.names FROM {ROOTS} r LEFT JOIN surface s USING (import) JOIN {MODULES} m ON m.file = r.file)
-SELECT a.import, b.import AS other FROM own a, own b WHERE a.import = b.import OR a.file = b.file OR (a.import = 'f' AND a.names IS NOT NULL AND b.names IS NOT NULL AND NOT list_has_any(a.names, b.names))""")
+@query(f"""WITH RECURSIVE {SURFACE}, one AS (SELECT file, min(target) AS next FROM {STARS} s GROUP BY file HAVING count(*) = 1), own AS (SELECT r.package, r.import, r.file, s.names FROM {ROOTS} r LEFT JOIN surface s USING (import) JOIN {MODULES} m ON m.file = r.file)
+SELECT a.import, b.import AS other FROM own a JOIN own b USING (package) WHERE a.import = b.import OR a.file = b.file OR (a.import = package AND a.names IS NOT NULL AND b.names IS NOT NULL AND NOT list_has_any(a.names, b.names))""")
 def compatible_imports(spark, sf_dir):
     return exports.compatible_imports(frame(spark, sf_dir, "roots"), graph(spark, sf_dir)).select("import", "other")
 
 
-RESOLVE = f"""q AS (SELECT DISTINCT 'v' || CAST(substr(file, 2) AS BIGINT) AS symbol FROM {EXPORTS} e WHERE CAST(substr(file, 2) AS BIGINT) % 3 = 0),
-state AS (SELECT symbol, r.import, r.file, symbol AS path FROM q, {ROOTS} r UNION
+RESOLVE = f"""q AS (SELECT DISTINCT package, 'v' || CAST(substr(file, 2) AS BIGINT) AS symbol FROM {EXPORTS} e WHERE CAST(substr(file, 2) AS BIGINT) % 3 = 0),
+state AS (SELECT symbol, r.import, r.file, symbol AS path FROM q JOIN {ROOTS} r USING (package) UNION
  SELECT s.symbol, s.import, n.file, n.path FROM state s, LATERAL (SELECT e.target_file AS file, e.target_name AS path FROM {EXPORTS} e WHERE e.file = s.file AND e.name = s.path AND e.kind = 'named'
    UNION ALL SELECT t.target, s.path FROM {STARS} t WHERE t.file = s.file AND EXISTS (SELECT 1 FROM {MODULES} m WHERE m.file = s.file) AND NOT EXISTS (SELECT 1 FROM {EXPORTS} e WHERE e.file = s.file AND e.name = s.path)) n),
 ends AS (SELECT DISTINCT s.symbol, s.import, e.file, e.target_name AS path FROM state s JOIN {EXPORTS} e ON e.file = s.file AND e.name = s.path WHERE e.kind = 'local'),
@@ -74,7 +74,7 @@ stuck AS (SELECT DISTINCT symbol, import FROM state s LEFT JOIN {MODULES} m USIN
 
 
 @query(f"""WITH RECURSIVE {RESOLVE}, seen AS (SELECT symbol, import, count(DISTINCT entry_id) AS n, count(DISTINCT file || '|' || path) > 1 AND count(DISTINCT sig) > 1 AS amb FROM met WHERE entry_id IS NOT NULL GROUP BY ALL)
-SELECT import, symbol, CASE WHEN amb THEN 'ambiguous' WHEN (symbol, import) IN (SELECT (symbol, import) FROM stuck) THEN 'unresolved' WHEN n IS NULL THEN 'not_exported' ELSE 'exact' END AS status, coalesce(n, 0) AS n_entries FROM q CROSS JOIN (SELECT DISTINCT import FROM {ROOTS} r) LEFT JOIN seen USING (symbol, import)""")
+SELECT import, symbol, CASE WHEN amb THEN 'ambiguous' WHEN (symbol, import) IN (SELECT (symbol, import) FROM stuck) THEN 'unresolved' WHEN n IS NULL THEN 'not_exported' ELSE 'exact' END AS status, coalesce(n, 0) AS n_entries FROM q JOIN (SELECT DISTINCT package, import FROM {ROOTS} r) USING (package) LEFT JOIN seen USING (symbol, import)""")
 def export_statuses(spark, sf_dir):
     """What each import makes of each symbol: exact, ambiguous, unresolved or not exported."""
     roots, own = frame(spark, sf_dir, "roots"), graph(spark, sf_dir)
@@ -166,20 +166,20 @@ def names_import(spark, sf_dir):
     return p.select("p", F.concat("package", F.lit("/sub")).alias("import"), scopes.mentions_import(text, F.concat("package", F.lit("/sub"))).alias("named"))
 
 
-@query(f"""WITH RECURSIVE {SURFACE}, edges AS (SELECT file, target FROM {STARS} s UNION SELECT file, target_file FROM {EXPORTS} e WHERE target_file IS NOT NULL), reach2 AS (SELECT import, file FROM {ROOTS} r WHERE import = 'f' UNION SELECT r.import, s.target FROM reach2 r JOIN edges s ON s.file = r.file),
-own AS (SELECT r.import, s.names FROM {ROOTS} r LEFT JOIN surface s USING (import)), ok AS (SELECT b.import FROM own a, own b WHERE a.import = 'f' AND (b.import = 'f' OR (a.names IS NOT NULL AND b.names IS NOT NULL AND NOT list_has_any(a.names, b.names)))),
-e AS (SELECT p AS entry_id, CASE WHEN p % 2 = 0 THEN 'doc' ELSE 'function' END AS kind, 'e' || (p % 300) AS path, 's' || p AS file, CASE WHEN p % 4 = 0 THEN 'f/' || p ELSE 'other/x' END AS imp FROM (SELECT CAST(p_partkey AS BIGINT) AS p FROM part) z),
-k AS (SELECT * FROM e WHERE CASE WHEN kind = 'doc' THEN NOT starts_with(imp, 'f/') OR imp IN (SELECT import FROM ok) ELSE file IN (SELECT file FROM reach2) END)
-SELECT min(entry_id) AS entry_id, path, kind FROM k GROUP BY path, kind""")
+@query(f"""WITH RECURSIVE {SURFACE}, edges AS (SELECT file, target FROM {STARS} s UNION SELECT file, target_file FROM {EXPORTS} e WHERE target_file IS NOT NULL), reach2 AS (SELECT import, file FROM {ROOTS} r WHERE import = package UNION SELECT r.import, s.target FROM reach2 r JOIN edges s ON s.file = r.file),
+own AS (SELECT r.package, r.import, s.names FROM {ROOTS} r LEFT JOIN surface s USING (import)), ok AS (SELECT package, b.import FROM own a JOIN own b USING (package) WHERE a.import = package AND (b.import = package OR (a.names IS NOT NULL AND b.names IS NOT NULL AND NOT list_has_any(a.names, b.names)))),
+e AS (SELECT 'f' || p // 60 AS package, p AS entry_id, CASE WHEN p % 2 = 0 THEN 'doc' ELSE 'function' END AS kind, 'e' || (p % 40) AS path, 's' || p AS file, CASE WHEN p % 4 = 0 THEN 'f' || p // 60 || '/' || p ELSE 'other/x' END AS imp FROM (SELECT CAST(p_partkey AS BIGINT) AS p FROM part) z),
+k AS (SELECT * FROM e WHERE CASE WHEN kind = 'doc' THEN NOT starts_with(imp, 'f') OR (package, imp) IN (SELECT (package, import) FROM ok) ELSE file IN (SELECT file FROM reach2) END)
+SELECT package, min(entry_id) AS entry_id, path, kind FROM k GROUP BY package, path, kind""")
 def import_scope(spark, sf_dir):
     """Entries that suit the root import: prose whose imports are compatible, declarations that it reaches, without repetitions."""
     p = table(spark, sf_dir, "part").selectExpr("cast(p_partkey as bigint) p")
-    entries = p.selectExpr("'f' AS package", "p AS entry_id", "CASE WHEN p % 2 = 0 THEN 'doc' ELSE 'function' END AS kind", "concat('e', p % 300) AS path", "CASE WHEN p % 2 = 0 THEN 'prose' ELSE 'code' END AS sig", "'' AS doc", "concat('s', p) AS file", "array(CASE WHEN p % 4 = 0 THEN concat('f/', p) ELSE 'other/x' END) AS imports")
-    wanted = spark.createDataFrame([("f", "f")], "package string, import string")
-    return scopes.docs_entries(entries, frame(spark, sf_dir, "roots"), graph(spark, sf_dir), wanted).select("entry_id", "path", "kind")
+    entries = p.selectExpr("concat('f', p div 60) AS package", "p AS entry_id", "CASE WHEN p % 2 = 0 THEN 'doc' ELSE 'function' END AS kind", "concat('e', p % 40) AS path", "CASE WHEN p % 2 = 0 THEN 'prose' ELSE 'code' END AS sig", "'' AS doc", "concat('s', p) AS file", "array(CASE WHEN p % 4 = 0 THEN concat('f', p div 60, '/', p) ELSE 'other/x' END) AS imports")
+    wanted = entries.select("package", F.col("package").alias("import")).distinct()
+    return scopes.docs_entries(entries, frame(spark, sf_dir, "roots"), graph(spark, sf_dir), wanted).select("package", "entry_id", "path", "kind")
 
 
-@query(f"""WITH RECURSIVE ask AS (SELECT CAST(substr(file, 2) AS BIGINT) AS question_id, 'w' || substr(file, 2) AS called, 'v' || substr(file, 2) AS other, r.import, r.file FROM {ROOTS} r), {RESOLVE.replace(f"SELECT symbol, r.import, r.file, symbol AS path FROM q, {ROOTS} r UNION", "SELECT called AS symbol, a.import, a.file, called AS path FROM ask a UNION").replace("q AS (", "q0 AS (").replace(EXPORTS, f"(SELECT * REPLACE (CASE WHEN kind = 'local' THEN target_name ELSE name END AS name) FROM {EXPORTS} y)")}
+@query(f"""WITH RECURSIVE ask AS (SELECT CAST(substr(file, 2) AS BIGINT) AS question_id, 'w' || substr(file, 2) AS called, 'v' || substr(file, 2) AS other, r.import, r.file FROM {ROOTS} r), {RESOLVE.replace(f"SELECT symbol, r.import, r.file, symbol AS path FROM q JOIN {ROOTS} r USING (package) UNION", "SELECT called AS symbol, a.import, a.file, called AS path FROM ask a UNION").replace("q AS (", "q0 AS (").replace(EXPORTS, f"(SELECT * REPLACE (CASE WHEN kind = 'local' THEN target_name ELSE name END AS name) FROM {EXPORTS} y)")}
 SELECT a.question_id, m.entry_id FROM ask a JOIN met m ON m.symbol = a.called AND m.import = a.import WHERE m.entry_id IS NOT NULL AND (a.called, a.import) NOT IN (SELECT (symbol, import) FROM stuck)""")
 def called_exports(spark, sf_dir):
     """APIs that a question calls by name and that its import exports without doubt."""
