@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 from functools import reduce
 
@@ -10,6 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..operators.lineage import cut, shared_folder, spread
+
+__all__ = ["ascii_lower", "bounded_sample", "buckets_for", "components", "cut", "fresh", "ranked", "shared_folder", "slices", "spread", "table"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -46,25 +49,6 @@ def slices(text: str, limit: int) -> Iterator[str]:
     yield text[start:]
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, read from files in the shared checkpoint folder, so that a lost executor costs one stage.
-
-    The folder is that of ``shared_folder``.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only a session within one process (tests) gets a local folder where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None and not spark.sparkContext.master.partition("[")[0] == "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return (folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp")).rstrip("/")
-
-
 def buckets_for(df: DataFrame) -> int:
     """How many parts to deal one key into: as many as the session's shuffles have, at least 16."""
     return max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import spread
+
 #: Bytes of benchmark text whose automaton a Python worker may hold; a larger benchmark is scanned in blocks of this size.
 AUTOMATON_BYTES = 4 << 20
 #: In UTF-8, words are runs of digits, ASCII letters and bytes from 0x80 on; all else separates.
@@ -83,7 +85,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     schema = T.StructType([*kept.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("hit_runs", runs), T.StructField("hit_items", T.ArrayType(T.StringType())), T.StructField("hit_spans", runs)])
     pairs = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
     inputs, outputs = kept.columns, schema.names
-    out = kept
+    out = spread(kept)
     for block in range(blocks):
         part = bench if blocks == 1 else bench.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block)
         items = [(r["item"], r["text"]) for r in part.collect()]

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, cut
+from .common import bounded_sample, cut, spread
 
 #: Length of all vectors, documents learned from for each language, and the most languages.
 DIMENSIONS, PER_LANGUAGE, MAX_LANGUAGES = 1024, 2000, 1000
@@ -187,7 +187,7 @@ def predict(docs: DataFrame, names: list[str], vectors: np.ndarray, text_col: st
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in inputs], pa.array(lang, pa.string()), pa.array(score)], names=[*inputs, "lang_pred", "score"])
 
     schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    found = source.mapInArrow(run, schema)
+    found = spread(source).mapInArrow(run, schema)
     if least is not None:
         found = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).drop("lang_pred", "score")
     return found.withColumnsRenamed({f"__c{i}": c for i, c in enumerate(carry)})

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import spread
 from .decontaminate import spans, words
 from .near_duplicates import SHINGLE, runs
 
@@ -207,7 +208,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | DataFrame | None
                     rows.append([{"license": n, "start": s, "end": e, "containment": share} for (n, _, _, share), (s, e) in zip(own, places, strict=True)])
                 yield pa.RecordBatch.from_arrays([batch.column("__id"), pa.array(rows, arrow)], names=["__id", "matches"])
 
-    return source.mapInArrow(run, T.StructType([source.schema["__id"], T.StructField("matches", T.ArrayType(match))])).withColumnRenamed("__id", id_col)
+    return spread(source).mapInArrow(run, T.StructType([source.schema["__id"], T.StructField("matches", T.ArrayType(match))])).withColumnRenamed("__id", id_col)
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, ranked, slices
+from .common import cut, ranked, slices, spread
 
 #: Characters of a long text that are encoded at a time.
 LONG = 1 << 20
@@ -97,7 +97,7 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
                 columns += [pa.array(parts, pa.list_(pa.int32()))] * with_ids
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 
-    return source.mapInArrow(run, T.StructType(fields))
+    return spread(source).mapInArrow(run, T.StructType(fields))
 
 
 def best_two_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, cut, slices
+from .common import bounded_sample, cut, slices, spread
 from .language_id import fold
 
 #: Bound of the fit: labelled examples of each class.
@@ -348,7 +348,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             score = np.array([f[0] for f in found], dtype=np.float64)
             yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array([f[1] for f in found], pa.list_(pa.int64()))], names=[id_col, "score", "predicted", "evidence"])
 
-    return source.mapInArrow(run, T.StructType([source.schema[id_col], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", T.ArrayType(T.LongType()))]))
+    return spread(source).mapInArrow(run, T.StructType([source.schema[id_col], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", T.ArrayType(T.LongType()))]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

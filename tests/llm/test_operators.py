@@ -189,6 +189,7 @@ def test_jaccard_join_matches_brute_force(docs, empty, table):
 
 def test_large_groups_are_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_duplicates, "BLOCK", 8)
+    monkeypatch.setattr(near_duplicates, "BUCKET", 8)
     monkeypatch.setattr(near_duplicates, "LEAST_BLOCK", 4)
     monkeypatch.setattr(near_duplicates, "REPRESENTATIVES", 2)
     rng = random.Random(3)
