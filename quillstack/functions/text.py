@@ -156,8 +156,12 @@ def legacy_file(file: Column, major: Column) -> Column:
     return F.coalesce(old, F.lit(False)) & (major > 1)
 
 
+# Words of a question about what changed between versions.
+CHANGE_WORDS = ("change", "migrat", "upgrad", "breaking", "deprecat", "removed", "renamed", "new in", "since", "release", "what's new", "differen")
+
+
 def change_intent(question: Column) -> Column:
-    return F.regexp(F.lower(question), F.lit(r"change|migrat|upgrad|breaking|deprecat|removed|renamed|new in|since|release|what's new|differen"))
+    return F.regexp(F.lower(question), F.lit("|".join(CHANGE_WORDS)))
 
 
 def identifiers(question: Column) -> Column:

@@ -93,7 +93,7 @@ def est_tokens(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.est_tokens(F.col("text")).cast("long").alias("est_tokens"), F.size(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}]+)"), 1)).cast("long").alias("n_words"))
 
 
-@query(f"SELECT item_id AS question_id, regexp_matches(lower(text), 'change|migrat|upgrad|breaking|deprecat|removed|renamed|new in|since|release|what''s new|differen') AS changes FROM benchmark")
+@query(f"SELECT item_id AS question_id, regexp_matches(lower(text), '{"|".join(X.CHANGE_WORDS).replace("'", "''")}') AS changes FROM benchmark")
 def change_intent(spark, sf_dir):
     return asked(spark, sf_dir).select("question_id", X.change_intent(F.col("text")).alias("changes"))
 
