@@ -110,7 +110,7 @@ def resolve(asked: DataFrame, roots: DataFrame, graph: dict[str, DataFrame], ent
     state = ["package", "symbol", "import", "conditions", "root", "file", "path"]
     group = state[:5]
     now = cut(asked.select("package", "symbol").distinct().join(roots, "package").select("package", "symbol", "import", "conditions", F.col("file").alias("root"), "file", F.col("symbol").alias("path")).distinct())
-    seen, declared, lost = now, [], []
+    seen, declared, lost = now, [now.limit(0).select(*group, "file", "path")], []
     exports = graph["exports"].select("package", "file", "name", F.struct("kind", "target_file", "target_name").alias("e"))
     imports = graph["imports"].select("package", "file", F.col("name").alias("local"), F.struct("kind", "target_file", "target_name").alias("i"))
     modules = graph["modules"].select("package", "file", "incomplete", "assignment", F.lit(True).alias("there"))

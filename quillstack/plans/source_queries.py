@@ -336,3 +336,16 @@ def refresh_cached_docs(spark, sf_dir):
     cached = p.selectExpr("p AS key", "p_size % 9 AS format", "CASE WHEN p % 3 = 0 THEN concat('c', p) END AS commit", "cast(null as string) AS site", "CASE WHEN p % 2 = 0 THEN 0 ELSE 5 END AS files", "p % 7 <> 0 AS sites_checked")
     tried = p.selectExpr("p AS key", "p % 4 <> 1 AS ok", "'offline' AS error", "concat('new', p) AS commit", "cast(null as string) AS site", "9 AS files")
     return pages.refresh(cached, tried, explicit=True).select("key", "format", "commit", "note", "refreshed")
+
+
+@query(f"""WITH p AS ({PAGE}), f AS (SELECT 'kit' || (p // 8) AS package, CASE p % 4 WHEN 0 THEN 'package.json' WHEN 1 THEN 'x/METADATA' ELSE 'src/a' || p || '.ts' END AS file, p_size AS bytes, p AS modified FROM p),
+s AS (SELECT package, sha256(string_agg(file || ':' || bytes || ':' || modified, ';' ORDER BY file || ':' || bytes || ':' || modified)) AS stamp, CAST(substr(package, 4) AS BIGINT) AS k FROM f WHERE NOT starts_with(file, 'src/') GROUP BY package)
+SELECT package, CASE k % 5 WHEN 0 THEN 'new' WHEN 1 THEN 'changed' WHEN 2 THEN 'format' ELSE 'gone' END AS state FROM s WHERE k % 5 < 4""")
+def stale_packages(spark, sf_dir):
+    """Packages whose index must be built anew or dropped, by format and by a stamp of their manifests."""
+    p = table(spark, sf_dir, "part").selectExpr("cast(p_partkey as bigint) p", "p_size")
+    own = p.selectExpr("concat('kit', p div 8) AS package", "CASE p % 4 WHEN 0 THEN 'package.json' WHEN 1 THEN 'x/METADATA' ELSE concat('src/a', p, '.ts') END AS file", "p_size AS bytes", "p AS modified")
+    k = F.substring("package", 4, 20).cast("long") % 5
+    now = files.stamps(own).withColumn("format", F.lit(2))
+    indexed = now.filter(k != 0).withColumns({"stamp": F.when(k == 1, "other").otherwise(F.col("stamp")), "format": F.when(k == 2, 1).otherwise(F.col("format"))})
+    return files.stale(indexed, now.filter(k != 3))

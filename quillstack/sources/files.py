@@ -133,3 +133,22 @@ def unpack(archives: DataFrame) -> DataFrame:
 def usage(files: DataFrame) -> DataFrame:
     """Number and bytes of files by package."""
     return files.groupBy("package").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"))
+
+
+# Files of a package whose change means that it was modified in place.
+PROBES = ("package.json", "Cargo.toml", "go.mod", "METADATA", "RECORD")
+
+
+def stamps(files: DataFrame) -> DataFrame:
+    """``package, stamp``: a hash of the size and time of the files (``package, file, bytes, modified``) that tell whether a package was modified in place."""
+    probe = files.filter(base_name(F.col("file")).isin(*PROBES))
+    parts = F.array_sort(F.collect_list(F.concat_ws(":", "file", F.col("bytes").cast("string"), F.col("modified").cast("string"))))
+    return probe.groupBy("package").agg(F.sha2(F.array_join(parts, ";"), 256).alias("stamp"))
+
+
+def stale(indexed: DataFrame, now: DataFrame) -> DataFrame:
+    """``package, state`` of packages whose index (``package, format, stamp``) can't be used: new, changed, of another format (``now`` has ``package, format, stamp``), or gone."""
+    old = indexed.select("package", F.col("format").alias("old_format"), F.col("stamp").alias("old_stamp"))
+    both = now.join(old, "package", "full")
+    state = F.when(F.col("old_stamp").isNull(), "new").when(F.col("stamp").isNull(), "gone").when(F.col("format") != F.col("old_format"), "format").when(F.col("stamp") != F.col("old_stamp"), "changed")
+    return both.select("package", state.alias("state")).filter("state is not null")

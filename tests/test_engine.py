@@ -7,6 +7,7 @@ from quillstack.functions import text as X
 from quillstack.operators import packages, relational, retrieval, symbols, upgrade
 from quillstack.plans import engine
 from quillstack.plans.fixtures import frame
+from quillstack.sources import modules
 from quillstack.streaming import incremental
 
 
@@ -124,3 +125,34 @@ def test_stream_keeps_the_same_state_as_a_batch(spark, tmp_path):
     assert sorted((r.key, r.seq, r.part) for r in spark.read.parquet(places).collect()) == [(k, 35 + k, 3) for k in range(5)]
     events = spark.sql("SELECT timestamp'2024-01-01 00:10:00' AS ts, 'a' AS k UNION ALL SELECT timestamp'2024-01-01 00:50:00', 'a' UNION ALL SELECT timestamp'2024-01-01 01:10:00', 'b'")
     assert sorted((r.k, r.n) for r in incremental.window_counts(events, "ts", "k").collect()) == [("a", 2), ("b", 1)]
+
+
+def test_engine_answers_within_an_import(spark):
+    sources = {
+        "index.d.ts": "/** Parses a value strictly. */\nexport declare function parse(x: string): Value;\nexport declare class Value {\n  /** Rejects unknown keys. */\n  strict(): Value;\n}\n",
+        "fresh/index.d.ts": "/** Parses a value in the new way. */\nexport declare function parse(x: string, how: Mode): Value;\n", "inner/hidden.d.ts": "/** Parses what nobody may see. */\nexport declare function parse(): never;\n",
+    }
+    readme = "# Kit\nEverything about parsing values.\n\n## Parse\n```ts\nimport { parse } from 'kit'\n```\nParse strictly with it.\n\n## Fresh parse\n```ts\nimport { parse } from 'kit/fresh'\n```\nParse in the new way.\n"
+    rows = [("kit", f, "ts", t) for f, t in sources.items()] + [("kit", "README.md", "prose", readme), ("other", "README.md", "prose", "# Other\nParse values, parse values.\n")]
+    found = spark.createDataFrame(rows, "package string, file string, how string, text string")
+    typed = found.filter("how = 'ts'")
+    roots = modules.roots(spark.createDataFrame([("kit", '{"exports": {".": "./index.d.ts", "./fresh": "./fresh/index.d.ts"}}')], "package string, manifest string"), typed)
+    entries = engine.Engine.build_index(found, spark.createDataFrame([("npm", "kit", "1.2.0"), ("npm", "other", "1.0.0")], "eco string, package string, version string"), by_file=True).persist()
+    deps = spark.createDataFrame([("npm", "kit", "kit", "1.2.0", True), ("npm", "other", "other", "1.0.0", True)], "eco string, name string, norm_name string, version string, direct boolean")
+    e = engine.Engine(spark, deps, frame(spark, "sources"), entries, roots=roots.persist(), graph={k: v.persist() for k, v in modules.graph(typed).items()})
+    asked = spark.createDataFrame([(1, "How do I call parse(x) of kit?"), (2, "the new way of kit/fresh to parse, kit"), (3, "parse values")], "question_id long, text string")
+    hits = e.docs(asked).orderBy("question_id", "rank").collect()
+    of = lambda q: [r.file for r in hits if r.question_id == q]
+    assert of(1)[0] == "index.d.ts" and [r.called for r in hits if r.question_id == 1][0] == 1 and not any(f.startswith(("fresh/", "inner/")) for f in of(1))
+    assert "fresh/index.d.ts" in of(2) and "index.d.ts" not in of(2) and all("kit'" not in r.doc for r in hits if r.question_id == 2)
+    assert {r.package for r in hits if r.question_id == 3} == {"kit", "other"} and {r.package for r in hits if r.question_id == 1} == {"kit"}
+    assert {r.package for r in e.docs(asked.filter("question_id = 3"), "npm:kit/fresh@1").collect()} == {"kit"}
+    status = {r.symbol: r.status for r in e.exported(spark.createDataFrame([("kit", "kit", "Value.strict"), ("kit", "kit", "hidden")], "package string, import string, symbol string")).collect()}
+    assert status == {"Value.strict": "exact", "hidden": "not_exported"}
+
+
+def test_blocks_are_cut_to_the_budget(spark):
+    rows = spark.createDataFrame([(1, 0, "a" * 90 + "\n"), (1, 1, "```js\n" + "line of code\n" * 60), (1, 2, "x"), (2, 0, "y\n" * 10)], "q long, rank int, block string")
+    out = {(r.q, r.rank): (r.block, r.trimmed) for r in relational.pack_blocks(rows, "q", [F.col("rank")], "block", 200).collect()}
+    assert set(out) == {(1, 0), (1, 1), (2, 0)} and out[(1, 1)][1] and out[(1, 1)][0].endswith("```\n[cut to fit the budget]\n") and len(out[(1, 1)][0]) < 560
+    assert not out[(1, 0)][1] and out[(2, 0)][0] == "y\n" * 10

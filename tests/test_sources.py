@@ -8,7 +8,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from quillstack.sources import files, lockfiles, markdown, symbols
+from quillstack.sources import files, lockfiles, markdown, pages, projects, symbols
 
 NPM = json.dumps({"packages": {"": {"dependencies": {"a": "^1"}}, "packages/w": {"devDependencies": {"@s/b": "1"}}, "node_modules/a": {"version": "1.2.0"}, "node_modules/@s/b": {"version": "2.0.0"}, "node_modules/a/node_modules/c": {"version": "3.0.0"},
                                "node_modules/l": {"link": True, "version": "1.0.0"}, "node_modules/alias": {"name": "real", "version": "4.0.0"}, "node_modules/g": {"version": "0.1.0", "resolved": "git+ssh://git@host/g.git#abc"}}})
@@ -115,3 +115,24 @@ def test_native_expressions_stay_in_the_jvm(spark):
     df = lockfiles.requirements(spark.createDataFrame([("r.txt", "a==1")], "file string, text string"))
     assert "Python" not in df._jdf.queryExecution().executedPlan().toString().replace("Scan ExistingRDD", "")
     assert df.filter(F.col("name") == "a").count() == 1
+
+
+def test_what_is_installed_stands_for_a_lockfile(spark):
+    listed = [
+        ("/w/a/app/package.json", '{"dependencies": {"x": "1", "y": "2"}, "devDependencies": {"z": "1"}}'), ("/w/a/app/node_modules/x/package.json", '{"version": "1.0.0"}'), ("/w/a/node_modules/x/package.json", '{"version": "0.9.0"}'), ("/w/a/node_modules/@s/n/package.json", '{"version": "3.0.0"}'),
+        ("/w/a/node_modules/z/package.json", '{"version": "1.5.0"}'), ("/w/a/app/pyproject.toml", '[project]\ndependencies = ["Some_thing>=1"]\n'), ("/w/a/app/.venv/pyvenv.cfg", ""), ("/w/a/app/.venv/lib/python3.12/site-packages/some_thing-1.2.dist-info/METADATA", "Name: x"),
+        ("/w/a/app/.venv/lib/python3.12/site-packages/some_thing-1.2.dist-info/RECORD", 'some/a.py,sha,1\n../bin/x,,\nsome_thing-1.2.dist-info/RECORD,,\nsome/__pycache__/a.pyc,,\n'), ("/w/a/app/.venv/lib/python3.12/site-packages/other-2.0.dist-info/METADATA", ""), ("/w/a/package-lock.json", '{"packages": {"node_modules/never": {"version": "1"}}}'), ("/w/a/app/.git/HEAD", ""),
+    ]
+    table = spark.createDataFrame(listed, "path string, text string")
+    roots = spark.createDataFrame([("a", "/w/a/app")], "project string, root string")
+    got = {(r.eco, r.name, r.version, r.direct, r.origin) for r in projects.load(roots, table).collect()}
+    assert got == {("npm", "x", "1.0.0", True, "node_modules"), ("npm", "z", "1.5.0", True, "node_modules"), ("pypi", "some-thing", "1.2", True, "site-packages"), ("pypi", "other", "2.0", False, "site-packages")}
+    assert [r.file for r in projects.recorded(table).collect()] == ["some/a.py"]
+
+
+def test_pages_and_routes():
+    text = 'import X from "y";\nexport const metadata = { title: "Set up", description: "How to." };\nconst steps = [\n  { title: "Get it", body: <p>Run <code>add</code> now.</p>, code: { lang: "sh", code: "npm i" } },\n];\nexport default () => <div>\n<h2 id="m">More</h2>\n<p>After.</p>\n</div>;\n'
+    body, title = pages.page_markdown(text)
+    assert title == "Set up" and [line for line in body.split("\n") if line] == ["How to.", "## Get it", "Run `add` now.", "```sh", "npm i", "```", "## More", "After."]
+    assert pages.route("upstream:app/(docs)/install/page.tsx") == "app/install" or pages.route("upstream:app/(docs)/install/page.tsx").endswith("install")
+    assert pages.page_markdown("x" * 300_000) == ("", None)
