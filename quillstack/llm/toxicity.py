@@ -88,13 +88,13 @@ def build_index(terms: dict[str, int], idf: np.ndarray, examples: list[tuple[int
 
 
 def index_of(terms: dict[str, int], idf: np.ndarray, unknown: float, ids: np.ndarray, toxic: np.ndarray, row: np.ndarray, term: np.ndarray, tf: np.ndarray) -> Index:
-    """``row, term, tf``: the counts of each example's terms. Similar examples stand together, which sharpens block maxima."""
+    """``row, term, tf``: the counts of each example's terms, in order of rows. Similar examples stand together, which sharpens block maxima."""
     w = (1 + np.log(tf)) * idf[term]
     w /= np.sqrt(np.bincount(row, w * w, len(ids)))[row]
-    heavy = np.lexsort((term, -w, row))
-    heavy = term[heavy[np.searchsorted(row[heavy], np.arange(len(ids)))]]
+    first = np.searchsorted(row, np.arange(len(ids) + 1))
+    heavy = np.array([term[a:b][w[a:b] == w[a:b].max()].min() for a, b in zip(first, first[1:], strict=False)])
     order = np.lexsort((ids, toxic, heavy))
-    place = np.empty(len(ids), dtype=np.int64)
+    place = np.empty(len(ids), dtype=np.int32)
     place[order] = np.arange(len(ids))
     by_term = np.lexsort((place[row], term))
     example, weight, term = place[row][by_term], w[by_term], term[by_term]
@@ -235,10 +235,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     lists = rows.column("t").combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
     flat = lists.flatten()
-    row = np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy()))
+    row = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(lists.offsets.to_numpy()))
     words = flat.field("term").dictionary_encode()
-    term, tf = words.indices.to_numpy().astype(np.int64), flat.field("tf").to_numpy()
+    term, tf = words.indices.to_numpy().astype(np.int32), flat.field("tf").to_numpy().astype(np.int32)
     place = {w: i for i, w in enumerate(words.dictionary.to_pylist())}
+    ids, toxic = ids.copy(), toxic.copy()
+    del rows, lists, flat, words  # the driver holds the sample's counts once
     weight = weights_of(np.bincount(term, toxic[row], len(place)), np.bincount(term, minlength=len(place)), n1, n0)
     weight += np.array([0.0 if "*" in w or "@" in w else BASE for w in place])
     idf = (np.log((1 + n1 + n0) / (1 + np.bincount(term, minlength=len(place)))) + 1) * weight
@@ -246,8 +248,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     share = n1 / (n1 + n0)
     at = {int(d): i for i, d in enumerate(index.ids)}
     first = np.searchsorted(row, np.arange(len(ids) + 1))
-    own = [(term[a:b], w / np.linalg.norm(w)) for a, b in zip(first, first[1:], strict=False) for w in [(1 + np.log(tf[a:b])) * idf[term[a:b]]]]
-    x = [vote(index, *found, share, prior) for k in range(0, len(own), QUERIES) for found in nearest(index, own[k : k + QUERIES], NEIGHBOURS, [at[int(d)] for d in ids[k : k + QUERIES]])]
+    x = []
+    for k in range(0, len(ids), QUERIES):
+        own = [(term[a:b], w / np.linalg.norm(w)) for a, b in zip(first[k : k + QUERIES], first[k + 1 : k + 1 + QUERIES], strict=False) for w in [(1 + np.log(tf[a:b])) * idf[term[a:b]]]]
+        x += [vote(index, *found, share, prior) for found in nearest(index, own, NEIGHBOURS, [at[int(d)] for d in ids[k : k + QUERIES]])]
     x, y = np.array(x), toxic.astype(np.int64)
     # Each class weighs as it does among all labels.
     slope, offset = calibrate(x, y, np.where(y == 1, prior / n1, (1 - prior) / n0) * (n1 + n0))
