@@ -55,3 +55,9 @@ def remove(spark: SparkSession, path: str) -> None:
     """Removes a folder that this library made itself."""
     at, store = _path(spark, path)
     store.delete(at, True)
+
+
+def rename(spark: SparkSession, old: str, new: str) -> None:
+    at, store = _path(spark, old)
+    if not store.rename(at, _path(spark, new)[0]):
+        raise OSError(f"{old} could not be renamed to {new}")

@@ -10,7 +10,13 @@ from pyspark.sql.window import Window as W
 from ..functions import text as X
 from .lineage import cut
 
-SIMILAR, SITES, GUIDES = 0.7, 20, 2
+SIMILAR, SITES, GUIDES, GUIDE_SECTIONS = 0.7, 20, 2, 5
+# What names of files with changes and ways to upgrade contain.
+GUIDE_FILES = ("CHANGELOG", "MIGRAT", "UPGRAD", "BREAKING", "HISTORY", "NEWS")
+
+
+def is_guide(file: Column) -> Column:
+    return F.regexp(F.upper(F.regexp_extract(file, r"([^/]*)$", 1)), F.lit("|".join(GUIDE_FILES)))
 
 
 def deprecated(doc: Column, sig: Column) -> Column:
@@ -112,13 +118,18 @@ def call_sites(files: DataFrame, symbols: DataFrame, marker: str, sites: int = S
 
 def guides(prose: DataFrame, symbols: DataFrame, most: int = GUIDES) -> DataFrame:
     """``path, entry_id``: up to ``most`` sections of changelogs and upgrade guides that mention each symbol."""
-    base = F.upper(F.regexp_extract("file", r"([^/]*)$", 1))
-    own = prose.filter(F.col("kind") == "doc").filter(F.regexp(base, F.lit("CHANGELOG|MIGRAT|UPGRAD|BREAKING|HISTORY|NEWS")))
+    own = prose.filter(F.col("kind") == "doc").filter(is_guide(F.col("file")))
     words = own.select("entry_id", F.explode(F.array_distinct(F.regexp_extract_all("doc", F.lit(r"([\p{L}\p{N}_$]+)"), 1))).alias("name"))
     hits = words.join(symbols, "name").select("path", "entry_id").distinct()
     return hits.withColumn("k", F.row_number().over(W.partitionBy("path").orderBy("entry_id"))).filter(F.col("k") <= most).select("path", "entry_id")
 
 
+def guide_sections(entries: DataFrame, most: int = GUIDE_SECTIONS) -> DataFrame:
+    """``package, entry_id, n``: the first ``most`` sections of each package's changelogs and upgrade guides."""
+    own = entries.filter(F.col("kind") == "doc").filter(is_guide(F.col("file")))
+    return own.withColumn("n", F.row_number().over(W.partitionBy("package").orderBy("entry_id"))).filter(F.col("n") <= most).select("package", "entry_id", "n")
+
+
 def summary(changes: DataFrame, sites: DataFrame) -> DataFrame:
     """Counts of changed symbols and of their call sites by kind of change."""
     n = sites.groupBy("path").agg(F.count("*").alias("n"))

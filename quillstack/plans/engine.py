@@ -212,18 +212,19 @@ class Engine:
         return exports.statuses(wanted, self.roots, self.graph, self.entries)
 
     def api(self, wanted: DataFrame, package: str | None = None) -> DataFrame:
-        """The best declaration of each symbol (``symbol``), whether it is ambiguous, and its other declarations."""
+        """The best declaration of each symbol (``symbol``), whether it is ambiguous (of npm, whose editions differ), and its other declarations."""
         own = self.scope(package)
         hits = symbols.lookup(own, wanted)
         order = W.partitionBy("symbol").orderBy(F.desc("score"), "package", "entry_id")
         best = hits.withColumn("n", F.row_number().over(order)).filter("n = 1").drop("n")
         shown = best.join(own.select("package", "entry_id", "kind", "path", "file", "line", "sig", "doc"), ["package", "entry_id"])
-        found = shown.join(symbols.ambiguous(hits, own), "symbol").join(symbols.overloads(own), ["package", "path", "file"], "left")
+        npm = own.filter(self.ecosystem() == "npm").select("package", "entry_id")
+        found = shown.join(symbols.ambiguous(hits.join(npm, ["package", "entry_id"], "left_semi"), own), "symbol", "left").join(symbols.overloads(own), ["package", "path", "file"], "left")
         return wanted.select("symbol").distinct().join(found, "symbol", "left").withColumn("status", F.when(F.col("entry_id").isNull(), "unresolved").when(F.col("ambiguous"), "ambiguous").otherwise("exact"))
 
     def upgrade(self, old: DataFrame, new: DataFrame, project: DataFrame, marker: str) -> dict[str, DataFrame]:
-        """``changes`` between two versions' entries, the ``sites`` in project files (``file, text``) that use changed symbols, ``guides`` and a ``summary``."""
+        """``changes`` between two versions' entries, the ``sites`` in project files (``file, text``) that use changed symbols, ``guides`` that mention them, the first ``sections`` of guides, and a ``summary``."""
         changes = upgrade.diff(old, new)
         names = changes.select("package", "entry_id").join(old, ["package", "entry_id"]).select("path", "name", "kind")
         sites = upgrade.call_sites(project, names, marker)
-        return {"changes": changes, "sites": sites, "guides": upgrade.guides(new, names.select("path", "name")), "summary": upgrade.summary(changes, sites)}
+        return {"changes": changes, "sites": sites, "guides": upgrade.guides(new, names.select("path", "name")), "sections": upgrade.guide_sections(new), "summary": upgrade.summary(changes, sites)}

@@ -386,3 +386,8 @@ def indexed_questions(spark, sf_dir):
     q = retrieval.cut(X.question_terms(asked(spark, sf_dir), True))
     hits = retrieval.bm25_of(retrieval.postings(whole, "body"), whole.select(F.col("body_len").alias("len")), q)
     return retrieval.top(hits, ["question_id"], 5).select("question_id", "entry_id", "rank")
+
+
+@query(f"SELECT package, entry_id, n FROM (SELECT *, row_number() OVER (PARTITION BY package ORDER BY entry_id) AS n FROM {sql('new_entries')} e WHERE kind = 'doc' AND file = 'CHANGELOG.md') WHERE n <= 5")
+def upgrade_guide_sections(spark, sf_dir):
+    return upgrade.guide_sections(frame(spark, sf_dir, "new_entries")).withColumn("n", F.col("n").cast("long"))

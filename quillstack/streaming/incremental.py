@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.lineage import cut, exists, fitting, remove
+from ..operators.lineage import cut, exists, fitting, remove, rename
 
 
 def latest(changes: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -52,6 +54,24 @@ def maintain(changes: DataFrame, target: str, checkpoint: str, key: str, order:
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def publish(rows: DataFrame, target: str) -> None:
+    """Replaces a table as a whole: its rows are written beside it, the old ones step aside, and come back if the new ones can't take their place."""
+    spark, mark = rows.sparkSession, uuid.uuid4().hex
+    staged, aside = f"{target.rstrip('/')}.staged-{mark}", f"{target.rstrip('/')}.old-{mark}"
+    rows.write.parquet(staged)
+    held = exists(spark, target)
+    if held:
+        rename(spark, target, aside)
+    try:
+        rename(spark, staged, target)
+    except Exception:
+        if held:
+            rename(spark, aside, target)
+        raise
+    if held:
+        remove(spark, aside)
+
+
 def stream_of(spark: SparkSession, path: str, files_at_once: int = 1) -> DataFrame:
     """A stream of the Parquet files of a folder, with their own schema."""
     return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_at_once).parquet(path)

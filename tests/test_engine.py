@@ -156,3 +156,10 @@ def test_blocks_are_cut_to_the_budget(spark):
     out = {(r.q, r.rank): (r.block, r.trimmed) for r in relational.pack_blocks(rows, "q", [F.col("rank")], "block", 200).collect()}
     assert set(out) == {(1, 0), (1, 1), (2, 0)} and out[(1, 1)][1] and out[(1, 1)][0].endswith("```\n[cut to fit the budget]\n") and len(out[(1, 1)][0]) < 560
     assert not out[(1, 0)][1] and out[(2, 0)][0] == "y\n" * 10
+
+
+def test_publishing_replaces_a_table_as_a_whole(spark, tmp_path):
+    target = str(tmp_path / "table")
+    incremental.publish(spark.range(5), target)
+    incremental.publish(spark.range(7, 9), target)
+    assert sorted(r.id for r in spark.read.parquet(target).collect()) == [7, 8] and [p.name for p in tmp_path.iterdir()] == ["table"]
