@@ -26,7 +26,7 @@ BASE, MIN_DF, CHI2 = 0.1, 5, 10.83
 NEIGHBOURS, BLOCK, PULL = 15, 64, 0.5
 #: A term that more than one in DENSE examples have is kept as a row of weights; NEAR softens the vote of a copy.
 #: QUERIES texts are compared with the index at once.
-DENSE, NEAR, QUERIES = 8, 0.01, 128
+DENSE, NEAR, QUERIES = 4, 0.01, 128
 #: Lengths of beginnings of words that are terms.
 PREFIXES = (4, 5, 6)
 #: Shares of a document's words at which a stem counts as a term of its own.
@@ -241,6 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     place = {w: i for i, w in enumerate(words.dictionary.to_pylist())}
     ids, toxic = ids.copy(), toxic.copy()
     del rows, lists, flat, words  # the driver holds the sample's counts once
+    pa.default_memory_pool().release_unused()
     weight = weights_of(np.bincount(term, toxic[row], len(place)), np.bincount(term, minlength=len(place)), n1, n0)
     weight += np.array([0.0 if "*" in w or "@" in w else BASE for w in place])
     idf = (np.log((1 + n1 + n0) / (1 + np.bincount(term, minlength=len(place)))) + 1) * weight
