@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 from hashlib import blake2b
 from math import comb
@@ -33,6 +34,17 @@ _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
+@dataclass(frozen=True)
+class Reading:
+    """How a text becomes words, and how many of these make a shingle."""
+
+    words: Callable[[str | None], list[bytes]]
+    shingle: int
+
+
+JOINED = Reading(words, SHINGLE)
+
+
 @lru_cache(maxsize=1)
 def multipliers() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20240229)
@@ -47,31 +59,31 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-def runs(w: list[bytes]) -> np.ndarray:
-    """64-bit hashes of the runs of ``SHINGLE`` words, in order; a shorter text is one run, one without words none."""
+def runs(w: list[bytes], size: int = SHINGLE) -> np.ndarray:
+    """64-bit hashes of the runs of ``size`` words, in order; a shorter text is one run, one without words none."""
     if not w:
         return np.zeros(0, dtype=np.uint64)
-    if len(w) > LONG + SHINGLE:
-        return np.concatenate([runs(w[i : i + LONG + SHINGLE - 1]) for i in range(0, len(w) - SHINGLE + 1, LONG)])
+    if len(w) > LONG + size:
+        return np.concatenate([runs(w[i : i + LONG + size - 1], size) for i in range(0, len(w) - size + 1, LONG)])
     flat = np.frombuffer(b" ".join(w) + b" ", dtype=np.uint8)
     # Words of 256 bytes or more are replaced by their digests, in every text.
     if np.diff(np.flatnonzero(flat == 32), prepend=-1).max() > 256:
-        return runs([x if len(x) < 256 else blake2b(x, digest_size=32).hexdigest().encode() for x in w])
+        return runs([x if len(x) < 256 else blake2b(x, digest_size=32).hexdigest().encode() for x in w], size)
     up, down = powers(1 << max(16, len(flat).bit_length()))
     with np.errstate(over="ignore"):
         sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum((flat + np.uint64(1)) * up[: len(flat)], dtype=np.uint64)])
         ends = np.flatnonzero(flat == 32) + 1
         starts = np.concatenate([[0], ends[:-1]])
-        first, last = (starts[: len(w) - SHINGLE + 1], ends[SHINGLE - 1 :]) if len(w) >= SHINGLE else (starts[:1], ends[-1:])
+        first, last = (starts[: len(w) - size + 1], ends[size - 1 :]) if len(w) >= size else (starts[:1], ends[-1:])
         x = (sums[last] - sums[first]) * down[first] ^ (last - first).astype(np.uint64)
         x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
         return x ^ x >> np.uint64(31)
 
 
-def shingles(w: list[bytes]) -> np.ndarray:
+def shingles(w: list[bytes], size: int = SHINGLE) -> np.ndarray:
     """The sorted distinct ``runs``."""
-    return np.unique(runs(w))
+    return np.unique(runs(w, size))
 
 
 def minhash(x: np.ndarray) -> np.ndarray:
@@ -177,27 +189,71 @@ def near_in_buckets(batches: Iterator[pa.RecordBatch], similarity: float, tolera
         yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[label[i]])], names=["a", "b"])
 
 
-def verified(sets: list[np.ndarray], sig: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (one of ``left``, one of ``right``; each pair once if these are the same) with at least that Jaccard similarity."""
-    least = least_matches(similarity, tolerance)
-    a = left.astype(np.int64)
-    b = right.astype(np.int64)
+def candidates(sig: np.ndarray, a: np.ndarray, b: np.ndarray, least: tuple[int, ...], once: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``a`` and ``b`` of the pairs whose MinHash values survive; with ``once``, each pair of one list only once."""
     alike = np.zeros((len(a), len(b)), dtype=np.uint8)
     for c in range(STEP):
         alike += sig[a, c][:, None] == sig[b, c][None, :]
     i, j = np.nonzero(alike >= least[0])
-    once = i < j if left is right else np.ones(len(i), dtype=bool)
-    i, j = i[once], j[once]
+    if once:
+        i, j = i[i < j], j[i < j]
     keep = np.concatenate([surviving(sig, a[i[k : k + 100_000]], b[j[k : k + 100_000]], least) + k for k in range(0, len(i), 100_000)] or [np.zeros(0, dtype=np.int64)])
-    i, j = i[keep], j[keep]
+    return i[keep], j[keep]
+
+
+def reaches(common: np.ndarray, size: np.ndarray, other: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the Jaccard similarity of sets of these sizes is at least ``similarity``."""
+    return common * (1 + similarity) >= similarity * (size + other) - 1e-9
+
+
+def one_by_one(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(a, b, strict=True)], dtype=np.int64)
+
+
+def verified(sets: list[np.ndarray], sig: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (one of ``left``, one of ``right``; each pair once if these are the same) with at least that Jaccard similarity."""
+    a = left.astype(np.int64)
+    b = right.astype(np.int64)
+    i, j = candidates(sig, a, b, least_matches(similarity, tolerance), left is right)
     if not len(i):
         return i, j
     size = np.array([len(s) for s in sets])
-    common = intersections(sets, a, b)[i, j] if len(i) > 8 * (len(a) + len(b)) else np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(a[i], b[j], strict=True)])
-    linked = common * (1 + similarity) >= similarity * (size[a[i]] + size[b[j]]) - 1e-9
+    common = intersections(sets, a, b)[i, j] if len(i) > 8 * (len(a) + len(b)) else one_by_one(sets, a[i], b[j])
+    linked = reaches(common, size[a[i]], size[b[j]], similarity)
     return a[i[linked]], b[j[linked]]
 
 
+def spanning(sets: list[np.ndarray], sig: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float, tolerance: float, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Some of the pairs of ``verified``, by which the same items are linked through others.
+
+    In each round every item's first candidate that isn't linked to it yet is verified; what ``rounds`` leave is verified at once.
+    """
+    a = left.astype(np.int64)
+    b = right.astype(np.int64)
+    i, j = candidates(sig, a, b, least_matches(similarity, tolerance), left is right)
+    size = np.array([len(s) for s in sets])
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    label = np.arange(len(sets))
+    for n in range(rounds + 1):
+        apart = label[a[i]] != label[b[j]]
+        i, j = i[apart], j[apart]
+        if not len(i):
+            break
+        if n < rounds:
+            at = np.unique(j, return_index=True)[1]
+            common = one_by_one(sets, a[i[at]], b[j[at]])
+        else:
+            at = np.arange(len(i))
+            common = intersections(sets, a, b)[i, j]
+        linked = at[reaches(common, size[a[i[at]]], size[b[j[at]]], similarity)]
+        found.append((a[i[linked]], b[j[linked]]))
+        label = labels_of(len(sets), np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]))
+        i, j = np.delete(i, at), np.delete(j, at)
+    if not found:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
+
+
 def intersections(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, dense: int = 48, columns: int = 2048) -> np.ndarray:
     """Sizes of the intersections of all sets of ``a`` with all of ``b``.
 
@@ -239,8 +295,9 @@ def intersections(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, dense: i
     return out.astype(np.int64)
 
 
-def verify_groups(batches: Iterator[pa.RecordBatch], similarity: float, tolerance: float) -> Iterator[pa.RecordBatch]:
-    """Per member and task: its root there, linked texts and the documents that these stand for."""
+def verify_groups(batches: Iterator[pa.RecordBatch], similarity: float, tolerance: float, count: bool = True) -> Iterator[pa.RecordBatch]:
+    """Per member and task: its root there, linked texts and the documents that these stand for (of the links found, if not all are counted)."""
+    find = verified if count else spanning
     for t in whole_groups(batches, "task"):
         task = t["task"].to_numpy()
         starts = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1]]))
@@ -254,7 +311,7 @@ def verify_groups(batches: Iterator[pa.RecordBatch], similarity: float, toleranc
             right = np.flatnonzero(side == 1) if (side == 1).any() else left
             if part["cross"][0].as_py() and right is left:
                 continue
-            a, b = verified(sets, sig, left, right, similarity, tolerance)
+            a, b = find(sets, sig, left, right, similarity, tolerance)
             label = labels_of(len(node), a, b)
             n = np.bincount(a, minlength=len(node)) + np.bincount(b, minlength=len(node))
             m = np.bincount(a, docs[b], len(node)) + np.bincount(b, docs[a], len(node))
@@ -265,8 +322,8 @@ def verify_groups(batches: Iterator[pa.RecordBatch], similarity: float, toleranc
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o).astype(np.int64)) for o in outs], names=["node", "root", "texts", "docs"])
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Per row: its id, a hash of its text, a digest of its words, and the MinHash values of its shingles (none: null)."""
+def sketches(docs: DataFrame, id_col: str, text_col: str, reading: Reading = JOINED) -> DataFrame:
+    """Per row: its id, a hash of its text, a digest of its words, the MinHash values of its shingles (none: null) and their number."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
@@ -274,14 +331,22 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for whole in batches:
             for at in range(0, len(whole), 512):
                 batch = whole.slice(at, 512)
-                digest, sig = [], []
+                digest, sig, size = [], [], []
                 for text in batch.column("text"):
-                    w = words(text.as_py())
+                    w = reading.words(text.as_py())
                     digest.append(digest_of(w))
-                    sig.append(minhash(shingles(w)).tobytes() if w else None)
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_hash"), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], names=["id", "text_hash", "digest", "sig"])
+                    own = shingles(w, reading.shingle)
+                    sig.append(minhash(own).tobytes() if w else None)
+                    size.append(len(own))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_hash"), pa.array(digest, pa.binary()), pa.array(sig, pa.binary()), pa.array(size, pa.int64())], names=["id", "text_hash", "digest", "sig", "n_shingles"])
+
+    return spread(source).mapInArrow(run, "id long, text_hash long, digest binary, sig binary, n_shingles long")
+
 
-    return spread(source).mapInArrow(run, "id long, text_hash long, digest binary, sig binary")
+def texts_of(own: DataFrame) -> DataFrame:
+    """The different texts of ``sketches`` with their ``row`` numbers: ``digest, node, id, h, docs, sig``; a text's first row (least id) stands for it."""
+    first = F.min(F.struct(F.coalesce(F.col("id"), F.lit(2**63 - 1)).alias("o"), F.col("row").alias("row"), F.col("id").alias("id"), F.col("text_hash").alias("h")))
+    return own.groupBy("digest").agg(first.alias("f"), F.count("*").alias("docs"), F.first("sig").alias("sig")).select("digest", F.col("f.row").alias("node"), F.col("f.id").alias("id"), F.col("f.h").alias("h"), "docs", "sig")
 
 
 def digest_of(w: list[bytes]) -> bytes:
@@ -289,30 +354,46 @@ def digest_of(w: list[bytes]) -> bytes:
 
 
 def near_representatives(batches: Iterator[pa.RecordBatch], similarity: float, tolerance: float) -> Iterator[pa.RecordBatch]:
-    """Each member with the least of its bucket's representatives that it survives against, or null."""
+    """Each member with those of its bucket's representatives that it is linked to (``near``), and a group of these (``kin``, or null).
+
+    Representatives that survive against one another, or are linked through others, are one group. A member is linked to
+    one representative of every group in which it survives against any; a representative to all that it survives against.
+    """
     least = least_matches(similarity, tolerance)
     for batch in batches:
-        if not len(batch):
-            continue
-        reps = batch.column("reps")
-        n = np.diff(reps.offsets.to_numpy())
-        flat = reps.flatten()
-        row = np.repeat(np.arange(len(batch)), n)
-        own = np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint16).reshape(-1, HASHES)
-        other = np.frombuffer(b"".join(flat.field("sig").to_pylist()), dtype=np.uint16).reshape(-1, HASHES)
-        node = flat.field("node").to_numpy()
-        alive = surviving(np.concatenate([own, other]), row, np.arange(len(row)) + len(own), least)
-        best = np.full(len(batch), np.iinfo(np.int64).max)
-        np.minimum.at(best, row[alive], node[alive])
-        none = best == np.iinfo(np.int64).max
-        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("node"), batch.column("sig"), pa.array(best, pa.int64(), mask=none)], names=["key", "node", "sig", "near"])
+        keys, node = batch.column("key").to_numpy(), batch.column("node").to_numpy()
+        sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint16).reshape(-1, HASHES)
+        linked: list[list[int]] = [[] for _ in keys]
+        kin: list[int | None] = [None] * len(keys)
+        for key in np.unique(keys):
+            rows = np.flatnonzero(keys == key)
+            reps = batch.column("reps")[int(rows[0])].as_py()
+            name, m = np.array([r["node"] for r in reps]), len(reps)
+            both = np.concatenate([np.frombuffer(b"".join(r["sig"] for r in reps), dtype=np.uint16).reshape(-1, HASHES), sig[rows]])
+            i, j = np.triu_indices(m, 1)
+            alive = surviving(both, i, j, least)
+            group = labels_of(m, i[alive], j[alive])
+            met = np.zeros((len(rows), m), dtype=bool)
+            a, b = np.divmod(np.arange(len(rows) * m), m)
+            alive = surviving(both, a + m, b, least)
+            met[a[alive], b[alive]] = True
+            for g in np.unique(group)[::-1]:
+                inside = np.flatnonzero(group == g)
+                some = np.flatnonzero(met[:, inside].any(axis=1))
+                for r, c in zip(rows[some].tolist(), inside[met[some][:, inside].argmax(axis=1)].tolist(), strict=True):
+                    linked[r].append(int(name[c]))
+                    kin[r] = int(name[g])
+            for r in np.flatnonzero(np.isin(node[rows], name)).tolist():
+                linked[rows[r]] = name[met[r]].tolist()
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("node"), batch.column("sig"), pa.array(linked, pa.list_(pa.int64())), pa.array(kin, pa.int64())], names=["key", "node", "sig", "near", "kin"])
 
 
 def candidate_edges(members: DataFrame, similarity: float, tolerance: float) -> DataFrame:
     """``a, b``: links whose components are those of all pairs that survive in a bucket of ``members`` (``key, node, sig, n``).
 
     Buckets of up to ``BUCKET`` members are one task each. In a larger one every member meets a few representatives, in
-    place; those that survive against none are dealt into blocks, and each block meets all members, block by block.
+    place. Those of the group of representatives with most members are linked with one another by this; all others are
+    dealt into blocks, and each block meets all members, block by block, so no surviving pair is left out.
     """
     kernel, out = lambda it: near_in_buckets(it, similarity, tolerance), "a long, b long"
     small = members.filter(F.col("n") <= BUCKET).select(F.col("key").alias("task"), "node", "sig")
@@ -323,15 +404,18 @@ def candidate_edges(members: DataFrame, similarity: float, tolerance: float) ->
     large = cut(members.filter(F.col("n") > BUCKET).select("key", "node", "sig"))
     chosen = large.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(REPRESENTATIVES)).alias("part")).agg(F.min_by(F.struct("node", "sig"), F.xxhash64("node", F.lit(1))).alias("rep"))
     reps = cut(chosen.groupBy(F.col("key").alias("__k")).agg(F.array_sort(F.collect_list("rep")).alias("reps")))
-    met = cut(large.join(fitting(reps, 256 * REPRESENTATIVES), F.col("key") == F.col("__k")).select("key", "node", "sig", "reps").mapInArrow(lambda it: near_representatives(it, similarity, tolerance), "key long, node long, sig binary, near long"))
-    edges = edges.unionByName(met.filter("near <> node").select(F.col("node").alias("a"), F.col("near").alias("b")))
-    left = cut(met.filter("near is null").groupBy(F.col("key").alias("__k")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("lone")).join(sizes, F.col("__k") == F.col("key")).select("__k", "lone", F.ceil(F.col("m") / BLOCK).cast("int").alias("all")))
+    met = cut(large.join(fitting(reps, 256 * REPRESENTATIVES), F.col("key") == F.col("__k")).select("key", "node", "sig", "reps").mapInArrow(lambda it: near_representatives(it, similarity, tolerance), "key long, node long, sig binary, near array<long>, kin long"))
+    edges = edges.unionByName(met.select(F.col("node").alias("a"), F.explode("near").alias("b")).filter("a <> b"))
+    kin = met.groupBy(F.col("key").alias("__k"), "kin").agg(F.count("*").alias("n"))
+    largest = kin.groupBy("__k").agg(F.max(F.when(F.col("kin").isNotNull(), F.struct("n", "kin"))).alias("main"), F.sum("n").alias("m"))
+    others = F.col("m") - F.coalesce("main.n", F.lit(0))
+    left = cut(largest.filter(others > 0).select("__k", F.col("main.kin").alias("main"), F.ceil(others / BLOCK).cast("int").alias("lone"), F.ceil(F.col("m") / BLOCK).cast("int").alias("all")))
     if left.isEmpty():
         return edges
-    both = met.join(fitting(left, 24), F.col("key") == F.col("__k"))
+    both = met.join(fitting(left, 32), F.col("key") == F.col("__k"))
     upto = lambda n: F.sequence(F.lit(0), n - 1)
     block = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n).cast("int")
-    lone = both.filter("near is null").withColumn("j", F.explode(upto(F.col("all")))).select(F.xxhash64("key", block(F.col("lone"), 2), "j").alias("task"), "node", "sig")
+    lone = both.filter("not (kin <=> main) or kin is null").withColumn("j", F.explode(upto(F.col("all")))).select(F.xxhash64("key", block(F.col("lone"), 2), "j").alias("task"), "node", "sig")
     every = both.withColumn("i", F.explode(upto(F.col("lone")))).select(F.xxhash64("key", "i", block(F.col("all"), 3)).alias("task"), "node", "sig")
     return edges.unionByName(by_task(lone.unionByName(every)).mapInArrow(kernel, out))
 
@@ -368,8 +452,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     an empty table gives an empty result; further columns of ``docs`` are ignored.
     """
     own = cut(sketches(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
-    first = F.min(F.struct(F.coalesce(F.col("id"), F.lit(2**63 - 1)).alias("o"), F.col("row").alias("row"), F.col("id").alias("id"), F.col("text_hash").alias("h")))
-    texts = cut(own.groupBy("digest").agg(first.alias("f"), F.count("*").alias("docs"), F.first("sig").alias("sig")).select("digest", F.col("f.row").alias("node"), F.col("f.id").alias("id"), F.col("f.h").alias("h"), "docs", "sig"))
+    texts = cut(texts_of(own))
     links = cut(linked_texts(docs, texts, id_col, text_col, similarity, tolerance))
 
     named = links.join(texts.select("node", "id"), "node").groupBy("root").agg(F.min(F.struct(F.coalesce(F.col("id"), F.lit(2**63 - 1)).alias("o"), F.col("node").alias("node"), F.col("id").alias("id"))).alias("f"))
@@ -387,8 +470,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def linked_texts(docs: DataFrame, texts: DataFrame, id_col: str, text_col: str, similarity: float, tolerance: float) -> DataFrame:
-    """``node, root, n_texts, n_docs`` of every text (``digest, node, id, h, docs, sig``) that a link leads to."""
+def verified_texts(docs: DataFrame, texts: DataFrame, id_col: str, text_col: str, similarity: float, tolerance: float, reading: Reading = JOINED, count: bool = True) -> DataFrame:
+    """``node, root, texts, docs``, cut: for every text (``digest, node, id, h, docs, sig``) and task that found a link of it, its root there.
+
+    With ``count``, all links are found and counted; without, as many as say which texts are linked through others.
+    """
     width = 2 * BAND
     keys = F.explode(F.transform(F.sequence(F.lit(0), F.lit(HASHES // BAND - 1)), lambda k: F.xxhash64(k, F.substring("sig", k * width + 1, F.lit(width)))))
     bands = texts.filter("sig is not null").select(keys.alias("key"), "node")
@@ -407,13 +493,18 @@ def linked_texts(docs: DataFrame, texts: DataFrame, id_col: str, text_col: str,
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
-                parsed = [words(x.as_py()) for x in part.column("text")]
+                parsed = [reading.words(x.as_py()) for x in part.column("text")]
                 # Ids may be repeated; only the text that the digest names is meant.
                 own = [k for k, (w, d) in enumerate(zip(parsed, part.column("digest").to_pylist(), strict=True)) if digest_of(w) == d]
-                yield pa.RecordBatch.from_arrays([*[part.column(c).take(pa.array(own, pa.int32())) for c in ("node", "root", "n", "docs")], pa.array([shingles(parsed[k]).tobytes() for k in own], pa.binary())], names=["node", "root", "n", "docs", "shingles"])
+                yield pa.RecordBatch.from_arrays([*[part.column(c).take(pa.array(own, pa.int32())) for c in ("node", "root", "n", "docs")], pa.array([shingles(parsed[k], reading.shingle).tobytes() for k in own], pa.binary())], names=["node", "root", "n", "docs", "shingles"])
 
     sets = near.mapInArrow(read, "node long, root long, n long, docs long, shingles binary").dropDuplicates(["node"])
-    counted = cut(by_task(blocks(sets, "root", "n", ["node", "docs", "shingles"])).mapInArrow(lambda it: verify_groups(it, similarity, tolerance), "node long, root long, texts long, docs long"))
+    return cut(by_task(blocks(sets, "root", "n", ["node", "docs", "shingles"])).mapInArrow(lambda it: verify_groups(it, similarity, tolerance, count), "node long, root long, texts long, docs long"))
+
+
+def linked_texts(docs: DataFrame, texts: DataFrame, id_col: str, text_col: str, similarity: float, tolerance: float) -> DataFrame:
+    """``node, root, n_texts, n_docs`` of every text (``digest, node, id, h, docs, sig``) that a link leads to."""
+    counted = verified_texts(docs, texts, id_col, text_col, similarity, tolerance)
     roots = components(counted.select(F.col("node").alias("a"), F.col("root").alias("b")))
     return counted.groupBy("node").agg(F.sum("texts").alias("n_texts"), F.sum("docs").alias("n_docs")).join(roots, "node").select("node", "root", "n_texts", "n_docs")
 

@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ball_kmeans, chat_rotation, collocations, decontaminate, dedup_exact, language_id, license_scan, near_duplicates, packing, sharding, toxicity, url_filter
+from . import ball_kmeans, chat_rotation, collocations, decontaminate, dedup_exact, language_id, license_scan, near_duplicates, packing, sharding, shingle_dedup, toxicity, url_filter
 from .common import table
 
 
@@ -60,6 +60,10 @@ def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.phrases(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_benchmark_decontamination, op4_ngram_jaccard_join, op5_language_id, op6_sharding, op7_chat_formatting, op8_license_scan, op9_url_filter, op10_exact_dedup, op11_centroid_clustering, op12_phrase_collocations)}
+def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_dedup.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_benchmark_decontamination, op4_ngram_jaccard_join, op5_language_id, op6_sharding, op7_chat_formatting, op8_license_scan, op9_url_filter, op10_exact_dedup, op11_centroid_clustering, op12_phrase_collocations, op13_minhash_near_dedup)}
 QUERIES["pipeline"] = corpus_pipeline.run
-ORACLE_SQL: dict[str, str] = {"op3_benchmark_decontamination": decontaminate.SQL, "op7_chat_formatting": chat_rotation.SQL, "op8_license_scan": license_scan.SQL, "op9_url_filter": url_filter.SQL, "op10_exact_dedup": dedup_exact.SQL, "op11_centroid_clustering": ball_kmeans.sql(), "op12_phrase_collocations": collocations.SQL}
+ORACLE_SQL: dict[str, str] = {"op3_benchmark_decontamination": decontaminate.SQL, "op7_chat_formatting": chat_rotation.SQL, "op8_license_scan": license_scan.SQL, "op9_url_filter": url_filter.SQL, "op10_exact_dedup": dedup_exact.SQL, "op11_centroid_clustering": ball_kmeans.sql(), "op12_phrase_collocations": collocations.SQL, "op13_minhash_near_dedup": shingle_dedup.SQL}
