@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .lineage import cut
 
@@ -18,6 +19,12 @@ from .lineage import cut
 DEPTH = 128
 
 
+def name_of(df: DataFrame, column: str = "package") -> Column:
+    """The name of a package, which may be a struct with its ecosystem and version, too."""
+    kind = df.schema[column.split(".")[-1]].dataType
+    return F.col(f"{column}.name") if isinstance(kind, StructType) else F.col(column)
+
+
 def closure(start: DataFrame, edges: DataFrame, depth: int = DEPTH) -> DataFrame:
     """``start`` (``package, file`` and further columns, all of which tell starts apart) and every ``file`` reached over ``edges`` (``package, file, target``), with its distance ``d``."""
     keys = [c for c in start.columns if c != "d"]
@@ -39,7 +46,7 @@ def search_files(roots: DataFrame, graph: dict[str, DataFrame]) -> DataFrame:
     found = closure(roots.select("package", "import", "file"), named.unionByName(graph["stars"])).select("package", "import", "file")
     if "legacy" not in roots.columns:
         return found
-    loose = roots.filter("legacy and import = package").select("package", "import").distinct()
+    loose = roots.filter(F.col("legacy") & (F.col("import") == name_of(roots))).select("package", "import").distinct()
     return found.unionByName(loose.join(graph["modules"].select("package", "file"), "package").select("package", "import", "file")).distinct()
 
 
@@ -95,7 +102,7 @@ def compatible_imports(roots: DataFrame, graph: dict[str, DataFrame]) -> DataFra
     own = cut(places.join(names, ["package", "import"], "left").withColumn("files", F.when(F.col("known"), F.col("files"))).drop("known"))
     a, b = own.filter("files is not null").alias("a"), own.alias("b")
     same = F.coalesce((F.size("a.files") == 1) & (F.col("a.files") == F.col("b.files")), F.lit(False))
-    apart = F.coalesce((F.col("a.import") == F.col("a.package")) & ~F.arrays_overlap("a.names", "b.names"), F.lit(False))
+    apart = F.coalesce((F.col("a.import") == name_of(own, "a.package")) & ~F.arrays_overlap("a.names", "b.names"), F.lit(False))
     pairs = a.join(b, F.col("a.package") == F.col("b.package")).filter((F.col("a.import") == F.col("b.import")) | same | apart)
     return pairs.select(F.col("a.package").alias("package"), F.col("a.import").alias("import"), F.col("b.import").alias("other"))
 

@@ -57,7 +57,16 @@ def remove(spark: SparkSession, path: str) -> None:
     store.delete(at, True)
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of what is in a folder; none if it isn't there."""
+    at, store = _path(spark, path)
+    return [f.getPath().getName() for f in store.listStatus(at)] if store.exists(at) else []
+
+
 def rename(spark: SparkSession, old: str, new: str) -> None:
+    """Gives a folder another path, at which nothing may be yet."""
     at, store = _path(spark, old)
-    if not store.rename(at, _path(spark, new)[0]):
+    to = _path(spark, new)[0]
+    store.mkdirs(to.getParent())
+    if store.exists(to) or not store.rename(at, to):
         raise OSError(f"{old} could not be renamed to {new}")

@@ -13,6 +13,12 @@ from ..functions import text as X
 # What ecosystems are called, and the most direct dependencies that a question without a package searches.
 ECOSYSTEMS = {"npm": "npm", "node": "npm", "pypi": "pypi", "py": "pypi", "python": "pypi", "cargo": "cargo", "crates": "cargo", "rust": "cargo", "go": "go", "golang": "go"}
 MOST_PACKAGES, MOST_SIMILAR = 80, 6
+# The order of ecosystems where a name is in several.
+ORDER = ("npm", "pypi", "cargo", "go")
+
+
+def eco_rank(eco: Column) -> Column:
+    return F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(e) for e in ORDER]), eco), F.lit(0)), F.lit(len(ORDER) + 1))
 
 
 @dataclass(frozen=True)
@@ -82,16 +88,21 @@ def mentioned(questions: DataFrame, deps: DataFrame) -> DataFrame:
     named = direct.select("eco", "name", F.lower("name").alias("key"), F.lit(False).alias("whole"))
     short = direct.filter("eco = 'go'").select("eco", "name", F.regexp_extract(F.lower("name"), r"([^/]*)$", 1).alias("key"), F.lit(True).alias("whole"))
     hits = keys.filter("key <> ''").join(named.unionByName(short), "key").filter(~F.col("whole") | (F.col("key") == F.col("word")))
-    return hits.groupBy("question_id", "name").agg(F.min("eco").alias("eco")).select("question_id", "eco", "name")
+    return hits.groupBy("question_id", "name").agg(F.min_by("eco", F.struct(eco_rank(F.col("eco")), "eco")).alias("eco")).select("question_id", "eco", "name")
 
 
 def choose(questions: DataFrame, deps: DataFrame, most: int = MOST_PACKAGES) -> DataFrame:
-    """``question_id, eco, name, broad``: the packages to search for each question: those that it mentions, else up to ``most`` direct ones."""
+    """``question_id, eco, name, broad``: the packages to search for each question: those that it mentions, else up to ``most``
+    direct ones; with the ``version`` that is pinned (of several the first), if ``deps`` have any."""
     named = mentioned(questions, deps).withColumn("broad", F.lit(False))
     direct = deps.filter("direct").select("eco", "name").distinct()
+    if "version" in deps.columns:
+        pinned = deps.filter("direct").groupBy("eco", "name").agg(F.min("version").alias("version"))
+        named = named.join(pinned, ["eco", "name"]).select("question_id", "eco", "name", "version", "broad")
+        direct = pinned
     first = direct.withColumn("n", F.row_number().over(W.orderBy("eco", "name"))).filter(F.col("n") <= most).drop("n")
     rest = questions.select("question_id").join(named.select("question_id").distinct(), "question_id", "left_anti").crossJoin(F.broadcast(first)).withColumn("broad", F.lit(True))
-    return named.unionByName(rest)
+    return named.unionByName(rest.select(named.columns))
 
 
 def broad_counts(chosen: DataFrame, sources: DataFrame) -> DataFrame:

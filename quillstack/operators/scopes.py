@@ -14,6 +14,11 @@ def import_base(path: Column) -> Column:
     return F.regexp_extract(path, r"^(@[^/]+/[^/]+|[^/]+)", 1)
 
 
+def base_of(path: str) -> str:
+    """``import_base`` of a path at hand."""
+    return "/".join(path.split("/")[: 2 if path.startswith("@") else 1])
+
+
 def docs_entries(entries: DataFrame, roots: DataFrame, graph: dict[str, DataFrame], wanted: DataFrame) -> DataFrame:
     """``entries`` (``package, entry_id, kind, path, sig, doc, file, imports``) that suit an import, with ``import``; ``wanted``: ``package, import``.
 
@@ -26,7 +31,7 @@ def docs_entries(entries: DataFrame, roots: DataFrame, graph: dict[str, DataFram
     files = exports.search_files(roots, graph).join(asked, ["package", "import"], "left_semi")
     pairs = exports.compatible_imports(roots, graph).groupBy("package", "import").agg(F.collect_set("other").alias("others"))
     inside = asked.join(graphed, "package", "left_semi").join(pairs, ["package", "import"], "left").withColumn("others", F.coalesce("others", F.array().cast("array<string>")))
-    own = F.filter("imports", lambda i: import_base(i) == F.col("package"))
+    own = F.filter("imports", lambda i: import_base(i) == exports.name_of(entries))
     prose = entries.filter("kind = 'doc'").join(inside, "package").filter(F.forall(own, lambda i: F.array_contains("others", i))).drop("others")
     code = entries.filter("kind <> 'doc'").join(files, ["package", "file"])
     rest = entries.join(asked.join(graphed, "package", "left_anti"), "package")
@@ -42,9 +47,9 @@ def mentions_import(text: Column, path: Column) -> Column:
 
 def wanted_imports(questions: DataFrame, packages: DataFrame, roots: DataFrame) -> DataFrame:
     """``question_id, package, import``: imports that a question names of a package that it searches (``packages``: ``question_id, package``), else the package's root."""
-    others = packages.join(roots.select("package", "import").distinct(), "package").filter(F.col("import") != F.col("package"))
+    others = packages.join(roots.select("package", "import").distinct(), "package").filter(F.col("import") != exports.name_of(packages))
     named = others.join(questions.select("question_id", "text"), "question_id").filter(mentions_import(F.col("text"), F.col("import"))).select("question_id", "package", "import")
-    rest = packages.join(named.select("question_id", "package").distinct(), ["question_id", "package"], "left_anti").withColumn("import", F.col("package"))
+    rest = packages.join(named.select("question_id", "package").distinct(), ["question_id", "package"], "left_anti").withColumn("import", exports.name_of(packages))
     return named.unionByName(rest.select("question_id", "package", "import"))
 
 
@@ -81,17 +86,18 @@ def lead(doc: Column, most: int = 320) -> Column:
 
 
 def context(hits: DataFrame, entries: DataFrame) -> DataFrame:
-    """``hits`` (``question_id, package, entry_id``) that are sections, with ``context``: the leads of their page and of the closest section above, each on a quoted line.
+    """``hits`` (``question_id, package, entry_id``, and the ``cell`` that both are in, if any) that are sections, with ``context``: the leads of their page and of the closest section above, each on a quoted line.
 
     ``entries`` is the scope of the question: an ancestor outside of it isn't quoted; neither is one that says little or
     nothing else than the section does. Ancestors meet sections by (package, file, line).
     """
+    within = [c for c in ("cell", "package") if c in hits.columns and c in entries.columns]
     prose = entries.filter("kind = 'doc'")
     ends = F.array_distinct(F.array(F.element_at("parents", 1), F.element_at("parents", -1)))
-    own = hits.join(prose.select("package", "entry_id", "file", "doc", "parents"), ["package", "entry_id"]).filter(F.size("parents") > 0)
-    each = own.select("question_id", "package", "entry_id", "file", "doc", F.posexplode(ends).alias("k", "line"))
-    above = relational.first_wins(prose.select("package", "file", "line", "entry_id", lead(F.col("doc")).alias("lead")), ["package", "file", "line"], ["entry_id"]).drop("entry_id")
-    told = each.join(above, ["package", "file", "line"]).filter((F.length("lead") >= 20) & ~F.col("doc").contains(F.col("lead")))
+    own = hits.join(prose.select(*within, "entry_id", "file", "doc", "parents"), [*within, "entry_id"]).filter(F.size("parents") > 0)
+    each = own.select("question_id", *within, "entry_id", "file", "doc", F.posexplode(ends).alias("k", "line"))
+    above = relational.first_wins(prose.select(*within, "file", "line", "entry_id", lead(F.col("doc")).alias("lead")), [*within, "file", "line"], ["entry_id"]).drop("entry_id")
+    told = each.join(above, [*within, "file", "line"]).filter((F.length("lead") >= 20) & ~F.col("doc").contains(F.col("lead")))
     line = F.concat(F.lit("> line "), F.col("line").cast("string"), F.lit(": "), "lead")
-    once = told.withColumn("before", F.first("lead").over(W.partitionBy("question_id", "package", "entry_id").orderBy("k"))).filter((F.col("lead") == F.col("before")) & (F.col("k") == 0) | ~F.col("before").contains(F.col("lead")))
-    return once.groupBy("question_id", "package", "entry_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", line.alias("t")))), lambda e: e["t"]), "\n").alias("context"))
+    once = told.withColumn("before", F.first("lead").over(W.partitionBy("question_id", *within, "entry_id").orderBy("k"))).filter((F.col("lead") == F.col("before")) & (F.col("k") == 0) | ~F.col("before").contains(F.col("lead")))
+    return once.groupBy("question_id", *within, "entry_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", line.alias("t")))), lambda e: e["t"]), "\n").alias("context"))

@@ -58,3 +58,11 @@ def resolve_aliases(entries: DataFrame) -> DataFrame:
     real = entries.filter("kind not in ('doc', 're-export')").select("package", "name", "file", "doc", F.col("entry_id").alias("target"))
     best = F.max_by("target", F.struct(F.col("file") == F.col("own_file"), F.col("doc") != "", F.col("target")))
     return alias.join(real, ["package", "name"]).groupBy("package", "entry_id").agg(best.alias("target_id"))
+
+
+def stand_ins(hits: DataFrame, entries: DataFrame) -> DataFrame:
+    """``cell, entry_id, real``: what re-exports (``cell, entry_id, file, alias_of``) stand for among the entries of their cell, as ``resolve_aliases`` picks it."""
+    told = ["entry_id", "kind", "name", "path", "file", "line", "sig", "doc"]
+    aims = entries.filter("kind not in ('doc', 're-export')").select("cell", F.struct(*told).alias("real"))
+    pairs = aims.join(hits.withColumnRenamed("file", "own_file").distinct(), (aims["cell"] == hits["cell"]) & (F.col("real.name") == F.col("alias_of"))).drop(aims["cell"])
+    return pairs.groupBy("cell", "entry_id").agg(F.max_by("real", F.struct(F.col("real.file") == F.col("own_file"), F.col("real.doc") != "", F.col("real.entry_id"))).alias("real"))

@@ -2,22 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions import terms
 from ..functions import text as X
 from ..operators import exports, packages, relational, retrieval, scopes, symbols, upgrade
-from ..operators.lineage import cut
+from ..operators.lineage import cut, fitting
 from ..sources import markdown, pages
 from ..sources import symbols as extract
+from .index import Index, Snapshot
 
-#: Version of the index tables; a reader passes over partitions of another one.
-FORMAT = 2
 #: Weights of the columns of ``with_fields`` in the body and in the heading index.
 BODY = {"f_name": 8, "f_head": 6, "f_summary": 4, "f_path": 2, "f_prose": 2, "f_sig": 1, "f_code": 1, "f_file": 1}
 HEAD = {"f_topic": 2, "f_first": 1}
@@ -53,9 +51,24 @@ def embed_text(entries: DataFrame) -> Column:
     return F.concat(name, F.lit(". "), F.when(F.trim(body) == "", instead).otherwise(body))
 
 
+def identified(entries: DataFrame) -> DataFrame:
+    """``entries`` whose ``package`` is the exact one: a struct ``eco, name, version``. Entries without an ecosystem are npm's."""
+    eco = F.col("eco") if "eco" in entries.columns else F.lit("npm")
+    return entries.withColumn("package", F.struct(eco.alias("eco"), F.col("package").alias("name"), F.col("version").alias("version")))
+
+
+def flat(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``eco, package, version`` in place of the exact package."""
+    return rows.withColumns({"eco": F.col("package.eco"), "version": F.col("package.version"), "package": F.col("package.name")})
+
+
+def package_id(package: Column) -> Column:
+    return F.concat(package["name"], F.lit("@"), package["version"])
+
+
 def rendered(most: Column) -> Column:
-    """A result with its place: heading, signature and text, of at most ``most`` characters."""
-    place = F.concat(F.lit(" — "), "package", F.lit("@"), "version", F.lit(" "), "file", F.lit(":"), F.col("line").cast("string"))
+    """A result with its place: heading, signature and text, of at most ``most`` characters. Needs an ``identified`` package."""
+    place = F.concat(F.lit(" — "), package_id(F.col("package")), F.lit(" "), "file", F.lit(":"), F.col("line").cast("string"))
     doc = F.when(F.length("doc") > most, F.concat(F.left("doc", most), F.lit("…"))).otherwise(F.col("doc"))
     section = F.concat(F.lit("### "), "name", place, F.lit("\n"), F.coalesce(F.concat("context", F.lit("\n\n")), F.lit("")), doc, F.lit("\n"))
     symbol = F.concat(F.lit("### "), "path", F.lit(" ("), "kind", F.lit(")"), place, F.lit("\n```\n"), "sig", F.lit("\n```\n"), F.when(F.col("doc") == "", "").otherwise(F.concat(doc, F.lit("\n"))))
@@ -66,9 +79,11 @@ def rendered(most: Column) -> Column:
 class Engine:
     """Tables: ``deps`` (rows of ``lockfiles.dependencies``), ``sources`` and ``entries`` (rows of ``build_index``).
 
-    Optional: ``vectors`` (``entry_id, vector``), ``indexed`` (``terms.vectors`` of the entries, as ``read_index`` gives
-    them; else each batch of questions makes one pass over the entries in scope), and for npm packages the entrypoints
-    (``roots``) and module graph (``graph``) of ``sources.modules``.
+    A package is told by its ecosystem, name and exact version throughout: a question is answered from the versions that
+    the project pins, whatever else is indexed. Optional: ``vectors`` (``entry_id, vector``), ``indexed`` (the ``Snapshot``
+    that the entries are from, or ``terms.vectors`` of them; else each batch of questions makes one pass over the entries
+    in scope), and for npm packages the entrypoints (``roots``) and module graph (``graph``) of ``sources.modules``, with a
+    ``version`` where several versions of a package have them.
     """
 
     spark: SparkSession
@@ -78,7 +93,7 @@ class Engine:
     vectors: DataFrame | None = None
     body: dict[str, int] = field(default_factory=lambda: dict(BODY))
     head: dict[str, int] = field(default_factory=lambda: dict(HEAD))
-    indexed: DataFrame | None = None
+    indexed: DataFrame | Snapshot | None = None
     roots: DataFrame | None = None
     graph: dict[str, DataFrame] | None = None
 
@@ -94,133 +109,261 @@ class Engine:
         return with_fields(extract.entries(kept.unionByName(own), versions, by_file))
 
     @staticmethod
-    def write_index(entries: DataFrame, path: str, body: dict[str, int] | None = None, head: dict[str, int] | None = None) -> None:
-        """Replaces the partitions of the packages and versions in ``entries``, entries and their terms; others stay.
+    def write_index(entries: DataFrame, path: str, body: dict[str, int] | None = None, head: dict[str, int] | None = None) -> int:
+        """``Index.write``: replaces the exact versions of packages in ``entries``, entries and posting lists; others stay."""
+        return Index(entries.sparkSession, path).write(entries, body or BODY, head or HEAD)
 
-        Terms are written once, in tables of their own beside the entries, so a question reads the postings of the
-        packages that it searches and tokenises nothing.
-        """
-        own = cut(entries.withColumn("format", F.lit(FORMAT)))
-        where = own.select("entry_id", "package", "version", "format")
-        made = terms.vectors(own, {"body": body or BODY, "head": head or HEAD}).join(where, "entry_id")
-        for table, rows in (("entries", own), ("terms", made)):
-            rows.write.partitionBy("package", "version").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(f"{path}/{table}")
+    @staticmethod
+    def read_index(spark: SparkSession, path: str, number: int | None = None) -> DataFrame:
+        """The entries of the latest snapshot, or of an earlier one."""
+        return Index(spark, path).at(number).entries()
 
     @staticmethod
-    def read_index(spark: SparkSession, path: str, table: str = "entries") -> DataFrame:
-        """The entries, or the ``terms`` beside them, of the current format."""
-        return spark.read.parquet(f"{path}/{table}").filter(F.col("format") == FORMAT).drop("format")
+    def open(spark: SparkSession, path: str, deps: DataFrame, sources: DataFrame, number: int | None = None, **more) -> Engine:
+        """An engine over a snapshot of written index tables, whose posting lists answer its questions."""
+        snapshot = Index(spark, path).at(number)
+        return Engine(spark, deps, sources, snapshot.entries(), indexed=snapshot, **more)
 
     def resolve(self, filter: str | None = None) -> DataFrame:  # noqa: A002
         """Pinned dependencies with the state of their docs; a filter also searches indirect ones."""
         chosen = self.deps.filter("direct") if not filter else self.deps.filter(F.lower("name").contains(filter.lower()))
         return relational.resolve_status(chosen.select("eco", "name", "norm_name", "version", "direct"), self.sources)
 
-    def ecosystem(self) -> Column:
-        """The ecosystem of an entry; entries of an index without it are taken to be npm's."""
-        return F.col("eco") if "eco" in self.entries.columns else F.lit("npm")
+    def own(self) -> DataFrame:
+        return identified(self.entries)
 
-    def scope(self, package: str | None) -> DataFrame:
-        """Entries of the packages that a specification selects (``name``, ``eco:name``, ``name@version``, comma-joined); all if none."""
-        if not package:
-            return self.entries
-        specs = [packages.Spec.parse(p) for p in package.split(",")]
-        return self.entries.filter(reduce(lambda a, b: a | b, [s.names(self.ecosystem(), F.col("package")) & s.fits(F.col("version")) for s in specs]))
+    def there(self) -> DataFrame:
+        """``package`` (exact) of all that is indexed."""
+        return self.own().select("package").distinct()
+
+    def picked(self, package: str) -> list[tuple[str, str, str, str | None]]:
+        """``eco, name, version, import`` of each specification in a comma-joined list (``name``, ``eco:name``, ``name@version``, of npm ``name/sub``).
+
+        The version that the project pins is meant, if it fits; else an indexed one that the specification names exactly,
+        or the only one that fits of a package that the project doesn't have. What can't be told raises a ``LookupError``
+        that says what there is.
+        """
+        out = []
+        for text in filter(None, (p.strip() for p in package.split(","))):
+            asked = packages.Spec.parse(text)
+            base = packages.Spec(asked.eco, scopes.base_of(asked.name), asked.version)
+            pinned = [] if self.deps is None else packages.find(self.deps, asked).limit(2).collect() or packages.find(self.deps.filter("eco = 'npm'"), base).limit(2).collect()
+            fits = [r for r in pinned if r["fits"]]
+            if fits:
+                chosen = (fits[0]["eco"], fits[0]["name"], fits[0]["version"])
+            else:
+                rows = self.there().select("package.*")
+                meant = rows.filter((asked.names(F.col("eco"), F.col("name")) | base.names(F.col("eco"), F.col("name")) & (F.col("eco") == "npm")) & asked.fits(F.col("version")))
+                some = sorted((r["eco"], r["name"], r["version"]) for r in meant.limit(9).collect())
+                exact = [s for s in some if asked.exact() and s[2].lstrip("v") == asked.version]
+                if pinned and not exact:
+                    raise LookupError(f"this project pins {pinned[0]['name']} {pinned[0]['version']}, which does not match `{text}`")
+                if not some:
+                    raise LookupError(self.unknown(asked.name))
+                if not exact and len(some) > 1:
+                    raise LookupError(f"`{text}` is not pinned here, and several are indexed: {', '.join(f'{e}:{n}@{v}' for e, n, v in some)}")
+                chosen = (exact or some)[0]
+            inner = asked.name if chosen[0] == "npm" and asked.name != base.name and not asked.name == chosen[1] else None
+            if inner and self.roots is not None and self.exact(self.roots).filter((F.col("package.name") == chosen[1]) & (F.col("package.version") == chosen[2]) & (F.col("import") == inner)).isEmpty():
+                raise LookupError(f"`{inner}` has no public declaration entrypoint in {chosen[1]}@{chosen[2]}")
+            out.append((*chosen, inner))
+        return out
+
+    def unknown(self, name: str) -> str:
+        """What to say of a package that is neither pinned nor indexed: names near it, if there are any."""
+        near = [] if self.deps is None else [r["id"] for r in packages.similar(self.deps, self.spark.createDataFrame([(name,)], "asked string")).orderBy("n").collect()]
+        return f"`{name}` is not a dependency here" + (f"; did you mean {', '.join(near)}?" if near else "")
+
+    def exact(self, rows: DataFrame) -> DataFrame:
+        """A table of npm packages (``package``, and ``version``, if known) by their exact ones; without a version, those of every indexed one."""
+        there = self.there().filter("package.eco = 'npm'").select(F.col("package").alias("__p"))
+        same = F.col("package") == F.col("__p.name")
+        if "version" in rows.columns:
+            same = same & (F.col("version") == F.col("__p.version"))
+        return rows.join(F.broadcast(there) if there.count() <= 100_000 else there, same).withColumn("package", F.col("__p")).drop("__p", "version")
+
+    def modules(self) -> tuple[DataFrame, dict[str, DataFrame]]:
+        return self.exact(self.roots), {k: self.exact(v) for k, v in self.graph.items()}
 
     def select(self, questions: DataFrame, package: str | None = None) -> DataFrame:
         """``question_id, package, import, broad``: what each question searches: the packages (or, of npm, imports like ``name/sub``)
-        that ``package`` lists, else those that it mentions, else all direct ones; an import that it names narrows a search of its package."""
+        that ``package`` lists, else those that it mentions, else all direct ones, in the versions that the project pins; an
+        import that it names narrows a search of its package. Packages that aren't indexed are among them (``provenance``)."""
+        exact = F.struct("eco", "name", "version").alias("package")
         if package:
-            parsed = [packages.Spec.parse(p) for p in package.split(",")]
-            base = [packages.Spec(s.eco, "/".join(s.name.split("/")[: 2 if s.name.startswith("@") else 1]), s.version) for s in parsed]
-            there = self.entries.select("package", "version", self.ecosystem().alias("eco")).distinct()
-            parts = [there.filter((s.names(F.col("eco"), F.col("package")) | b.names(F.col("eco"), F.col("package")) & (F.col("eco") == "npm")) & s.fits(F.col("version"))).select("package", F.lit(s.name).alias("spec")) for s, b in zip(parsed, base, strict=True)]
-            chosen = reduce(DataFrame.unionByName, parts).withColumn("asked", F.when(F.col("spec").startswith(F.concat("package", F.lit("/"))), F.col("spec")))
-            own = questions.select("question_id").crossJoin(F.broadcast(chosen.select("package", "asked").distinct())).withColumn("broad", F.lit(False))
+            chosen = self.spark.createDataFrame(self.picked(package), "eco string, name string, version string, asked string").select(exact, "asked")
+            own = questions.select("question_id").crossJoin(F.broadcast(chosen)).withColumn("broad", F.lit(False))
         else:
-            own = packages.choose(questions, self.deps).select("question_id", F.col("name").alias("package"), F.lit(None).cast("string").alias("asked"), "broad")
+            own = packages.choose(questions, self.deps).select("question_id", exact, F.lit(None).cast("string").alias("asked"), "broad")
         if self.roots is None:
-            return own.select("question_id", "package", F.col("package").alias("import"), "broad")
+            return own.select("question_id", "package", F.coalesce("asked", "package.name").alias("import"), "broad")
         free = own.filter("asked is null").select("question_id", "package").distinct()
-        named = scopes.wanted_imports(questions, free, self.roots).join(own.select("question_id", "package", "broad").distinct(), ["question_id", "package"])
+        named = scopes.wanted_imports(questions, free, self.modules()[0]).join(own.select("question_id", "package", "broad").distinct(), ["question_id", "package"])
         return named.select("question_id", "package", "import", "broad").unionByName(own.filter("asked is not null").select("question_id", "package", F.col("asked").alias("import"), "broad"))
 
+    def provenance(self, questions: DataFrame, package: str | None = None) -> DataFrame:
+        """``question_id, broad, searched, missing``: ids of the packages that answer each question, and of those that it needs but that aren't indexed."""
+        chosen = self.select(questions, package).select("question_id", "package", "broad").distinct()
+        known = chosen.join(self.there().withColumn("there", F.lit(True)), "package", "left")
+        listed = lambda test: F.sort_array(F.collect_set(F.when(test, F.concat("package.eco", F.lit(":"), package_id(F.col("package"))))))
+        return known.groupBy("question_id").agg(F.bool_or("broad").alias("broad"), listed(F.col("there")).alias("searched"), listed(F.col("there").isNull()).alias("missing"))
+
+    def places(self, chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """What questions search as cells: ``cells`` (``question_id, scope, cell``), and each cell's ``package`` and ``import``s. A cell is a package with
+        certain imports; questions of the same cells share a scope."""
+        imports = F.sort_array(F.collect_set("import"))
+        per = chosen.groupBy("question_id", "package").agg(imports.alias("imports")).withColumn("cell", F.xxhash64("package", "imports"))
+        scope = per.groupBy("question_id").agg(F.xxhash64(F.sort_array(F.collect_set("cell"))).alias("scope"))
+        per = cut(per.join(scope, "question_id"))
+        return per.select("question_id", "scope", "cell"), cut(per.select("cell", "package", F.explode("imports").alias("import")).distinct())
+
+    def within(self, places: DataFrame) -> DataFrame:
+        """Entries of cells, each with its ``cell``: all of a package, or those that suit its imports."""
+        wanted = places.select("cell", "package").distinct()
+        if self.roots is None:
+            return self.own().join(fitting(wanted), "package")
+        roots, graph = self.modules()
+        inside = self.own().join(fitting(wanted.select("package").distinct()), "package", "left_semi")
+        suited = scopes.docs_entries(inside, roots, graph, places.select("package", "import"))
+        return cut(suited.join(fitting(places), ["package", "import"]).drop("import").dropDuplicates(["cell", "entry_id"]))
+
+    def postings(self, own: DataFrame) -> DataFrame | Callable[[DataFrame], retrieval.Postings] | None:
+        """Written posting lists of the cells, by the terms that are asked for."""
+        if isinstance(self.indexed, Snapshot):
+            snapshot, plain = self.indexed, own.withColumn("package", F.col("package.name"))
+            return lambda q: snapshot.postings(plain, q)
+        return None if self.indexed is None else self.indexed.drop("package", "version", "eco").join(own.select("cell", "entry_id"), "entry_id")
+
     def docs(self, questions: DataFrame, package: str | None = None, tokens: int = DEFAULT_TOKENS, query_vectors: DataFrame | None = None) -> DataFrame:
-        """Ranked blocks for each question (``question_id, text``), as many as a token budget holds.
+        """Ranked blocks for each question (``question_id, text``), as many as a token budget holds; for an empty one, an overview of its packages.
 
-        Questions that search the same packages and imports are ranked together, with the statistics of these. APIs that a
-        question calls come first; the first block quotes the page and section that it is in. The result stops at weak
-        matches once three good ones are in; the block that crosses the budget is cut.
+        All questions are ranked in one plan, each among the exact packages and imports that it searches, with the statistics
+        of these. APIs that a question calls come first; a re-export is shown as what it stands for; the first block quotes
+        the page and section that it is in. The result stops at weak matches once three good ones are in; the block that
+        crosses the budget is cut.
         """
-        chosen = cut(self.select(questions, package))
-        sets = chosen.groupBy("question_id").agg(F.sort_array(F.collect_set(F.struct("package", "import"))).alias("scope"))
-        keyed = cut(sets.withColumn("key", F.xxhash64("scope")))
-        parts = []
-        for row in keyed.groupBy("key").agg(F.first("scope").alias("scope")).collect():
-            own = questions.join(keyed.filter(F.col("key") == row["key"]).select("question_id"), "question_id", "left_semi")
-            parts.append(self.answer(own, [(s["package"], s["import"]) for s in row["scope"]], tokens, query_vectors))
-        if not parts:
-            return self.answer(questions.limit(0), [], tokens, query_vectors)
-        return reduce(DataFrame.unionByName, parts)
-
-    def answer(self, questions: DataFrame, scope: list[tuple[str, str]], tokens: int, query_vectors: DataFrame | None) -> DataFrame:
-        """``docs`` for questions that search the same (package, import) pairs."""
-        wanted = self.spark.createDataFrame(scope, "package string, import string")
-        own = self.entries.filter(F.col("package").isin([p for p, _ in scope]))
-        if self.roots is not None:
-            own = cut(scopes.docs_entries(own, self.roots, self.graph, wanted).dropDuplicates(["package", "entry_id"]))
-        indexed = None if self.indexed is None else self.indexed.filter(F.col("package").isin([p for p, _ in scope])).join(own.select("entry_id"), "entry_id", "left_semi")
-        vectors = self.vectors
-        if vectors is not None and not own.select("package").distinct().join(own.join(vectors.select("entry_id"), "entry_id", "left_semi").select("package").distinct(), "package", "left_anti").isEmpty():
-            vectors = None  # a package without vectors would lose to the others
-        scored = retrieval.hybrid(own, questions, self.body, self.head, vectors, query_vectors, indexed=indexed).withColumn("score", F.round("score", 9))
-        if self.roots is not None:
-            asked = questions.select("question_id").crossJoin(F.broadcast(wanted))
-            calls = scopes.public_calls(questions, asked, self.roots, self.graph, own).withColumn("called", F.lit(1))
-            scored = scored.join(calls, ["question_id", "package", "entry_id"], "left").withColumn("called", F.coalesce("called", F.lit(0)))
-        else:
-            scored = scored.withColumn("called", F.lit(0))
         budget = min(max(tokens, MIN_TOKENS), MAX_TOKENS)
-        shown = scored.join(own.select("package", "entry_id", "version", "kind", "name", "path", "file", "line", "sig", "doc"), ["package", "entry_id"])
+        chosen = cut(self.select(questions, package))
+        blank = F.trim(F.coalesce("text", F.lit(""))) == ""
+        answered = self.answer(questions.filter(~blank), chosen, budget, query_vectors)
+        if questions.filter(blank).isEmpty():
+            return answered
+        over = flat(self.overview_of(chosen.join(questions.filter(blank).select("question_id"), "question_id", "left_semi")))
+        lines = F.array(F.concat("package", F.lit("@"), "version", F.lit(" · "), "eco", F.lit("\nIndexed "), F.col("n_symbols").cast("string"), F.lit(" API symbols and "), F.col("n_sections").cast("string"), F.lit(" doc sections.\n"), F.when(F.size("symbols") > 0, F.concat(F.lit("Key API: "), F.array_join("symbols", ", "), F.lit("\n"))).otherwise("")))
+        each = over.select("question_id", "eco", "package", "version", F.posexplode(F.concat(lines, F.coalesce("blocks", F.array().cast("array<string>")))).alias("k", "rendered"))
+        ranked = each.withColumn("rank", F.row_number().over(W.partitionBy("question_id").orderBy("eco", "package", "version", "k")) - 1).drop("k")
+        return answered.unionByName(relational.pack_blocks(ranked, "question_id", [F.col("rank")], "rendered", budget), allowMissingColumns=True)
+
+    def ranked(self, questions: DataFrame, chosen: DataFrame, query_vectors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """``question_id, cell, package, entry_id, score, called`` of questions, and the entries that they search."""
+        cells, places = self.places(chosen)
+        own = self.within(places)
+        scored = retrieval.hybrid(own, questions, self.body, self.head, self.vectors, query_vectors, indexed=self.postings(own), cells=cells).withColumn("score", F.round("score", 9))
+        if self.roots is None:
+            return scored.withColumn("called", F.lit(0)), own
+        roots, graph = self.modules()
+        calls = scopes.public_calls(questions, chosen.select("question_id", "package", "import"), roots, graph, own).withColumn("called", F.lit(1))
+        return scored.join(calls, ["question_id", "package", "entry_id"], "left").withColumn("called", F.coalesce("called", F.lit(0))), own
+
+    def answer(self, questions: DataFrame, chosen: DataFrame, budget: int, query_vectors: DataFrame | None) -> DataFrame:
+        """``docs`` for questions that ask something."""
+        scored, own = self.ranked(questions, chosen, query_vectors)
+        shown = scored.join(own.select("cell", "entry_id", "kind", "name", "path", "file", "line", "sig", "doc", "alias_of"), ["cell", "entry_id"])
         order = [F.desc("called"), F.desc("score"), F.col("entry_id")]
         once = relational.cap(shown, ["question_id", "package", "file", "line"], order, 1).drop("n")
         # A block takes two tokens at least, so no more than half the budget's can be shown.
         best = cut(relational.cap(once, ["question_id"], order, budget // 2).withColumn("rank", F.col("n") - 1).drop("n"))
-        kept = relational.relevance_floor(best, "question_id", [F.col("rank")])
-        around = scopes.context(kept.filter("rank = 0").select("question_id", "package", "entry_id"), own)
-        whole = kept.join(around, ["question_id", "package", "entry_id"], "left")
+        kept = cut(relational.relevance_floor(best, "question_id", [F.col("rank")]))
+        real = symbols.stand_ins(kept.filter("alias_of is not null").select("cell", "entry_id", "file", "alias_of"), own)
+        told = ["kind", "name", "path", "file", "line", "sig", "doc"]
+        both = kept.join(real, ["cell", "entry_id"], "left")
+        meant = both.withColumns({c: F.when(F.col("real").isNull(), F.col(c)).otherwise(F.col(f"real.{c}")) for c in told}).drop("real", "alias_of")
+        around = scopes.context(kept.filter("rank = 0").select("question_id", "cell", "package", "entry_id"), own)
+        whole = meant.join(around, ["question_id", "cell", "package", "entry_id"], "left")
         most = F.when(F.col("rank") == 0, FIRST - F.least(F.coalesce(F.length("context"), F.lit(0)), F.lit(CONTEXT)) / 2).otherwise(OTHERS).cast("int")
-        return relational.pack_blocks(whole.withColumn("rendered", rendered(most)), "question_id", [F.col("rank")], "rendered", budget)
+        return flat(relational.pack_blocks(whole.withColumn("rendered", rendered(most)), "question_id", [F.col("rank")], "rendered", budget).drop("cell"))
 
     def overview(self, package: str | None = None) -> DataFrame:
-        """Counts of symbols and sections, the shortest documented top-level symbols of each package, and the first README sections."""
-        own = self.scope(package)
+        """``eco, package, version, n_symbols, n_sections, symbols, blocks`` of the packages that ``package`` lists, else of all indexed ones: counts
+        of symbols and sections, the shortest documented top-level symbols, and the first README sections."""
+        if package:
+            chosen = self.spark.createDataFrame([(*p, p[1]) if p[3] is None else (*p, p[3]) for p in self.picked(package)], "eco string, name string, version string, asked string, import string").select(F.struct("eco", "name", "version").alias("package"), "import")
+        else:
+            chosen = self.there().withColumn("import", F.col("package.name"))
+        return flat(self.overview_of(chosen.withColumn("question_id", F.lit(0)))).drop("question_id")
+
+    def overview_of(self, chosen: DataFrame) -> DataFrame:
+        """``overview`` by ``question_id`` and exact ``package``."""
+        cells, places = self.places(chosen)
+        own = self.within(places)
         open_ = ~X.private_path(F.col("file"), F.col("path"))
         separators = F.length("path") - F.length(F.regexp_replace("path", "[.:]", ""))
         top = own.filter((F.col("kind") != "doc") & open_ & ~F.col("legacy") & (F.col("doc") != ""))
-        first = relational.cap(top, ["package"], [separators, F.length("path"), F.col("path"), F.col("entry_id")], NAMES)
-        listed = lambda rows, c: rows.groupBy("package").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", F.col(c).alias("x")))), lambda e: e["x"]))
-        names = listed(first, "path").toDF("package", "symbols")
-        readme = relational.cap(own.filter((F.col("kind") == "doc") & F.upper("file").startswith("README")), ["package"], [F.col("file"), F.col("line"), F.col("entry_id")], BLOCKS)
-        blocks = listed(readme.withColumn("context", F.lit(None).cast("string")).withColumn("block", rendered(F.lit(README))), "block").toDF("package", "blocks")
+        first = relational.cap(top, ["cell"], [separators, F.length("path"), F.col("path"), F.col("entry_id")], NAMES)
+        listed = lambda rows, c: rows.groupBy("cell").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", F.col(c).alias("x")))), lambda e: e["x"]))
+        names = listed(first, "path").toDF("cell", "symbols")
+        readme = relational.cap(own.filter((F.col("kind") == "doc") & F.upper("file").startswith("README")), ["cell"], [F.col("file"), F.col("line"), F.col("entry_id")], BLOCKS)
+        blocks = listed(readme.withColumn("context", F.lit(None).cast("string")).withColumn("block", rendered(F.lit(README))), "block").toDF("cell", "blocks")
         symbol = (F.col("kind") != "doc") & (F.col("kind") != "re-export") & open_
-        counts = own.groupBy("package", "version").agg(F.count_if(symbol).alias("n_symbols"), F.count_if(~symbol).alias("n_sections"))
-        return counts.join(names, "package", "left").join(blocks, "package", "left")
+        counts = own.groupBy("cell", "package").agg(F.count_if(symbol).alias("n_symbols"), F.count_if(~symbol).alias("n_sections"))
+        return cells.select("question_id", "cell").join(counts, "cell").join(names, "cell", "left").join(blocks, "cell", "left").drop("cell")
 
     def exported(self, wanted: DataFrame) -> DataFrame:
-        """``exports.statuses`` of symbols (``package, import, symbol``) of npm packages; their entries must be those by file."""
-        return exports.statuses(wanted, self.roots, self.graph, self.entries)
+        """``exports.statuses`` of symbols (``package, import, symbol``, and ``version``, if known) of npm packages; their entries must be those by file."""
+        return flat(exports.statuses(self.exact(wanted), *self.modules(), self.own()))
 
     def api(self, wanted: DataFrame, package: str | None = None) -> DataFrame:
-        """The best declaration of each symbol (``symbol``), whether it is ambiguous (of npm, whose editions differ), and its other declarations."""
-        own = self.scope(package)
-        hits = symbols.lookup(own, wanted)
-        order = W.partitionBy("symbol").orderBy(F.desc("score"), "package", "entry_id")
-        best = hits.withColumn("n", F.row_number().over(order)).filter("n = 1").drop("n")
-        shown = best.join(own.select("package", "entry_id", "kind", "path", "file", "line", "sig", "doc"), ["package", "entry_id"])
-        npm = own.filter(self.ecosystem() == "npm").select("package", "entry_id")
-        found = shown.join(symbols.ambiguous(hits.join(npm, ["package", "entry_id"], "left_semi"), own), "symbol", "left").join(symbols.overloads(own), ["package", "path", "file"], "left")
-        return wanted.select("symbol").distinct().join(found, "symbol", "left").withColumn("status", F.when(F.col("entry_id").isNull(), "unresolved").when(F.col("ambiguous"), "ambiguous").otherwise("exact"))
+        """One row a ``symbol``: ``status``, its best declaration (``eco, package, version, import, entry_id, kind, path, file, line, sig, doc``), ``stands_for``
+        (``path, file, line`` of what a re-export leads to), ``members``, ``overloads``, ``others`` (further declarations that match) and ``alternatives`` (other imports that offer it).
+
+        Symbols are searched in the packages that ``package`` lists, else in those that they begin with, else in all direct
+        ones (all indexed ones, if none of these is). Of npm packages with entrypoints only what the import exports counts:
+        exact, ambiguous (places and signatures differ), unresolved (something on the way can't be read) or not_exported;
+        then nothing is picked. Elsewhere names decide, best score first, and a name that isn't found is unresolved.
+        """
+        asked = cut(wanted.select(F.col("symbol").alias("question_id"), F.regexp_replace(F.trim("symbol"), r"(\(\))+$", "").alias("text")).distinct())
+        chosen = self.select(asked, package)
+        if package is None:
+            known = cut(chosen.join(self.there(), "package", "left_semi"))
+            lost = asked.join(known.select("question_id").distinct(), "question_id", "left_anti")
+            everywhere = lost.select("question_id").crossJoin(F.broadcast(self.there())).select("question_id", "package", F.col("package.name").alias("import"), F.lit(True).alias("broad"))
+            chosen = known.unionByName(everywhere)
+        led = F.coalesce(F.col("text").startswith(F.concat("import", F.lit("."))) | F.col("text").startswith(F.concat("import", F.lit("::"))), F.lit(False))
+        bare = F.when(led, F.regexp_replace(F.expr("substr(text, length(import) + 1)"), "^[.:]+", "")).otherwise(F.col("text"))
+        each = cut(chosen.join(asked, "question_id").select("question_id", "package", "import", bare.alias("bare"), F.array_join(X.split_symbol(bare), ".").alias("path")))
+        own = self.own().join(fitting(each.select("package").distinct()), "package", "left_semi")
+        graphed = None if self.roots is None else self.modules()[0].select("package").distinct()
+        plain = each if graphed is None else each.join(graphed, "package", "left_anti")
+        found = symbols.lookup(own, plain.select(F.col("bare").alias("symbol")).distinct()).withColumnRenamed("symbol", "bare")
+        cands = plain.join(found, ["package", "bare"]).select("question_id", "package", "import", "entry_id", "score")
+        state = asked.select("question_id", F.lit(False).alias("scoped"), F.lit(False).alias("open"), F.array().cast("array<struct<offer: string, conditions: string, sig: string, file: string, line: int>>").alias("alternatives"))
+        if graphed is not None:
+            scoped = each.join(graphed, "package", "left_semi")
+            told = cut(exports.statuses(scoped.select("package", "import", F.col("path").alias("symbol")).distinct(), *self.modules(), own).withColumnRenamed("symbol", "path"))
+            by = cut(scoped.join(told, ["package", "import", "path"]))
+            cands = cands.unionByName(by.select("question_id", "package", "import", F.explode("entry_ids").alias("entry_id"), F.lit(10.0).alias("score")))
+            flags = by.groupBy("question_id").agg(F.lit(True).alias("scoped"), F.bool_or(F.col("status") == "unresolved").alias("open"), F.slice(F.sort_array(F.flatten(F.collect_list("alternatives"))), 1, 8).alias("alternatives"))
+            state = flags.unionByName(state.join(flags, "question_id", "left_anti").select(flags.columns))
+        meta = own.select("package", "entry_id", "kind", "path", "file", "line", "sig", "doc", "alias_of")
+        cands = cut(cands.distinct().join(meta, ["package", "entry_id"]))
+        seen = cands.groupBy("question_id").agg((F.countDistinct("package", "file", "path") > 1).alias("places"), (F.countDistinct("sig") > 1).alias("sigs"), F.count("*").alias("n"))
+        order = W.partitionBy("question_id").orderBy(F.desc("score"), "package", "entry_id")
+        placed = cands.withColumn("n", F.row_number().over(order))
+        others = placed.filter(F.col("n").between(2, 9)).groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", F.struct("path", "kind", "file", "line", "sig").alias("o")))), lambda e: e["o"]).alias("others"))
+        best = placed.filter("n = 1").drop("n", "score")
+        inner = symbols.members(own).join(own.select("package", "entry_id", F.col("name").alias("member")), ["package", "entry_id"]).groupBy("package", F.col("container_id").alias("entry_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "member"))), lambda e: e["member"]).alias("members"))
+        real = symbols.stand_ins(best.filter("alias_of is not null").select(F.xxhash64("package").alias("cell"), "entry_id", "file", "alias_of"), own.withColumn("cell", F.xxhash64("package")))
+        shown = best.withColumn("cell", F.xxhash64("package")).join(real.select("cell", "entry_id", F.struct("real.path", "real.file", "real.line").alias("stands_for")), ["cell", "entry_id"], "left").drop("cell", "alias_of")
+        shown = shown.join(inner, ["package", "entry_id"], "left").join(symbols.overloads(own).withColumnRenamed("sigs", "overloads"), ["package", "path", "file"], "left")
+        none = lambda c: F.coalesce(c, F.array())
+        status = F.when(F.col("scoped") & F.coalesce(F.col("places") & F.col("sigs"), F.lit(False)), "ambiguous").when(F.col("scoped") & F.col("open"), "unresolved").when(F.col("n").isNull(), F.when(F.col("scoped"), "not_exported").otherwise("unresolved")).otherwise("exact")
+        whole = flat(asked.select("question_id").join(state, "question_id").join(seen, "question_id", "left").join(shown, "question_id", "left").join(others, "question_id", "left").withColumn("status", status))
+        sure = (F.col("status") == "exact") | ~F.col("scoped")
+        picked = ["eco", "package", "version", "import", "entry_id", "kind", "path", "file", "line", "sig", "doc", "stands_for"]
+        return whole.select(
+            F.col("question_id").alias("symbol"), "status", *[F.when(sure, F.col(c)).alias(c) for c in picked], F.when(sure, none(F.col("members"))).alias("members"), F.when(sure, none(F.col("overloads"))).alias("overloads"),
+            none(F.col("others")).alias("others"), none(F.col("alternatives")).alias("alternatives"), F.coalesce(F.col("places") & F.col("sigs") & F.col("scoped"), F.lit(False)).alias("ambiguous"),
+        )
 
     def upgrade(self, old: DataFrame, new: DataFrame, project: DataFrame, marker: str) -> dict[str, DataFrame]:
         """``changes`` between two versions' entries, the ``sites`` in project files (``file, text``) that use changed symbols, ``guides`` that mention them, the first ``sections`` of guides, and a ``summary``."""

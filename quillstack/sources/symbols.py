@@ -149,4 +149,4 @@ def entries(found: DataFrame, versions: DataFrame, by_file: bool = False) -> Dat
     first = found.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct("file", "line")).alias("e"))
     major = X.major_of(F.col("version"))
     flat = first.join(versions, "package").select("package", *[c for c in versions.columns if c != "package"], "e.*", "path", "sig", major.alias("major"))
-    return flat.withColumn("legacy", X.legacy_file(F.col("file"), F.col("major"))).withColumn("entry_id", F.xxhash64("package", "version", "file", "line", "path", "sig", "doc"))
+    return flat.withColumn("legacy", X.legacy_file(F.col("file"), F.col("major"))).withColumn("entry_id", F.xxhash64(*[c for c in ("eco", "package", "version") if c in flat.columns], "file", "line", "path", "sig", "doc"))
