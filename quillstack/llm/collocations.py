@@ -3,22 +3,26 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 from pyspark.sql.window import Window as W
 
+from ..operators.lineage import remove
 from .common import cut, shared_folder, spread
-from .rows import fitting
 
 #: Longest phrase in words, least count of a candidate, share (per cent) of a longer one's count that makes it stand for a shorter one, phrases a language.
 LONGEST, LEAST, COVERED, MOST, FACTOR = 4, 30, 80, 2000, 2_000_000
-#: Words of a block, and bytes of text that a task takes in at once.
-BLOCK, BYTES = 1 << 19, 8 << 20
+#: Words of a block, bytes of text that a task takes in at once, and items of a page.
+BLOCK, BYTES, PAGE = 1 << 19, 8 << 20, 1 << 20
 _SPACE, _BREAK = 1, 2
 _KIND = np.zeros(256, dtype=np.uint8)
 _KIND[[0x20, 0x09]] = _SPACE
@@ -40,26 +44,60 @@ def words_of(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
     return found, np.concatenate([[True], piece[1:] != piece[:-1]]) if len(piece) else np.zeros(0, dtype=bool)
 
 
-def block_rows(block: int, lang: str | None, codes: np.ndarray, owned: int, columns: dict[str, pa.Array], counts: np.ndarray, names: list[str]) -> Iterator[pa.RecordBatch]:
-    """One row with the block's sequence of local numbers, and one for each of these that it counts.
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 on, by byte planes, compressed."""
+    kind = np.dtype(np.uint32 if not len(x) or x.max() < 1 << 32 else np.uint64)
+    planes = x.astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T
+    return bytes([kind.itemsize]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), dtype=np.uint8).reshape(raw[0], -1)
+    return np.ascontiguousarray(planes.T).view(np.dtype(f"u{raw[0]}")).ravel().astype(np.int64)
+
+
+def page_of(left: np.ndarray, right: np.ndarray, pages: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ right.astype(np.uint64)
+        x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+        return ((x ^ x >> np.uint64(32)) % np.uint64(pages)).astype(np.int64)
+
+
+def pairs_of(codes: np.ndarray, ids: np.ndarray, pages: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a sequence of names (``ids[code]``, -1: none): the pair at each position as a number (-1: none), and the pairs, ordered by page, left and right."""
+    both = np.flatnonzero((codes[:-1] >= 0) & (codes[1:] >= 0))
+    found, local = np.unique(codes[both] * len(ids) + codes[both + 1], return_inverse=True)
+    left, right = ids[found // max(len(ids), 1)], ids[found % max(len(ids), 1)]
+    page = page_of(left, right, pages)
+    order = np.argsort(page, kind="stable")
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    sequence = np.full(max(len(codes) - 1, 0), -1, dtype=np.int64)
+    sequence[both] = place[local]
+    return sequence, page[order], left[order], right[order]
 
-    ``codes``: a number at each position, -1 where there is none; ``owned``: positions that count here, the rest are those of the next block.
-    """
-    n, where = len(counts), np.full(len(counts) + 1, block)
-    empty = lambda t, m: pa.nulls(m, t)
-    row = {"block": pa.array(where), "lang": pa.array([lang] * (n + 1), pa.string()), "codes": pa.array([codes.astype(np.int32).tobytes()] + [None] * n, pa.binary()), "owned": pa.array([owned] + [None] * n, pa.int32()), "at": pa.array([None, *range(n)], pa.int32()), "n": pa.array([None, *counts.tolist()], pa.int64())}
-    row |= {c: pa.concat_arrays([empty(v.type, 1), v]) for c, v in columns.items()}
-    yield pa.RecordBatch.from_arrays([row[c] for c in names], names=names)
 
+#: A block's own row (``codes`` plus one, the ``ids`` that they number, if they are names, and how many positions count here), and one for each page of
+#: what it counts: the first number there, the items (words, or left and right names) and their counts.
+BLOCKS = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("codes", pa.binary()), ("ids", pa.binary()), ("owned", pa.int32()), ("page", pa.int32()), ("start", pa.int32()), ("items", pa.binary()), ("others", pa.binary()), ("counts", pa.binary())])
+#: What a page has found: a frequent item with its name and count, the names of a block's numbers, or the count of all words of a language.
+FOUND = pa.schema([("block", pa.int64()), ("at", pa.binary()), ("ids", pa.binary()), ("id", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("left", pa.int64()), ("right", pa.int64()), ("f", pa.int64()), ("total", pa.int64())])
 
-WORDS = "block long, lang string, codes binary, owned int, at int, word string, n long"
-PAIRS = "block long, lang string, codes binary, owned int, at int, left long, right long, n long"
 
+def batch_of(schema: pa.Schema, n: int, **columns: object) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
-def first_blocks(docs: DataFrame, lang_col: str, text_col: str, reach: int) -> DataFrame:
-    """``WORDS``: blocks of up to ``BLOCK`` words of one language; a block goes on for ``reach`` positions into the next of its text."""
+
+def paged(block: int, lang: str, page: np.ndarray, items: Callable[[slice], bytes], others: Callable[[slice], bytes | None], counts: np.ndarray) -> pa.RecordBatch:
+    starts = np.flatnonzero(np.diff(page, prepend=-1))
+    parts = [slice(s, e) for s, e in zip(starts, np.append(starts, len(page))[1:], strict=True)]
+    n = len(parts)
+    return batch_of(BLOCKS, n, block=[block] * n, lang=[lang] * n, page=page[starts], start=starts, items=[items(p) for p in parts], others=[others(p) for p in parts], counts=[packed(counts[p]) for p in parts])
+
+
+def first_blocks(docs: DataFrame, lang_col: str, text_col: str, reach: int, pages: int) -> DataFrame:
+    """``BLOCKS`` of up to ``BLOCK`` words of one language; a block goes on for ``reach`` positions into the next of its text."""
     source = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    names = ["block", "lang", "codes", "owned", "at", "word", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
@@ -75,15 +113,21 @@ def first_blocks(docs: DataFrame, lang_col: str, text_col: str, reach: int) -> D
             coded = found.dictionary_encode()
             codes = np.full(len(found) + int(begins.sum()), -1, dtype=np.int64)
             codes[at] = coded.indices.to_numpy()
+            words = np.array(coded.dictionary.to_pylist(), dtype=object)
+            page = np.array([crc32(w) % pages for w in words], dtype=np.int64)
             for start in range(0, len(codes), BLOCK):
                 own = codes[start : start + BLOCK + reach]
                 owned = min(BLOCK, len(codes) - start)
                 used, local = np.unique(own[own >= 0], return_inverse=True)
+                order = np.argsort(page[used], kind="stable")
+                place = np.empty(len(order), dtype=np.int64)
+                place[order] = np.arange(len(order))
                 sequence = np.full(len(own), -1, dtype=np.int64)
-                sequence[own >= 0] = local
-                counts = np.bincount(sequence[:owned][sequence[:owned] >= 0], minlength=len(used))
-                word = coded.dictionary.take(pa.array(used)).cast(pa.large_string()).cast(pa.string())
-                yield from block_rows(block, lang, sequence, owned, {"word": word}, counts, names)
+                sequence[own >= 0] = place[local]
+                mine = sequence[:owned]
+                ordered, raw = words[used[order]], zstandard.ZstdCompressor(level=1)
+                yield batch_of(BLOCKS, 1, block=[block], lang=[lang], codes=[packed(sequence + 1)], owned=[owned])
+                yield paged(block, lang, page[used[order]], lambda p, w=ordered, raw=raw: raw.compress(b"\n".join(w[p])), lambda p: None, np.bincount(mine[mine >= 0], minlength=len(used)))
                 block += 1
 
         for batch in batches:
@@ -97,35 +141,80 @@ def first_blocks(docs: DataFrame, lang_col: str, text_col: str, reach: int) -> D
         for lang in list(held):
             yield from emit(lang)
 
-    return spread(source).mapInArrow(run, WORDS)
-
-
-def next_blocks(blocks: DataFrame, named: DataFrame) -> DataFrame:
-    """``PAIRS`` of the next length: blocks (``block, lang, codes, owned``) whose numbers get their names (``block, at, id``), pair by pair."""
-    names = ["block", "lang", "codes", "owned", "at", "left", "right", "n"]
+    return spread(source).mapInArrow(run, from_arrow_schema(BLOCKS))
+
+
+def named_pages(blocks: DataFrame, least: int, pages: int, of_words: bool) -> DataFrame:
+    """``FOUND`` of the blocks' pages: items counted over all blocks, those with ``least`` or more named, and these names by block."""
+
+    def run(t: pa.Table) -> pa.Table:
+        page, out = t["page"][0].as_py(), []
+        counts = [unpacked(x.as_py()) for x in t["counts"]]
+        n = np.concatenate(counts)
+        if of_words:
+            langs, lang = np.unique(np.repeat(t["lang"].to_pylist(), [len(c) for c in counts]), return_inverse=True)
+            parts = [zstandard.ZstdDecompressor().decompress(x.as_py()).split(b"\n") for x in t["items"]]
+            coded = pa.chunked_array([pa.array(w, pa.binary()) for w in parts]).combine_chunks().dictionary_encode()
+            key, where = np.unique(coded.indices.to_numpy().astype(np.int64) * len(langs) + lang, return_inverse=True)
+            named = {"lang": langs[key % len(langs)], "word": np.array([w.decode("utf-8", "replace") for w in coded.dictionary.to_pylist()], dtype=object)[key // len(langs)]}
+            total = np.zeros(len(langs), dtype=np.int64)
+            np.add.at(total, lang, n)
+            out.append(batch_of(FOUND, len(langs), lang=langs.tolist(), total=total))
+        else:
+            left = np.concatenate([np.cumsum(unpacked(x.as_py())) for x in t["items"]])
+            right = np.concatenate([unpacked(x.as_py()) for x in t["others"]])
+            order = np.lexsort((right, left))
+            new = np.concatenate([[True], (left[order][1:] != left[order][:-1]) | (right[order][1:] != right[order][:-1])])
+            where = np.empty(len(order), dtype=np.int64)
+            where[order] = np.cumsum(new) - 1
+            named = {"left": left[order][new], "right": right[order][new]}
+        f = np.zeros(int(where.max()) + 1, dtype=np.int64)
+        np.add.at(f, where, n)
+        often = np.flatnonzero(f >= least)
+        ids = np.full(len(f), -1, dtype=np.int64)
+        ids[often] = np.arange(len(often)) * pages + page
+        out.append(batch_of(FOUND, len(often), id=ids[often], f=f[often], **{c: v[often].tolist() for c, v in named.items()}))
+        own, at = ids[where], np.concatenate([np.arange(s, s + len(c)) for s, c in zip(t["start"].to_pylist(), counts, strict=True)])
+        ends = np.cumsum([len(c) for c in counts])
+        rows = [(b, e - len(c) + np.flatnonzero(own[e - len(c) : e] >= 0)) for b, c, e in zip(t["block"].to_pylist(), counts, ends, strict=True)]
+        rows = [(b, r) for b, r in rows if len(r)]
+        out.append(batch_of(FOUND, len(rows), block=[b for b, _ in rows], at=[packed(at[r]) for _, r in rows], ids=[packed(own[r]) for _, r in rows]))
+        return pa.Table.from_batches(out, schema=FOUND)
+
+    return blocks.filter("page is not null").select("block", "lang", "page", "start", "items", "others", "counts").groupBy("page").applyInArrow(run, from_arrow_schema(FOUND))
+
+
+def next_blocks(blocks: DataFrame, found: DataFrame, pages: int, before: int | None, last: bool) -> DataFrame:
+    """``BLOCKS`` of the next length: a block's numbers get their names, and its pairs of these are counted by page.
+
+    The numbers are those of its words, or (where ``before`` is that length's number of pages) of the pairs of the names that it keeps.
+    """
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        at, known = right["at"].to_numpy(), right["id"].to_numpy()
-        for block, lang, raw, owned in zip(left["block"].to_pylist(), left["lang"].to_pylist(), left["codes"], left["owned"].to_pylist(), strict=True):
-            codes = np.frombuffer(raw.as_py(), dtype=np.int32).astype(np.int64)
-            size = int(codes.max(initial=-1)) + 1
-            ids = np.full(size + 1, -1, dtype=np.int64)  # the last one is that of positions without a number
-            ids[at] = known
-            there = ids[codes] >= 0
-            both = np.flatnonzero(there[:-1] & there[1:])
-            keys = codes[both] * (size + 1) + codes[both + 1]
-            found, local = np.unique(keys, return_inverse=True)
-            sequence = np.full(max(len(codes) - 1, 0), -1, dtype=np.int64)
-            sequence[both] = local
-            mine = sequence[:owned]
-            counts = np.bincount(mine[mine >= 0], minlength=len(found))
-            ends = {"left": pa.array(ids[found // (size + 1)]), "right": pa.array(ids[found % (size + 1)])}
-            out += block_rows(block, lang, sequence, owned, ends, counts, names)
-        return pa.Table.from_batches(out, schema=schema) if out else schema.empty_table()
-
-    schema = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("codes", pa.binary()), ("owned", pa.int32()), ("at", pa.int32()), ("left", pa.int64()), ("right", pa.int64()), ("n", pa.int64())])
-    return blocks.groupBy("block").cogroup(named.withColumnRenamed("block", "of").groupBy("of")).applyInArrow(run, PAIRS)
+        at = np.concatenate([unpacked(x.as_py()) for x in right["at"]] or [np.zeros(0, dtype=np.int64)])
+        ids = np.concatenate([unpacked(x.as_py()) for x in right["ids"]] or [np.zeros(0, dtype=np.int64)])
+        for r in left.to_pylist():
+            sequence = unpacked(r["codes"]) - 1
+            if before is not None:
+                sequence = pairs_of(sequence, unpacked(r["ids"]), before)[0]
+            known = np.full(int(max(sequence.max(initial=-1), at.max(initial=-1))) + 2, -1, dtype=np.int64)  # the last one is that of positions without a number
+            known[at] = ids
+            names = known[sequence]
+            used, local = np.unique(names[names >= 0], return_inverse=True)
+            codes = np.full(len(names), -1, dtype=np.int64)
+            codes[names >= 0] = local
+            pair, page, first, second = pairs_of(codes, used, pages)
+            mine = pair[: r["owned"]]
+            counts = np.bincount(mine[mine >= 0], minlength=len(first))
+            if not last:
+                out.append(batch_of(BLOCKS, 1, block=[r["block"]], lang=[r["lang"]], codes=[packed(codes + 1)], ids=[packed(used)], owned=[r["owned"]]))
+            out.append(paged(r["block"], r["lang"], page, lambda p, x=first: packed(np.diff(x[p], prepend=0)), lambda p, x=second: packed(x[p]), counts))
+        return pa.Table.from_batches(out, schema=BLOCKS)
+
+    state = blocks.filter("codes is not null").select("block", "lang", "codes", "ids", "owned")
+    names = found.filter("at is not null").select(F.col("block").alias("of"), "at", "ids")
+    return state.groupBy("block").cogroup(names.groupBy("of")).applyInArrow(run, from_arrow_schema(BLOCKS))
 
 
 def whole(x: Column) -> Column:
@@ -153,9 +242,11 @@ def phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", lon
     (``heads``: of its beginnings, ``tails``: of its ends) are those of all cuts. A longer candidate that covers a phrase
     has a part one word longer that covers it too, so only direct parents are looked up.
 
-    Texts are worked on in blocks of ``BLOCK`` words of one language; a block's different pairs are counted there before
-    they are shuffled, and of its names only those that it uses come back. A long text goes over several blocks, each of
-    which sees a few positions of the next, so no phrase is lost.
+    Texts are worked on in blocks of ``BLOCK`` words of one language. A block's different words or pairs are counted there
+    and dealt by hash into pages, as sorted and compressed lists; a page (one task, of some ``PAGE`` items, as there are
+    more of them the more text there is) adds up the lists of all blocks, names what is frequent, and sends each block the
+    names of its own numbers. Blocks keep names only, not what was counted in vain. A long text goes over several blocks,
+    each of which sees a few positions of the next, so no phrase is lost.
 
     Defined cases: a null language is ``und``; null and empty texts have no words; words hold any other character;
     repeated rows count again; an empty table gives an empty result; further columns are ignored.
@@ -163,33 +254,33 @@ def phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", lon
     spark = docs.sparkSession
     folder = f"{shared_folder(spark)}/phrases-{uuid.uuid4().hex}"
 
-    def written(df: DataFrame, k: int) -> DataFrame:
-        df.write.parquet(f"{folder}/{k}")
-        return spark.read.parquet(f"{folder}/{k}")
-
-    made = written(first_blocks(docs, lang_col, text_col, longest - 1), 1)
-    per_word = made.filter("at is not null").groupBy("lang", "word").agg(F.sum("n").alias("f"))
-    per_word = cut(per_word)
-    totals = per_word.groupBy(F.col("lang").alias("total_lang")).agg(F.sum("f").alias("n"))
-    known = cut(per_word.filter(F.col("f") >= least).select(F.monotonically_increasing_id().alias("id"), "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.array("f").alias("heads"), F.array("f").alias("tails")))
-    on = {"lang": F.col("lang"), "word": F.col("phrase")}
-    scored = []
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    pages, before = max(tasks, size // (8 * PAGE)), None
+    blocks = written(first_blocks(docs, lang_col, text_col, longest - 1, pages), "blocks-1")
+    found = written(named_pages(blocks, least, pages, True), "names-1")
+    totals = cut(found.filter("total is not null").groupBy(F.col("lang").alias("total_lang")).agg(F.sum("total").alias("n")))
+    known = found.filter("id is not null").select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.array("f").alias("heads"), F.array("f").alias("tails"))
+    every = max(tasks, (totals.agg(F.sum("n")).first()[0] or 0) // PAGE)
+    scored: list[DataFrame] = []
     for k in range(2, longest + 1):
-        keys = list(on)
-        names = known.select("id", *[c.alias(f"__{x}") for x, c in on.items()])
-        same = [F.col(x) == F.col(f"__{x}") for x in keys]
-        here = made.filter("at is not null").select("block", "at", *keys).join(fitting(names, 96), same).select("block", "at", "id")
-        made = written(next_blocks(made.filter("codes is not null").select("block", "lang", "codes", "owned"), here), k)
-        pairs = made.filter("at is not null").groupBy("left", "right").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
-        pairs = cut(pairs.select(F.monotonically_increasing_id().alias("id"), "left", "right", "f"))
+        blocks, before = written(next_blocks(blocks, found, every, before, k == longest), f"blocks-{k}"), every
+        remove(spark, f"{folder}/blocks-{k - 1}")
+        found = written(named_pages(blocks, least, every, False), f"names-{k}")
+        pairs = found.filter("id is not null").select("id", "left", "right", "f")
         one, two = (known.select(F.col("id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("lang", "phrase", "last", "f", "heads", "tails")]) for side in ("left", "right"))
-        joined = pairs.join(fitting(one, 256), "left").join(fitting(two, 256), "right")
+        joined = pairs.join(one, "left").join(two, "right")
         parents = cut(joined.select("id", F.col("left_lang").alias("lang"), F.concat_ws(" ", "left_phrase", "right_last").alias("phrase"), F.col("right_last").alias("last"), "f", F.concat("left_heads", F.array("f")).alias("heads"), F.concat("right_tails", F.array("f")).alias("tails"), "left", "right"))
         if k > 2:
             above = parents.select("f", F.explode(F.array_distinct(F.array("left", "right"))).alias("part")).groupBy("part").agg(F.max("f").alias("above"))
-            scored[-1] = scored[-1].join(fitting(cut(above), 16), F.col("id") == F.col("part"), "left")
+            scored[-1] = scored[-1].join(above, F.col("id") == F.col("part"), "left")
         scored.append(parents)
-        known, on = parents, {"left": F.col("left"), "right": F.col("right")}
+        known = parents
+    remove(spark, f"{folder}/blocks-{longest}")
     scored[-1] = scored[-1].withColumns({"part": F.lit(None).cast("long"), "above": F.lit(None).cast("long")})
 
     def cuts(k: int) -> Column:
@@ -198,12 +289,9 @@ def phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", lon
         return F.least(*each) if len(each) > 1 else each[0]
 
     parts = [df.filter(F.col("above").isNull() | (whole(F.col("above")) * 100 < whole(F.col("f")) * covered)).select("lang", "phrase", F.col("f").alias("a"), cuts(k).alias("c")) for k, df in enumerate(scored, 2)]
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
     order = W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = every.select("lang", "phrase", "a", "c.*").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
-    return best.join(fitting(cut(totals), 32), F.col("lang") == F.col("total_lang")).select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", F.col("score").cast("long").alias("score"))
+    best = reduce(DataFrame.unionByName, parts).select("lang", "phrase", "a", "c.*").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+    return best.join(totals, F.col("lang") == F.col("total_lang")).select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", F.col("score").cast("long").alias("score"))
 
 
 SQL = r"""
