@@ -15,8 +15,8 @@ from pyspark.sql.types import StructType
 
 from .lineage import cut
 
-#: Longest chain of re-exports that is followed.
-DEPTH = 128
+#: Longest way over re-exports by which names are told for sure, and rounds of a closure after which chains are passed over.
+DEPTH, SHALLOW = 128, 10
 
 
 def name_of(df: DataFrame, column: str = "package") -> Column:
@@ -25,19 +25,70 @@ def name_of(df: DataFrame, column: str = "package") -> Column:
     return F.col(f"{column}.name") if isinstance(kind, StructType) else F.col(column)
 
 
-def closure(start: DataFrame, edges: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """``start`` (``package, file`` and further columns, all of which tell starts apart) and every ``file`` reached over ``edges`` (``package, file, target``), with its distance ``d``."""
+def chains(edges: DataFrame) -> DataFrame:
+    """``package, file, target, w, last``, cut: ways from files that have one way on, apart from dead ends: over 1, 2, 4, 8 ... steps (``w``).
+
+    ``last`` marks the longest way: to where the chain ends (a file with another number of ways on), or, of a chain that goes
+    round, one as long as there are such files. Pointers are doubled, so a chain of n files takes log2(n) rounds and n log2(n) rows.
+    """
+    step = edges.select("package", "file", "target").distinct()
+    onward = step.join(step.select("package", F.col("file").alias("target")).distinct(), ["package", "target"], "left_semi")
+    one = onward.groupBy("package", "file").agg(F.count("*").alias("n"), F.min("target").alias("target")).filter("n = 1").select("package", "file", "target")
+    inner = one.select("package", F.col("file").alias("target"), F.lit(True).alias("on"))
+    now = cut(one.withColumn("w", F.lit(1).cast("long")).join(inner, ["package", "target"], "left").select("package", "file", "target", "w", F.coalesce("on", F.lit(False)).alias("on")))
+    parts = []
+    for _ in range(now.count().bit_length()):
+        if now.filter("on").isEmpty():
+            break
+        parts.append(now.select("package", "file", "target", "w", F.lit(False).alias("last")))
+        further = now.select("package", F.col("file").alias("target"), F.col("target").alias("far"), F.col("w").alias("more"), F.col("on").alias("still"))
+        both = now.join(further, ["package", "target"], "left")
+        moves = F.col("on") & F.col("far").isNotNull()
+        now = cut(both.select("package", "file", F.when(moves, F.col("far")).otherwise(F.col("target")).alias("target"), (F.col("w") + F.when(moves, F.col("more")).otherwise(0)).alias("w"), F.when(moves, F.col("still")).otherwise(F.col("on")).alias("on")))
+    parts.append(now.select("package", "file", "target", "w", F.lit(True).alias("last")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def closure(start: DataFrame, edges: DataFrame, shallow: int = SHALLOW) -> DataFrame:
+    """``start`` (``package, file`` and further columns, all of which tell starts apart) and every ``file`` reached over ``edges`` (``package, file, target``), with its distance ``d``.
+
+    Rounds go on until nothing new is found, each from what the round before found. Beyond ``shallow`` rounds, ways along
+    ``chains`` are taken too, so that deep graphs, which are chains in the main, take about log2(depth) more.
+    """
     keys = [c for c in start.columns if c != "d"]
+    ways = edges.select("package", "file", "target", F.lit(1).cast("long").alias("w")).distinct()
+    reached = cut(start.select(*keys).distinct().withColumns({"d": F.lit(0).cast("long"), "fresh": F.lit(True)}))
+    rounds = 0
+    while True:
+        rounds += 1
+        if rounds == shallow:
+            ways = cut(ways.unionByName(chains(edges).select("package", "file", "target", "w")).distinct())
+        found = reached.filter("fresh").join(ways, ["package", "file"]).withColumn("d", F.col("d") + F.col("w")).drop("file", "w", "fresh").withColumnRenamed("target", "file").groupBy(*keys).agg(F.min("d").alias("d"))
+        both = reached.withColumn("fresh", F.lit(False)).unionByName(found.withColumn("fresh", F.lit(True)))
+        reached = cut(both.groupBy(*keys).agg(F.min(F.struct("d", "fresh")).alias("e")).select(*keys, "e.*"))
+        if reached.filter("fresh").isEmpty():
+            return reached.drop("fresh").withColumn("d", F.col("d").cast("int"))
+
+
+def heights(edges: DataFrame, most: int = DEPTH) -> DataFrame:
+    """``package, file, h``, cut: the longest way on from each file, if it has at most ``most`` steps; files without it go on for longer, or into a cycle.
+
+    Chains are passed over as a whole; what is left is settled from its ends on, a layer a round.
+    """
     step = edges.select("package", "file", "target").distinct()
-    now = cut(start.distinct().withColumn("d", F.lit(0)))
-    reached = now
-    for d in range(1, depth + 1):
-        next_ = now.join(step, ["package", "file"]).drop("file", "d").withColumnRenamed("target", "file").select(*keys).distinct()
-        now = cut(next_.join(reached, keys, "left_anti").withColumn("d", F.lit(d)))
-        if now.isEmpty():
+    ends = cut(chains(edges).filter("last").select("package", F.col("file").alias("inner"), F.col("target").alias("end"), "w"))
+    short = ends.select("package", "inner").withColumnRenamed("inner", "file")
+    over = step.join(ends.withColumnRenamed("inner", "target"), ["package", "target"], "left").select("package", "file", F.coalesce("end", "target").alias("target"), (F.coalesce("w", F.lit(0)) + 1).alias("w"))
+    left = cut(over.join(short, ["package", "file"], "left_anti").groupBy("package", "file", "target").agg(F.max("w").alias("w")))
+    known = cut(step.select("package", F.col("target").alias("file")).distinct().join(step.select("package", "file").distinct(), ["package", "file"], "left_anti").withColumn("h", F.lit(0).cast("long")))
+    for _ in range(most + 1):
+        at = left.join(known.withColumnRenamed("file", "target"), ["package", "target"], "left").groupBy("package", "file").agg(F.bool_and(F.col("h").isNotNull()).alias("all"), F.max(F.col("h") + F.col("w")).alias("h"))
+        new = cut(at.filter(F.col("all") & (F.col("h") <= most)).select("package", "file", "h"))
+        if new.isEmpty():
             break
-        reached = cut(reached.unionByName(now))
-    return reached
+        known, left = cut(known.unionByName(new)), cut(left.join(new.select("package", "file"), ["package", "file"], "left_anti"))
+    along = ends.join(known.withColumnRenamed("file", "end"), ["package", "end"]).select("package", F.col("inner").alias("file"), (F.col("h") + F.col("w")).alias("h"))
+    return cut(known.unionByName(along.filter(F.col("h") <= most)))
 
 
 def search_files(roots: DataFrame, graph: dict[str, DataFrame]) -> DataFrame:
@@ -59,16 +110,14 @@ def offered(roots: DataFrame, graph: dict[str, DataFrame]) -> DataFrame:
 
 
 def surface(roots: DataFrame, graph: dict[str, DataFrame]) -> DataFrame:
-    """``package, import, names``: the names that an import exports, where they are fully known: no module on its way over stars is missing, unreadable, assigned as a whole, or in a cycle."""
+    """``package, import, names``: the names that an import exports, where they are fully known: no module on its way over stars is
+    missing, unreadable, assigned as a whole, in a cycle, or over ``DEPTH`` steps away by any way."""
     starts = roots.select("package", "import", F.col("file").alias("root"), "file").distinct()
-    near = closure(starts, graph["stars"])
+    tall = starts.join(graph["stars"].select("package", "file").distinct(), ["package", "file"], "left_semi").join(heights(graph["stars"]), ["package", "file"], "left_anti").select("package", "import").distinct()
+    near = closure(starts.join(tall, ["package", "import"], "left_anti"), graph["stars"])
     known = near.join(graph["modules"], ["package", "file"], "left").groupBy("package", "import").agg(F.bool_and(F.coalesce(~F.col("incomplete") & F.col("assignment").isNull(), F.lit(False))).alias("known"))
-    inner = near.select("package", "file").distinct()
-    steps = inner.join(graph["stars"], ["package", "file"]).select("package", F.col("file").alias("origin"), F.col("target").alias("file")).distinct()
-    cyclic = closure(steps, graph["stars"]).filter("origin = file").select("package", "file").distinct()
-    whole = near.join(cyclic, ["package", "file"], "left_semi").select("package", "import").distinct()
     names = near.join(graph["exports"].select("package", "file", "name"), ["package", "file"]).filter("d = 0 or name <> 'default'").groupBy("package", "import").agg(F.sort_array(F.collect_set("name")).alias("names"))
-    return names.join(known.filter("known"), ["package", "import"], "left_semi").join(whole, ["package", "import"], "left_anti")
+    return names.join(known.filter("known"), ["package", "import"], "left_semi")
 
 
 def canonical(graph: dict[str, DataFrame]) -> DataFrame:

@@ -46,6 +46,43 @@ def export_names(spark, sf_dir):
     return exports.surface(frame(spark, sf_dir, "roots"), graph(spark, sf_dir)).select("import", F.array_join("names", ",").alias("names"))
 
 
+#: A package whose files are one chain, with a dead end at each, and one that goes round 500 files.
+DEEP = "(SELECT 'chain' AS package, 'c' || p_partkey AS file, 'c' || (p_partkey + 1) AS target FROM part WHERE p_partkey < (SELECT max(p_partkey) FROM part) UNION ALL SELECT 'chain', 'c' || p_partkey, 'leaf' || p_partkey FROM part UNION ALL SELECT 'ring', 'r' || (p_partkey % 500), 'r' || ((p_partkey + 1) % 500) FROM part GROUP BY ALL)"
+DEEP_ROOTS = "(SELECT 'chain' AS package, 'chain' || CASE WHEN k = 0 THEN '' ELSE '/' || k END AS import, 'c' || CASE WHEN k = 0 THEN 1 ELSE m - k END AS file FROM (SELECT max(p_partkey) AS m FROM part), (SELECT unnest([0, 10, 126, 127, 128, 129]) AS k) UNION ALL SELECT 'ring', 'ring', 'r0')"
+
+
+def deep(spark, sf_dir):
+    p = table(spark, sf_dir, "part").selectExpr("cast(p_partkey as bigint) AS p")
+    most = p.agg(F.max("p").alias("m"))
+    name = lambda k, c: F.concat(F.lit(k), c.cast("string"))
+    chain = p.crossJoin(F.broadcast(most)).filter("p < m").select(F.lit("chain").alias("package"), name("c", F.col("p")).alias("file"), name("c", F.col("p") + 1).alias("target"))
+    leaves = p.select(F.lit("chain"), name("c", F.col("p")), name("leaf", F.col("p")))
+    ring = p.select(F.lit("ring"), name("r", F.col("p") % 500), name("r", (F.col("p") + 1) % 500)).distinct()
+    stars = chain.union(leaves).union(ring)
+    files = stars.select("package", "file").union(stars.select("package", "target")).distinct()
+    starts = most.withColumn("k", F.explode(F.array(*[F.lit(k) for k in (0, 10, 126, 127, 128, 129)])))
+    roots = starts.select(F.lit("chain").alias("package"), F.when(F.col("k") == 0, "chain").otherwise(name("chain/", F.col("k"))).alias("import"), F.when(F.col("k") == 0, "c1").otherwise(name("c", F.col("m") - F.col("k"))).alias("file"))
+    roots = roots.union(spark.createDataFrame([("ring", "ring", "r0")], "package string, import string, file string"))
+    modules_ = files.withColumns({"incomplete": F.lit(False), "assignment": F.lit(None).cast("string")})
+    exported = files.select("package", "file", F.concat(F.lit("v"), "file").alias("name"), F.lit("local").alias("kind"), F.lit(None).cast("string").alias("target_file"), F.col("file").alias("target_name"))
+    return roots, {"stars": stars, "modules": modules_, "exports": exported, "imports": spark.createDataFrame([], NO_IMPORTS)}
+
+
+@query(f"WITH RECURSIVE s AS MATERIALIZED (SELECT * FROM {DEEP}), reach AS (SELECT import, file FROM {DEEP_ROOTS} r UNION SELECT r.import, s.target FROM reach r JOIN s ON s.file = r.file) SELECT import, count(*) AS files, md5(string_agg(file, ',' ORDER BY file)) AS listed FROM reach GROUP BY import")
+def deep_import_files(spark, sf_dir):
+    """All files of imports in a chain as long as the table and in a ring, however deep."""
+    found = exports.search_files(*deep(spark, sf_dir))
+    return found.groupBy("import").agg(F.count("*").alias("files"), F.md5(F.array_join(F.sort_array(F.collect_list("file")), ",")).alias("listed"))
+
+
+@query(f"""WITH RECURSIVE s AS MATERIALIZED (SELECT * FROM {DEEP}), walk AS (SELECT import, file, 0 AS d FROM {DEEP_ROOTS} r UNION SELECT w.import, s.target, w.d + 1 FROM walk w JOIN s ON s.file = w.file WHERE w.d < 129)
+SELECT import, count(DISTINCT file) AS names, md5(string_agg(DISTINCT 'v' || file, ',' ORDER BY 'v' || file)) AS listed FROM walk GROUP BY import HAVING max(d) <= 128""")
+def deep_export_names(spark, sf_dir):
+    """Names of imports that are known for sure: not those of a ring, nor beyond 128 steps."""
+    found = exports.surface(*deep(spark, sf_dir))
+    return found.select("import", F.size("names").cast("long").alias("names"), F.md5(F.array_join("names", ",")).alias("listed"))
+
+
 #: Modules that pass on all of one other: a third of a chain of files has no exports of its own.
 PASSING = f"(SELECT * FROM {EXPORTS} e WHERE CAST(substr(file, 2) AS BIGINT) % 3 = 0)"
 
