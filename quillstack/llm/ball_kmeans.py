@@ -155,11 +155,11 @@ def totals(state: DataFrame, k: int, width: int) -> list[tuple[int, int, int, li
     return [(own[0], own[1], (own[2] << 32) + own[3], own[4:]) for own in out]
 
 
-def initial(kept: DataFrame, seed: int, clusters: int) -> np.ndarray:
+def initial(kept: DataFrame, seed: int, clusters: int, width: int) -> np.ndarray:
     """The vectors with the least SHA-256 of ``<seed>:<id>``, in that order; equal hashes go by their components, null ids come last."""
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")), 256)
     rows = kept.select(digest.alias("h"), "v").orderBy(F.col("h").asc_nulls_last(), "v").limit(clusters).collect()
-    return np.array([r["v"] for r in rows], dtype=np.int64)
+    return np.array([r["v"] for r in rows], dtype=np.int64).reshape(len(rows), width)
 
 
 def cluster(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", clusters: int = CLUSTERS, rounds: int = ROUNDS, width: int = WIDTH, seed: int = 3) -> DataFrame:
@@ -195,7 +195,7 @@ def cluster(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
             if len(rows):
                 yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(rows)), pa.array(x.tolist(), pa.list_(pa.int64()))], names=["vec_id", "v"])
 
-    start = initial(source.mapInArrow(cells, "vec_id long, v array<long>"), seed, clusters)
+    start = initial(source.mapInArrow(cells, "vec_id long, v array<long>"), seed, clusters, width)
     k = len(start)
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -95,8 +95,8 @@ def paged(block: int, lang: str, page: np.ndarray, items: Callable[[slice], byte
     return batch_of(BLOCKS, n, block=[block] * n, lang=[lang] * n, page=page[starts], start=starts, items=[items(p) for p in parts], others=[others(p) for p in parts], counts=[packed(counts[p]) for p in parts])
 
 
-def first_blocks(docs: DataFrame, lang_col: str, text_col: str, reach: int, pages: int) -> DataFrame:
-    """``BLOCKS`` of up to ``BLOCK`` words of one language; a block goes on for ``reach`` positions into the next of its text."""
+def first_blocks(docs: DataFrame, lang_col: str, text_col: str, reach: int, pages: int, most: int = BLOCK) -> DataFrame:
+    """``BLOCKS`` of up to ``most`` words of one language; a block goes on for ``reach`` positions into the next of its text."""
     source = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,9 +115,9 @@ def first_blocks(docs: DataFrame, lang_col: str, text_col: str, reach: int, page
             codes[at] = coded.indices.to_numpy()
             words = np.array(coded.dictionary.to_pylist(), dtype=object)
             page = np.array([crc32(w) % pages for w in words], dtype=np.int64)
-            for start in range(0, len(codes), BLOCK):
-                own = codes[start : start + BLOCK + reach]
-                owned = min(BLOCK, len(codes) - start)
+            for start in range(0, len(codes), most):
+                own = codes[start : start + most + reach]
+                owned = min(most, len(codes) - start)
                 used, local = np.unique(own[own >= 0], return_inverse=True)
                 order = np.argsort(page[used], kind="stable")
                 place = np.empty(len(order), dtype=np.int64)
@@ -227,7 +227,7 @@ def ratio(a: Column, l: Column, r: Column, factor: int) -> Column:  # noqa: E741
     return F.call_function("div", top, l.cast("decimal(19,0)") + r.cast("decimal(19,0)"))
 
 
-def phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", longest: int = LONGEST, least: int = LEAST, covered: int = COVERED, most: int = MOST, factor: int = FACTOR) -> DataFrame:
+def phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", longest: int = LONGEST, least: int = LEAST, covered: int = COVERED, most: int = MOST, factor: int = FACTOR, block: int = BLOCK) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: each language's best ``most`` phrases of 2 to ``longest`` words.
 
     Texts are lower-cased (A-Z), cut into pieces at ``[.,;:!?`` and line ends ``]`` and these into words. a counts a
@@ -242,7 +242,7 @@ def phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", lon
     (``heads``: of its beginnings, ``tails``: of its ends) are those of all cuts. A longer candidate that covers a phrase
     has a part one word longer that covers it too, so only direct parents are looked up.
 
-    Texts are worked on in blocks of ``BLOCK`` words of one language. A block's different words or pairs are counted there
+    Texts are worked on in blocks of ``block`` words of one language. A block's different words or pairs are counted there
     and dealt by hash into pages, as sorted and compressed lists; a page (one task, of some ``PAGE`` items, as there are
     more of them the more text there is) adds up the lists of all blocks, names what is frequent, and sends each block the
     names of its own numbers. Blocks keep names only, not what was counted in vain. A long text goes over several blocks,
@@ -260,8 +260,10 @@ def phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", lon
 
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:  # of rows that are no files Spark doesn't know it
+        size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     pages, before = max(tasks, size // (8 * PAGE)), None
-    blocks = written(first_blocks(docs, lang_col, text_col, longest - 1, pages), "blocks-1")
+    blocks = written(first_blocks(docs, lang_col, text_col, longest - 1, pages, block), "blocks-1")
     found = written(named_pages(blocks, least, pages, True), "names-1")
     totals = cut(found.filter("total is not null").groupBy(F.col("lang").alias("total_lang")).agg(F.sum("total").alias("n")))
     known = found.filter("id is not null").select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.array("f").alias("heads"), F.array("f").alias("tails"))
