@@ -149,11 +149,13 @@ def compatible_imports(roots: DataFrame, graph: dict[str, DataFrame]) -> DataFra
     places = roots.join(canonical(graph), ["package", "file"], "left").groupBy("package", "import").agg(F.bool_and(F.col("canonical").isNotNull()).alias("known"), F.sort_array(F.collect_set("canonical")).alias("files"))
     names = surface(roots, graph).select("package", "import", "names")
     own = cut(places.join(names, ["package", "import"], "left").withColumn("files", F.when(F.col("known"), F.col("files"))).drop("known"))
-    a, b = own.filter("files is not null").alias("a"), own.alias("b")
-    same = F.coalesce((F.size("a.files") == 1) & (F.col("a.files") == F.col("b.files")), F.lit(False))
-    apart = F.coalesce((F.col("a.import") == name_of(own, "a.package")) & ~F.arrays_overlap("a.names", "b.names"), F.lit(False))
-    pairs = a.join(b, F.col("a.package") == F.col("b.package")).filter((F.col("a.import") == F.col("b.import")) | same | apart)
-    return pairs.select(F.col("a.package").alias("package"), F.col("a.import").alias("import"), F.col("b.import").alias("other"))
+    there, named = own.filter("files is not null"), own.filter("names is not null")
+    alone = there.filter("size(files) = 1").select("package", "import", F.col("files")[0].alias("file"))
+    same = alone.join(alone.withColumnRenamed("import", "other"), ["package", "file"]).select("package", "import", "other")
+    # Only a package's root has helpers, so its names meet those of each other import once.
+    root = named.filter(F.col("files").isNotNull() & (F.col("import") == name_of(named))).select("package", "import", "names")
+    apart = root.join(named.select("package", F.col("import").alias("other"), F.col("names").alias("others")), "package").filter(~F.arrays_overlap("names", "others")).select("package", "import", "other")
+    return there.select("package", "import", F.col("import").alias("other")).unionByName(same).unionByName(apart).distinct()
 
 
 def resolve(asked: DataFrame, roots: DataFrame, graph: dict[str, DataFrame], entries: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -68,11 +68,22 @@ def find(deps: DataFrame, spec: Spec) -> DataFrame:
     return own.withColumn("rank", F.row_number().over(W.orderBy(F.desc("fits"), F.desc("direct"), "eco", "name", "version")))
 
 
+def grams(text: Column) -> Column:
+    """All parts of one to three characters, and the empty one."""
+    starts = F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(text))).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.concat(F.array(F.lit("")), F.flatten(F.transform(starts, lambda i: F.array(*[F.substr(text, i, F.lit(k)) for k in (1, 2, 3)])))))
+
+
 def similar(deps: DataFrame, asked: DataFrame, most: int = MOST_SIMILAR) -> DataFrame:
-    """``asked, id, n``: for each asked name up to ``most`` dependencies whose name contains it, or whose last part it contains."""
-    own = deps.select("eco", "name", "version", "direct", F.lower("name").alias("low")).distinct()
-    pairs = own.join(F.broadcast(asked.select("asked").distinct()), F.col("low").contains(F.lower("asked")) | ((F.length("asked") >= 3) & F.lower("asked").contains(F.regexp_extract("low", r"([^/]*)$", 1))))
-    named = pairs.select("asked", F.concat("eco", F.lit(":"), "name", F.lit("@"), "version").alias("id"), "direct", "eco", "name", "version").distinct()
+    """``asked, id, n``: for each asked name up to ``most`` dependencies whose name contains it, or whose last part it contains.
+
+    What contains a name has its first three characters, so names meet by these.
+    """
+    own = deps.select("eco", "name", "version", "direct", F.lower("name").alias("low"), F.regexp_extract(F.lower("name"), r"([^/]*)$", 1).alias("last")).distinct()
+    wanted = asked.select("asked", F.lower("asked").alias("want")).distinct()
+    inside = own.withColumn("key", F.explode(grams(F.col("low")))).join(wanted.withColumn("key", F.left("want", F.lit(3))), "key").filter(F.col("low").contains(F.col("want")))
+    around = own.withColumn("key", F.left("last", F.lit(3))).join(wanted.filter(F.length("asked") >= 3).withColumn("key", F.explode(grams(F.col("want")))), "key").filter(F.col("want").contains(F.col("last")))
+    named = inside.unionByName(around).select("asked", F.concat("eco", F.lit(":"), "name", F.lit("@"), "version").alias("id"), "direct", "eco", "name", "version").distinct()
     order = W.partitionBy("asked").orderBy(F.desc("direct"), "eco", "name", "version")
     return named.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= most).select("asked", "id", "n")
 

@@ -45,10 +45,24 @@ def mentions_import(text: Column, path: Column) -> Column:
     return F.regexp(text, quoted)
 
 
+#: What a module token in a text is made of.
+_TOKEN = r"[\p{L}\p{N}@/_.-]"
+
+
 def wanted_imports(questions: DataFrame, packages: DataFrame, roots: DataFrame) -> DataFrame:
-    """``question_id, package, import``: imports that a question names of a package that it searches (``packages``: ``question_id, package``), else the package's root."""
-    others = packages.join(roots.select("package", "import").distinct(), "package").filter(F.col("import") != exports.name_of(packages))
-    named = others.join(questions.select("question_id", "text"), "question_id").filter(mentions_import(F.col("text"), F.col("import"))).select("question_id", "package", "import")
+    """``question_id, package, import``: imports that a question names of a package that it searches (``packages``: ``question_id, package``), else the package's root.
+
+    A question's module tokens, with and without a full stop at the end, meet imports by equality; only imports with
+    other characters are looked for one by one (``mentions_import``).
+    """
+    own = roots.select("package", "import").distinct()
+    tokens = F.regexp_extract_all("text", F.lit(f"({_TOKEN}+)"), 1)
+    both = F.array_distinct(F.concat(tokens, F.transform(tokens, lambda t: F.regexp_replace(t, r"\.$", ""))))
+    told = questions.select("question_id", F.explode(both).alias("import")).join(packages, "question_id")
+    odd = own.filter(~F.col("import").rlike(f"^{_TOKEN}+$"))
+    searched = packages.join(odd, "package").join(questions.select("question_id", "text"), "question_id").filter(mentions_import(F.col("text"), F.col("import")))
+    named = told.join(own, ["package", "import"]).select("question_id", "package", "import").unionByName(searched.select("question_id", "package", "import"))
+    named = named.filter(F.col("import") != exports.name_of(named)).distinct()
     rest = packages.join(named.select("question_id", "package").distinct(), ["question_id", "package"], "left_anti").withColumn("import", exports.name_of(packages))
     return named.unionByName(rest.select("question_id", "package", "import"))
 

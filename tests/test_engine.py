@@ -7,6 +7,7 @@ from quillstack.functions import text as X
 from quillstack.operators import packages, relational, retrieval, symbols, upgrade
 from quillstack.plans import engine
 from quillstack.plans.fixtures import frame
+from quillstack.plans.index import Index
 from quillstack.sources import modules
 from quillstack.streaming import incremental
 
@@ -111,6 +112,117 @@ def test_engine_answers(spark, tmp_path):
     assert e.resolve("typing").first().found == "4.8.0"
 
 
+VERSIONS = [("npm", "zod", "3.23.8"), ("npm", "zod", "4.0.0"), ("pypi", "zod", "9.9.9"), ("npm", "redis", "5.0.0"), ("pypi", "redis", "5.0.0")]
+
+
+@pytest.fixture(scope="module")
+def versions(spark):
+    """Entries of one name in several versions and ecosystems, each saying which it is."""
+    parts = []
+    for eco, name, version in VERSIONS:
+        text = f"# {name}\nHow to parse values strictly with {eco} {name} {version}, at length and in general.\n\n## Strict\nParse strictly in {eco} {version}.\n"
+        code = f'def parse_strictly(value):\n    """Parses values strictly in {eco} {version}."""\n'
+        files = spark.createDataFrame([(name, "README.md", "prose", text), (name, "core.py", "python", code)], "package string, file string, how string, text string")
+        parts.append(engine.Engine.build_index(files, spark.createDataFrame([(eco, name, version)], "eco string, package string, version string")))
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole.persist()
+
+
+@pytest.fixture(scope="module")
+def pins(spark):
+    return spark.createDataFrame([("npm", "zod", "zod", "3.23.8", True), ("npm", "lodash", "lodash", "4.1.0", True)], "eco string, name string, norm_name string, version string, direct boolean")
+
+
+def test_answers_come_from_the_pinned_version(spark, versions, pins):
+    e = engine.Engine(spark, pins, None, versions)
+    asked = spark.createDataFrame([(1, "How do I parse strictly with zod?"), (2, "parse values strictly")], "question_id long, text string")
+    for package in (None, "zod", "zod@3", "npm:zod@3.23.8"):
+        assert {(r.eco, r.package, r.version) for r in e.docs(asked, package).collect()} == {("npm", "zod", "3.23.8")}
+    assert {r.version for r in e.docs(asked, "zod@4.0.0").collect()} == {"4.0.0"} and {r.eco for r in e.docs(asked, "pypi:zod@9.9.9").collect()} == {"pypi"}
+    for package, said in (("zod@4", "pins zod 3.23.8"), ("lodas", "lodash@4.1.0"), ("redis", "several are indexed"), ("nothing", "not a dependency")):
+        with pytest.raises(LookupError, match=said):
+            e.docs(asked, package)
+    assert {(r.eco, r.version) for r in e.docs(asked, "pypi:redis").collect()} == {("pypi", "5.0.0")}
+    told = {r.question_id: (r.broad, r.searched, r.missing) for r in e.provenance(asked).collect()}
+    assert told == {1: (False, ["npm:zod@3.23.8"], []), 2: (True, ["npm:zod@3.23.8"], ["npm:lodash@4.1.0"])}
+    found = {r.symbol: (r.status, r.version) for r in e.api(spark.createDataFrame([("parse_strictly",), ("zod.parse_strictly()",)], "symbol string")).collect()}
+    assert found == {"parse_strictly": ("exact", "3.23.8"), "zod.parse_strictly()": ("exact", "3.23.8")}
+    over = {(r.eco, r.package, r.version): r.symbols for r in e.overview().collect()}
+    assert set(over) == set(VERSIONS) and all(v == ["parse_strictly"] for v in over.values())
+
+
+def test_an_empty_question_gives_the_overview(spark, versions, pins):
+    e = engine.Engine(spark, pins, None, versions)
+    rows = e.docs(spark.createDataFrame([(1, " "), (2, "parse strictly"), (3, None)], "question_id long, text string"), "zod").orderBy("question_id", "rank").collect()
+    first = {r.question_id: r.rendered for r in reversed(rows)}
+    assert first[1] == first[3] == "zod@3.23.8 · npm\nIndexed 1 API symbols and 2 doc sections.\nKey API: parse_strictly\n" and first[2].startswith("### ")
+    assert [r.rank for r in rows if r.question_id == 1] == [0, 1, 2] and any("npm zod 3.23.8" in r.rendered for r in rows if r.question_id == 1)
+
+
+def test_results_show_what_a_re_export_stands_for(spark, pins):
+    files = spark.createDataFrame([("zod", "core.py", "python", 'def strict_object(shape):\n    """Rejects unknown keys."""\n')], "package string, file string, how string, text string")
+    entries = engine.Engine.build_index(files, spark.createDataFrame([("npm", "zod", "3.23.8")], "eco string, package string, version string"))
+    alias = entries.withColumns({"entry_id": F.lit(7).cast("long"), "kind": F.lit("re-export"), "name": F.lit("shorthand"), "path": F.lit("shorthand"), "file": F.lit("index.py"), "sig": F.lit("shorthand"), "doc": F.lit(""), "alias_of": F.lit("strict_object"), "f_name": F.lit("shorthand"), "f_prose": F.lit(""), "f_summary": F.lit("")})
+    found = engine.Engine(spark, pins, None, entries.unionByName(alias)).docs(spark.createDataFrame([(1, "shorthand")], "question_id long, text string"), "zod").orderBy("rank").first()
+    assert (found.entry_id, found.path, found.file, found.doc) == (7, "strict_object", "core.py", "Rejects unknown keys.")
+
+
+def test_index_keeps_ecosystems_apart_and_readers_their_snapshot(spark, versions, pins, tmp_path):
+    path = str(tmp_path / "index")
+    names = lambda df: sorted({(r.eco, r.package, r.version) for r in df.collect()})
+    redis = versions.filter("package = 'redis'")
+    engine.Engine.write_index(redis.filter("eco = 'npm'"), path)
+    engine.Engine.write_index(redis.filter("eco = 'pypi'"), path)
+    assert names(engine.Engine.read_index(spark, path)) == [("npm", "redis", "5.0.0"), ("pypi", "redis", "5.0.0")]
+    index = Index(spark, path)
+    before = index.at()
+    held = before.entries()
+    third = engine.Engine.write_index(versions.filter("package = 'zod'"), path)
+    changed = engine.Engine.write_index(redis.filter("eco = 'npm'").withColumn("doc", F.lit("changed")), path)
+    assert names(held) == names(before.entries()) == [("npm", "redis", "5.0.0"), ("pypi", "redis", "5.0.0")] and held.filter("doc = 'changed'").isEmpty()
+    assert names(index.at().entries()) == sorted(VERSIONS) and not index.at().entries().filter("doc = 'changed'").isEmpty()
+    # A write that is killed before its last step leaves folders that nobody reads.
+    versions.limit(1).withColumns({"write": F.lit("killed"), "body_len": F.lit(1).cast("long"), "head_len": F.lit(1).cast("long")}).write.partitionBy("write").mode("append").parquet(f"{path}/entries")
+    assert index.at().number == changed and index.at().entries().count() == versions.count()
+    back = index.rollback(third)
+    assert index.at().number == back and index.at().entries().filter("doc = 'changed'").isEmpty()
+    asked = spark.createDataFrame([(1, "How do I parse strictly with zod?")], "question_id long, text string")
+    same = [engine.Engine(spark, pins, None, versions), engine.Engine.open(spark, path, pins, None)]
+    first, second = ([(r.rank, r.entry_id, r.score) for r in e.docs(asked).orderBy("rank").collect()] for e in same)
+    assert first == second and first
+    plan = index.at().lists(spark.createDataFrame([("pars",)], "term string"))._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" in plan.split("PartitionFilters")[1].split("]")[0]
+    assert index.vacuum(keep=1) == 2 and names(index.at().entries()) == sorted(VERSIONS) and index.numbers() == [back]
+    with pytest.raises(LookupError):
+        index.at(third)
+
+
+def test_names_that_resemble(spark, pins):
+    more = pins.unionByName(spark.createDataFrame([("go", "x.io/a/zo", "zo", "v1", True), ("npm", "", "", "0", False)], pins.schema))
+    asked = spark.createDataFrame([("ZO",), ("lodashes",), ("",), ("q",)], "asked string")
+    got = {}
+    for r in packages.similar(more, asked).collect():
+        got.setdefault(r.asked, []).append(r.id.split(":")[1].split("@")[0])
+    assert sorted(got["ZO"]) == ["x.io/a/zo", "zod"] and sorted(got["lodashes"]) == ["", "lodash"] and len(got[""]) == 4 and "q" not in got
+
+
+def test_modes_of_fusion_by_scope(spark):
+    rows = [(c, 10 * c + i, "function", f"name{i}", "upstream:x.md" if c == 2 else "a.py", f"text number{i} about things") for c in (1, 2, 3) for i in range(4)]
+    entries = spark.createDataFrame(rows, "cell long, entry_id long, kind string, name string, file string, doc string").withColumns({"package": F.concat(F.lit("p"), F.col("cell").cast("string")), "path": F.col("name"), "sig": F.lit(""), "legacy": F.lit(False), "major": F.lit(1).cast("long")})
+    vectors = spark.createDataFrame([(e, [1.0, float(e % 10)]) for _, e, *_ in rows if e < 30], "entry_id long, vector array<double>")
+    asked = spark.createDataFrame([(q, "text about things") for q in (1, 2, 3)] + [(4, "name2")], "question_id long, text string")
+    cells = spark.createDataFrame([(1, 1, 1), (2, 2, 2), (3, 3, 3), (4, 1, 1)], "question_id long, scope long, cell long")
+    near = spark.createDataFrame([(q, [0.0, 1.0]) for q in (1, 2, 3, 4)], "question_id long, vector array<double>")
+    found = retrieval.hybrid(entries, asked, {"name": 8, "doc": 2}, {"name": 2}, vectors, near, cells=cells).collect()
+    assert all(r.package == f"p{r.cell}" for r in found)
+    best = {q: max((r.score, r.entry_id) for r in found if r.question_id == q)[1] for q in (1, 2, 3, 4)}
+    assert best[2] == 23 and best[4] == 12  # scores mixed with upstream docs: the nearest vector; a clear leader by words stays
+    lex = {r.entry_id: r.score for r in retrieval.hybrid(entries, asked, {"name": 8, "doc": 2}, {"name": 2}, cells=cells).filter("question_id = 3").collect()}
+    assert {r.entry_id: r.score for r in found if r.question_id == 3} == lex  # a package without vectors
+
+
 def test_stream_keeps_the_same_state_as_a_batch(spark, tmp_path):
     rows = spark.createDataFrame([(i % 17, i, f"v{i}", i % 3) for i in range(300)], "key long, seq long, v string, part long")
     feed, target = str(tmp_path / "feed"), str(tmp_path / "state")
