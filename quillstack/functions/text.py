@@ -185,3 +185,23 @@ def redirects(text: Column) -> Column:
     looks = lambda w: w.startswith("`") | F.regexp(bare(w), F.lit(r"[_.$]|^.+[A-Z]"))
     names = F.transform(F.filter(found, lambda w: looks(w) & (F.octet_length(bare(w)) >= 3)), lambda w: F.regexp_extract(bare(w), r"([^.:]*)$", 1))
     return F.array_distinct(F.filter(names, lambda n: F.octet_length(n) >= 3))
+
+
+def url_escaped(text: Column) -> Column:
+    """Percent-encoded UTF-8: all but ASCII letters, digits and ``-._~``."""
+    own = F.url_encode(text)
+    for found, instead in (("+", "%20"), ("*", "%2A"), ("%7E", "~")):
+        own = F.replace(own, F.lit(found), F.lit(instead))
+    return own
+
+
+def github_repository(url: Column) -> Column:
+    """``owner, name`` of a repository that a manifest names: by a ``github:`` shorthand, any URL of the host, or ``owner/name``; else null."""
+    url = F.trim(url)
+    at = F.position(F.lit("github.com"), url)
+    short = ~url.contains(":") & (F.regexp_count(url, F.lit("/")) == 1) & ~url.startswith(".")
+    rest = F.when(url.startswith("github:"), F.regexp_replace(url, "^github:", "")).when(at > 0, F.regexp_replace(F.substr(url, at + 10), "^[:/]+", "")).when(short, url)
+    parts = F.filter(F.split(rest, "[/#?]"), lambda x: x != "")
+    owner, name = F.try_element_at(parts, F.lit(1)), F.regexp_replace(F.try_element_at(parts, F.lit(2)), r"(\.git)+$", "")
+    safe = lambda x: F.regexp(x, F.lit(r"^[A-Za-z0-9_.-]+$")) & ~x.isin(".", "..")
+    return F.when(safe(owner) & safe(name), F.struct(owner.alias("owner"), name.alias("name")))

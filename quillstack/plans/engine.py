@@ -14,6 +14,7 @@ from ..operators import exports, packages, relational, retrieval, scopes, symbol
 from ..operators.lineage import cut, fitting
 from ..sources import markdown, pages
 from ..sources import symbols as extract
+from ..sources.files import content_stamps
 from .index import Index, Snapshot
 
 #: Weights of the columns of ``with_fields`` in the body and in the heading index.
@@ -113,6 +114,18 @@ class Engine:
         """``Index.write``: replaces the exact versions of packages in ``entries``, entries and posting lists; others stay."""
         return Index(entries.sparkSession, path).write(entries, body or BODY, head or HEAD)
 
+    @staticmethod
+    def refresh(files: DataFrame, versions: DataFrame, path: str, body: dict[str, int] | None = None, head: dict[str, int] | None = None) -> int:
+        """Brings an index up to date with package files (``package, file, how, text``) and ``versions`` (``eco, package, version``): only packages whose
+        files hold something else than when they were written are extracted. The snapshot's number, the same as before if nothing changed."""
+        index = Index(files.sparkSession, path)
+        stamps = versions.select("eco", "package", "version").join(content_stamps(files), "package")
+        stale = cut(index.stale(stamps.select("eco", "package", "version", "stamp")))
+        if stale.isEmpty():
+            return index.at().number
+        entries = Engine.build_index(files.join(fitting(stale.select("package").distinct()), "package", "left_semi"), stale.select("eco", "package", "version"))
+        return index.write(entries, body or BODY, head or HEAD, stale)
+
     @staticmethod
     def read_index(spark: SparkSession, path: str, number: int | None = None) -> DataFrame:
         """The entries of the latest snapshot, or of an earlier one."""

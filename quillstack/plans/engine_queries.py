@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import relational as R
 from ..operators import retrieval, symbols, upgrade
+from ..streaming import incremental
 from . import oracle as O
 from .generated import frame, sql
 from .queries import ASKED, DOCS, asked, docs, query, table
@@ -65,8 +66,11 @@ SELECT question_id, entry_id, round(s, 6) AS score, rank FROM (SELECT *, row_num
   SELECT question_id, entry_id, round(score * CASE WHEN a.q = 1 THEN 1.15 WHEN a.q = 0 THEN 0.6 ELSE 1 END * CASE WHEN a.t = 1 THEN 0.35 ELSE 1 END, 9) AS s FROM t LEFT JOIN a USING (entry_id)))""")
 def boosted_rank(spark, sf_dir):
     marks = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("entry_id")).agg(F.max("quality").alias("q"), F.max("toxic").alias("t"))
-    weight = F.when(F.col("q") == 1, 1.15).when(F.col("q") == 0, 0.6).otherwise(1.0) * F.when(F.col("t") == 1, 0.35).otherwise(1.0)
-    scored = best_hits(spark, sf_dir).drop("rank").join(marks, "entry_id", "left").withColumn("score", F.round(F.col("score") * weight, 9))
+    # Labels stand for what weighs a section: good ones for a README's, bad ones for a deprecated page's, toxic ones for an older major's.
+    page = F.when(F.col("q") == 0, "Notes (deprecated)").otherwise("Notes")
+    shown = best_hits(spark, sf_dir).drop("rank").join(marks, "entry_id", "left").withColumns({"kind": F.lit("doc"), "name": page, "path": page, "file": F.when(F.col("q") == 1, "README.md").otherwise("notes.md"), "doc": F.lit("x"), "legacy": F.coalesce(F.col("t") == 1, F.lit(False)), "major": F.lit(2)})
+    weight = retrieval.boost(F.array().cast("array<string>"), F.lit(False))
+    scored = shown.withColumns(retrieval.boost_marks()).withColumn("score", F.round(F.col("score") * weight, 9)).select("question_id", "entry_id", "score")
     return retrieval.top(scored, ["question_id"], 20).select("question_id", "entry_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -85,7 +89,7 @@ def latency_percentile_pick(spark, sf_dir):
 @query("SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
 def incremental_latest(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value", "ts")
-    return rows.groupBy("user_id").agg(F.max_by(F.struct("event_id", "event_type", "value"), F.struct("ts", "event_id")).alias("e")).select("user_id", "e.*")
+    return incremental.latest(rows, "user_id", ["ts", "event_id"]).select("user_id", "event_id", "event_type", "value")
 
 
 @query("SELECT doc_id, CAST(ceil(length(text) / 3) AS BIGINT) AS est_tokens, len(regexp_extract_all(text, '[\\p{L}\\p{N}]+')) AS n_words FROM documents")

@@ -12,8 +12,8 @@ from ..functions import terms
 from ..operators.lineage import cut, exists, fitting, folders, remove, rename
 from ..operators.retrieval import GROUPS, Postings
 
-#: Version of the tables; a reader passes over packages written by another one. Folders that posting lists are dealt into by term.
-FORMAT, BUCKETS = 3, 64
+#: Version of the tables; a reader passes over packages written by another one. Folders that posting lists are dealt into by term, and entries of a list.
+FORMAT, BUCKETS, LIST = 3, 64, 1 << 16
 PACKAGE = ("eco", "package", "version")
 
 
@@ -30,7 +30,7 @@ class Snapshot:
     number: int
 
     def packages(self) -> DataFrame:
-        """``eco, package, version, write``: the packages of the snapshot in the current format, and the write that holds each."""
+        """``eco, package, version, stamp, write``: the packages of the snapshot in the current format, what they were made of, and the write that holds each."""
         return self.spark.read.parquet(f"{self.path}/snapshots/{self.number}").filter(F.col("format") == FORMAT).drop("format")
 
     def table(self, name: str) -> DataFrame:
@@ -39,7 +39,7 @@ class Snapshot:
         rows = self.spark.read.parquet(f"{self.path}/{name}")
         # Writes that hold anything are counted, not packages: their folders are pruned before a file is opened.
         live = [r["write"] for r in own.select("write").distinct().collect()]
-        return rows.filter(F.col("write").isin(live)).join(fitting(own), [*PACKAGE, "write"], "left_semi").drop("write")
+        return rows.filter(F.col("write").isin(live)).join(fitting(own.drop("stamp")), [*PACKAGE, "write"], "left_semi").drop("write")
 
     def entries(self) -> DataFrame:
         return self.table("entries")
@@ -80,10 +80,16 @@ class Index:
             raise LookupError(f"no such snapshot of {self.path}; there are {known}")
         return Snapshot(self.spark, self.path, known[-1] if number is None else number)
 
-    def write(self, entries: DataFrame, body: dict[str, int], head: dict[str, int]) -> int:
+    def stale(self, stamps: DataFrame) -> DataFrame:
+        """Of ``stamps`` (``eco, package, version, stamp``) those that no package of the latest snapshot was written with."""
+        return stamps if not self.numbers() else stamps.join(self.at().packages(), [*PACKAGE, "stamp"], "left_anti")
+
+    def write(self, entries: DataFrame, body: dict[str, int], head: dict[str, int], stamps: DataFrame | None = None) -> int:
         """Replaces the packages (exact versions) in ``entries``; others stay. The snapshot's number.
 
-        A posting list has the entries of one package with a term, in their bucket's folder, sorted by term.
+        A posting list has the entries of one package with a term (a large package's in several parts), in their bucket's
+        folder, sorted by term. ``stamps`` (``eco, package, version, stamp``) say what the packages were made of, also of
+        those that have no entries.
         """
         mark = uuid.uuid4().hex
         own = entries if "eco" in entries.columns else entries.withColumn("eco", F.lit("npm"))
@@ -93,10 +99,14 @@ class Index:
         own.join(sizes, "entry_id").withColumn("write", F.lit(mark)).write.partitionBy("write").mode("append").parquet(f"{self.path}/entries")
         each = F.explode(F.array(*[F.struct(F.lit(g).alias("g"), F.col(f"{name}_len").alias("len"), F.col(f"{name}_terms").alias("terms")) for g, name in enumerate(GROUPS)]))
         flat = made.join(own.select("entry_id", *PACKAGE), "entry_id").select(*PACKAGE, "entry_id", each.alias("v")).select(*PACKAGE, "entry_id", "v.g", "v.len", F.inline("v.terms"))
-        lists = flat.groupBy(*PACKAGE, "g", "term").agg(F.sort_array(F.collect_list(F.struct("entry_id", "len", "tf"))).alias("list"))
-        dealt = lists.withColumns({"bucket": bucket(F.col("term")), "write": F.lit(mark)}).repartition("bucket").sortWithinPartitions("bucket", "term")
+        parts = own.groupBy(*PACKAGE).agg(F.ceil(F.count("*") / LIST).alias("parts"))
+        flat = flat.join(parts, list(PACKAGE)).withColumn("part", F.pmod(F.xxhash64("entry_id"), F.col("parts")))
+        lists = flat.groupBy(*PACKAGE, "g", "term", "part").agg(F.sort_array(F.collect_list(F.struct("entry_id", "len", "tf"))).alias("list"))
+        dealt = lists.withColumns({"bucket": bucket(F.col("term")), "write": F.lit(mark)}).drop("part").repartition("bucket", *PACKAGE).sortWithinPartitions("bucket", "term")
         dealt.write.partitionBy("write", "bucket").mode("append").parquet(f"{self.path}/postings")
-        return self.publish(own.select(*PACKAGE).distinct().withColumns({"write": F.lit(mark), "format": F.lit(FORMAT)}))
+        there = own.select(*PACKAGE).distinct()
+        held = there.withColumn("stamp", F.lit(None).cast("string")) if stamps is None else there.join(stamps, list(PACKAGE), "full")
+        return self.publish(held.select(*PACKAGE, "stamp", F.lit(mark).alias("write"), F.lit(FORMAT).alias("format")))
 
     def publish(self, new: DataFrame, alone: bool = False) -> int:
         """The next snapshot: the packages in ``new`` in place of theirs in the latest one (or, if ``alone``, of all)."""

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import exports, packages, relational, retrieval, scopes, symbols, upgrade
+from ..operators.lineage import shared_folder
 from ..sources import modules
 from . import bench
 from . import oracle as O
 from .generated import frame, sql
+from .index import Index
 from .queries import ASKED, asked, docs, query, table
 
 STARS, MODULES, EXPORTS, ROOTS, DECLARED = (sql(n) for n in ("stars", "modules", "exports", "roots", "declared"))
@@ -416,12 +420,14 @@ def old_guides(spark, sf_dir):
 
 @query(f"WITH {O.bm25('h', '(SELECT doc_id AS entry_id, text FROM documents)', ASKED, True).strip()} SELECT question_id, entry_id, rank FROM {O.best('h', 5)}")
 def indexed_questions(spark, sf_dir):
-    """Questions asked of postings that were written before, by term, instead of texts."""
-    from ..functions import terms
-
-    whole = retrieval.cut(terms.vectors(docs(spark, sf_dir), {"body": {"text": 1}}))
+    """Questions asked of posting lists that ``Index.write`` wrote: only the buckets of their terms are read."""
+    index = Index(spark, f"{shared_folder(spark)}/questions-{uuid.uuid4().hex}")
+    own = docs(spark, sf_dir).withColumns({"eco": F.lit("texts"), "package": F.lit("documents"), "version": F.lit("1")})
+    index.write(own, {"text": 1}, {"eco": 0})
     q = retrieval.cut(X.question_terms(asked(spark, sf_dir), True))
-    hits = retrieval.bm25_of(retrieval.postings(whole, "body"), whole.select(F.col("body_len").alias("len")), q)
+    there = index.at()
+    post = there.lists(retrieval.cut(q.select("term").distinct())).filter("g = 0").select("entry_id", "len", "term", "tf")
+    hits = retrieval.bm25_of(post, there.entries().select(F.col("body_len").alias("len")), q)
     return retrieval.top(hits, ["question_id"], 5).select("question_id", "entry_id", "rank")
 
 

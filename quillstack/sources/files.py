@@ -152,3 +152,15 @@ def stale(indexed: DataFrame, now: DataFrame) -> DataFrame:
     both = now.join(old, "package", "full")
     state = F.when(F.col("old_stamp").isNull(), "new").when(F.col("stamp").isNull(), "gone").when(F.col("format") != F.col("old_format"), "format").when(F.col("stamp") != F.col("old_stamp"), "changed")
     return both.select("package", state.alias("state")).filter("state is not null")
+
+
+def content_stamps(files: DataFrame) -> DataFrame:
+    """``package, stamp``: a digest of what the files of each package hold (``package, file, text``), in whatever order they are read.
+
+    Each file's digest covers its path and text; a package's is their number and their sums, so that files are combined
+    before the shuffle, and a change of one file changes one term.
+    """
+    own = F.sha2(F.concat_ws("\n", "file", F.sha2(F.coalesce("text", F.lit("")), 256)), 256)
+    part = lambda k: F.sum(F.conv(F.substring("digest", 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)"))
+    sums = files.select("package", own.alias("digest")).groupBy("package").agg(F.count("*").alias("n"), *[part(k).alias(f"s{k}") for k in range(4)])
+    return sums.select("package", F.sha2(F.concat_ws(",", "n", *[f"s{k}" for k in range(4)]), 256).alias("stamp"))
