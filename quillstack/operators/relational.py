@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -71,19 +70,24 @@ def relevance_floor(ranked: DataFrame, key: str, order: list[Column], score: str
 def running_include(files: DataFrame, key: str, path: str, size: str, most_files: int, most_bytes: int) -> DataFrame:
     """Files of each key by path that a size budget admits: one that would exceed it is skipped, later ones may fit.
 
-    A fold in order of path, for a key of bounded size (the files of one package).
+    In rounds, for all keys at once: what comes before a key's first file that doesn't fit is in, and of what comes after
+    it files that exceed the budget that is left are out for good, as it only shrinks. A round either at least halves
+    that budget or drops a file of more than half of it.
     """
     slim = files.select(key, path, F.col(size).cast("long").alias(size))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        total, kept = 0, []
-        ordered = pdf.sort_values([path, size], kind="stable")
-        for n in ordered[size]:
-            kept.append(total + n <= most_bytes)
-            total += n if kept[-1] else 0
-        return ordered[kept].head(most_files)
-
-    return slim.groupBy(key).applyInPandas(fold, slim.schema)
+    order = W.partitionBy(key).orderBy(path, size, "__row").rowsBetween(W.unboundedPreceding, 0)
+    whole = W.partitionBy(key)
+    left = cut(slim.filter(F.col(size) <= most_bytes).withColumns({"__left": F.lit(most_bytes).cast("long"), "__row": F.monotonically_increasing_id()}))
+    parts = [left.limit(0).select(key, path, size, "__row")]
+    while not left.isEmpty():
+        over = left.withColumn("__run", F.sum(size).over(order)).withColumn("__out", F.max((F.col("__run") > F.col("__left")).cast("int")).over(order) == 1)
+        used = over.withColumn("__used", F.coalesce(F.max(F.when(~F.col("__out"), F.col("__run"))).over(whole), F.lit(0)))
+        done = cut(used)
+        parts.append(done.filter(~F.col("__out")).select(key, path, size, "__row"))
+        rest = F.col("__left") - F.col("__used")
+        left = cut(done.filter(F.col("__out") & (F.col(size) <= rest)).select(key, path, size, "__row", rest.alias("__left")))
+    first = W.partitionBy(key).orderBy(path, size, "__row")
+    return reduce(DataFrame.unionByName, parts).withColumn("__n", F.row_number().over(first)).filter(F.col("__n") <= most_files).select(key, path, size)
 
 
 def index_pick(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -77,22 +76,22 @@ def alike(old: DataFrame, new: DataFrame) -> DataFrame:
     return pairs.select(*group, "old_id", "new_id", F.round(score, 6).alias("similarity")).filter(F.col("similarity") >= SIMILAR)
 
 
-def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-    taken, rows = set(), []
-    for old_id, own in pdf.sort_values(["old_id", "similarity", "new_id"]).groupby("old_id", sort=True):
-        free = own[~own.new_id.isin(taken)]
-        if len(free):
-            taken.add(new := free.iloc[-1].new_id)
-            rows.append((pdf.package.iloc[0], old_id, new))
-    return pd.DataFrame(rows, columns=["package", "old_id", "new_id"])
-
-
 def renames(candidates: DataFrame) -> DataFrame:
-    """Old symbols in order each take the most similar new one that is left (of equals the last).
+    """``package, old_id, new_id``: old symbols in order each take the most similar new one that is left (of equals the last).
 
-    Candidates (rows of ``alike``) meet only within a kind and parent, so each of these is settled by itself.
+    In rounds, all at once: each old symbol asks for the best one that may still be its own, each new one holds the first
+    that asks, and pairs of it with later ones are struck out, as what it holds is only ever replaced by an earlier one.
+    When nothing more is struck out, the holders are what taking turns gives. Candidates are rows of ``alike``.
     """
-    return candidates.groupBy("package", "kind", "parent").applyInPandas(_greedy, "package string, old_id long, new_id long")
+    group = ["package", "kind", "parent"]
+    left = cut(candidates.select(*group, "old_id", "new_id", "similarity"))
+    while True:
+        asked = left.groupBy(*group, "old_id").agg(F.max(F.struct("similarity", "new_id")).alias("best")).select(*group, "old_id", F.col("best.new_id").alias("new_id"))
+        held = cut(asked.groupBy(*group, "new_id").agg(F.min("old_id").alias("holder")))
+        both = left.join(held, [*group, "new_id"], "left")
+        if both.filter("old_id > holder").isEmpty():
+            return held.select("package", F.col("holder").alias("old_id"), "new_id")
+        left = cut(both.filter("holder is null or old_id <= holder").drop("holder"))
 
 
 def diff(old: DataFrame, new: DataFrame) -> DataFrame:

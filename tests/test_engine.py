@@ -1,5 +1,7 @@
 """Text functions, answers, upgrades and incremental maintenance."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,6 +74,36 @@ def test_greedy_renames_consume_candidates(spark):
     assert {(r.old_id, r.new_id) for r in got} == {(1, 11), (2, 10)}
 
 
+def test_rounds_give_what_taking_turns_does(spark):
+    rng = random.Random(8)
+    rows = [("p", "function", str(g), o, n, rng.choice([0.7, 0.8, 0.8, 0.9, 1.0])) for g in range(6) for o in range(12) for n in range(100, 110) if rng.random() < 0.6]
+    want = set()
+    for g in range(6):
+        taken = set()
+        for o in range(12):
+            free = [(s, n) for _, _, k, i, n, s in rows if k == str(g) and i == o and n not in taken]
+            if free:
+                taken.add(max(free)[1])
+                want.add((o, max(free)[1], g))
+    one = spark.createDataFrame([(f"p{g}", k, g, o, n, s) for _, k, g, o, n, s in rows], "package string, kind string, parent string, old_id long, new_id long, similarity double")
+    assert {(r.old_id, r.new_id, int(r.package[1:])) for r in upgrade.renames(one).collect()} == want
+
+
+def test_running_include_is_the_fold(spark):
+    rng = random.Random(3)
+    rows = [(k, f"f{rng.randrange(40):02}", rng.choice([0, 1, 5, 40, 60, 99, 100, 101, 500])) for k in range(12) for _ in range(30)] + [(99, "a", 1), (99, "b", 100), (99, "c", 1), (99, "d", 99), (99, "e", 1), (99, "f", 98)]
+    want = []
+    for k in {r[0] for r in rows}:
+        total, own = 0, []
+        for _, path, size in sorted(r for r in rows if r[0] == k):
+            if total + size <= 100:
+                total, own = total + size, [*own, (k, path, size)]
+        want += own[:7]
+    got = relational.running_include(spark.createDataFrame(rows, "k long, path string, size long"), "k", "path", "size", 7, 100)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert relational.running_include(spark.createDataFrame([], "k long, path string, size long"), "k", "path", "size", 7, 100).count() == 0
+
+
 def test_dense_pool_and_fusion(spark):
     vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(6)], "entry_id long, vector array<double>")
     near = {r.entry_id: r for r in retrieval.dense(vectors, spark.createDataFrame([(1, [1.0, 0.0])], "question_id long, vector array<double>"), pool=3).collect()}
