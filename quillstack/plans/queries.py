@@ -103,6 +103,25 @@ def dense_minmax_pool(spark, sf_dir):
     return R.dense(*vectors(spark, sf_dir)).select("question_id", "entry_id", "rank", F.round("dense", 6).alias("dense"))
 
 
+@query(f"WITH {DENSE} SELECT question_id, entry_id, rank, round(dense, 6) AS dense FROM d")
+def quantised_pool(spark, sf_dir):
+    """``dense_minmax_pool`` from a byte a component, with the exact vectors of what the bounds admit."""
+    own, asked = vectors(spark, sf_dir)
+    near = R.dense_by_codes(R.quantised(own), own, asked)
+    return near.select("question_id", "entry_id", "rank", F.round("dense", 6).alias("dense"))
+
+
+@query("SELECT vec_id AS entry_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm, round(list_max(list_transform(embedding, lambda x: abs(x)))::DOUBLE / 127, 9) AS scale, TRUE AS close FROM embeddings WHERE len(embedding) > 0")
+def quantised_vectors(spark, sf_dir):
+    """Bytes, scale and length of each vector, and whether every component is within half a scale of its byte's."""
+    own, _ = vectors(spark, sf_dir)
+    code = F.transform(F.sequence(F.lit(1), F.size("vector")), lambda i: F.conv(F.hex(F.substr("codes", i, F.lit(1))), 16, 10).cast("int"))
+    signed = F.transform(code, lambda c: F.when(c > 127, c - 256).otherwise(c))
+    off = F.zip_with(signed, "vector", lambda c, x: F.abs(c * F.col("scale") - x) <= F.col("scale") * 0.5000001)
+    both = R.quantised(own).join(own, "entry_id")
+    return both.select("entry_id", F.round("norm", 6).alias("norm"), F.round("scale", 9).alias("scale"), F.forall(off, lambda x: x).alias("close"))
+
+
 # Fusion asks the vectors of every 50th id and the texts of documents of these ids, against all of either.
 VASKED = "(SELECT doc_id AS question_id, text FROM documents WHERE doc_id % 50 = 0 AND doc_id IN (SELECT vec_id FROM embeddings))"
 VDOCS = "(SELECT doc_id AS entry_id, text FROM documents)"
