@@ -1,10 +1,9 @@
-"""API symbols of source files: Python by its own grammar, Go, Rust and TypeScript by their regular declaration heads."""
+"""API symbols of source files: Python by its own grammar, Go, Rust and TypeScript by brackets and statements (``declarations``)."""
 
 from __future__ import annotations
 
 import ast
 import inspect
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,14 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .declarations import Symbol, capped, go, rust, typescript
 
 SCHEMA = "package string, file string, line int, kind string, name string, path string, sig string, doc string, alias_of string"
-MAX_SOURCE, MAX_DOC = 3 << 20, 4000
-Symbol = tuple[int, str, str, str, str, str, str | None]
-
-
-def cut(doc: str) -> str:
-    return doc.encode()[:MAX_DOC].decode("utf-8", "ignore")
+MAX_SOURCE = 3 << 20
 
 
 def python(text: str) -> Iterator[Symbol]:
@@ -32,7 +27,7 @@ def python(text: str) -> Iterator[Symbol]:
             if not isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)) or node.name.startswith("_") and not (up and node.name in ("__init__", "__call__")):
                 continue
             marks = "".join(f"@{ast.unparse(d)} " for d in node.decorator_list)
-            doc = cut(inspect.cleandoc(ast.get_docstring(node, clean=False) or ""))
+            doc = capped(inspect.cleandoc(ast.get_docstring(node, clean=False) or ""))
             path = f"{up}.{node.name}" if up else node.name
             if isinstance(node, ast.ClassDef):
                 bases = ", ".join(ast.unparse(b) for b in [*node.bases, *node.keywords])
@@ -46,77 +41,6 @@ def python(text: str) -> Iterator[Symbol]:
     yield from walk(ast.parse(text).body, "")
 
 
-def heads(text: str, marks: str, pattern: re.Pattern) -> Iterator[tuple[int, re.Match, str, str]]:
-    """Declarations at matching lines: number, match, signature up to the body, and the comment directly above."""
-    lines = text.split("\n")
-    for i, line in enumerate(lines):
-        if not (m := pattern.match(line)):
-            continue
-        doc, k = [], i - 1
-        while k >= 0 and re.match(r"^\s*(#\[|@\w)", lines[k]):
-            k -= 1
-        while k >= 0 and re.match(marks, lines[k]):
-            doc.append(re.sub(r"^\s*(///?|/?\*+/?)\s?|\s*\*/\s*$", "", lines[k]))
-            k -= 1
-        sig, depth_ = "", 0
-        for part in lines[i : i + 40]:
-            sig += " " + part.strip()
-            depth_ += part.count("(") - part.count(")")
-            if depth_ <= 0:
-                break
-        yield i + 1, m, re.sub(r"\s*[{;]\s*.*$", "", " ".join(sig.split())), cut("\n".join(reversed(doc)).strip())
-
-
-_GO = re.compile(r"^(?:func\s+(?:\(\s*\w*\s*\*?(?P<on>\w+)[^)]*\)\s*)?(?P<func>[A-Z]\w*)|type\s+(?P<type>[A-Z]\w*)\s+(?P<what>struct|interface)?|(?:const|var)\s+(?P<value>[A-Z]\w*))")
-_RUST = re.compile(r"^(?P<in>\s*)(?:pub\s+(?:(?:const|async|unsafe)\s+)*(?P<word>fn|struct|enum|trait|mod|type|const|static)\s+(?P<name>\w+)|impl(?:<[^>]*>)?\s+(?:[\w:<>, ]+\s+for\s+)?(?P<impl>\w+)|(?P<macro>macro_rules!)\s*(?P<mname>\w+))")
-_TS = re.compile(r"^(?P<in>\s*)(?:export\s+)?(?P<declare>declare\s+)?(?:default\s+)?(?:abstract\s+)?(?:async\s+)?(?P<word>function|class|interface|type|enum|const|namespace)\s+(?P<name>[A-Za-z$][\w$]*)|^(?P<min>\s+)(?P<member>[A-Za-z$][\w$]*)\??\s*(?:<[^>]*>)?[(:]")
-
-
-def go(text: str) -> Iterator[Symbol]:
-    if re.search(r"^package main\b", text, re.M):
-        return
-    for line, m, sig, doc in heads(text, r"^\s*//", _GO):
-        if name := m["func"]:
-            yield line, "method" if m["on"] else "function", name, f"{m['on']}.{name}" if m["on"] else name, sig, doc, None
-        elif name := m["type"]:
-            yield line, m["what"] or "type", name, name, sig, doc, None
-        else:
-            yield line, "const", m["value"], m["value"], sig, doc, None
-
-
-def rust(text: str) -> Iterator[Symbol]:
-    """Public items and methods of inherent implementations; hidden ones are passed over."""
-    kinds, scope, lines = {"fn": "function", "mod": "module"}, None, text.split("\n")
-    for line, m, sig, doc in heads(text, r"^\s*///", _RUST):
-        if "doc(hidden)" in "\n".join(lines[max(0, line - 3) : line]):
-            continue
-        if m["impl"]:
-            scope = m["impl"] if " for " not in sig else None
-        elif m["macro"]:
-            if "macro_export" in "\n".join(lines[max(0, line - 3) : line]):
-                yield line, "macro", f"{m['mname']}!", f"{m['mname']}!", f"macro_rules! {m['mname']}", doc, None
-        else:
-            inside = bool(m["in"]) and m["word"] == "fn" and scope
-            if not m["in"]:
-                scope = None
-            yield line, "method" if inside else kinds.get(m["word"], m["word"]), m["name"], f"{scope}::{m['name']}" if inside else m["name"], sig, doc, None
-
-
-def typescript(text: str) -> Iterator[Symbol]:
-    """Exported and declared items, members of classes and interfaces, and renamed exports; names with ``_`` are private."""
-    scope = None
-    for line, m, sig, doc in heads(text, r"^\s*(/?\*|//)", _TS):
-        if m["word"]:
-            scope = m["name"] if m["word"] in ("class", "interface", "namespace") else None
-            yield line, m["word"], m["name"], m["name"], re.sub(r"^export\s+(default\s+)?(declare\s+)?|^declare\s+", "", sig), doc, None
-        elif scope and not m["member"].startswith("_") and m["member"] not in ("if", "for", "while", "switch", "return", "catch", "function", "constructor"):
-            yield line, "method" if "(" in sig else "field", m["member"], f"{scope}.{m['member']}", sig.rstrip(";"), doc, None
-    for i, row in enumerate(text.split("\n")):
-        for names in re.findall(r"^\s*export\s*\{([^}]*)\}", row):
-            for old, new in re.findall(r"([\w$]+)\s+as\s+([\w$]+)", names):
-                yield i + 1, "re-export", new, new, f"export {{ {old} as {new} }}", "", old
-
-
 PARSERS = {"python": python, "go": go, "rust": rust, "ts": typescript}
 
 
@@ -128,7 +52,8 @@ def symbols(files: DataFrame) -> DataFrame:
             rows = []
             for package, file, how, text in zip(frame.package, frame.file, frame.how, frame.text, strict=True):
                 try:
-                    rows += [(package, file, *s) for s in PARSERS[how](text or "")]
+                    own = typescript(text or "", file or "") if how == "ts" else PARSERS[how](text or "")
+                    rows += [(package, file, *s) for s in own]
                 except (SyntaxError, ValueError, RecursionError):
                     continue
             yield pd.DataFrame(rows, columns=["package", "file", "line", "kind", "name", "path", "sig", "doc", "alias_of"])
