@@ -100,11 +100,11 @@ class Engine:
 
     @staticmethod
     def build_index(files: DataFrame, versions: DataFrame, by_file: bool = False) -> DataFrame:
-        """Entries of package files (``package, file, how, text``): sections of prose, component pages and examples, and symbols of sources, with fields to search.
+        """Entries of package files (``package, file, how, text``): sections of prose, component pages, examples and modules' own docs, and symbols of sources, with fields to search.
 
         ``imports`` and ``parents`` say which packages a section's code imports and where the sections above it begin.
         """
-        prose = markdown.sections(files.filter("how in ('prose', 'metadata')")).unionByName(pages.sections(files))
+        prose = markdown.sections(files.filter("how in ('prose', 'metadata')")).unionByName(pages.sections(files)).unionByName(extract.module_docs(files))
         kept = prose.select("package", "file", "line", F.lit("doc").alias("kind"), "name", F.col("name").alias("path"), F.lit("").alias("sig"), "doc", F.lit(None).cast("string").alias("alias_of"), "imports", "parents")
         own = extract.symbols(files).withColumns({"imports": F.array().cast("array<string>"), "parents": F.array().cast("array<int>")})
         return with_fields(extract.entries(kept.unionByName(own), versions, by_file))

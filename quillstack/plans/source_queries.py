@@ -229,6 +229,49 @@ def source_symbols(spark, sf_dir):
     return extract.symbols(p.select(F.lit("tiny").alias("package"), made.alias("e")).select("package", "e.*")).select("file", "kind", "path", "sig", "doc", "line")
 
 
+@query(f"""WITH p AS ({PAGE}), c AS (
+ SELECT 'web/m' || p || '.go' AS file, 'const' AS kind, 'Max' || p AS path, 'const Max' || p || ' = ' || p_size AS sig, 'Max of ' || p_type || '.' AS doc, CAST(6 AS INT) AS line FROM p
+ UNION ALL SELECT 'web/m' || p || '.go', 'const', 'Least' || p, 'const Least' || p, '', 7 FROM p UNION ALL SELECT 'web/m' || p || '.go', 'interface', 'Handler' || p, 'type Handler' || p || ' interface {{ Serve(c *Ctx) error }}', '', 10 FROM p
+ UNION ALL SELECT 'web/m' || p || '.go', 'method', 'Handler' || p || '.Serve', 'Serve(c *Ctx) error', 'Serve serves ' || p_name || '.', 12 FROM p UNION ALL SELECT 'web/m' || p || '.go', 'method', 'Ctx' || p || '.Get', 'func (c *Ctx' || p || '[K]) Get(key string, other interface{{ X() }}) error', '', 15 FROM p
+ UNION ALL SELECT 'src/m' || p || '.rs', 'function', 'spawn' || p, 'pub fn spawn' || p || '<F>(f: F) -> Handle where F: Send,', 'Spawns ' || p_name || '.', 4 FROM p UNION ALL SELECT 'src/m' || p || '.rs', 'function', 'outer' || p || '::inner::run', 'pub unsafe fn run()', '', 9 FROM p
+ UNION ALL SELECT 'src/m' || p || '.rs', 'trait', 'Visit' || p, 'pub trait Visit' || p, '', 10 FROM p UNION ALL SELECT 'src/m' || p || '.rs', 'method', 'Visit' || p || '::visit', 'fn visit(&self)', '', 10 FROM p
+ UNION ALL SELECT 'src/m' || p || '.rs', 'macro', 'select' || p || '!', 'macro_rules! select' || p || ' {{ () => {{}}; }}', 'Waits.', 16 FROM p UNION ALL SELECT 'src/m' || p || '.rs', 'struct', 'Run' || p, 'pub struct Run' || p || ' {{ size: [u8; ' || p_size || '] }}', '', 17 FROM p
+ UNION ALL SELECT 'm' || p || '.d.ts', 'module', 'z' || p, 'namespace z' || p, '', 1 FROM p UNION ALL SELECT 'm' || p || '.d.ts', 'function', 'z' || p || '.text', 'function text(how: {{ size: ' || p_size || ' }}): Text', 'A ' || p_type || '.', 3 FROM p
+ UNION ALL SELECT 'm' || p || '.d.ts', 'class', 'z' || p || '.Box', 'class Box<T = {{ a: 1 }}> extends Base', '', 6 FROM p UNION ALL SELECT 'm' || p || '.d.ts', 'method', 'z' || p || '.Box.open', 'open(cb: (e: {{ kind: string }}) => void): this', '', 9 FROM p UNION ALL SELECT 'm' || p || '.d.ts', 'field', 'z' || p || '.Box.map', 'map: Map<string, number>', '', 10 FROM p
+ UNION ALL SELECT 'm' || p || '.d.ts', 'function', 'made' || p, 'const made' || p || ': <T>(x: T) => Box<T>', '', 14 FROM p UNION ALL SELECT 'm' || p || '.d.ts', 'const', 'size' || p, 'const size' || p || ' = ' || p_size, '', 14 FROM p UNION ALL SELECT 'm' || p || '.d.ts', 're-export', 'make' || p, 'export {{ made' || p || ' as make' || p || ' }}', '', 16 FROM p
+ UNION ALL SELECT 'm' || p || '.d.ts', 'module', 'all' || p, 'export * as all' || p || ' from "./x"', '', 18 FROM p)
+SELECT * FROM c""".replace("{{", "{").replace("}}", "}"))
+def nested_declarations(spark, sf_dir):
+    """Declarations that no single line shows: grouped, nested, over several lines, in macro bodies, beside strings and comments that look like some."""
+    p = table(spark, sf_dir, "part").selectExpr("cast(p_partkey as bigint) p", "p_name", "p_type", "p_size")
+    texts = {
+        ("web/m{}.go", "go"): "concat('package web\n\n/* func Fake() {} */\nconst (\n\t// Max of ', p_type, '.\n\tMax', p, ' = ', p_size, ' // and more\n\tLeast', p, '\n)\ntype (\n\tHandler', p, ' interface {\n\t\t// Serve serves ', p_name, '.\n\t\tServe(c *Ctx) error\n\t}\n)\nfunc (c *Ctx', p, '[K]) Get(\n\tkey string,\n\tother interface{ X() },\n) error {\n\tx := `\nfunc Raw() {}\n`\n}\n')",
+        ("src/m{}.rs", "rust"): "concat('cfg_rt! {\n    /// Spawns ', p_name, '.\n    #[track_caller]\n    pub fn spawn', p, '<F>(f: F) -> Handle\n    where\n        F: Send,\n    { let s = \"pub fn fake() {\"; }\n}\npub mod outer', p, ' { pub mod inner { pub unsafe fn run() {} } }\npub trait Visit', p, ' { fn visit(&self); }\nimpl fmt::Debug for Run', p, ' { pub fn no() {} }\nmacro_rules! doc { ($x:item) => {\n    /// Waits.\n    #[macro_export]\n    $x }; }\ndoc! {macro_rules! select', p, ' { () => {}; }}\npub struct Run', p, ' { size: [u8; ', p_size, '] }\n')",
+        ("m{}.d.ts", "ts"): "concat('export declare namespace z', p, ' {\n  /** A ', p_type, '. */\n  function text(\n    how: { size: ', p_size, ' },\n  ): Text;\n  class Box<T = { a: 1 }>\n    extends Base {\n    private hidden: number;\n    open(cb: (e: { kind: string }) => void): this\n    map: Map<string, number>\n  }\n}\n// function no() {}\nexport declare const made', p, ': <T>(x: T) => Box<T>, size', p, ' = ', p_size, ';\nexport {\n  made', p, ' as make', p, '\n};\nexport * as all', p, ' from \"./x\";\n')",
+    }
+    made = F.explode(F.array(*[F.struct(F.concat(F.lit(f.split("{}")[0]), "p", F.lit(f.split("{}")[1])).alias("file"), F.lit(how).alias("how"), F.expr(text).alias("text")) for (f, how), text in texts.items()]))
+    return extract.symbols(p.select(F.lit("tiny").alias("package"), made.alias("e")).select("package", "e.*")).select("file", "kind", "path", "sig", "doc", "line")
+
+
+@query(f"""WITH p AS ({PAGE}), t AS (
+ SELECT 'pkg/m' || p || '/__init__.py' AS file, 'pkg.m' || p AS name, 'About ' || p_name || '.' AS doc, CAST(2 AS INT) AS line, '' AS parents FROM p UNION ALL SELECT 'pkg/m' || p || '/__init__.py', 'pkg.m' || p || ' › Use', 'Size ' || p_size || '.', 4, '2' FROM p
+ UNION ALL SELECT 'web/m' || p || '.go', 'package web (web)', 'Package web serves ' || p_type || '.', 3, '' FROM p
+ UNION ALL SELECT 'src/task/m' || p || '.rs', 'tiny_rt::task::m' || p, 'Runs ' || p_name || '.', 1, '' FROM p UNION ALL SELECT 'src/task/m' || p || '.rs', 'tiny_rt::task::m' || p || ' › Usage', 'Call it ' || p_size || ' times.', 3, '1' FROM p)
+SELECT * FROM t""")
+def module_docs(spark, sf_dir):
+    """Docstrings, package comments and inner docs as sections titled by their modules; comments on items and ``main`` packages are none."""
+    p = table(spark, sf_dir, "part").selectExpr("cast(p_partkey as bigint) p", "p_name", "p_type", "p_size")
+    texts = {
+        ("pkg/m{}/__init__.py", "python"): "concat('# coding\n\"\"\"About ', p_name, '.\n\n# Use\nSize ', p_size, '.\n\"\"\"\nx = 1\n')",
+        ("web/m{}.go", "go"): "concat('// Copyright.\n\n// Package web serves ', p_type, '.\npackage web\n')",
+        ("cmd/m{}.go", "go"): "concat('// Command ', p, '.\npackage main\n')",
+        ("src/task/m{}.rs", "rust"): "concat('//! Runs ', p_name, '.\n//!\n//! # Usage\n//! Call it ', p_size, ' times.\n\nfn f() {\n    //! inner\n}\n/// of g\nfn g() {}\n')",
+    }
+    made = F.explode(F.array(*[F.struct(F.concat(F.lit(f.split("{}")[0]), "p", F.lit(f.split("{}")[1])).alias("file"), F.lit(how).alias("how"), F.expr(text).alias("text")) for (f, how), text in texts.items()]))
+    found = extract.module_docs(p.select(F.lit("tiny-rt").alias("package"), made.alias("e")).select("package", "e.*"))
+    return found.select("file", "name", "doc", "line", F.array_join(F.col("parents").cast("array<string>"), ",").alias("parents"))
+
+
 @query(f"""WITH s AS (SELECT *, 'src/' || CASE WHEN entry_id % 5 = 0 THEN 'v1/' ELSE '' END || 'f.ts' AS place FROM {sql('old_entries')} x UNION ALL SELECT *, 'src/zz.ts' AS place FROM {sql('old_entries')} y WHERE entry_id % 3 = 0)
 SELECT package, path, line, place AS file, contains(place, '/v1/') AS legacy FROM s QUALIFY row_number() OVER (PARTITION BY package, path, sig, length(doc) ORDER BY place, line) = 1""")
 def entry_dedupe(spark, sf_dir):

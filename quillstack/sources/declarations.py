@@ -199,6 +199,20 @@ def _go_doc(s: Source, st: Statement) -> str:
     return capped("\n".join(reversed(rows)).strip())
 
 
+def go_module(text: str) -> tuple[int, str, str]:
+    """Line, text and package of the comment on a package; a ``main`` package and one without comment have none."""
+    s = Source(text, "go")
+    for st in s.statements(0, len(text)):
+        if m := re.compile(r"package\s+(\w+)").match(s.code, st.start, st.end):
+            first = below = s.line(st.lead)
+            for a, e, _ in reversed(s.remarks(st.after, st.lead)):
+                if s.line(e - 1) + 1 != below:
+                    break
+                first = below = s.line(a)
+            return first, _go_doc(s, st) if m[1] != "main" else "", m[1]
+    return 1, "", ""
+
+
 def _shown(text: str, most: int, head: int) -> str:
     """A type with its fields, an empty body left out; a long one by its head."""
     text = re.sub(r"\s+\{\s*\}$", "", text.rstrip())
@@ -333,6 +347,19 @@ def _rust_items(s: Source, a: int, b: int, up: str, owner: tuple[str, bool] | No
             yield line, _RUST_KINDS[word], name, path, compact(full, 400), doc, None
 
 
+def rust_module(text: str) -> tuple[int, str]:
+    """Line and text of the docs on the file's own module (``//!`` and ``/*!`` outside of items)."""
+    s, last, said = Source(text, "rust"), 0, []
+    gaps = []
+    for st in s.statements(0, len(text)):
+        gaps.append((st.after, st.start))
+        last = st.end
+    for a, b in [*gaps, (last, len(text))]:
+        said += [(s.line(p), t) for p, _, t in s.remarks(a, b) if t.startswith(("//!", "/*!"))]
+    rows = [re.sub(r"^//! ?", "", t).rstrip() if t.startswith("//") else block_comment(t) for _, t in said]
+    return said[0][0] if said else 1, "\n".join(rows)
+
+
 # TypeScript
 
 _TS = re.compile(

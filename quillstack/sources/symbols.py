@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .declarations import Symbol, capped, go, rust, typescript
+from . import markdown
+from .declarations import Symbol, capped, go, go_module, rust, rust_module, typescript
 
 SCHEMA = "package string, file string, line int, kind string, name string, path string, sig string, doc string, alias_of string"
 MAX_SOURCE = 3 << 20
@@ -62,6 +63,42 @@ def symbols(files: DataFrame) -> DataFrame:
     return usable.select("package", "file", "how", "text").mapInPandas(run, SCHEMA)
 
 
+def module_doc(how: str, package: str, file: str, text: str) -> tuple[int, str, str]:
+    """What a source file says about its module: line, title and text, which is empty if it says nothing."""
+    folder = file.rpartition("/")[0]
+    if how == "go":
+        line, doc, name = go_module(text)
+        return line, f"package {name} ({folder})" if folder else f"package {name}", doc
+    if how == "rust":
+        steps = file.removeprefix("src/").removesuffix(".rs").split("/")
+        line, doc = rust_module(text)
+        return line, "::".join([package.replace("-", "_"), *(steps[:-1] if steps[-1] in ("mod", "lib", "main") else steps)]), doc
+    tree = ast.parse(text)
+    doc = inspect.cleandoc(ast.get_docstring(tree, clean=False) or "")
+    return tree.body[0].lineno if doc else 1, file.removesuffix(".pyi").removesuffix(".py").removesuffix("/__init__").replace("/", "."), doc
+
+
+def module_docs(files: DataFrame) -> DataFrame:
+    """Sections (``markdown.SCHEMA``) of what Python, Go and Rust files say about their modules, titled by these; lines count from where that begins."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for package, file, how, text in zip(frame.package, frame.file, frame.how, frame.text, strict=True):
+                try:
+                    first, title, doc = module_doc(how, package or "", file or "", text)
+                except (SyntaxError, ValueError, RecursionError):
+                    continue
+                for line, name, part, parents, imports in markdown.split(doc, title) if doc.strip() else ():
+                    rows.append((package, file, line + first - 1, name, part, [p + first - 1 for p in parents], imports))
+            yield pd.DataFrame(rows, columns=["package", "file", "line", "name", "doc", "parents", "imports"])
+
+    how, text = F.col("how"), F.col("text")
+    says = F.when(how == "rust", text.rlike(r"//!|/\*!")).when(how == "go", text.rlike(r"(//|\*/)[^\n]*\n\s*package\b")).when(how == "python", text.rlike("\"|'"))
+    usable = files.filter(says & (F.octet_length("text") <= MAX_SOURCE))
+    return usable.select("package", "file", "how", "text").mapInPandas(run, markdown.SCHEMA)
+
+
 def entries(found: DataFrame, versions: DataFrame, by_file: bool = False) -> DataFrame:
     """Symbols with ``legacy`` and ``entry_id``: of equal path, signature and length of doc in a package the first counts.
 
