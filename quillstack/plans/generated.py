@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.lineage import measured_broadcasts
+
 
 def _s(x: str) -> str:
     return f"CAST({x} AS STRING)"
@@ -61,6 +63,7 @@ GENERATED: dict[str, str] = {
 
 
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    measured_broadcasts(spark)
     return spark.sql(GENERATED[name], part=spark.read.parquet(f"{sf_dir}/part.parquet"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import terms
 from ..operators import retrieval as R
+from ..operators.lineage import measured_broadcasts
 from . import oracle as O
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +30,7 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    measured_broadcasts(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
