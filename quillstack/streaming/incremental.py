@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.lineage import cut, exists, fitting, remove, rename
+from ..operators.lineage import cut, exists, fitting, folders, remove, rename
 
 
 def latest(changes: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -29,14 +29,18 @@ def maintain(changes: DataFrame, target: str, checkpoint: str, key: str, order:
 
     Touched are the partitions of the new rows and those that hold a key of the batch until now, so a key that moves
     leaves its old partition. Only these are read and rewritten, by way of a staged copy of the batch's own, so a batch
-    that is repeated after a failure gives the same table; a partition that loses its last row is removed.
+    that is repeated after a failure gives the same table; a partition that loses its last row is removed. A batch without
+    rows, such as a file of none, changes nothing.
     """
     spark = changes.sparkSession
 
     def merge(batch: DataFrame, batch_id: int) -> None:
+        if batch.isEmpty():
+            return
         new = latest(batch, key, order)
         emptied: list[str] = []
-        if exists(spark, target):
+        # Without a partition there is no schema to be read: a first write may have left the bare folder.
+        if any(name.startswith(f"{partition}=") for name in folders(spark, target)):
             table = spark.read.parquet(target)
             touched = cut(new.select(partition).unionByName(table.join(new.select(key), key, "left_semi").select(partition)).distinct())
             old = table.join(fitting(touched), table[partition].eqNullSafe(touched[partition]), "left_semi")

@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__
 from quillstack.sources import files
+from quillstack.streaming import incremental
 from tests.conftest import SF
 
 
@@ -25,3 +26,12 @@ def test_closeness_of_codes_is_told_by_the_whole_scale(spark, tmp_path):
     vector = np.array([127 * scale, 88.5000004 * scale], dtype=np.float32).tolist()
     spark.createDataFrame([(1, vector)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert [r.close for r in __spark_entry__.queries()["quantised_vectors"](spark, str(tmp_path)).collect()] == [True]
+
+
+def test_a_stream_that_begins_with_a_file_of_no_rows_is_kept(spark, tmp_path):
+    feed, target = str(tmp_path / "feed"), str(tmp_path / "target")
+    rows = spark.createDataFrame([(1, 1, "a"), (2, 2, "b"), (1, 3, "b")], "key long, seq long, part string")
+    for some in (rows.limit(0), rows.filter("seq < 3"), rows.limit(0), rows.filter("seq = 3")):
+        some.coalesce(1).write.mode("append").parquet(feed)
+        incremental.maintain(incremental.stream_of(spark, feed), target, str(tmp_path / "progress"), "key", ["seq"], "part").awaitTermination(240)
+    assert sorted((r.key, r.seq, r.part) for r in spark.read.parquet(target).collect()) == [(1, 3, "b"), (2, 2, "b")]
