@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.lineage import cut, spread
+
 SCHEMA = "package string, file string, n int, what string, name string, kind string, source string, candidates array<string>, assignment string, incomplete boolean"
 # What a script's suffix in an import stands for, and what may be added to a path without one.
 SIBLINGS = {".mjs": (".d.mts", ".d.ts"), ".cjs": (".d.cts", ".d.ts"), ".js": (".d.ts",)}
@@ -145,7 +147,7 @@ def read(files: DataFrame) -> DataFrame:
                         out.append((package, file, n, what, name, kind, source, [*options, base] if base is not None else None, None, None))
             yield pd.DataFrame(out, columns=["package", "file", "n", "what", "name", "kind", "source", "candidates", "assignment", "incomplete"])
 
-    return files.select("package", "file", "text").mapInPandas(run, SCHEMA)
+    return spread(files.select("package", "file", "text")).mapInPandas(run, SCHEMA)
 
 
 def graph(files: DataFrame) -> dict[str, DataFrame]:
@@ -156,8 +158,6 @@ def graph(files: DataFrame) -> dict[str, DataFrame]:
     The candidates of an import meet the package's files by an equi-join; the first that exists counts, else the path
     itself. Of several exports of a name the last counts.
     """
-    from ..operators.lineage import cut
-
     rows = cut(read(files))
     there = files.select("package", F.col("file").alias("option")).distinct()
     options = rows.filter("candidates is not null").select("package", "file", "n", F.posexplode("candidates").alias("k", "option"))
@@ -220,8 +220,6 @@ def roots(manifests: DataFrame, files: DataFrame) -> DataFrame:
             out = [(p, *r) for p, m in zip(frame.package, frame.manifest, strict=True) for r in routes_of(m)]
             yield pd.DataFrame(out, columns=["package", "path", "conditions", "target", "candidates", "legacy"])
 
-    from ..operators.lineage import cut
-
     schema = "package string, path string, conditions string, target string, candidates array<string>, legacy boolean"
     routes = cut(manifests.select("package", "manifest").mapInPandas(run, schema).withColumn("route", F.monotonically_increasing_id()))
     own = files.select("package", "file").distinct()
