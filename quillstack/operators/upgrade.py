@@ -10,6 +10,8 @@ from ..functions import text as X
 from .lineage import cut
 
 SIMILAR, SITES, GUIDES, GUIDE_SECTIONS = 0.7, 20, 2, 5
+#: Symbols of a group that have a word, beyond which those that have a further one in common are made pairs of.
+COMMON = 64
 # What names of files with changes and ways to upgrade contain.
 GUIDE_FILES = ("CHANGELOG", "MIGRAT", "UPGRAD", "BREAKING", "HISTORY", "NEWS")
 
@@ -52,7 +54,9 @@ def alike(old: DataFrame, new: DataFrame) -> DataFrame:
 
     Alike: the same signature apart from the name (1.0), or docs whose words have a Jaccard similarity of 0.7. Only
     pairs of equal signatures and pairs that share one of their rarest words (of n words, one of the n - ceil(0.7 n) + 1
-    rarest, as any pair that alike does) are made at all.
+    rarest, as any pair that alike does) are made at all; of words that over ``COMMON`` symbols of the group have, pairs
+    that share a second one, too. Words travel with what is met by them, so a pair is told where it is made, at the first
+    words that both have, and only alike ones are shuffled.
     """
     o, n = api(old), api(new)
     gone = o.join(n.select("package", "path"), ["package", "path"], "left_anti").groupBy("package", "path").agg(F.min_by(F.struct("*"), "entry_id").alias("o")).select("o.*")
@@ -60,20 +64,28 @@ def alike(old: DataFrame, new: DataFrame) -> DataFrame:
     side = lambda df, p: df.select("package", "kind", X.parent(F.col("path")).alias("parent"), F.col("entry_id").alias(f"{p}_id"), F.col("sig").alias(f"{p}_sig"), X.shape(F.col("sig"), F.col("name")).alias(f"{p}_shape"), X.plain_words(F.col("doc")).alias(f"{p}_words"))
     group = ["package", "kind", "parent"]
     a, b = cut(side(gone, "old")), cut(side(added, "new"))
-    each = lambda df, p: df.select(*group, f"{p}_id", F.size(f"{p}_words").alias("n"), F.explode(f"{p}_words").alias("word"))
+    each = lambda df, p: df.select(*group, f"{p}_id", F.explode(f"{p}_words").alias("word"))
     df = each(a, "old").select(*group, "word").unionByName(each(b, "new").select(*group, "word")).groupBy(*group, "word").agg(F.count("*").alias("df"))
 
     def rarest(side_: DataFrame, p: str) -> DataFrame:
-        order = W.partitionBy(*group, f"{p}_id").orderBy("df", "word")
-        found = each(side_, p).join(df, [*group, "word"]).withColumn("k", F.row_number().over(order))
-        return found.filter(F.col("k") <= F.col("n") - F.ceil(F.col("n") * SIMILAR) + 1).select(*group, "word", f"{p}_id")
-
-    by_shape = a.filter("old_sig <> ''").select(*group, F.col("old_shape").alias("shape"), "old_id").join(b.select(*group, F.col("new_shape").alias("shape"), "new_id"), [*group, "shape"]).drop("shape")
-    by_word = rarest(a, "old").join(rarest(b, "new"), [*group, "word"]).drop("word")
-    met = by_shape.unionByName(by_word).distinct()
-    pairs = met.join(a, [*group, "old_id"]).join(b, [*group, "new_id"])
-    score = F.when((F.col("old_sig") != "") & (F.col("old_shape") == F.col("new_shape")), 1.0).otherwise(X.jaccard(F.col("old_words"), F.col("new_words")))
-    return pairs.select(*group, "old_id", "new_id", F.round(score, 6).alias("similarity")).filter(F.col("similarity") >= SIMILAR)
+        found = each(side_, p).join(df, [*group, "word"]).groupBy(*group, f"{p}_id").agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("w"))
+        sized = found.withColumn("most", (F.size("w") - F.ceil(F.size("w") * SIMILAR)).cast("int"))
+        at = lambda i: F.col("w")[i]["word"]
+        key = lambda i, j: F.struct(at(i).alias("word"), (at(j) if j is not i else F.lit("")).alias("next"), j.alias(f"{p}_at"))
+        alone = lambda i: (F.col("w")[i]["df"] <= COMMON) | (F.size("w") == 1)
+        keys = F.flatten(F.transform(F.sequence(F.lit(0), F.col("most")), lambda i: F.when(alone(i), F.array(key(i, i))).otherwise(F.transform(F.sequence(i + 1, F.col("most") + 1), lambda j: key(i, j)))))
+        return sized.select(*group, f"{p}_id", F.col("w.word").alias(f"{p}_words"), F.inline(keys))
+
+    by_shape = a.filter("old_sig <> ''").select(*group, F.col("old_shape").alias("shape"), "old_id").join(b.select(*group, F.col("new_shape").alias("shape"), "new_id"), [*group, "shape"]).select(*group, "old_id", "new_id", F.lit(1.0).alias("similarity"))
+    n, m = F.size("old_words"), F.size("new_words")
+    # What both can have from the last word of the key on, with what they have before it, and what they need for their sizes.
+    before = F.when(F.col("next") == "", 0).otherwise(1)
+    within = F.least(n - F.col("old_at"), m - F.col("new_at")) + before >= (n + m) * (SIMILAR / (1 + SIMILAR)) - 0.01
+    first = F.size(F.array_intersect(F.slice("old_words", F.lit(1), F.col("old_at")), F.slice("new_words", F.lit(1), F.col("new_at")))) == before
+    both = F.size(F.array_intersect("old_words", "new_words"))
+    met = rarest(a, "old").join(rarest(b, "new"), [*group, "word", "next"]).filter(within).filter(first)
+    by_word = met.select(*group, "old_id", "new_id", F.round(both / (n + m - both), 6).alias("similarity")).filter(F.col("similarity") >= SIMILAR)
+    return by_shape.unionByName(by_word).groupBy(*group, "old_id", "new_id").agg(F.max("similarity").alias("similarity"))
 
 
 def renames(candidates: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import types as T
 
 import __spark_entry__
-from quillstack.operators import retrieval
+from quillstack.operators import retrieval, upgrade
 from quillstack.sources import files
 from quillstack.streaming import incremental
 from tests.conftest import SF
@@ -83,3 +83,20 @@ def test_cosines_with_many_queries_are_held_in_blocks(spark, coded):
     pairs = set(zip(found["question_id"].to_pylist(), found["entry_id"].to_pylist(), strict=True))
     assert best <= pairs and (coded or pairs == best) and len(found) == len(pairs)
     assert peak < 60
+
+
+@pytest.mark.parametrize("common", [0, 3, 1000])
+def test_pairs_of_symbols_are_told_where_they_are_made(spark, monkeypatch, common):
+    monkeypatch.setattr(upgrade, "COMMON", common, raising=False)
+    columns = "package string, entry_id long, kind string, name string, path string, sig string, doc string, alias_of string, legacy boolean"
+    of = lambda base, p, docs: [("k", base + i, "function", f"{p}{i}", f"{p}{i}", f"{p}(x{base + i})", d, None, False) for i, d in enumerate(docs)]
+    words = "amber birch cedar delta ember frost grove haven ivory jewel".split()
+    sets = [words[i : i + n] for i in range(8) for n in (1, 2, 3, 5, 7, 9) if i + n <= 10]
+    old, new = (spark.createDataFrame(of(base, p, [" ".join(s) for s in sets]), columns) for base, p in ((0, "old"), (1000, "new")))
+    rows = upgrade.rename_candidates(old, new)
+    expected = {(i, 1000 + j, round(len({*a} & {*b}) / len({*a} | {*b}), 6)) for i, a in enumerate(sets) for j, b in enumerate(sets) if len({*a} & {*b}) / len({*a} | {*b}) >= 0.7}
+    found = [(r.old_id, r.new_id, r.similarity) for r in rows.collect()]
+    assert set(found) == expected and len(found) == len(expected)
+    # After the join by words only sums of alike pairs are shuffled: nothing is joined to them again.
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "old_words" not in plan.split("Join Inner")[0]
