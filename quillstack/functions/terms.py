@@ -21,7 +21,7 @@ _ENDINGS = [(re.compile(p, re.S), r.replace("$", "\\")) for p, r in ENDINGS]
 _LAST = frozenset("sgdyne")
 _BETWEEN = regex.compile(r"[^\p{L}\p{N}]+")
 #: Words whose terms a task remembers, and the largest count of a term in an entry.
-MEMORY, MOST = 1_000_000, 65535
+MEMORY, MOST = 262_144, 65535
 
 
 def tokens(word: str) -> list[str]:
@@ -58,14 +58,14 @@ def vectors(entries: DataFrame, groups: dict[str, dict[str, int]], wanted: froze
 
         def terms_of(word: str) -> tuple[int, list[str]]:
             stems = [stem(t) for t in tokens(word)]
-            if len(known) > MEMORY:
+            if len(known) >= MEMORY:
                 known.clear()
             own = known[word] = (len(stems), [s for s in stems if wanted is None or s in wanted])
             return own
 
         for whole in batches:
-            for at in range(0, len(whole), 512):
-                batch = whole.slice(at, 512)
+            for at in range(0, len(whole), 128):
+                batch = whole.slice(at, 128)
                 texts = {c: batch.column(c).to_pylist() for c in columns}
                 out = [batch.column(key)]
                 for fields in groups.values():

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import types as T
 
 import __spark_entry__
+from quillstack.functions import terms
 from quillstack.operators import retrieval, upgrade
 from quillstack.sources import files
 from quillstack.streaming import incremental
@@ -85,6 +86,31 @@ def test_cosines_with_many_queries_are_held_in_blocks(spark, coded):
     assert peak < 60
 
 
+def test_words_that_a_task_remembers_are_bounded(spark):
+    run = terms.vectors(Listed("entry_id long, text string"), {"body": {"text": 1}})
+    words = ([f"w{i}x{n}" for i in range(500)] for n in range(40))
+    batches = (pa.RecordBatch.from_arrays([pa.array([n]), pa.array([" ".join(w)])], names=["entry_id", "text"]) for n, w in enumerate(words))
+    tracemalloc.start()
+    for _ in run(batches):
+        pass
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert peak / 20_000 * terms.MEMORY < 150  # what 20,000 words take, for as many as are remembered
+
+
+class Listed(Rows):
+    """With a select that keeps all; ``spread`` leaves it as it is."""
+
+    def select(self, *_):
+        return self
+
+
+@pytest.fixture(autouse=True)
+def unspread(monkeypatch):
+    whole = terms.spread
+    monkeypatch.setattr(terms, "spread", lambda df: df if isinstance(df, Rows) else whole(df))
+
+
 @pytest.mark.parametrize("common", [0, 3, 1000])
 def test_pairs_of_symbols_are_told_where_they_are_made(spark, monkeypatch, common):
     monkeypatch.setattr(upgrade, "COMMON", common, raising=False)
