@@ -25,11 +25,12 @@ def name_of(df: DataFrame, column: str = "package") -> Column:
     return F.col(f"{column}.name") if isinstance(kind, StructType) else F.col(column)
 
 
-def chains(edges: DataFrame) -> DataFrame:
+def chains(edges: DataFrame, most: int | None = None) -> DataFrame:
     """``package, file, target, w, last``, cut: ways from files that have one way on, apart from dead ends: over 1, 2, 4, 8 ... steps (``w``).
 
     ``last`` marks the longest way: to where the chain ends (a file with another number of ways on), or, of a chain that goes
     round, one as long as there are such files. Pointers are doubled, so a chain of n files takes log2(n) rounds and n log2(n) rows.
+    With ``most``, rounds end where ways are longer than that: the longest way of a file that is further from the end stops within its chain.
     """
     step = edges.select("package", "file", "target").distinct()
     onward = step.join(step.select("package", F.col("file").alias("target")).distinct(), ["package", "target"], "left_semi")
@@ -37,7 +38,7 @@ def chains(edges: DataFrame) -> DataFrame:
     inner = one.select("package", F.col("file").alias("target"), F.lit(True).alias("on"))
     now = cut(one.withColumn("w", F.lit(1).cast("long")).join(inner, ["package", "target"], "left").select("package", "file", "target", "w", F.coalesce("on", F.lit(False)).alias("on")))
     parts = []
-    for _ in range(now.count().bit_length()):
+    for _ in range((now.count() if most is None else most).bit_length()):
         if now.filter("on").isEmpty():
             break
         parts.append(now.select("package", "file", "target", "w", F.lit(False).alias("last")))
@@ -49,19 +50,20 @@ def chains(edges: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def closure(start: DataFrame, edges: DataFrame, shallow: int = SHALLOW) -> DataFrame:
+def closure(start: DataFrame, edges: DataFrame, shallow: int = SHALLOW, passed: DataFrame | None = None) -> DataFrame:
     """``start`` (``package, file`` and further columns, all of which tell starts apart) and every ``file`` reached over ``edges`` (``package, file, target``), with its distance ``d``.
 
     Rounds go on until nothing new is found, each from what the round before found. Beyond ``shallow`` rounds, ways along
-    ``chains`` are taken too, so that deep graphs, which are chains in the main, take about log2(depth) more.
+    ``chains`` are taken too, so that deep graphs, which are chains in the main, take about log2(depth) more. Where ``passed`` has them, they are taken from the first.
     """
     keys = [c for c in start.columns if c != "d"]
-    ways = edges.select("package", "file", "target", F.lit(1).cast("long").alias("w")).distinct()
+    ways = edges.select("package", "file", "target", F.lit(1).cast("long").alias("w"))
+    ways = ways.distinct() if passed is None else cut(ways.unionByName(passed.select("package", "file", "target", "w")).distinct())
     reached = cut(start.select(*keys).distinct().withColumns({"d": F.lit(0).cast("long"), "fresh": F.lit(True)}))
     rounds = 0
     while True:
         rounds += 1
-        if rounds == shallow:
+        if rounds == shallow and passed is None:
             ways = cut(ways.unionByName(chains(edges).select("package", "file", "target", "w")).distinct())
         found = reached.filter("fresh").join(ways, ["package", "file"]).withColumn("d", F.col("d") + F.col("w")).drop("file", "w", "fresh").withColumnRenamed("target", "file").groupBy(*keys).agg(F.min("d").alias("d"))
         both = reached.withColumn("fresh", F.lit(False)).unionByName(found.withColumn("fresh", F.lit(True)))
@@ -70,13 +72,16 @@ def closure(start: DataFrame, edges: DataFrame, shallow: int = SHALLOW) -> DataF
             return reached.drop("fresh").withColumn("d", F.col("d").cast("int"))
 
 
-def heights(edges: DataFrame, most: int = DEPTH) -> DataFrame:
+def heights(edges: DataFrame, most: int = DEPTH) -> tuple[DataFrame, DataFrame]:
     """``package, file, h``, cut: the longest way on from each file, if it has at most ``most`` steps; files without it go on for longer, or into a cycle.
+    And the ``chains`` of at most ``most`` steps.
 
-    Chains are passed over as a whole; what is left is settled from its ends on, a layer a round.
+    Chains are passed over as a whole; what is left is settled from its ends on, a layer a round. A chain of over ``most`` steps is passed over
+    to a place within it, for which nothing is ever settled.
     """
     step = edges.select("package", "file", "target").distinct()
-    ends = cut(chains(edges).filter("last").select("package", F.col("file").alias("inner"), F.col("target").alias("end"), "w"))
+    jumps = chains(edges, most)
+    ends = cut(jumps.filter("last").select("package", F.col("file").alias("inner"), F.col("target").alias("end"), "w"))
     short = ends.select("package", "inner").withColumnRenamed("inner", "file")
     over = step.join(ends.withColumnRenamed("inner", "target"), ["package", "target"], "left").select("package", "file", F.coalesce("end", "target").alias("target"), (F.coalesce("w", F.lit(0)) + 1).alias("w"))
     left = cut(over.join(short, ["package", "file"], "left_anti").groupBy("package", "file", "target").agg(F.max("w").alias("w")))
@@ -88,7 +93,7 @@ def heights(edges: DataFrame, most: int = DEPTH) -> DataFrame:
             break
         known, left = cut(known.unionByName(new)), cut(left.join(new.select("package", "file"), ["package", "file"], "left_anti"))
     along = ends.join(known.withColumnRenamed("file", "end"), ["package", "end"]).select("package", F.col("inner").alias("file"), (F.col("h") + F.col("w")).alias("h"))
-    return cut(known.unionByName(along.filter(F.col("h") <= most)))
+    return cut(known.unionByName(along.filter(F.col("h") <= most))), jumps.filter(F.col("w") <= most)
 
 
 def search_files(roots: DataFrame, graph: dict[str, DataFrame]) -> DataFrame:
@@ -113,8 +118,12 @@ def surface(roots: DataFrame, graph: dict[str, DataFrame]) -> DataFrame:
     """``package, import, names``: the names that an import exports, where they are fully known: no module on its way over stars is
     missing, unreadable, assigned as a whole, in a cycle, or over ``DEPTH`` steps away by any way."""
     starts = roots.select("package", "import", F.col("file").alias("root"), "file").distinct()
-    tall = starts.join(graph["stars"].select("package", "file").distinct(), ["package", "file"], "left_semi").join(heights(graph["stars"]), ["package", "file"], "left_anti").select("package", "import").distinct()
-    near = closure(starts.join(tall, ["package", "import"], "left_anti"), graph["stars"])
+    told, jumps = heights(graph["stars"])
+    tall = starts.join(graph["stars"].select("package", "file").distinct(), ["package", "file"], "left_semi").join(told, ["package", "file"], "left_anti").select("package", "import").distinct()
+    # What a file that isn't tall leads to isn't either.
+    short = lambda ways: ways.join(told, ["package", "file"], "left_semi")
+    deep = not told.filter(F.col("h") > SHALLOW).isEmpty()
+    near = closure(starts.join(tall, ["package", "import"], "left_anti"), short(graph["stars"]), passed=short(jumps) if deep else None)
     known = near.join(graph["modules"], ["package", "file"], "left").groupBy("package", "import").agg(F.bool_and(F.coalesce(~F.col("incomplete") & F.col("assignment").isNull(), F.lit(False))).alias("known"))
     names = near.join(graph["exports"].select("package", "file", "name"), ["package", "file"]).filter("d = 0 or name <> 'default'").groupBy("package", "import").agg(F.sort_array(F.collect_set("name")).alias("names"))
     return names.join(known.filter("known"), ["package", "import"], "left_semi")
