@@ -17,6 +17,8 @@ from .lineage import cut
 
 #: Longest way over re-exports by which names are told for sure, and rounds of a closure after which chains are passed over.
 DEPTH, SHALLOW = 128, 10
+#: Rows of a round up to which they are broadcast to the ways on; doubled ways that are followed in one plan.
+FEW, LEVELS = 20_000, 4
 
 
 def name_of(df: DataFrame, column: str = "package") -> Column:
@@ -25,29 +27,71 @@ def name_of(df: DataFrame, column: str = "package") -> Column:
     return F.col(f"{column}.name") if isinstance(kind, StructType) else F.col(column)
 
 
-def chains(edges: DataFrame, most: int | None = None) -> DataFrame:
-    """``package, file, target, w, last``, cut: ways from files that have one way on, apart from dead ends: over 1, 2, 4, 8 ... steps (``w``).
+def doubled(edges: DataFrame, most: int | None = None) -> list[DataFrame]:
+    """``package, file, target, w, on``, each cut: ways from files that have one way on, apart from dead ends, over up to 1, 2, 4, 8 ... steps (``w``).
 
-    ``last`` marks the longest way: to where the chain ends (a file with another number of ways on), or, of a chain that goes
-    round, one as long as there are such files. Pointers are doubled, so a chain of n files takes log2(n) rounds and n log2(n) rows.
-    With ``most``, rounds end where ways are longer than that: the longest way of a file that is further from the end stops within its chain.
+    ``on`` tells that the chain goes on there: it doesn't for the longest way of a file, to where the chain ends (a file with another number of ways
+    on), but does for chains that go round. Pointers are doubled, so a chain of n files takes log2(n) rounds. With ``most``, rounds end where ways are longer than that.
     """
     step = edges.select("package", "file", "target").distinct()
     onward = step.join(step.select("package", F.col("file").alias("target")).distinct(), ["package", "target"], "left_semi")
     one = onward.groupBy("package", "file").agg(F.count("*").alias("n"), F.min("target").alias("target")).filter("n = 1").select("package", "file", "target")
     inner = one.select("package", F.col("file").alias("target"), F.lit(True).alias("on"))
-    now = cut(one.withColumn("w", F.lit(1).cast("long")).join(inner, ["package", "target"], "left").select("package", "file", "target", "w", F.coalesce("on", F.lit(False)).alias("on")))
-    parts = []
-    for _ in range((now.count() if most is None else most).bit_length()):
+    parts = [cut(one.withColumn("w", F.lit(1).cast("long")).join(inner, ["package", "target"], "left").select("package", "file", "target", "w", F.coalesce("on", F.lit(False)).alias("on")))]
+    for _ in range((parts[0].count() if most is None else most).bit_length()):
+        now = parts[-1]
         if now.filter("on").isEmpty():
             break
-        parts.append(now.select("package", "file", "target", "w", F.lit(False).alias("last")))
         further = now.select("package", F.col("file").alias("target"), F.col("target").alias("far"), F.col("w").alias("more"), F.col("on").alias("still"))
         both = now.join(further, ["package", "target"], "left")
         moves = F.col("on") & F.col("far").isNotNull()
-        now = cut(both.select("package", "file", F.when(moves, F.col("far")).otherwise(F.col("target")).alias("target"), (F.col("w") + F.when(moves, F.col("more")).otherwise(0)).alias("w"), F.when(moves, F.col("still")).otherwise(F.col("on")).alias("on")))
-    parts.append(now.select("package", "file", "target", "w", F.lit(True).alias("last")))
-    return reduce(DataFrame.unionByName, parts)
+        parts.append(cut(both.select("package", "file", F.when(moves, F.col("far")).otherwise(F.col("target")).alias("target"), (F.col("w") + F.when(moves, F.col("more")).otherwise(0)).alias("w"), F.when(moves, F.col("still")).otherwise(F.col("on")).alias("on"))))
+    return parts
+
+
+def chains(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """``package, file, target, w, last``: all ways of ``doubled``.
+
+    ``last`` marks the longest way: to where the chain ends, or, of a chain that goes round, one as long as there are such files.
+    With ``most``, the longest way of a file that is further from the end stops within its chain.
+    """
+    parts = doubled(edges, most)
+    marked = [p.select("package", "file", "target", "w", F.lit(n == len(parts) - 1).alias("last")) for n, p in enumerate(parts)]
+    return reduce(DataFrame.unionByName, marked)
+
+
+def reach(start: DataFrame, edges: DataFrame, shallow: int = SHALLOW) -> DataFrame:
+    """``start`` (``package, file`` and further columns) and every ``file`` reached over ``edges``: ``closure`` without distances.
+
+    Beyond ``shallow`` rounds a chain is passed over to its end, and its files are marked once at the end: from where it was entered over
+    the longest of its doubled ways, from all these over the next shorter ones, and so on. So n files of a chain are n rows, where all ways of all files are n log2(n).
+    """
+    keys = start.columns
+    step = cut(edges.select("package", "file", "target").distinct())
+    ways, parts = step, []
+    reached = cut(start.select(*keys).distinct().withColumn("fresh", F.lit(True)))
+    rounds = 0
+    while (n := reached.filter("fresh").count()) > 0:
+        rounds += 1
+        if rounds == shallow:
+            parts = doubled(step)
+            ends = parts[-1].select("package", "file", F.when(~F.col("on"), F.col("target")).alias("end"), F.lit(True).alias("inner"))
+            # A chain that goes round has no end; all that leads out of it are dead ends.
+            apart = step.join(ends.select("package", "file"), ["package", "file"], "left_anti")
+            ways = cut(apart.unionByName(ends.filter("end is not null").select("package", "file", F.col("end").alias("target"))))
+        fresh = reached.filter("fresh").drop("fresh")
+        found = ways.join(F.broadcast(fresh) if n <= FEW else fresh, ["package", "file"]).drop("file").withColumnRenamed("target", "file").select(*keys)
+        both = reached.withColumn("fresh", F.lit(False)).unionByName(found.withColumn("fresh", F.lit(True)))
+        reached = cut(both.groupBy(*keys).agg(F.bool_and("fresh").alias("fresh")))
+    reached = reached.drop("fresh")
+    if not parts:
+        return reached
+    for at in range(len(parts) - 1, -1, -LEVELS):
+        for k in range(at, max(at - LEVELS, -1), -1):
+            there = parts[k].filter(F.col("w") == 1 << k).select("package", "file", F.col("target").alias("far"))
+            reached = reached.join(there, ["package", "file"], "left").withColumn("file", F.explode(F.when(F.col("far").isNull(), F.array("file")).otherwise(F.array("file", "far")))).select(*keys)
+        reached = cut(reached.distinct())
+    return reached.unionByName(reached.join(step, ["package", "file"]).drop("file").withColumnRenamed("target", "file").select(*keys)).distinct()
 
 
 def closure(start: DataFrame, edges: DataFrame, shallow: int = SHALLOW, passed: DataFrame | None = None) -> DataFrame:
@@ -99,7 +143,7 @@ def heights(edges: DataFrame, most: int = DEPTH) -> tuple[DataFrame, DataFrame]:
 def search_files(roots: DataFrame, graph: dict[str, DataFrame]) -> DataFrame:
     """``package, import, file``: files whose declarations an import shows or refers to; all files of a package that exports by path, for its root."""
     named = graph["exports"].unionByName(graph["imports"]).filter("target_file is not null").select("package", "file", F.col("target_file").alias("target"))
-    found = closure(roots.select("package", "import", "file"), named.unionByName(graph["stars"])).select("package", "import", "file")
+    found = reach(roots.select("package", "import", "file"), named.unionByName(graph["stars"])).select("package", "import", "file")
     if "legacy" not in roots.columns:
         return found
     loose = roots.filter(F.col("legacy") & (F.col("import") == name_of(roots))).select("package", "import").distinct()

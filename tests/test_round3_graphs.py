@@ -1,6 +1,7 @@
 """Export graphs that are deep: rounds and rows that grow with the depth that is asked for, and results by brute force."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillstack.operators import exports
 
@@ -63,3 +64,29 @@ def test_a_surface_of_128_steps_takes_few_rounds_of_its_own_files_only(spark, cu
             expected[name] = {f"v{f}" for f in seen}
     assert found == expected and {"near", "most", "joins", "both", "leaf", "c273"} <= expected.keys() and not {"over", "ring", "into", "c271"} & expected.keys()
     assert len(cuts) < 40  # 52 before, when chains of any length were followed twice
+
+
+def test_files_of_deep_imports_are_reached_without_holding_all_ways(spark, cuts):
+    ends = {"first": "c0", "near": "c395", "joins": "b29", "ring": "r0", "into": "t0", "both": "d0", "leaf": "leaf3", "nowhere": "none"}
+    roots = spark.createDataFrame([("k", i, f) for i, f in ends.items()], "package string, import string, file string")
+    found = {}
+    for r in exports.reach(roots, star_frame(spark, PAIRS)).collect():
+        assert r["file"] not in found.setdefault(r["import"], set())
+        found[r["import"]].add(r["file"])
+    onward, _ = longest(PAIRS)
+    for name, start in ends.items():
+        seen = {start}
+        while more := {t for f in seen for t in onward.get(f, [])} - seen:
+            seen |= more
+        assert found[name] == seen, name
+    assert max(c.count() for c in cuts) < 2 * len(PAIRS)  # not so when all doubled ways were one table
+
+
+def test_a_loop_of_self_joins_keeps_estimates_short(spark):
+    from quillstack.operators.lineage import _estimate, cut
+
+    now = cut(spark.range(40).selectExpr("cast(id as string) AS file", "cast(least(id + 1, 39) as string) AS target", "array(id) AS own", "struct('k' AS name) AS package"))
+    for _ in range(12):
+        now = cut(now.join(now.select("package", F.col("file").alias("target"), F.col("target").alias("far")), ["package", "target"]).select("file", F.col("far").alias("target"), "own", "package"))
+        assert _estimate(now).bit_length() < 1_000  # it doubles with each round where it is kept
+    assert {(r.file, r.target, tuple(r.own), r.package.name) for r in now.collect()} == {(str(i), "39", (i,), "k") for i in range(40)}
