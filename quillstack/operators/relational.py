@@ -34,16 +34,18 @@ def pack_budget(ranked: DataFrame, key: str, order: list[Column], text: str, bud
     return ranked.withColumn("used", F.sum(cost).over(window)).filter(F.col("used") <= budget)
 
 
-def pack_blocks(ranked: DataFrame, key: str, order: list[Column], block: str, budget: int, ahead: Column | None = None) -> DataFrame:
+def pack_blocks(ranked: DataFrame, key: str, order: list[Column], block: str, budget: int, ahead: Column | None = None, made: Column | None = None) -> DataFrame:
     """Blocks of text of each key, in order, while they fit a token budget (a third of the characters, rounded up, and one for each block).
 
     The first that doesn't fit is cut at the end of a line if over 120 tokens are left, and nothing follows; an open code
     fence is closed. ``ahead`` counts characters that stand before the first block. Adds ``trimmed``.
+    A ``block`` that is ``made`` of other columns is made before rows are shuffled for its length, and again of those that are kept; no text is shuffled or sorted.
     """
+    ranked = ranked.withColumn("__size", F.length(F.col(block) if made is None else made))
     window = W.partitionBy(key).orderBy(*order)
-    before = F.coalesce(F.sum(F.length(block) + 1).over(window.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + (F.lit(0) if ahead is None else ahead)
+    before = F.coalesce(F.sum(F.col("__size") + 1).over(window.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + (F.lit(0) if ahead is None else ahead)
     left = F.greatest(F.lit(budget) - F.ceil(before / 3), F.lit(0))
-    sized = ranked.withColumn("__left", left).withColumn("trimmed", F.ceil(F.length(block) / 3) + 1 > F.col("__left"))
+    sized = ranked.withColumn("__left", left).withColumn("trimmed", F.ceil(F.col("__size") / 3) + 1 > F.col("__left"))
     missed = F.coalesce(F.max(F.col("trimmed").cast("int")).over(window.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     start = F.struct(F.lit("").alias("t"), F.lit(0).alias("n"), F.lit(True).alias("open"))
 
@@ -52,10 +54,11 @@ def pack_blocks(ranked: DataFrame, key: str, order: list[Column], block: str, bu
         return F.when(fits, F.struct(F.concat(acc["t"], line, F.lit("\n")).alias("t"), (acc["n"] + 1).alias("n"), F.lit(True).alias("open"))).otherwise(F.struct(acc["t"].alias("t"), acc["n"].alias("n"), F.lit(False).alias("open")))
 
     kept = sized.withColumn("__missed", missed).filter((F.col("__missed") == 0) & (~F.col("trimmed") | (F.col("__left") > 120)))
+    kept = kept if made is None else kept.withColumn(block, made)
     cut_ = kept.withColumn("__cut", F.when(F.col("trimmed"), F.aggregate(F.split(block, "\n"), start, grow)))
     fence = F.when(F.regexp_count(F.col("__cut.t"), F.lit("```")) % 2 == 1, F.lit("```\n")).otherwise(F.lit(""))
     shown = F.when(F.col("trimmed"), F.concat("__cut.t", fence, F.lit("[cut to fit the budget]\n"))).otherwise(F.col(block))
-    return cut_.filter(~F.col("trimmed") | (F.col("__cut.n") > 1)).withColumn(block, shown).drop("__left", "__missed", "__cut")
+    return cut_.filter(~F.col("trimmed") | (F.col("__cut.n") > 1)).withColumn(block, shown).drop("__size", "__left", "__missed", "__cut")
 
 
 def relevance_floor(ranked: DataFrame, key: str, order: list[Column], score: str = "score", least: int = 3, share: float = 0.3) -> DataFrame:

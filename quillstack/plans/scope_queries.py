@@ -252,8 +252,8 @@ def pack_trimmed_blocks(spark, sf_dir):
     """Blocks of lines by order, packed into 400 tokens; the one that crosses the budget is cut at a line's end."""
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.col("l_quantity").cast("int").alias("times"))
     first = relational.first_wins(rows, ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey", "l_extendedprice"])
-    blocks = first.select(F.col("l_orderkey").alias("question_id"), F.col("l_linenumber").alias("rank"), F.expr("repeat(concat('line of text ', l_linenumber, '\n'), times)").alias("block"))
-    packed = relational.pack_blocks(blocks, "question_id", [F.col("rank")], "block", 400)
+    blocks = first.select(F.col("l_orderkey").alias("question_id"), F.col("l_linenumber").alias("rank"), "times")
+    packed = relational.pack_blocks(blocks, "question_id", [F.col("rank")], "block", 400, made=F.expr("repeat(concat('line of text ', rank, '\n'), times)"))
     return packed.select("question_id", "rank", "trimmed", F.regexp_count("block", F.lit("line of text")).cast("long").alias("lines"))
 
 
