@@ -102,6 +102,11 @@ def mentioned(questions: DataFrame, deps: DataFrame) -> DataFrame:
     return hits.groupBy("question_id", "name").agg(F.min_by("eco", F.struct(eco_rank(F.col("eco")), "eco")).alias("eco")).select("question_id", "eco", "name")
 
 
+def first_direct(direct: DataFrame, most: int = MOST_PACKAGES) -> DataFrame:
+    """Which of the ``direct`` packages a question is about that mentions none."""
+    return direct.withColumn("n", F.row_number().over(W.orderBy("eco", "name"))).filter(F.col("n") <= most).drop("n")
+
+
 def choose(questions: DataFrame, deps: DataFrame, most: int = MOST_PACKAGES) -> DataFrame:
     """``question_id, eco, name, broad``: the packages to search for each question: those that it mentions, else up to ``most``
     direct ones; with the ``version`` that is pinned (of several the first), if ``deps`` have any."""
@@ -111,19 +116,23 @@ def choose(questions: DataFrame, deps: DataFrame, most: int = MOST_PACKAGES) ->
         pinned = deps.filter("direct").groupBy("eco", "name").agg(F.min("version").alias("version"))
         named = named.join(pinned, ["eco", "name"]).select("question_id", "eco", "name", "version", "broad")
         direct = pinned
-    first = direct.withColumn("n", F.row_number().over(W.orderBy("eco", "name"))).filter(F.col("n") <= most).drop("n")
+    first = first_direct(direct, most)
     rest = questions.select("question_id").join(named.select("question_id").distinct(), "question_id", "left_anti").crossJoin(F.broadcast(first)).withColumn("broad", F.lit(True))
     return named.unionByName(rest.select(named.columns))
 
 
-def broad_counts(chosen: DataFrame, sources: DataFrame) -> DataFrame:
-    """``question_id, searched, local, registry, upstream, notes, unavailable``: where a broad answer's packages (``chosen``, rows of ``choose``) come from.
+def broad_counts(questions: DataFrame, deps: DataFrame, sources: DataFrame) -> DataFrame:
+    """``question_id, searched, local, registry, upstream, notes, unavailable``: where the packages of broad answers (those of ``choose``) come from.
 
-    ``sources``: ``eco, name, fetched, upstream, note``, one row a package whose files are there.
+    ``sources``: ``eco, name, fetched, upstream, note``, one row a package whose files are there. All broad answers have the same packages, so these are counted once.
     """
-    both = chosen.filter("broad").join(sources.select("eco", "name", "fetched", "upstream", "note", F.lit(True).alias("there")), ["eco", "name"], "left")
+    first = first_direct(deps.filter("direct").select("eco", "name").distinct())
+    both = first.join(sources.select("eco", "name", "fetched", "upstream", "note", F.lit(True).alias("there")), ["eco", "name"], "left")
     yes = lambda c: F.coalesce(c, F.lit(False))
-    return both.groupBy("question_id").agg(
-        F.count_if(yes(F.col("there"))).alias("searched"), F.count_if(yes(F.col("there") & ~F.col("fetched"))).alias("local"), F.count_if(yes(F.col("fetched"))).alias("registry"),
-        F.count_if(yes(F.col("upstream"))).alias("upstream"), F.count_if(F.col("note").isNotNull()).alias("notes"), F.count_if(F.col("there").isNull()).alias("unavailable"),
-    )
+    counts = {
+        "searched": yes(F.col("there")), "local": yes(F.col("there") & ~F.col("fetched")), "registry": yes(F.col("fetched")),
+        "upstream": yes(F.col("upstream")), "notes": F.col("note").isNotNull(), "unavailable": F.col("there").isNull(),
+    }
+    once = both.agg(*[F.count_if(c).alias(n) for n, c in counts.items()]).filter("searched + unavailable > 0")
+    broad = questions.select("question_id").join(mentioned(questions, deps).select("question_id").distinct(), "question_id", "left_anti").groupBy("question_id").agg(F.count("*").alias("times"))
+    return broad.crossJoin(F.broadcast(once)).select("question_id", *[(F.col("times") * F.col(n)).alias(n) for n in counts])

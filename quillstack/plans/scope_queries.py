@@ -194,7 +194,7 @@ FROM {QUESTIONS} q CROSS JOIN first80 LEFT JOIN s USING (eco, name) WHERE questi
 def broad_answer_counts(spark, sf_dir):
     deps = frame(spark, sf_dir, "deps")
     there = deps.filter("p % 6 <> 0").groupBy("eco", "name").agg((F.min("p") % 3 == 0).alias("fetched"), (F.min("p") % 4 == 1).alias("upstream"), F.when(F.min("p") % 5 == 0, "note").alias("note"))
-    return packages.broad_counts(packages.choose(named_questions(spark, sf_dir), deps), there)
+    return packages.broad_counts(named_questions(spark, sf_dir), deps, there)
 
 
 PROSE = """SELECT CAST(p_partkey AS BIGINT) AS p, 'k' || (p_partkey % 20) AS package, p_type, p_size, p_name FROM part"""

@@ -17,3 +17,20 @@ def test_texts_of_blocks_that_are_made_are_not_shuffled(spark):
     plan = packed._jdf.queryExecution().optimizedPlan().toString()
     below = plan[plan.rindex("Window") :]
     assert "__size" in below and not re.search(r"repeat\([^\n]* AS block", below)
+
+
+def test_packages_of_broad_answers_are_counted_once(spark):
+    from quillstack.operators import packages
+
+    deps = spark.createDataFrame([("npm", f"kit{i:03}", "1.0.0", i % 9 > 0) for i in range(120)], "eco string, name string, version string, direct boolean")
+    there = spark.createDataFrame([("npm", f"kit{i:03}", i % 3 == 0, i % 4 == 1, "note" if i % 5 == 0 else None) for i in range(120) if i % 6], "eco string, name string, fetched boolean, upstream boolean, note string")
+    asked = spark.createDataFrame([(1, "nothing here"), (2, "use kit001 now"), (3, "nor here"), (3, "nor there")], "question_id long, text string")
+    found = packages.broad_counts(asked, deps, there)
+    first = [i for i in range(120) if i % 9 > 0][: packages.MOST_PACKAGES]
+    own = [i for i in first if i % 6]
+    one = (len(own), sum(i % 3 != 0 for i in own), sum(i % 3 == 0 for i in own), sum(i % 4 == 1 for i in own), sum(i % 5 == 0 for i in own), len(first) - len(own))
+    assert sorted(map(tuple, found.collect())) == [(1, *one), (3, *(2 * n for n in one))]
+    assert packages.broad_counts(asked, deps.limit(0), there).count() == 0
+    # Questions meet one row of counts, where they met each of up to 80 packages before.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "count(" in plan[plan.index("Cross") :]
