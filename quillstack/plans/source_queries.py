@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import relational
+from ..operators.lineage import spread
 from ..sources import files, lockfiles, markdown, pages, projects
 from ..sources import symbols as extract
 from .generated import frame, sql
@@ -192,7 +193,7 @@ UNION ALL SELECT file, 3, title || ' › ' || p_type || ' part', 'Body of ' || p
 UNION ALL SELECT file, 9, title || ' › ' || p_type || ' part › Use it', 'Text ' || p_size || '.', '1,3', 'kit' || p || '/sub' FROM t
 UNION ALL SELECT file, 11, title || ' › Other', 'Last.', '1', '' FROM t""")
 def markdown_sections(spark, sf_dir):
-    p = table(spark, sf_dir, "part").selectExpr("cast(p_partkey as bigint) p", "p_name", "p_type", "p_size")
+    p = spread(table(spark, sf_dir, "part").selectExpr("cast(p_partkey as bigint) p", "p_name", "p_type", "p_size"), compact=True)
     text = F.expr("""concat('About ', p_name, '.\n\n# ', p_type, ' part {#id}\nBody of ', p_type, '.\n```ts\n# no heading\nimport x from \\'kit', p, '/sub\\'\n```\n## [Use](x) `it`\nText ', p_size, '.\nOther\n=====\nLast.\n')""")
     found = markdown.sections(p.select(F.lit("tiny").alias("package"), F.concat(F.lit("docs/a"), "p", F.lit(".md")).alias("file"), F.lit("prose").alias("how"), text.alias("text")))
     return found.select("file", "line", "name", "doc", F.array_join(F.col("parents").cast("array<string>"), ",").alias("parents"), F.array_join("imports", ",").alias("imports"))
@@ -202,7 +203,7 @@ def markdown_sections(spark, sf_dir):
  (SELECT p, part, min(line) AS line, count(*) * 400 AS n FROM (SELECT p, i, 3 + 2 * i AS line, i // 3 AS part FROM p, (SELECT unnest(range(12)) AS i)) GROUP BY ALL) GROUP BY p""")
 def markdown_chunks(spark, sf_dir):
     """Sections of twelve paragraphs of 400 characters: a part ends at the first blank line beyond 1,200 bytes, so each holds three."""
-    p = table(spark, sf_dir, "part").selectExpr("cast(p_partkey as bigint) p")
+    p = spread(table(spark, sf_dir, "part").selectExpr("cast(p_partkey as bigint) p"), compact=True)
     text = F.concat(F.lit("# Long\n\n"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(12)), lambda i: F.repeat(F.lit("x"), 400)), "\n\n"))
     found = markdown.sections(p.select(F.lit("tiny").alias("package"), F.concat(F.lit("docs/long"), "p", F.lit(".md")).alias("file"), F.lit("prose").alias("how"), text.alias("text")))
     first = F.when(F.col("line") == 1, 3).otherwise(F.col("line"))
@@ -327,7 +328,7 @@ def inlined_examples(spark, sf_dir):
 UNION ALL SELECT 'app/(docs)/install/page' || p || '.tsx', 'Install ' || p_type || CASE i WHEN 0 THEN '' WHEN 1 THEN ' › Get ' || p_name ELSE ' › More' END, CASE i WHEN 0 THEN 'How to use ' || p_size || '.' WHEN 1 THEN 'Run the `add` command.' || chr(10) || '```shell' || chr(10) || 'npm i tool' || p || chr(10) || '```' ELSE 'Text after.' END FROM p, (SELECT unnest([0, 1, 2]) AS i)""")
 def component_pages(spark, sf_dir):
     """Component pages and example files as sections; over-long examples are passed over."""
-    p = table(spark, sf_dir, "part").selectExpr("cast(p_partkey as bigint) p", "p_name", "p_type", "p_size")
+    p = spread(table(spark, sf_dir, "part").selectExpr("cast(p_partkey as bigint) p", "p_name", "p_type", "p_size"), compact=True)
     page = F.expr("""concat('import X from "y";\nexport const metadata = { title: "Install ', p_type, '", description: "How to use ', p_size, '." };\nconst steps = [\n  { title: "Get ', p_name, '",\n body: <p>Run the <code>add</code> command.</p>,\n code: { lang: "shell", code: "npm i tool', p, '" } },\n];\nexport default function Page() { return <div>\n<h2 id="x">More</h2>\n<p>Text after.</p>\n</div>; }\n')""")
     code = F.when(F.col("p") % 5 == 0, F.repeat(F.lit("x = 1\n"), 2500)).otherwise(F.concat(F.lit("run("), "p", F.lit(")\n")))
     both = p.select(F.concat(F.lit("app/(docs)/install/page"), "p", F.lit(".tsx")).alias("file"), F.lit("page").alias("how"), page.alias("text")).unionByName(p.select(F.concat(F.lit("ex/my_demo-"), "p", F.lit(".py")).alias("file"), F.lit("example").alias("how"), code.alias("text")))

@@ -61,7 +61,7 @@ def symbols(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["package", "file", "line", "kind", "name", "path", "sig", "doc", "alias_of"])
 
     usable = files.filter(F.col("how").isin(*PARSERS) & (F.octet_length("text") <= MAX_SOURCE))
-    return spread(usable.select("package", "file", "how", "text")).mapInPandas(run, SCHEMA)
+    return spread(usable.select("package", "file", "how", "text"), compact=True).mapInPandas(run, SCHEMA)
 
 
 def module_doc(how: str, package: str, file: str, text: str) -> tuple[int, str, str]:
@@ -97,7 +97,7 @@ def module_docs(files: DataFrame) -> DataFrame:
     how, text = F.col("how"), F.col("text")
     says = F.when(how == "rust", text.rlike(r"//!|/\*!")).when(how == "go", text.rlike(r"(//|\*/)[^\n]*\n\s*package\b")).when(how == "python", text.rlike("\"|'"))
     usable = files.filter(says & (F.octet_length("text") <= MAX_SOURCE))
-    return spread(usable.select("package", "file", "how", "text")).mapInPandas(run, markdown.SCHEMA)
+    return spread(usable.select("package", "file", "how", "text"), compact=True).mapInPandas(run, markdown.SCHEMA)
 
 
 def entries(found: DataFrame, versions: DataFrame, by_file: bool = False) -> DataFrame:

@@ -34,3 +34,26 @@ def test_packages_of_broad_answers_are_counted_once(spark):
     # Questions meet one row of counts, where they met each of up to 80 packages before.
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "count(" in plan[plan.index("Cross") :]
+
+
+def test_compact_inputs_are_dealt_to_more_tasks_as_they_grow(spark, tmp_path, monkeypatch):
+    from quillstack.operators import lineage
+
+    spark.range(2000).selectExpr("id", "uuid() AS text").coalesce(1).write.parquet(f"{tmp_path}/t")
+    own = spark.read.parquet(f"{tmp_path}/t")
+    tasks, size = spark.sparkContext.defaultParallelism, lineage._estimate(own)
+    assert lineage.spread(own, compact=True).rdd.getNumPartitions() == tasks
+    monkeypatch.setattr(lineage, "PIECE", size // (3 * tasks))
+    assert lineage.spread(own, compact=True).rdd.getNumPartitions() >= 3 * tasks and lineage.spread(own).rdd.getNumPartitions() == tasks
+    monkeypatch.setattr(lineage, "PIECES", 1)
+    assert lineage.spread(own, compact=True).rdd.getNumPartitions() == own.rdd.getNumPartitions()
+
+
+def test_sections_of_a_small_table_are_made_in_all_tasks(spark):
+    from quillstack.plans import queries, source_queries  # noqa: F401  they register their queries
+
+    from .conftest import SF
+
+    for name in ("markdown_sections", "markdown_chunks", "component_pages"):
+        plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Repartition" in plan, name
