@@ -304,7 +304,7 @@ NAMES = O.terms("nm", f"(SELECT entry_id, CASE WHEN kind <> 'doc' THEN name ELSE
 @query(f"WITH {NAMES}, {RANK} SELECT question_id, entry_id, round(score, 6) AS score, rank FROM {O.best('(SELECT question_id, entry_id, round(score, 9) AS score FROM w)', 20)}")
 def hybrid_rank(spark, sf_dir):
     """Keyword ranking of generated entries with name hits and boosts, end to end."""
-    ranked = retrieval.hybrid(frame(spark, sf_dir, "old_entries"), entry_questions(spark, sf_dir), BODY, HEAD).withColumn("score", F.round("score", 9))
+    ranked = retrieval.hybrid(frame(spark, sf_dir, "old_entries"), entry_questions(spark, sf_dir), BODY, HEAD, wanted=retrieval.Wanted(20)).withColumn("score", F.round("score", 9))
     return retrieval.top(ranked, ["question_id"], 20).select("question_id", "entry_id", F.round("score", 6).alias("score"), "rank")
 
 
