@@ -11,6 +11,10 @@ from pyspark.sql.window import Window as W
 from .lineage import cut, fitting
 
 
+#: Share of the best score under which a result is too weak to be shown.
+SHARE = 0.3
+
+
 def first_wins(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
     """The row of each key that comes first by ``order`` (total within a key); combines before the shuffle, so a hot key is cheap."""
     ranks = [F.col(o) if isinstance(o, str) else o for o in order]
@@ -61,7 +65,7 @@ def pack_blocks(ranked: DataFrame, key: str, order: list[Column], block: str, bu
     return cut_.filter(~F.col("trimmed") | (F.col("__cut.n") > 1)).withColumn(block, shown).drop("__size", "__left", "__missed", "__cut")
 
 
-def relevance_floor(ranked: DataFrame, key: str, order: list[Column], score: str = "score", least: int = 3, share: float = 0.3) -> DataFrame:
+def relevance_floor(ranked: DataFrame, key: str, order: list[Column], score: str = "score", least: int = 3, share: float = SHARE) -> DataFrame:
     """Stops at the first row beyond ``least`` whose score is under ``share`` of the first row's."""
     ordered = W.partitionBy(key).orderBy(*order)
     weak = (F.row_number().over(ordered) > least) & (F.col(score) < share * F.first(score).over(ordered))

@@ -267,11 +267,19 @@ class Engine:
         ranked = each.withColumn("rank", F.row_number().over(W.partitionBy("question_id").orderBy("eco", "package", "version", "k")) - 1).drop("k")
         return answered.unionByName(relational.pack_blocks(ranked, "question_id", [F.col("rank")], "rendered", budget), allowMissingColumns=True)
 
-    def ranked(self, questions: DataFrame, chosen: DataFrame, query_vectors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-        """``question_id, cell, package, entry_id, score, called`` of questions, and the entries that they search."""
+    def ranked(self, questions: DataFrame, chosen: DataFrame, query_vectors: DataFrame | None = None, wanted: retrieval.Wanted | None = None) -> tuple[DataFrame, DataFrame]:
+        """``question_id, cell, package, entry_id, score, called`` of questions, and the entries that they search. What is ``wanted`` counts where nothing can be called."""
+        return self.ranked_in(*self.searched(chosen), questions, chosen, query_vectors, wanted)
+
+    def searched(self, chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """``places``' cells, and the entries in them."""
         cells, places = self.places(chosen)
-        own = self.within(places)
-        scored = retrieval.hybrid(own, questions, self.body, self.head, self.vectors, query_vectors, indexed=self.postings(own), cells=cells).withColumn("score", F.round("score", 9))
+        return cells, self.within(places)
+
+    def ranked_in(self, cells: DataFrame, own: DataFrame, questions: DataFrame, chosen: DataFrame, query_vectors: DataFrame | None, wanted: retrieval.Wanted | None) -> tuple[DataFrame, DataFrame]:
+        """``ranked`` in the cells and entries that are ``searched``."""
+        wanted = wanted if self.roots is None else None
+        scored = retrieval.hybrid(own, questions, self.body, self.head, self.vectors, query_vectors, indexed=self.postings(own), cells=cells, wanted=wanted).withColumn("score", F.round("score", 9))
         if self.roots is None:
             return scored.withColumn("called", F.lit(0)), own
         roots, graph = self.modules()
@@ -280,13 +288,18 @@ class Engine:
 
     def answer(self, questions: DataFrame, chosen: DataFrame, budget: int, query_vectors: DataFrame | None) -> DataFrame:
         """``docs`` for questions that ask something."""
-        scored, own = self.ranked(questions, chosen, query_vectors)
-        shown = scored.join(own.select("cell", "entry_id", "kind", "name", "path", "file", "line", "sig", "doc", "alias_of"), ["cell", "entry_id"])
+        cells, own = self.searched(chosen)
+        # A block takes two tokens at least, and none is shorter than the shortest of all without its context: so many can be shown at most.
+        alone = own.withColumn("context", F.lit(None).cast("string"))
+        least = alone.agg(F.min(F.coalesce(F.length(rendered(F.lit(OTHERS))), F.lit(0)))).first()[0] or 0
+        most = min(budget // 2, -(-3 * budget // (least + 1)))
+        place = ["package", "file", "line"]
+        scored, own = self.ranked_in(cells, own, questions, chosen, query_vectors, retrieval.Wanted(most, tuple(place), relational.SHARE))
         order = [F.desc("called"), F.desc("score"), F.col("entry_id")]
-        once = relational.cap(shown, ["question_id", "package", "file", "line"], order, 1).drop("n")
-        # A block takes two tokens at least, so no more than half the budget's can be shown.
-        best = cut(relational.cap(once, ["question_id"], order, budget // 2).withColumn("rank", F.col("n") - 1).drop("n"))
-        kept = cut(relational.relevance_floor(best, "question_id", [F.col("rank")]))
+        once = relational.cap(scored.join(own.select("cell", "entry_id", "file", "line"), ["cell", "entry_id"]), ["question_id", *place], order, 1).drop("n")
+        best = cut(relational.cap(once, ["question_id"], order, most).withColumn("rank", F.col("n") - 1).drop("n"))
+        floored = cut(relational.relevance_floor(best, "question_id", [F.col("rank")]))
+        kept = cut(floored.join(own.select("cell", "entry_id", "kind", "name", "path", "sig", "doc", "alias_of"), ["cell", "entry_id"]))
         real = symbols.stand_ins(kept.filter("alias_of is not null").select("cell", "entry_id", "file", "alias_of"), own)
         told = ["kind", "name", "path", "file", "line", "sig", "doc"]
         both = kept.join(real, ["cell", "entry_id"], "left")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstack.functions import text as X
 from quillstack.operators import retrieval as R
+from quillstack.plans.engine import Engine
 
 
 def texts(n, seed, most=12):
@@ -75,3 +76,23 @@ def test_of_entries_that_agree_only_the_best_is_passed_on_and_weak_ones_are_not(
         return {(r.question_id, r.entry_id) for r in ranked.join(first, "question_id").filter("rank < 3 or score >= 0.3 * first").collect()}
 
     assert shown(few) == shown(whole)
+
+
+def test_answers_are_made_of_no_more_ranks_than_a_budget_can_show(spark, monkeypatch):
+    entries = library(spark).withColumns({"eco": F.lit("npm"), "version": F.lit("1.0.0"), "parents": F.array(F.col("entry_id").cast("int")), "imports": F.array().cast("array<string>"), "line": F.col("entry_id").cast("int")})
+    deps = spark.createDataFrame([("npm", "p", "p", "1.0.0", True)], "eco string, name string, norm_name string, version string, direct boolean")
+    questions = spark.createDataFrame([(i, f"red gear sized 3 number {i} of fn{i}") for i in range(5)], "question_id long, text string")
+    hybrid, made = R.hybrid, []
+
+    def counted(*args, wanted, **more):
+        found = R.cut(hybrid(*args, wanted=wanted if bounded else None, **more))
+        made.append(found.count())
+        return found
+
+    monkeypatch.setattr(R, "hybrid", counted)
+    answers = []
+    for bounded in (True, False):
+        found = Engine(spark, deps, None, entries, body={"name": 8, "doc": 2}, head={"name": 2}).docs(questions, tokens=300)
+        answers.append({(r.question_id, r["rank"], r.path, r.rendered, r.trimmed) for r in found.collect()})
+    assert answers[0] == answers[1] and len(answers[0]) > 5
+    assert made[0] <= 5 * (15 + 2 * R.REDIRECT_PROBES) < made[1] / 4  # a block has 60 characters at least, a budget 900
