@@ -85,7 +85,7 @@ w AS (SELECT l.question_id, l.entry_id, round(lex * CASE WHEN e.kind = 'doc' THE
 def scoped_rank(spark, sf_dir):
     """Questions of many scopes in one plan, each ranked with the statistics of the exact packages that it searches."""
     own, asked = engine(spark, sf_dir), questions(spark, sf_dir)
-    ranked, _ = own.ranked(asked, own.select(asked))
+    ranked, _ = own.ranked(asked, own.select(asked), wanted=retrieval.Wanted(20))
     best = retrieval.top(ranked, ["question_id"], 20)
     return best.select("question_id", "package.eco", F.col("package.name").alias("package"), "package.version", "entry_id", F.round("score", 6).alias("score"), "rank")
 
