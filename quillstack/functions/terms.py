@@ -43,15 +43,16 @@ def stem(token: str) -> str:
     return token
 
 
-def vectors(entries: DataFrame, groups: dict[str, dict[str, int]], wanted: frozenset[str] | None = None, key: str = "entry_id") -> DataFrame:
-    """``key`` and, for each group of fields (column and weight), ``<group>_len`` and ``<group>_terms``, from one pass over ``entries``.
+def vectors(entries: DataFrame, groups: dict[str, dict[str, int]], wanted: frozenset[str] | None = None, key: str = "entry_id", keep: bool = False) -> DataFrame:
+    """``key`` (or, to ``keep``, all columns) and, for each group of fields (column and weight), ``<group>_len`` and ``<group>_terms``, from one pass over ``entries``.
 
     A group's terms are structs ``term, tf``: the weights of a term's fields summed over its occurrences, up to 65535;
     its len sums all weights, at least 1. With ``wanted``, only these terms are listed. A null field is empty.
     """
     columns = sorted({c for fields in groups.values() for c in fields})
     pair = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.IntegerType())]))
-    schema = T.StructType([entries.schema[key], *(f for g in groups for f in (T.StructField(f"{g}_len", T.LongType()), T.StructField(f"{g}_terms", pair)))])
+    kept = entries.columns if keep else [key]
+    schema = T.StructType([*(entries.schema[c] for c in kept), *(f for g in groups for f in (T.StructField(f"{g}_len", T.LongType()), T.StructField(f"{g}_terms", pair)))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[int, list[str]]] = {}
@@ -67,7 +68,7 @@ def vectors(entries: DataFrame, groups: dict[str, dict[str, int]], wanted: froze
             for at in range(0, len(whole), 128):
                 batch = whole.slice(at, 128)
                 texts = {c: batch.column(c).to_pylist() for c in columns}
-                out = [batch.column(key)]
+                out = [batch.column(c) for c in kept]
                 for fields in groups.values():
                     lens, starts, found, tfs = [], [0], [], []
                     for i in range(len(batch)):
@@ -86,7 +87,7 @@ def vectors(entries: DataFrame, groups: dict[str, dict[str, int]], wanted: froze
                     out += [pa.array(lens, pa.int64()), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), structs)]
                 yield pa.RecordBatch.from_arrays(out, names=schema.names)
 
-    return spread(entries.select(key, *columns)).mapInArrow(run, schema)
+    return spread(entries.select(*dict.fromkeys([*kept, *columns]))).mapInArrow(run, schema)
 
 
 def asked(questions: DataFrame, text: str = "text") -> DataFrame:
