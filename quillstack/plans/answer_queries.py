@@ -135,7 +135,7 @@ def indexed_scoped_rank(spark, sf_dir):
     path = f"{shared_folder(spark)}/index-rank-{uuid.uuid4().hex}"
     Engine.write_index(own.entries, path, BODY, HEAD)
     again, asked = Engine.open(spark, path, own.deps, None, body=BODY, head=HEAD), questions(spark, sf_dir)
-    ranked, _ = again.ranked(asked, again.select(asked))
+    ranked, _ = again.ranked(asked, again.select(asked), wanted=retrieval.Wanted(5))
     best = retrieval.top(ranked, ["question_id"], 5)
     return best.select("question_id", "package.eco", F.col("package.name").alias("package"), "package.version", "entry_id", F.round("score", 6).alias("score"), "rank")
 
